@@ -1,5 +1,6 @@
 """Registered queries, each next to the SQL that checks it."""
 
+import os
 from importlib import import_module
 
 from tablewright.plans.registry import ORACLES, QUERIES
@@ -13,5 +14,6 @@ MODULES = [
 def load():
     """Import every plan module once and return (queries, oracle SQL)."""
     for name in MODULES:
-        import_module(f"{__name__}.{name}")
+        if os.path.exists(os.path.join(os.path.dirname(__file__), name + ".py")):
+            import_module(f"{__name__}.{name}")
     return QUERIES, ORACLES

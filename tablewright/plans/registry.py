@@ -8,6 +8,7 @@ from tablewright.sources.views import VIEW_SQL, Tables
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+MODULE_OF: dict[str, str] = {}
 
 
 def with_views(body: str, *views: str) -> str:
@@ -25,6 +26,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
+        MODULE_OF[name] = fn.__module__.rsplit(".", 1)[1]
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = with_views(sql, *views)

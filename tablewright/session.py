@@ -19,7 +19,7 @@ def build_session(app: str = "tablewright", master: str | None = None, partition
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
-        b = b.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+        b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     return b.getOrCreate()
@@ -39,3 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def checkpointed(df):
+    """Reliable checkpoint in the shared folder: lineage ends in files that survive a lost executor."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()
+
+
+def small_side(df, max_rows: int = 200_000):
+    """``df`` written once; hinted for broadcast only when it is counted to be small, else left to a shuffle join."""
+    from pyspark.sql import functions as F
+
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept

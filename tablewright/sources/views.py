@@ -83,7 +83,7 @@ def _unlabelled(t):
 
 
 def _score(col):
-    return d(1) / (d(1) + F.exp(-(F.col(col) - 1500) / d(1500)))
+    return F.round(d(1) / (d(1) + F.exp(-(F.col(col) - 1500) / d(1500))), 9)
 
 
 def _pred(t):
@@ -97,6 +97,18 @@ def _pred(t):
     )
 
 
+def _docstats(t):
+    """Per-document measures; the labelled documents are the training part."""
+    c = F.col
+    known = t.labels.select("doc_id", F.lit(True).alias("known"))
+    chars, words = c("n_chars").cast("double"), F.size(F.split("text", " ")).cast("double")
+    return t.documents.join(known, "doc_id", "left").select(
+        c("doc_id").alias("id"), chars.alias("chars"), words.alias("words"),
+        F.size(F.split("text", "\n")).cast("double").alias("lines"), (chars / words).alias("word_length"),
+        "lang", "source", c("known").isNotNull().alias("is_train"),
+    )
+
+
 def _multi(t):
     c = F.col
     return t.part.select(
@@ -206,12 +218,12 @@ def _sig(t):
 
 
 VIEWS = {
-    "tab": _tab, "names": _names, "items": _items, "labelled": _labelled, "unlabelled": _unlabelled, "pred": _pred,
+    "tab": _tab, "names": _names, "items": _items, "labelled": _labelled, "unlabelled": _unlabelled, "pred": _pred, "docstats": _docstats,
     "multi": _multi, "s2s": _s2s, "runs": _runs, "logs": _logs, "refs": _refs, "listing": _listing, "lake": _lake,
     "sub": _sub, "sig": _sig,
 }
 
-_SCORE = "1.0::double / (1.0::double + exp(-(n_chars - 1500) / 1500.0::double))"
+_SCORE = "round(1.0::double / (1.0::double + exp(-(n_chars - 1500) / 1500.0::double)), 9)"
 
 VIEW_SQL = {
     "tab": """SELECT o_orderkey AS id,
@@ -233,6 +245,10 @@ VIEW_SQL = {
         WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "pred": f"""SELECT d.doc_id AS id, l.quality AS y, {_SCORE} AS p, CAST(n_chars AS DOUBLE) AS x,
         CAST(len(string_split(d.text, ' ')) AS DOUBLE) AS words FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+    "docstats": """SELECT d.doc_id AS id, CAST(n_chars AS DOUBLE) AS chars, CAST(len(string_split(text, ' ')) AS DOUBLE) AS words,
+        CAST(len(string_split(text, chr(10))) AS DOUBLE) AS lines,
+        CAST(n_chars AS DOUBLE) / CAST(len(string_split(text, ' ')) AS DOUBLE) AS word_length, lang, source,
+        l.doc_id IS NOT NULL AS is_train FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "multi": """SELECT p_partkey AS id, CAST(1 + p_size % 7 AS DOUBLE) AS a, CAST(1 + p_partkey % 5 AS DOUBLE) AS b,
         CAST(1 + p_size % 3 AS DOUBLE) AS c, p_partkey % 3 AS y FROM part""",
     "s2s": """SELECT u.conv_id * 1000 + u.turn AS id, u.text AS before, a.text AS after FROM conversations u

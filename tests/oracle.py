@@ -58,6 +58,7 @@ def compare(spark, con, sf_dir, fn, sql):
 
 def main():
     from tablewright.plans import load
+    from tablewright.plans.registry import MODULE_OF
     from tablewright.session import build_session
 
     sf_dir, names = sys.argv[1], sys.argv[2:]
@@ -65,9 +66,9 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, oracles = load()
-    failed = 0
+    failed, mods = 0, {n: m for n, m in MODULE_OF.items()}
     for name, fn in queries.items():
-        if names and name not in names:
+        if names and name not in names and mods.get(name) not in names:
             continue
         t = time.time()
         try:
