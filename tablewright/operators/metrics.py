@@ -6,12 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.numbers import log_loss_term
-from tablewright.operators.ordered import long_values, positions
+from tablewright.operators.ordered import grouped_values, long_values, positions
 
 
 def auc(df: DataFrame, y: str, scores) -> DataFrame:
     """(name, auc) per score column, ties counted half, from class counts per distinct score."""
-    long = long_values(df, list(scores), extra=(y,))
+    return _auc(long_values(df, list(scores), extra=(y,)), y)
+
+
+def auc_by(df: DataFrame, by: Column, y: str, score: str) -> DataFrame:
+    """(name, auc) of one score column per group; null for a group with one class only."""
+    return _auc(grouped_values(df, by, score, extra=(y,)), y)
+
+
+def _auc(long: DataFrame, y: str) -> DataFrame:
     pos = positions(long, {"pos": (F.col(y) == 1).cast("long"), "neg": (F.col(y) == 0).cast("long")})
     won = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")

@@ -38,6 +38,12 @@ def long_values(df: DataFrame, cols, extra=()) -> DataFrame:
     return out.select(*extra, "s.name", "s.value", "s.bucket").where(F.col("value").isNotNull())
 
 
+def grouped_values(df: DataFrame, by: Column, col: str, extra=()) -> DataFrame:
+    """As ``long_values`` for one column, with the group ``by`` in place of the column name; cut points are shared."""
+    kept = df.select(by.alias("group"), col, *extra)
+    return long_values(kept, [col], extra=("group", *extra)).drop("name").withColumnRenamed("group", "name")
+
+
 def _with_offsets(counts: DataFrame, sums) -> DataFrame:
     """Per (name, bucket): each sum, the sum in lower buckets and the total. At most columns x buckets rows."""
     per = counts.groupBy("name", "bucket").agg(*[F.sum(s).alias(s) for s in sums])

@@ -36,12 +36,14 @@ def spectrogram(wave: Column, n_fft: int, hop: int, rate: float = 1.0) -> Column
     return run(wave)
 
 
-def log_spectrogram(wave: Column, n_fft: int, hop: int, width: int, rate: float = 1.0) -> Column:
-    """Decibels scaled to 0-1 over the whole picture, every row padded or cut to ``width`` frames."""
-    rows = F.transform(spectrogram(wave, n_fft, hop, rate), arrays.decibel)
-    flat = F.flatten(rows)
-    lo, hi = F.array_min(flat), F.array_max(flat)
-    return F.transform(rows, lambda r: arrays.pad(F.transform(r, lambda v: (v - lo) / (hi - lo + arrays.EPS)), width))
+def log_spectrogram(df: DataFrame, wave: str, n_fft: int, hop: int, width: int, rate: float = 1.0) -> DataFrame:
+    """Adds ``spectrogram``: decibels scaled to 0-1 over the whole picture, every row cut or padded to ``width`` frames."""
+    power = df.withColumn("_power", spectrogram(F.col(wave), n_fft, hop, rate))
+    rows = F.transform("_power", arrays.decibel)
+    scaled = power.withColumns({"_rows": rows, "_lo": F.array_min(F.flatten(rows)), "_hi": F.array_max(F.flatten(rows))})
+    span = F.col("_hi") - F.col("_lo") + arrays.EPS
+    out = F.transform("_rows", lambda r: arrays.pad(F.transform(r, lambda v: (v - F.col("_lo")) / span), width))
+    return scaled.withColumn("spectrogram", out).drop("_power", "_rows", "_lo", "_hi")
 
 
 def normalize_images(df: DataFrame, key: str, size: int, mean, sd) -> DataFrame:

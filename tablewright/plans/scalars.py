@@ -94,9 +94,9 @@ def missing_signal_default(t):
 
 @query("spectrogram")
 def spectrogram(t):
-    s = signals.log_spectrogram(F.col("wave"), 16, 8, 10)
-    flat = t.sig.select("id", s.alias("s"))
-    return flat.select("id", F.size("s").alias("bins"), F.size(F.col("s")[0]).alias("frames"), joined(F.flatten("s")).alias("values"))
+    flat = signals.log_spectrogram(t.sig, "wave", 16, 8, 10)
+    s = F.col("spectrogram")
+    return flat.select("id", F.size(s).alias("bins"), F.size(s[0]).alias("frames"), joined(F.flatten(s)).alias("values"))
 
 
 @query("image_normalize", f"""SELECT id, {joined_sql('''list_transform(range(16), lambda i:

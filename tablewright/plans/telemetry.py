@@ -22,8 +22,8 @@ def long_log(t):
         c("event_id").alias("id"),
         F.concat(
             F.lit("Train score: "), F.format_string("%.3f", c("value") / 490), F.lit("\n"),
-            F.when(c("event_type") == "click", F.concat(F.lit("Best validation score: "), F.format_string("%.4f", c("value") / 500), F.lit("\n"))).otherwise(""),
-            F.when(c("event_type") == "view", F.concat(F.lit("roc_auc: "), F.format_string("%.4f", c("value") / 600), F.lit("\n"))).otherwise(""),
+            F.when(c("event_type") == "click", F.concat(F.lit("Best validation score: "), F.format_string("%.5f", c("value") / 500), F.lit("\n"))).otherwise(""),
+            F.when(c("event_type") == "view", F.concat(F.lit("roc_auc: "), F.format_string("%.5f", c("value") / 500), F.lit("\n"))).otherwise(""),
             F.lit("best_estimator: lgbm\nBEST LOSS: "), F.format_string("%.2f", c("value")),
             F.when(c("event_type") == "error", "\nabc\nTraceback (most recent call last):\n  boom").otherwise("\nSaved model"),
         ).alias("log"),
@@ -31,8 +31,8 @@ def long_log(t):
 
 
 LONG_SQL = """longlog AS (SELECT event_id AS id, concat('Train score: ', format('{:.3f}', value / 490), chr(10),
-    CASE WHEN event_type = 'click' THEN concat('Best validation score: ', format('{:.4f}', value / 500), chr(10)) ELSE '' END,
-    CASE WHEN event_type = 'view' THEN concat('roc_auc: ', format('{:.4f}', value / 600), chr(10)) ELSE '' END,
+    CASE WHEN event_type = 'click' THEN concat('Best validation score: ', format('{:.5f}', value / 500), chr(10)) ELSE '' END,
+    CASE WHEN event_type = 'view' THEN concat('roc_auc: ', format('{:.5f}', value / 500), chr(10)) ELSE '' END,
     'best_estimator: lgbm', chr(10), 'BEST LOSS: ', format('{:.2f}', value),
     CASE WHEN event_type = 'error' THEN concat(chr(10), 'abc', chr(10), 'Traceback (most recent call last):', chr(10), '  boom')
       ELSE concat(chr(10), 'Saved model') END) AS log FROM events)"""
@@ -47,15 +47,15 @@ def log_metrics(t):
 
 
 @query("grader_text", r"""WITH g AS (SELECT event_id AS id, CASE event_type
-      WHEN 'click' THEN concat('Report: {"score": ', format('{:.4f}', value / 500), ', "medal": "Silver"} done')
-      WHEN 'view' THEN concat('Gold medal, AUC: ', format('{:.4f}', value / 500))
+      WHEN 'click' THEN concat('Report: {"score": ', format('{:.5f}', value / 500), ', "medal": "Silver"} done')
+      WHEN 'view' THEN concat('Gold medal, AUC: ', format('{:.5f}', value / 500))
       WHEN 'error' THEN '{not json} Bronze 0.25 accuracy'
-      WHEN 'signup' THEN concat('{"medal": "gold"} score ', format('{:.4f}', value / 500)) ELSE 'no result' END AS out, event_type, value FROM events)
+      WHEN 'signup' THEN concat('{"medal": "gold"} score ', format('{:.5f}', value / 500)) ELSE 'no result' END AS out, event_type, value FROM events)
     SELECT id, CASE event_type WHEN 'click' THEN CAST(regexp_extract(out, '"score": ([0-9.]+)', 1) AS DOUBLE) WHEN 'view' THEN CAST(regexp_extract(out, 'AUC: ([0-9.]+)', 1) AS DOUBLE)
       WHEN 'error' THEN 0.25::double ELSE 0.0::double END AS score,
       CASE event_type WHEN 'click' THEN 'silver' WHEN 'view' THEN 'gold' WHEN 'error' THEN 'bronze' WHEN 'signup' THEN 'gold' ELSE 'none' END AS medal FROM g""")
 def grader_text(t):
-    c, num = F.col, F.format_string("%.4f", F.col("value") / 500)
+    c, num = F.col, F.format_string("%.5f", F.col("value") / 500)
     out = (
         F.when(c("event_type") == "click", F.concat(F.lit('Report: {"score": '), num, F.lit(', "medal": "Silver"} done')))
         .when(c("event_type") == "view", F.concat(F.lit("Gold medal, AUC: "), num))

@@ -160,7 +160,7 @@ def _logs(t):
         (c("event_id") % 2).cast("int").alias("exit_code"),
         F.concat(
             F.lit("step "), c("event_id").cast("string"), tail, F.lit(" val_score: "),
-            F.format_string("%.4f", c("value") / d(500)),
+            F.format_string("%.5f", c("value") / d(500)),
             F.when(c("event_id") % 7 == 0, " Traceback (most recent call last): boom").otherwise(""),
         ).alias("log"),
     )
@@ -261,7 +261,7 @@ VIEW_SQL = {
         concat('step ', event_id, CASE event_type WHEN 'error' THEN ': CUDA out of memory'
           WHEN 'signup' THEN ': No such file x.csv' WHEN 'view' THEN ': loss is NaN'
           WHEN 'click' THEN ': SyntaxError in module' ELSE ' ok' END, ' val_score: ',
-          format('{:.4f}', value / 500.0::double),
+          format('{:.5f}', value / 500.0::double),
           CASE WHEN event_id % 7 = 0 THEN ' Traceback (most recent call last): boom' ELSE '' END) AS log FROM events""",
     "refs": """SELECT doc_id AS id, concat('img_', doc_id, CASE lang WHEN 'en' THEN '.jpg' WHEN 'fr' THEN ''
         WHEN 'de' THEN '.PNG' ELSE '.wav' END) AS path FROM documents""",
