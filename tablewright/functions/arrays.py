@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 EPS = 1e-10
 
 
+def let(fn, **values) -> Column:
+    """``fn`` of a struct of values that are computed once per row, however often the result refers to them."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), fn)[0]
+
+
 def minmax(arr: Column) -> Column:
-    lo, hi = F.array_min(arr), F.array_max(arr)
-    return F.transform(arr, lambda v: (v - lo) / (hi - lo + EPS))
+    return let(
+        lambda s: F.transform(s["a"], lambda v: (v - s["lo"]) / (s["hi"] - s["lo"] + EPS)),
+        a=arr, lo=F.array_min(arr), hi=F.array_max(arr),
+    )
 
 
 def pad(arr: Column, width: int) -> Column:
@@ -24,17 +31,19 @@ def decibel(arr: Column) -> Column:
 
 def resample(arr: Column, length: int) -> Column:
     """Linear interpolation at ``length`` points evenly spaced over [0, n]; the last value holds beyond n - 1."""
-    n = F.size(arr)
-    step = n.cast("double") / F.lit(float(max(length - 1, 1)))
 
-    def at(i):
-        x = i.cast("double") * step
-        k = F.least(F.floor(x).cast("int"), n - 1)
-        left = F.element_at(arr, k + 1)
-        right = F.element_at(arr, F.least(k + 2, n))
-        return left + (x - k.cast("double")) * (right - left)
+    def all_points(s):
+        def at(i):
+            x = i.cast("double") * s["step"]
+            k = F.least(F.floor(x).cast("int"), s["n"] - 1)
+            left = F.element_at(s["a"], k + 1)
+            right = F.element_at(s["a"], F.least(k + 2, s["n"]))
+            return left + (x - k.cast("double")) * (right - left)
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), at))
+        return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), at)
+
+    n = F.size(arr)
+    return F.when(n > 0, let(all_points, a=arr, n=n, step=n.cast("double") / F.lit(float(max(length - 1, 1)))))
 
 
 def stack(arr: Column, channels: int = 3) -> Column:
@@ -43,7 +52,7 @@ def stack(arr: Column, channels: int = 3) -> Column:
 
 def real_mask(arr: Column, width: int) -> Column:
     """1 for real positions and 0 for padding."""
-    return F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: (i <= F.size(arr)).cast("int"))
+    return let(lambda s: F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: (i <= s["n"]).cast("int")), n=F.size(arr))
 
 
 def or_silence(arr: Column, length: int) -> Column:

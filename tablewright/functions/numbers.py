@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablewright.functions.arrays import let
+
 
 def to_number(col) -> Column:
     """Text to double; what cannot be read becomes null."""
@@ -35,8 +37,9 @@ def bad_probability_sum(cols, tolerance: float) -> Column:
 
 def softmax(arr: Column) -> Column:
     """Softmax of an array column, shifted by its maximum."""
-    e = F.transform(arr, lambda v: F.exp(v - F.array_max(arr)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda acc, w: acc + w))
+    e = let(lambda s: F.transform(s["a"], lambda v: F.exp(v - s["top"])), a=arr, top=F.array_max(arr))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, w: acc + w)
+    return let(lambda s: let(lambda u: F.transform(u["e"], lambda v: v / u["sum"]), e=s["e"], sum=total(s["e"])), e=e)
 
 
 def argmax(arr: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
@@ -13,12 +15,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tablewright import fixed
 from tablewright.operators import features as ft
 from tablewright.operators import metrics
 from tablewright.operators.sampling import kfold_stratified
 from tablewright.operators.text import word_grams, word_tokens
+from tablewright.session import checkpointed
 
 
 def stacked(frames):
@@ -89,15 +93,22 @@ def soft_vote(parts) -> DataFrame:
     return stacked(parts).groupBy("id", "class").agg(F.avg("p").alias("p"))
 
 
+def in_threads(fn, items, threads: int = 4) -> list:
+    """Independent fits submitted side by side; Spark schedules their jobs."""
+    with ThreadPool(threads) as pool:
+        return pool.map(inheritable_thread_target(fn), list(items))
+
+
 def oof_predict(df: DataFrame, key: str, label: str, estimator, k: int = 5, seed: int = 42) -> DataFrame:
     """(key, label, fold, prediction): every row scored by the model of the other folds."""
-    folds = kfold_stratified(df, key, label, k, seed)
-    parts = []
-    for i in range(k):
-        model = estimator.fit(folds.where(F.col("fold") != i))
+    folds = checkpointed(kfold_stratified(df, key, label, k, seed))
+
+    def one(i):
+        model = estimator.copy().fit(folds.where(F.col("fold") != i))
         scored = model.transform(folds.where(F.col("fold") == i))
-        parts.append(scored.select(key, label, "fold", vector_to_array("probability")[1].alias("prediction")))
-    return stacked(parts)
+        return scored.select(key, label, "fold", vector_to_array("probability")[1].alias("prediction"))
+
+    return stacked(in_threads(one, range(k)))
 
 
 def model_search(df: DataFrame, key: str, label: str, families: dict, k: int = 5) -> DataFrame:
@@ -107,8 +118,7 @@ def model_search(df: DataFrame, key: str, label: str, families: dict, k: int = 5
         oof = oof_predict(df, key, label, est, k)
         parts.append(metrics.auc(oof, label, ["prediction"]).select(F.lit(name).alias("model"), "auc"))
     board = stacked(parts)  # one row per family
-    rivals = board.select(F.collect_list("auc")).scalar()
-    return board.withColumn("place", F.size(F.filter(rivals, lambda a: a > F.col("auc"))) + 1)
+    return board.withColumn("place", F.rank().over(W.orderBy(F.desc("auc"))))
 
 
 def _binary(df: DataFrame, label: str, cls: int) -> DataFrame:
@@ -120,16 +130,18 @@ def calibrated(train: DataFrame, test: DataFrame, key: str, label: str, base, sc
 
     ``score`` turns a transformed frame into a score column; ``calibrator`` fits (score, y) and gives a function to p.
     """
-    folds = kfold_stratified(train, key, label, k, 42)
-    members = []
+    folds = checkpointed(kfold_stratified(train, key, label, k, 42))
     wanted = classes if len(classes) > 2 else [max(classes)]
-    for cls in wanted:
+
+    def one(job):
+        cls, i = job
         data = _binary(folds, label, cls)
-        for i in range(k):
-            model = base().fit(data.where(F.col("fold") != i))
-            held = score(model.transform(data.where(F.col("fold") == i))).select(F.col("_y").alias("y"), "score")
-            to_p = calibrator(held)
-            members.append(to_p(score(model.transform(test)).select(key, "score")).select(key, F.lit(cls).alias("class"), "p"))
+        model = base().fit(data.where(F.col("fold") != i))
+        held = score(model.transform(data.where(F.col("fold") == i))).select(F.col("_y").alias("y"), "score")
+        to_p = calibrator(held)
+        return to_p(score(model.transform(test)).select(key, "score")).select(key, F.lit(cls).alias("class"), "p")
+
+    members = in_threads(one, [(cls, i) for cls in wanted for i in range(k)])
     mean = stacked(members).groupBy(key, "class").agg(F.avg("p").alias("p"))
     if len(classes) == 2:
         other = min(classes)

@@ -28,12 +28,12 @@ def long_values(df: DataFrame, cols, extra=()) -> DataFrame:
     n = bucket_count(df)
     nums = df.select(*extra, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
     cuts = nums.select(*cols).approxQuantile(list(cols), [i / n for i in range(1, n)], 1 / (2 * n))
-    buckets = []
-    for c, points in zip(cols, cuts):
-        splits = [-math.inf, *sorted(set(points)), math.inf]
-        out = f"_bucket_{c}"
-        nums = Bucketizer(splits=splits, inputCol=c, outputCol=out, handleInvalid="keep").transform(nums)
-        buckets.append(F.struct(F.lit(c).alias("name"), F.col(c).alias("value"), F.col(out).cast("int").alias("bucket")))
+    outs = [f"_bucket_{c}" for c in cols]
+    splits = [[-math.inf, *sorted(set(points)), math.inf] for points in cuts]
+    nums = Bucketizer(splitsArray=splits, inputCols=list(cols), outputCols=outs, handleInvalid="keep").transform(nums)
+    buckets = [
+        F.struct(F.lit(c).alias("name"), F.col(c).alias("value"), F.col(o).cast("int").alias("bucket")) for c, o in zip(cols, outs)
+    ]
     out = nums.select(*extra, F.explode(F.array(*buckets)).alias("s"))
     return out.select(*extra, "s.name", "s.value", "s.bucket").where(F.col("value").isNotNull())
 

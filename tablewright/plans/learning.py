@@ -6,6 +6,7 @@ from tablewright.operators import features as ft
 from tablewright.operators import models as md
 from tablewright.plans.lookups import long_predictions
 from tablewright.plans.registry import query
+from tablewright.session import checkpointed
 
 NUMERIC = ["chars", "words", "lines", "word_length"]
 
@@ -19,14 +20,16 @@ def table_parts(t):
     """Prepared training and scoring parts of the document measures."""
     df = table(t)
     prep = md.table_features(NUMERIC, ["source"]).fit(df.where("is_train"))
-    return prep.transform(df.where("is_train")), prep.transform(df.where("not is_train"))
+    keep = ["id", "label", "features"]
+    return tuple(checkpointed(prep.transform(df.where(part)).select(keep)) for part in ("is_train", "not is_train"))
 
 
 def text_parts(t):
     """TF-IDF vectors of labelled and unlabelled documents; the label is the quality flag."""
     train = t.labelled.withColumn("label", F.col("target"))
     prep = md.text_features("text").fit(train)
-    return prep.transform(train), prep.transform(t.unlabelled)
+    scored = prep.transform(t.unlabelled).select("id", "features")
+    return checkpointed(prep.transform(train).select("id", "label", "features")), checkpointed(scored)
 
 
 @query("lr_text")
