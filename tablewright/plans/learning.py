@@ -64,7 +64,7 @@ def isotonic_calibrated(t):
     return md.calibrated(train, test, "id", "label", md.boosted_base, md.probability_score, md.isotonic_calibrator, [0, 1])
 
 
-@query("soft_vote", """SELECT id, 1 AS class, round((p + least(x / 40000.0::double, 1)) / 2, 9) AS p FROM pred
+@query("soft_vote", """SELECT id, 1 AS class, round((p + least(x / 40000.0::double, 1)) / 2, 12) AS p FROM pred
     UNION ALL SELECT id, 0, round((1 - p + 1 - least(x / 40000.0::double, 1)) / 2, 9) FROM pred""", ("pred",))
 def soft_vote(t):
     c = F.col
@@ -74,7 +74,7 @@ def soft_vote(t):
         both = F.array(F.struct(F.lit(1).alias("class"), p.alias("p")), F.struct(F.lit(0).alias("class"), (1 - p).alias("p")))
         return long_predictions(t).where(c("model") == model).select("id", F.inline(both))
 
-    return md.soft_vote([member("logistic"), member("length")]).withColumn("p", F.round("p", 9))
+    return md.soft_vote([member("logistic"), member("length")]).withColumn("p", F.round("p", 12))
 
 
 @query("model_search")

@@ -69,12 +69,12 @@ def fuse_features(t):
     )
 
 
-@query("grade_join", """SELECT coalesce(s.id, a.id) AS id, a.y, round(s.p, 9) AS p, coalesce(s.copies, 0) AS copies,
+@query("grade_join", """SELECT coalesce(s.id, a.id) AS id, a.y, round(s.p, 12) AS p, coalesce(s.copies, 0) AS copies,
     CASE WHEN s.id IS NOT NULL AND a.id IS NOT NULL THEN 'matched' WHEN a.id IS NOT NULL THEN 'missing' ELSE 'extra' END AS status
     FROM (SELECT id, avg(p) AS p, count(*) AS copies FROM sub GROUP BY 1) s
     FULL JOIN (SELECT id, y FROM pred) a ON s.id = a.id""", ("sub", "pred"))
 def grade_join(t):
-    return lk.grade_join(t.sub, t.pred.select("id", "y"), "id").withColumn("p", F.round("p", 9))
+    return lk.grade_join(t.sub, t.pred.select("id", "y"), "id").withColumn("p", F.round("p", 12))
 
 
 @query("encode_unseen", """WITH d AS (SELECT seg, row_number() OVER (ORDER BY seg) - 1 AS code FROM

@@ -16,15 +16,22 @@ def _missing_to_null(df: DataFrame) -> DataFrame:
     return df.select([F.when(~F.col(c).isin(fixed.MISSING_TEXT), F.col(c)).alias(c) for c in df.columns])
 
 
+WHOLE = r"^[+-]?[0-9]{1,18}$"
+DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def infer_types(df: DataFrame) -> T.StructType:
-    """The narrowest of long, double, boolean and string that reads every value, from one aggregate over all columns."""
+    """The narrowest of long, double, boolean and string that reads every value, from one aggregate over all columns.
+
+    Patterns decide, not casts: a failed cast costs an exception per value.
+    """
     checks = []
     for i, c in enumerate(df.columns):
         v = F.col(c)
         checks += [
             F.count(v).alias(f"n{i}"),
-            F.count(v.try_cast("long")).alias(f"l{i}"),
-            F.count(v.try_cast("double")).alias(f"d{i}"),
+            F.count_if(v.rlike(WHOLE)).alias(f"l{i}"),
+            F.count_if(v.rlike(DECIMAL)).alias(f"d{i}"),
             F.count_if(F.lower(v).isin("true", "false")).alias(f"b{i}"),
         ]
     r = df.agg(*checks).first()
