@@ -93,10 +93,10 @@ def soft_vote(parts) -> DataFrame:
     return stacked(parts).groupBy("id", "class").agg(F.avg("p").alias("p"))
 
 
-def in_threads(fn, items, threads: int = 4) -> list:
+def in_threads(spark, fn, items, threads: int = 4) -> list:
     """Independent fits submitted side by side; Spark schedules their jobs."""
     with ThreadPool(threads) as pool:
-        return pool.map(inheritable_thread_target(fn), list(items))
+        return pool.map(inheritable_thread_target(spark)(fn), list(items))
 
 
 def oof_predict(df: DataFrame, key: str, label: str, estimator, k: int = 5, seed: int = 42) -> DataFrame:
@@ -108,7 +108,7 @@ def oof_predict(df: DataFrame, key: str, label: str, estimator, k: int = 5, seed
         scored = model.transform(folds.where(F.col("fold") == i))
         return scored.select(key, label, "fold", vector_to_array("probability")[1].alias("prediction"))
 
-    return stacked(in_threads(one, range(k)))
+    return stacked(in_threads(df.sparkSession, one, range(k)))
 
 
 def model_search(df: DataFrame, key: str, label: str, families: dict, k: int = 5) -> DataFrame:
@@ -141,7 +141,7 @@ def calibrated(train: DataFrame, test: DataFrame, key: str, label: str, base, sc
         to_p = calibrator(held)
         return to_p(score(model.transform(test)).select(key, "score")).select(key, F.lit(cls).alias("class"), "p")
 
-    members = in_threads(one, [(cls, i) for cls in wanted for i in range(k)])
+    members = in_threads(train.sparkSession, one, [(cls, i) for cls in wanted for i in range(k)])
     mean = stacked(members).groupBy(key, "class").agg(F.avg("p").alias("p"))
     if len(classes) == 2:
         other = min(classes)

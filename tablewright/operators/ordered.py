@@ -31,7 +31,7 @@ def long_values(df: DataFrame, cols, extra=()) -> DataFrame:
     sketch = nums.agg(*[F.percentile_approx(c, wanted, 4 * n).alias(c) for c in cols]).first()
     cuts = [sketch[c] or [] for c in cols]
     outs = [f"_bucket_{c}" for c in cols]
-    splits = [[-math.inf, *sorted(set(points)), math.inf] for points in cuts]
+    splits = [[-math.inf, *(sorted(set(points)) or [0.0]), math.inf] for points in cuts]
     nums = Bucketizer(splitsArray=splits, inputCols=list(cols), outputCols=outs, handleInvalid="keep").transform(nums)
     buckets = [
         F.struct(F.lit(c).alias("name"), F.col(c).alias("value"), F.col(o).cast("int").alias("bucket")) for c, o in zip(cols, outs)
