@@ -61,13 +61,24 @@ def _with_offsets(counts: DataFrame, sums) -> DataFrame:
 
 
 def positions(long: DataFrame, sums: dict[str, Column] | None = None, offset_filter=None) -> DataFrame:
-    """One row per distinct (name, value): each sum, ``<sum>_below`` over smaller values and ``<sum>_total``."""
+    """One row per distinct (name, value): each sum, ``<sum>_below`` over smaller values and ``<sum>_total``.
+
+    With ``offset_filter`` only values in the buckets it keeps are counted: the bucket sums come straight from the rows,
+    and rows of other buckets are dropped before anything is shuffled by value.
+    """
     sums = sums or {"n": F.lit(1)}
-    counts = long.groupBy("name", "bucket", "value").agg(*[F.sum(e).cast("long").alias(s) for s, e in sums.items()])
-    offsets = _with_offsets(counts, list(sums))
+
+    def add_up(df, *by):
+        return df.groupBy(*by).agg(*[F.sum(e).cast("long").alias(s) for s, e in sums.items()])
+
     if offset_filter is not None:
-        offsets = offsets.where(offset_filter)
-    joined = counts.join(F.broadcast(offsets), ["name", "bucket"])  # columns x buckets rows: bounded by the settings
+        # columns x buckets rows: bounded by the settings
+        offsets = F.broadcast(_with_offsets(add_up(long, "name", "bucket"), list(sums)).where(offset_filter))
+        counts = add_up(long.join(offsets.select("name", "bucket"), ["name", "bucket"], "left_semi"), "name", "bucket", "value")
+    else:
+        counts = add_up(long, "name", "bucket", "value")
+        offsets = F.broadcast(_with_offsets(counts, list(sums)))
+    joined = counts.join(offsets, ["name", "bucket"])
     low = W.partitionBy("name", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     return joined.select(
         "name", "value",
@@ -153,17 +164,19 @@ _KINDS = {
 }
 
 
-def running(df: DataFrame, keys, order: str, measures, width: int = 65536, exclusive=()) -> DataFrame:
+def running(df: DataFrame, keys, order: str, measures, width: int = 65536, exclusive=(), keep_block: bool = False) -> DataFrame:
     """Running aggregates per key in the order of a unique integer column, current row included.
 
     ``measures`` maps a name to (kind, column) with kind sum, max or min. Names in ``exclusive`` leave the current
     row out. A key is scanned in blocks of the order column; block totals are carried forward, so one hot key
-    is spread over as many tasks as it has blocks.
+    is spread over as many tasks as it has blocks. ``keep_block`` leaves the block column for a following scan with the
+    same keys, which then finds its rows in place.
     """
     keys = list(keys)
     part = [*keys, "_block"]
     # one exchange on (keys, block) serves the row windows; the carries are block sums
-    df = df.withColumn("_block", blocks_of(F.col(order), width))
+    if "_block" not in df.columns:
+        df = df.withColumn("_block", blocks_of(F.col(order), width))
     totals = df.groupBy(*part).agg(*[_KINDS[k][0](c).alias(f"_t_{m}") for m, (k, c) in measures.items()])
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     carry = totals.select(*part, *[_KINDS[k][0](f"_t_{m}").over(before).alias(f"_c_{m}") for m, (k, _) in measures.items()])
@@ -175,4 +188,4 @@ def running(df: DataFrame, keys, order: str, measures, width: int = 65536, exclu
     out = df.join(carry, part)
     for m, (k, _) in measures.items():
         out = out.withColumn(m, _KINDS[k][1](F.col(f"_l_{m}"), F.col(f"_c_{m}")))
-    return out.drop("_block", *[f"_l_{m}" for m in measures], *[f"_c_{m}" for m in measures])
+    return out.drop(*([] if keep_block else ["_block"]), *[f"_l_{m}" for m in measures], *[f"_c_{m}" for m in measures])

@@ -45,7 +45,7 @@ def early_stop(runs: DataFrame, key: str, order: str, loss: str, patience: int)
     c = F.col
     first = running(
         runs.select(key, order, loss), [key], order,
-        {"low": ("min", c(loss)), "epoch": ("sum", F.lit(1))}, exclusive=("low",),
+        {"low": ("min", c(loss)), "epoch": ("sum", F.lit(1))}, exclusive=("low",), keep_block=True,
     )
     better = first.withColumn("better", F.when(c("low").isNull() | (c(loss) < c("low")), c("epoch")))
     # the last improvement so far is the largest (epoch, step, loss) among the improving rows

@@ -32,7 +32,8 @@ def _cut(df: DataFrame, key: str, seed, strata, take) -> DataFrame:
     )
     mark = cum.where((F.col("before") < F.col("take")) & (F.col("take") <= F.col("before") + F.col("count")))
     mark = mark.select(*strata, "slice", (F.col("take") - F.col("before")).alias("need"))
-    near = h.join(mark, [*strata, "slice"])
+    # one row per stratum; without strata exactly one, else counted before it is broadcast
+    near = h.join(small_side(mark) if strata else F.broadcast(mark), [*strata, "slice"])
     rank = F.row_number().over(W.partitionBy(*strata, "slice").orderBy("pos"))
     return near.withColumn("rank", rank).where(F.col("rank") == F.col("need")).select(*strata, F.col("pos").alias("cut"))
 

@@ -9,7 +9,7 @@ from tablewright.operators import submission as sb
 from tablewright.plans.registry import query
 
 AUC_SQL = """(sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0::double)
-    / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0))"""
+    / nullif(count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0), 0)"""
 
 
 def auc_sql(source, col):

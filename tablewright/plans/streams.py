@@ -12,14 +12,14 @@ from tablewright.session import scratch
 from tablewright.sources import writers
 from tablewright.streaming import jobs
 
-HALF = F.lit("2024-01-16").cast("timestamp_ntz")
+HALF = "ts < timestamp_ntz '2024-01-16'"
 
 
 def in_two_portions(t, df, early, run, name):
-    """Writes the early part and runs the job, then the rest and runs it again; gives the output folder."""
+    """Writes the rows of the SQL condition ``early`` and runs the job, then the rest and runs it again; gives the output."""
     base = scratch(t.spark, name)
     source, out, check = f"{base}/in", f"{base}/out", f"{base}/check"
-    for i, part in enumerate([early, ~early]):
+    for i, part in enumerate([early, f"not ({early})"]):
         df.where(part).write.parquet(f"{source}/portion{i}")
         run(jobs.file_stream(t.spark, source, df.schema), out, check)
     return out
@@ -56,7 +56,7 @@ def stream_grade(t):
     total_medals, round(any_medal_percent, 9) AS any_medal_percent FROM report""", ("runs",))
 def stream_medal_report(t):
     df = banded_runs(t).select("competition", "has_submission", "medal")
-    out = in_two_portions(t, df, F.col("medal") == "none", jobs.medal_report, "medal_report")
+    out = in_two_portions(t, df, "medal = 'none'", jobs.medal_report, "medal_report")
     return rounded(jobs.latest_batch(t.spark, out), "any_medal_percent")
 
 
@@ -78,20 +78,20 @@ def stream_timeout(t):
     def run(stream, out, check):
         jobs.append_files(jobs.arrival_timeouts(stream, 10), out, check)
 
-    out = in_two_portions(t, rows, c("ts") < F.lit("2024-01-16").cast("timestamp"), run, "timeouts")
+    out = in_two_portions(t, rows, "ts < timestamp '2024-01-16'", run, "timeouts")
     return t.spark.read.parquet(out).select("run", "status", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @query("stream_metric_issues", ISSUE_SQL, ("runs",))
 def stream_metric_issues(t):
-    out = in_two_portions(t, t.runs, F.col("ts") < HALF, lambda s, o, k: jobs.metric_issues(s, ["run"], "step", o, k), "issues")
+    out = in_two_portions(t, t.runs, HALF, lambda s, o, k: jobs.metric_issues(s, ["run"], "step", o, k), "issues")
     return t.spark.read.parquet(out).select("run", "step", "issue")
 
 
 @query("stream_retries", RETRY_SQL, ("logs",))
 def stream_retries(t):
     df = errors(t).join(t.logs.select("id", "ts"), "id")
-    out = in_two_portions(t, df, F.col("ts") < HALF, lambda s, o, k: jobs.retries(s, ["session", "error_class"], "id", o, k), "retries")
+    out = in_two_portions(t, df, HALF, lambda s, o, k: jobs.retries(s, ["session", "error_class"], "id", o, k), "retries")
     return t.spark.read.parquet(out).select("id", "session", "error_class", "attempt", "fallback")
 
 
@@ -102,7 +102,7 @@ def stream_alerts(t):
         c = F.col
         jobs.append_files(jobs.alerts(stream, c("util") / 100, c("val_score"), c("train_score")).select("run", "step", "alert"), out, check)
 
-    return t.spark.read.parquet(in_two_portions(t, t.runs, F.col("ts") < HALF, run, "alerts"))
+    return t.spark.read.parquet(in_two_portions(t, t.runs, HALF, run, "alerts"))
 
 
 @query("stream_trace", "SELECT 'action' AS type, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, id, session FROM logs", ("logs",))
@@ -111,7 +111,7 @@ def stream_trace(t):
         entries = writers.trace_entries(stream, "action", F.col("ts"), id=F.col("id"), session=F.col("session"))
         jobs.append_files(entries, out, check, "json")
 
-    out = in_two_portions(t, t.logs, F.col("ts") < HALF, run, "trace")
+    out = in_two_portions(t, t.logs, HALF, run, "trace")
     body = F.from_json("payload", "id long, session long")
     got = t.spark.read.schema("type string, timestamp string, payload string").json(out)
     return got.select("type", "timestamp", body.alias("b")).select("type", "timestamp", "b.*")
@@ -119,11 +119,11 @@ def stream_trace(t):
 
 @query("stream_profile", """SELECT count(*) AS rows, count(*) - count(price) AS null_price, count(*) - count(priority) AS null_priority FROM tab""", ("tab",))
 def stream_profile(t):
-    out = in_two_portions(t, t.tab, F.col("is_train"), lambda s, o, k: jobs.profile(s, ["price", "priority"], o, k), "profile")
+    out = in_two_portions(t, t.tab, "is_train", lambda s, o, k: jobs.profile(s, ["price", "priority"], o, k), "profile")
     return jobs.latest_batch(t.spark, out)
 
 
 @query("stream_class_counts", "SELECT priority AS value, count(*) AS n FROM tab WHERE priority IS NOT NULL GROUP BY 1", ("tab",))
 def stream_class_counts(t):
-    out = in_two_portions(t, t.tab, F.col("is_train"), lambda s, o, k: jobs.class_counts(s, "priority", o, k), "classes")
+    out = in_two_portions(t, t.tab, "is_train", lambda s, o, k: jobs.class_counts(s, "priority", o, k), "classes")
     return jobs.latest_batch(t.spark, out)
