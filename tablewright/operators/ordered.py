@@ -63,21 +63,21 @@ def _with_offsets(counts: DataFrame, sums) -> DataFrame:
 def positions(long: DataFrame, sums: dict[str, Column] | None = None, offset_filter=None) -> DataFrame:
     """One row per distinct (name, value): each sum, ``<sum>_below`` over smaller values and ``<sum>_total``.
 
-    With ``offset_filter`` only values in the buckets it keeps are counted: the bucket sums come straight from the rows,
-    and rows of other buckets are dropped before anything is shuffled by value.
+    The bucket sums come straight from the rows, by a second scan that shuffles a few rows per bucket only. With
+    ``offset_filter`` the rows of other buckets are dropped before anything is shuffled by value.
     """
     sums = sums or {"n": F.lit(1)}
 
     def add_up(df, *by):
         return df.groupBy(*by).agg(*[F.sum(e).cast("long").alias(s) for s, e in sums.items()])
 
+    offsets = _with_offsets(add_up(long, "name", "bucket"), list(sums))
     if offset_filter is not None:
-        # columns x buckets rows: bounded by the settings
-        offsets = F.broadcast(_with_offsets(add_up(long, "name", "bucket"), list(sums)).where(offset_filter))
-        counts = add_up(long.join(offsets.select("name", "bucket"), ["name", "bucket"], "left_semi"), "name", "bucket", "value")
-    else:
-        counts = add_up(long, "name", "bucket", "value")
-        offsets = F.broadcast(_with_offsets(counts, list(sums)))
+        offsets = offsets.where(offset_filter)
+    offsets = F.broadcast(offsets)  # columns x buckets rows: bounded by the settings
+    if offset_filter is not None:
+        long = long.join(offsets.select("name", "bucket"), ["name", "bucket"], "left_semi")
+    counts = add_up(long, "name", "bucket", "value")
     joined = counts.join(offsets, ["name", "bucket"])
     low = W.partitionBy("name", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     return joined.select(

@@ -65,7 +65,7 @@ def isotonic_calibrated(t):
 
 
 @query("soft_vote", """SELECT id, 1 AS class, round((p + least(x / 40000.0::double, 1)) / 2, 12) AS p FROM pred
-    UNION ALL SELECT id, 0, round((1 - p + 1 - least(x / 40000.0::double, 1)) / 2, 9) FROM pred""", ("pred",))
+    UNION ALL SELECT id, 0, round((1 - p + 1 - least(x / 40000.0::double, 1)) / 2, 12) FROM pred""", ("pred",))
 def soft_vote(t):
     c = F.col
 
