@@ -175,7 +175,7 @@ def arrival_timeouts(stream: DataFrame, hours: float = fixed.ARRIVAL_LIMIT_HOURS
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         def row(status, ms):
-            return pd.DataFrame({"run": [key[0]], "status": [status], "at": [pd.Timestamp(ms, unit="ms")]})
+            return pd.DataFrame({"run": [key[0]], "status": [status], "ms": [ms]})
 
         if state.hasTimedOut:
             start = state.get[0]
@@ -184,9 +184,8 @@ def arrival_timeouts(stream: DataFrame, hours: float = fixed.ARRIVAL_LIMIT_HOURS
             return
         start, first, done = state.get if state.exists else (None, None, False)
         for pdf in frames:
-            ms = pdf["ts"].astype("datetime64[ms]").astype("int64")
             for kind in ("start", "submission"):
-                part = ms[pdf["kind"] == kind]
+                part = pdf.loc[pdf["kind"] == kind, "ms"]
                 if len(part) and kind == "start":
                     start = int(part.min()) if start is None else min(start, int(part.min()))
                 elif len(part):
@@ -198,9 +197,9 @@ def arrival_timeouts(stream: DataFrame, hours: float = fixed.ARRIVAL_LIMIT_HOURS
         if not done and start is not None:
             state.setTimeoutTimestamp(max(start + limit, state.getCurrentWatermarkMs() + 1))
 
-    return (
-        stream.withWatermark("ts", delay).groupBy("run").applyInPandasWithState(
-            update, "run long, status string, at timestamp", "start long, first long, done boolean", "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+    timed = stream.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", delay)  # epoch time, whatever the session zone
+    found = timed.groupBy("run").applyInPandasWithState(
+        update, "run long, status string, ms long", "start long, first long, done boolean", "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
+    return found.select("run", "status", F.timestamp_millis("ms").alias("at"))
