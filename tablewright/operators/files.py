@@ -88,13 +88,16 @@ def missing_inputs(files: DataFrame, folders) -> DataFrame:
 
 
 def file_audit(refs: DataFrame, listing: DataFrame, keep: int = 10) -> DataFrame:
-    """Do the referenced files exist? Totals, and the ``keep`` smallest missing paths as one joined text.
+    """Do the named files exist? Totals over all mentions, and the ``keep`` smallest missing names as one joined text.
 
-    The report keeps ten names, so the missing list is a distributed top-k.
+    Mentions are counted per name before the join, so a name that very many rows mention is one row there. The report
+    keeps ten names: a distributed top-k.
     """
-    found = refs.join(listing.select("path", F.lit(True).alias("exists")).distinct(), "path", "left")
+    named = refs.groupBy("path").agg(F.count("*").alias("n"))
+    found = named.join(listing.select("path", F.lit(True).alias("exists")).distinct(), "path", "left")
     totals = found.agg(
-        F.count("*").alias("total_files"), F.count("exists").alias("verified_files"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_files"),
+        F.coalesce(F.sum(F.when(F.col("exists"), F.col("n"))), F.lit(0)).alias("verified_files"),
     )
     missing = found.where(F.col("exists").isNull()).select("path").orderBy("path").limit(keep)
     names = missing.agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("m"))

@@ -144,16 +144,24 @@ def dataset_profile(df: DataFrame, target: str, modality: str = "tabular", digit
     """
     numbers = numeric_columns(df)
     pairs = list(combinations(numbers, 2))
+    one_pass = len(pairs) <= PAIR_CHUNK  # beyond it the pairs take passes of their own
     row = df.agg(
         F.count("*").alias("num_samples"), F.sum(row_bytes(df)).alias("bytes"),
         *[F.avg(_missing(df, c).cast("double")).alias(f"m_{c}") for c in df.columns],
-        *[correlation(_clean(df, a), _clean(df, b)).alias(f"r_{a}_{b}") for a, b in pairs],
+        *[correlation(_clean(df, a), _clean(df, b)).alias(f"r_{a}_{b}") for a, b in pairs if one_pass],
     )
 
     def listing(items, keep):
         texts = [F.when(keep(F.col(col)), F.concat(F.lit(f"{name}="), F.format_string(f"%.{digits}f", F.col(col)))) for name, col in items]
         return F.array_join(F.filter(F.array(*texts), lambda x: x.isNotNull()), ";") if texts else F.lit("")
 
+    if one_pass:
+        strong = listing([(f"{a}_{b}", f"r_{a}_{b}") for a, b in pairs], lambda v: F.abs(v) > fixed.STRONG_CORRELATION)
+    else:
+        found = correlations(df, numbers).where(F.abs("r") > fixed.STRONG_CORRELATION)
+        item = F.format_string(f"%s_%s=%.{digits}f", "first", "second", "r").alias("text")
+        ordered = F.array_sort(F.collect_list(F.struct("position", item)))  # at most one entry per pair of columns
+        strong = found.agg(F.array_join(F.transform(ordered, lambda e: e["text"]), ";")).scalar()
     classes = class_imbalance(class_distribution(df, target)).select(F.struct("num_classes", "imbalance")).scalar()
     n, imb = F.col("classes.num_classes"), F.col("classes.imbalance")
     base = row.withColumn("classes", classes)
@@ -161,7 +169,7 @@ def dataset_profile(df: DataFrame, target: str, modality: str = "tabular", digit
         "num_samples", F.lit(len(df.columns)).alias("num_features"), "bytes",
         F.lit(";".join(f"{c}={k}" for c, k in df.dtypes)).alias("data_types"),
         listing([(c, f"m_{c}") for c in df.columns], lambda v: v > 0).alias("missing"),
-        listing([(f"{a}_{b}", f"r_{a}_{b}") for a, b in pairs], lambda v: F.abs(v) > fixed.STRONG_CORRELATION).alias("correlations"),
+        strong.alias("correlations"),
         n.alias("num_classes"), F.round(imb, digits).alias("imbalance"),
         target_type(n, modality).alias("target_type"),
         loss_choice(target_type(n, modality), imb).alias("loss"),

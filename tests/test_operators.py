@@ -85,6 +85,13 @@ def test_constant_and_empty_columns_have_no_correlation(spark):
     assert columns.drop_all_null(df).columns == ["a", "b", "d"]
 
 
+def test_profile_of_many_columns_takes_the_pairs_apart(spark, monkeypatch):
+    df = spark.range(50).select(*[(F.col("id") % k).cast("double").alias(f"c{k}") for k in (2, 3, 4, 8)], F.lit(1).alias("target"))
+    whole = profiling.dataset_profile(df, "target").first()
+    monkeypatch.setattr(profiling, "PAIR_CHUNK", 2)
+    assert profiling.dataset_profile(df, "target").first() == whole and "c4_c8=" in whole["correlations"]
+
+
 def test_null_share_counts_nan(spark):
     df = spark.createDataFrame([(float("nan"), "x"), (1.0, None), (2.0, "y"), (None, "z")], "a double, b string")
     assert {r["column"]: r["share"] for r in profiling.null_share(df).collect()} == {"a": 0.5, "b": 0.25}
