@@ -12,8 +12,11 @@ NUMERIC = ["chars", "words", "lines", "word_length"]
 
 
 def table(t):
-    """Document measures; the label says whether the document is English."""
-    return t.docstats.withColumn("label", (F.col("lang") == "en").cast("int"))
+    """Document measures; the label says whether the document is English.
+
+    Written once: the fits scan the measures many times, and the texts they come from only here.
+    """
+    return checkpointed(t.docstats.withColumn("label", (F.col("lang") == "en").cast("int")))
 
 
 def table_parts(t):
@@ -46,7 +49,7 @@ def gbt_tabular(t):
 
 @query("forest_regressor")
 def forest_regressor(t):
-    df = t.docstats.withColumn("label", F.col("words"))
+    df = table(t).withColumn("label", F.col("words"))
     prep = md.table_features(["chars", "lines"], ["lang"]).fit(df.where("is_train"))
     model = md.forest_regressor().fit(prep.transform(df.where("is_train")))
     return md.batch_score(model, prep.transform(df.where("not is_train")), "id", "regression")
@@ -99,6 +102,7 @@ def batch_score(t):
 @query("select_features")
 def select_features(t):
     base = ["chars", "words", "lines", "word_length", "source_code"]
-    df = ft.LabelEncoder("source").fit(t.docstats).transform(table(t))
+    measures = table(t)
+    df = ft.LabelEncoder("source").fit(measures).transform(measures)
     wide = ft.poly2(df, base)
     return md.select_features(wide, [c for c in wide.columns if c.startswith("poly_")], "label")

@@ -6,6 +6,7 @@ from tablewright.functions import strings
 from tablewright.operators import features as ft
 from tablewright.plans.registry import query
 from tablewright.plans.statistics import rounded
+from tablewright.session import checkpointed
 
 
 def char_sql(col, upper=True, n=10):
@@ -38,7 +39,8 @@ PAIRS = [("chars", "words"), ("chars", "lines"), ("words", "lines")]
 
 
 def fitted_interactions(t):
-    return ft.Interactions(INTERACT).fit(t.docstats.where("is_train")).transform(t.docstats)
+    measures = checkpointed(t.docstats.select("id", *INTERACT, "is_train"))  # the fit scans them several times
+    return ft.Interactions(INTERACT).fit(measures.where("is_train")).transform(measures)
 
 
 @query("interaction_sum", "SELECT id, " + ", ".join(f"{a} + {b} AS i_{a}_{b}_sum" for a, b in PAIRS) + " FROM docstats", ("docstats",))
