@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tablewright import fixed
 from tablewright.functions.numbers import bad_probability_sum, row_sum

@@ -6,7 +6,6 @@ from tablewright import fixed
 from tablewright.functions.numbers import bad_probability_sum
 from tablewright.operators import columns as cl
 from tablewright.plans.registry import query
-from tablewright.plans.roles import stacked
 
 
 @query("project_numeric", "SELECT id, price, cust, target FROM tab", ("tab",))

@@ -6,7 +6,6 @@ from tablewright import fixed
 from tablewright.functions import logtext
 from tablewright.operators import ordered, runs, sampling
 from tablewright.operators import statistics as st
-from tablewright.plans.lookups import long_predictions
 from tablewright.plans.registry import query
 
 MD5_RANK = "row_number() OVER ({part} ORDER BY md5(concat(id, ':{seed}')), id)"

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import lookups as lk
 from tablewright.plans.grading import AUC_SQL
-from tablewright.plans.lookups import EVENT_THRESHOLDS, MEDAL_SQL, SEED_SQL
+from tablewright.plans.lookups import MEDAL_SQL, SEED_SQL
 from tablewright.plans.ordering import ISSUE_SQL, RETRY_SQL, errors
 from tablewright.plans.registry import query
 from tablewright.plans.statistics import REPORT_SQL, banded_runs, rounded
