@@ -8,7 +8,7 @@ from importlib import import_module
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["token_counts"]
+MODULES = ["secret_index", "url_rules", "wavelet", "transducer", "token_counts"]
 
 
 def query(name: str, sql: str | None = None):
