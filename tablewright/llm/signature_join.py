@@ -3,7 +3,7 @@
 1. Each text becomes the set of its word shingles (64-bit hashes) and a signature of COORDINATES minima. Texts with the same
    set are one class from here on.
 2. Classes are posted under their (coordinate, value) pairs. Two sets with a similarity of 0.8 agree in at least MATCHES
-   coordinates (but for a chance below 1e-7 a pair). So values that one class alone has are skipped, and so are classes with fewer
+   coordinates (but for a chance below 1e-6 a pair). So values that one class alone has are skipped, and so are classes with fewer
    than MATCHES values left. Of the rest each class keeps its rarest values, c - MATCHES + 1 of c: two classes that agree
    in MATCHES share one of those.
 3. In each posting list the agreeing coordinates are counted; long lists are cut into cells. What agrees enough is
@@ -28,7 +28,7 @@ from tablewright.llm.components import Forest, components
 from tablewright.llm.registry import query
 
 COORDINATES = 48
-MATCHES = 24  # P(binomial(48, 0.8) < 24) is 4e-7
+MATCHES = 24  # P(binomial(48, 0.8) < 24) is 8e-7
 LIST_BLOCK = 400  # classes of a posting list in one block
 FAMILY_BLOCK = 500  # classes of a family in one block, or as many as hold
 FAMILY_SHINGLES = 1_000_000  # this many shingles
