@@ -20,7 +20,7 @@ OTHER, LETTER, NUMBER, SPACE, SPECIAL = range(5)
 WHITE_SPACE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 FACTOR = 0x9E3779B97F4A7C15
 #: Characters that are split together; a longer text is a batch of its own.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 
 
 @lru_cache(1)

@@ -27,8 +27,8 @@ from tablewright.llm.pretokens import chunks, gather, split_batch
 from tablewright.llm.registry import query
 
 #: What a Python worker keeps between batches: ids of pre-tokens, and pairs found stable or not. More is worked out again.
-KEPT_WORDS = 400_000
-KEPT_PAIRS = 1_000_000
+KEPT_WORDS = 150_000
+KEPT_PAIRS = 300_000
 
 
 class Transducer:
@@ -46,7 +46,7 @@ class Transducer:
             self.ends.add_word(b.decode("latin-1"), (len(b), i))
         self.ends.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, bytes] = {}
 
     def merged_alone(self, symbols: list[int]) -> list[int]:
         """All merges of a short list of symbols, lowest rank and leftmost first."""
@@ -145,8 +145,8 @@ class Transducer:
             end -= size
         return out[::-1]
 
-    def word(self, piece: str) -> np.ndarray:
-        """Ids of a pre-token or of a special string."""
+    def word(self, piece: str) -> bytes:
+        """Ids of a pre-token or of a special string, four bytes each."""
         ids = self.words.get(piece)
         if ids is None:
             if len(self.words) > KEPT_WORDS:
@@ -154,7 +154,7 @@ class Transducer:
             special = self.vocab.special.get(piece)
             raw = piece.encode("utf-8", "surrogatepass")
             found = [special] if special is not None else self.short(raw) if len(raw) <= self.lookahead else list(self.stream([raw]))
-            ids = self.words[piece] = np.array(found, np.int32)
+            ids = self.words[piece] = np.array(found, np.int32).tobytes()
         return ids
 
     def short(self, raw: bytes) -> list[int]:
@@ -185,8 +185,8 @@ class Transducer:
         for a, b in chunks(texts):
             batch = split_batch(texts[a:b], self.vocab.special)
             pieces = [self.word(w) for w in batch.words]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int64)
-            out, size = gather(np.concatenate([*ids[:1], *pieces]), offsets, batch.codes)
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in pieces])]).astype(np.int64)
+            out, size = gather(np.frombuffer(b"".join(pieces), np.int32), offsets, batch.codes)
             run = np.concatenate([[0], np.cumsum(size)])
             ids.append(out)
             sizes.append(np.diff(run[batch.bounds]))
@@ -223,7 +223,7 @@ def encode(df: DataFrame, path: str | None = None, column: str = "text") -> Data
         t = transducer(path)
         for b in batches:
             texts = b.column("text").to_pylist()
-            for lo, hi in chunks(texts, 4_000_000):
+            for lo, hi in chunks(texts, 2_000_000):
                 ids, at = t.encode(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"]

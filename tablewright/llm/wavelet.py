@@ -29,7 +29,7 @@ HEAD = struct.Struct("<4sBQ")  # magic, planes, ids
 PLANE = struct.Struct("<QQ")  # zeros, compressed bytes
 #: A shard is closed once it holds so many ids; a longer document is a shard of its own.
 SHARD_IDS = 2_000_000
-KEPT = 300_000
+KEPT = 200_000
 
 
 class WaveletMatrix:
