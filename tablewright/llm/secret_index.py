@@ -224,6 +224,20 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
 
 
+def masked(text: Column, secrets: Column) -> Column:
+    """The text with each secret replaced by its kind in brackets; what overlaps an earlier one goes with it."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def cut(done, x):
+        piece = F.substring(text, done["at"] + 1, x["start"] - done["at"])
+        later = F.greatest(done["at"], x["stop"]).alias("at")
+        grown = F.when(x["start"] >= done["at"], F.concat(done["out"], F.array(F.concat(piece, F.lit("["), x["kind"], F.lit("]"))))).otherwise(done["out"])
+        return F.struct(later, grown.alias("out"))
+
+    pieces = F.aggregate(secrets, start, cut, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, d["at"] + 1, F.length(text))))
+    return F.when(F.size(secrets) > 0, pieces).otherwise(text)
+
+
 def report(found: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of the rows that ``find`` returns."""
     of = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
