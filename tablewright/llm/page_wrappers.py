@@ -178,13 +178,16 @@ def expression(node: Node) -> str:
     return f"<{node.sign}>({body}){node.many if node.many != '1' else ''}"
 
 
-def judged(wrapper: Node, pages: int) -> dict[str, bool]:
-    """Whether the texts at each place of a wrapper belong to the article.
+CORE_TEXT, OTHER_TEXT = 1, 2
 
-    With an article or main element: what is inside, but for asides. Without: places outside asides where less than half of the text is links and
-    that are no constant of several pages.
+
+def judged(wrapper: Node, pages: int) -> dict[str, int]:
+    """What the texts at each place of a wrapper are: CORE_TEXT inside an article or main element, OTHER_TEXT, or 0 for asides.
+
+    Other text is what stands outside asides, is links in less than half of its length and is no constant of several pages; it
+    is the article of pages without an article or main element.
     """
-    has_core, out = _has_core(wrapper), {}
+    out: dict[str, int] = {}
 
     def visit(node: Node, path: str, aside: bool, core: bool) -> None:
         core = core or node.tag in CORE and not aside
@@ -192,9 +195,11 @@ def judged(wrapper: Node, pages: int) -> dict[str, bool]:
         for k in node.kids:
             if k.sign != "#":
                 visit(k, f"{path}>{k.sign}", aside, core)
-                continue
-            own = core or not has_core and k.linked * 2 <= k.chars and not (pages > 2 and k.seen == pages and k.text is not None)
-            out[path] = out.get(path, False) or own and not aside
+            elif not aside:
+                other = k.linked * 2 <= k.chars and not (pages > 2 and k.seen == pages and k.text is not None)
+                out[path] = out.get(path, 0) or (CORE_TEXT if core else OTHER_TEXT if other else 0)
+            else:
+                out.setdefault(path, 0)
 
     visit(wrapper, wrapper.sign, False, False)
     return out
@@ -204,10 +209,11 @@ def _has_core(node: Node) -> bool:
     return any(k.sign != "#" and not k.aside and (k.tag in CORE or _has_core(k)) for k in node.kids)
 
 
-def main_text(html: str, places: dict[str, bool]) -> str:
+def main_text(html: str, places: dict[str, int]) -> str:
     """Texts of the places that belong to the article, blocks joined by one blank."""
     page = parse(html)
-    own: dict[str, bool] | None = None
+    wanted = CORE_TEXT if _has_core(page) else OTHER_TEXT
+    own: dict[str, int] | None = None
     blocks: list[str] = []
     line: list[str] = []
 
@@ -225,8 +231,8 @@ def main_text(html: str, places: dict[str, bool]) -> str:
             if keep is None:
                 if own is None:
                     own = judged(folded_page(parse(html)), 1)
-                keep = own.get(path, False)
-            if keep:
+                keep = own.get(path, 0)
+            if keep == wanted:
                 line.append(node.text)
             continue
         if node.tag not in INLINE:
@@ -251,12 +257,12 @@ def wrappers(pages: DataFrame) -> DataFrame:
     sample = pages.select("page_id", "url", whole_text("html").alias("html")).join(chosen, same).select("host", "html")
     sample = sample.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("html"), F.length("html")))).where(F.col("n") <= PAGES)
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         wrapper = infer(rows.sort_values("n")["html"].tolist())
         places = judged(wrapper, len(rows))
         return pd.DataFrame({"host": [key[0]], "places": [list(places.items())], "wrapper": [expression(wrapper)]})
 
-    out = sample.groupBy("host").applyInPandas(one, "host string, places array<struct<path:string,keep:boolean>>, wrapper string")
+    out = sample.groupBy("host").applyInPandas(one, "host string, places array<struct<path:string,keep:int>>, wrapper string")
     return written(out, "wrappers")
 
 
@@ -274,7 +280,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", whole_text("html").alias("html"), host.alias("host")).join(known, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places_of: dict[str, dict[str, bool]] = {}
+        places_of: dict[str, dict[str, int]] = {}
         for b in batches:
             texts = []
             hosts, places = b.column("host").to_pylist(), b.column("places")
