@@ -15,11 +15,6 @@ def to_number(col) -> Column:
     return F.col(col).try_cast("double") if isinstance(col, str) else col.try_cast("double")
 
 
-def no_nan(col) -> Column:
-    """NaN counts as missing."""
-    return F.nanvl(col, F.lit(None).cast("double"))
-
-
 def row_sum(cols) -> Column:
     """Sum over columns of one row; nulls add nothing."""
     return reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0.0)) for c in cols])
@@ -64,4 +59,5 @@ def weighted_bce(logit: Column, y: Column, pos_weight: Column) -> Column:
 
 
 def log_loss_term(p: Column, eps: float = 1e-15) -> Column:
-    return -F.ln(F.least(F.greatest(p, F.lit(eps)), F.lit(1.0 - eps)))
+    """-ln of the clipped probability; null for null and NaN, which clipping would turn into a number."""
+    return F.when(p.isNotNull() & ~F.isnan(p.cast("double")), -F.ln(F.least(F.greatest(p, F.lit(eps)), F.lit(1.0 - eps))))

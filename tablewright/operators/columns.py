@@ -13,10 +13,6 @@ def project_numeric(df: DataFrame) -> DataFrame:
     return df.select(numeric_columns(df))
 
 
-def project_strings(df: DataFrame) -> DataFrame:
-    return df.select(string_columns(df))
-
-
 def project_features(df: DataFrame, drop) -> DataFrame:
     """Everything but the named columns; names the table does not have are ignored."""
     return df.drop(*drop)

@@ -18,7 +18,7 @@ from tablewright.operators import ordered
 from tablewright.operators import profiling as pf
 from tablewright.operators import statistics as st
 from tablewright.operators.roles import numeric_columns, string_columns
-from tablewright.session import small_side
+from tablewright.session import written
 
 
 class Fitted(Model):
@@ -84,7 +84,7 @@ class LabelEncoder(Estimator):
         self.col, self.output = col, output or f"{col}_code"
 
     def _fit(self, df):
-        codes = small_side(ordered.dense_codes(df, self.col)).select(
+        codes = written(ordered.dense_codes(df, self.col)).select(
             F.col("value").alias(self.col), F.col("code").alias(self.output)
         )
 
@@ -121,17 +121,20 @@ class RobustScaler(Estimator):
 
 
 class Interactions(Estimator):
-    """Sums of correlated column pairs and their three-way threshold against the training quantiles."""
+    """Sums of correlated column pairs and their three-way threshold against the training quantiles.
 
-    def __init__(self, cols):
+    All pairs with a strong correlation; ``pairs`` keeps the first so many in column order.
+    """
+
+    def __init__(self, cols, pairs: int | None = None):
         super().__init__()
-        self.cols = cols
+        self.cols, self.limit = cols, pairs
 
     def _fit(self, df):
         pairs = []
         if len(self.cols) > 2:
             found = pf.correlations(df, self.cols).where(F.abs("r") > fixed.INTERACTION_CORRELATION)
-            pairs = [(r["first"], r["second"]) for r in found.orderBy("position").limit(fixed.INTERACTION_PAIRS).collect()]
+            pairs = [(r["first"], r["second"]) for r in found.orderBy("position").collect()][: self.limit]
         names = {p: f"i_{p[0]}_{p[1]}" for p in pairs}
         limits = {}
         if pairs:
@@ -150,8 +153,8 @@ class Interactions(Estimator):
 
 
 def char_columns(col: str, length: int, upper: bool = True) -> dict:
-    """Position codes (at most ten) and the number of distinct characters of one string column."""
-    out = {f"{col}_char_{i}": strings.char_position(F.col(col), i, upper) for i in range(min(length, fixed.CHAR_POSITIONS))}
+    """Codes of the first ``length`` positions and the number of distinct characters of one string column."""
+    out = {f"{col}_char_{i}": strings.char_position(F.col(col), i, upper) for i in range(length)}
     out = {k: F.coalesce(v, F.lit(-1)) for k, v in out.items()}
     out[f"{col}_unique_chars"] = strings.unique_chars(F.col(col))
     return out
@@ -160,12 +163,12 @@ def char_columns(col: str, length: int, upper: bool = True) -> dict:
 class CharFeatures(Estimator):
     """Character features for string columns of nearly fixed length; the source column is dropped.
 
-    Lengths are judged over the whole column.
+    Lengths are judged over the whole column. All positions up to the most common length; ``positions`` keeps the first so many.
     """
 
-    def __init__(self, skip=("id", "target")):
+    def __init__(self, skip=("id", "target"), positions: int | None = None):
         super().__init__()
-        self.skip = skip
+        self.skip, self.positions = skip, positions
 
     def _fit(self, df):
         cols = [c for c in string_columns(df) if c not in self.skip]
@@ -178,7 +181,7 @@ class CharFeatures(Estimator):
         def apply(x):
             for c in cols:
                 if c in lengths:
-                    x = x.withColumns(char_columns(c, lengths[c])).drop(c)
+                    x = x.withColumns(char_columns(c, min(lengths[c], self.positions or lengths[c]))).drop(c)
             return x
 
         return Fitted(apply, lengths)
@@ -194,7 +197,7 @@ class TargetEncoder(Estimator):
     def _fit(self, df):
         out = f"{self.col}_mean"
         overall = df.agg(F.avg(self.target)).first()[0]
-        means = small_side(df.where(F.col(self.col).isNotNull()).groupBy(self.col).agg(F.avg(self.target).alias(out)))
+        means = written(df.where(F.col(self.col).isNotNull()).groupBy(self.col).agg(F.avg(self.target).alias(out)))
         return Fitted(lambda x: x.join(means, self.col, "left").withColumn(out, F.coalesce(out, F.lit(overall))), means)
 
 

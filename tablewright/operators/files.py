@@ -80,10 +80,10 @@ def image_dirs(files: DataFrame) -> DataFrame:
     )
 
 
-def missing_inputs(files: DataFrame, folders) -> DataFrame:
-    """(dataset, folder) for every expected folder that no file lies in."""
+def missing_inputs(files: DataFrame, expected: DataFrame, folders) -> DataFrame:
+    """(dataset, folder) for every expected folder that no file lies in; ``expected`` names the datasets, also those without any file."""
     have = files.select("dataset", F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")).distinct()
-    want = files.select("dataset").distinct().select("dataset", F.explode(F.array(*[F.lit(f) for f in folders])).alias("folder"))
+    want = expected.select("dataset").distinct().select("dataset", F.explode(F.array(*[F.lit(f) for f in folders])).alias("folder"))
     return want.join(have, ["dataset", "folder"], "left_anti")
 
 

@@ -7,9 +7,9 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright import fixed
+from tablewright.functions.arrays import or_silence
 from tablewright.operators.ordered import dense_codes
-from tablewright.session import small_side
+from tablewright.session import written
 
 
 def semi_join_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -77,15 +77,11 @@ def threshold_table(spark, values: dict) -> DataFrame:
     return spark.createDataFrame(rows, "competition string, bronze double, silver double, gold double, lower_is_better boolean")
 
 
-def default_thresholds(spark) -> DataFrame:
-    return threshold_table(spark, fixed.MEDAL_THRESHOLDS)
-
-
 def hconcat_by_key(blocks, key: str) -> DataFrame:
-    """Feature blocks side by side, joined on the key."""
+    """Feature blocks side by side; a key that a block lacks has nulls there."""
     out = blocks[0]
     for b in blocks[1:]:
-        out = out.join(b, key)
+        out = out.join(b, key, "full")
     return out
 
 
@@ -103,13 +99,14 @@ def stack_predictions(preds: DataFrame, models) -> DataFrame:
     return preds.groupBy("id").pivot("model", list(models)).agg(F.first("score"))
 
 
-def fuse_features(signals: DataFrame, table: DataFrame, key: str, numbers) -> DataFrame:
-    """(key, features, label): the signal array followed by the numeric columns of the same key."""
+def fuse_features(signals: DataFrame, table: DataFrame, key: str, numbers, length: int) -> DataFrame:
+    """(key, features, label) for every row of ``table``: its signal, ``length`` zeros if it has none, then its numeric columns."""
     extra = F.array(*[F.col(c).cast("double") for c in numbers])
-    return signals.join(table, key).select(key, F.concat("wave", extra).alias("features"), "label")
+    wave = or_silence(F.col("wave"), length)
+    return table.join(signals, key, "left").select(key, F.concat(wave, extra).alias("features"), "label")
 
 
 def encode_unseen(train: DataFrame, df: DataFrame, col: str) -> DataFrame:
     """``<col>_code``: position of the value among the sorted training values, -1 when it is new or null."""
-    codes = small_side(dense_codes(train, col)).select(F.col("value").alias(col), F.col("code").alias(f"{col}_code"))
+    codes = written(dense_codes(train, col)).select(F.col("value").alias(col), F.col("code").alias(f"{col}_code"))
     return df.join(codes, col, "left").withColumn(f"{col}_code", F.coalesce(f"{col}_code", F.lit(-1)))

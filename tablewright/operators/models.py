@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tablewright import fixed
+from tablewright.functions.arrays import let
 from tablewright.operators import features as ft
 from tablewright.operators import metrics
 from tablewright.operators.sampling import kfold_stratified
@@ -83,9 +84,14 @@ def batch_score(model, df: DataFrame, key: str, task: str = "binary") -> DataFra
 
 
 def class_probabilities(model, df: DataFrame, key: str) -> DataFrame:
-    """(key, class, p) in long form."""
-    probs = model.transform(df).select(key, F.posexplode(vector_to_array("probability")).alias("class", "p"))
-    return probs
+    """(key, class, p) in long form. One-against-rest members give margins: their probabilities are scaled to sum 1."""
+    out = model.transform(df)
+    if "probability" in out.columns:
+        p = vector_to_array("probability")
+    else:
+        each = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+        p = let(lambda s: F.transform(s["e"], lambda v: v / F.aggregate(s["e"], F.lit(0.0), lambda a, b: a + b)), e=each)
+    return out.select(key, F.posexplode(p).alias("class", "p"))
 
 
 def soft_vote(parts) -> DataFrame:

@@ -23,13 +23,27 @@ def bucket_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+GROUPS = 64
+
+
+def cut_points(nums: DataFrame, cols, n: int) -> list[list[float]]:
+    """About n-quantiles of each double column: sketches per group of tasks, then of the groups' quantiles.
+
+    At most GROUPS * n values per column meet in one task, however many tasks the scan has; cut points only place values.
+    """
+    wanted = [i / n for i in range(1, n)]
+    grouped = nums.select(*cols, F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("_g"))
+    first = grouped.groupBy("_g").agg(*[F.percentile_approx(c, wanted, 4 * n).alias(c) for c in cols])
+    long = first.select(F.explode(F.arrays_zip(*[F.col(c).alias(c) for c in cols])).alias("_x")).select("_x.*")
+    row = long.agg(*[F.percentile_approx(c, wanted, 4 * n).alias(c) for c in cols]).first()
+    return [row[c] or [] for c in cols]
+
+
 def long_values(df: DataFrame, cols, extra=()) -> DataFrame:
     """(extra..., name, value, bucket) with one row per non-missing value of each numeric column."""
     n = bucket_count(df)
     nums = df.select(*extra, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
-    wanted = [i / n for i in range(1, n)]
-    sketch = nums.agg(*[F.percentile_approx(c, wanted, 4 * n).alias(c) for c in cols]).first()
-    cuts = [sketch[c] or [] for c in cols]
+    cuts = cut_points(nums, cols, n)
     outs = [f"_bucket_{c}" for c in cols]
     splits = [[-math.inf, *(sorted(set(points)) or [0.0]), math.inf] for points in cuts]
     nums = Bucketizer(splitsArray=splits, inputCols=list(cols), outputCols=outs, handleInvalid="keep").transform(nums)
@@ -74,7 +88,7 @@ def positions(long: DataFrame, sums: dict[str, Column] | None = None, offset_fil
     offsets = _with_offsets(add_up(long, "name", "bucket"), list(sums))
     if offset_filter is not None:
         offsets = offsets.where(offset_filter)
-    offsets = F.broadcast(offsets)  # columns x buckets rows: bounded by the settings
+    # columns x buckets rows; of ``grouped_values`` groups x buckets, so Spark decides by the measured size
     if offset_filter is not None:
         long = long.join(offsets.select("name", "bucket"), ["name", "bucket"], "left_semi")
     counts = add_up(long, "name", "bucket", "value")
@@ -139,22 +153,30 @@ def average_ranks(df: DataFrame, key: str, cols) -> DataFrame:
 def dense_codes(df: DataFrame, col: str) -> DataFrame:
     """(value, code): distinct non-null values in ascending order, numbered from 0."""
     values = df.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
-    n = min(bucket_count(df), 64)
-    # a uniform sample by hash gives the cut points: at most 64 * 20 values on the driver
+    n = bucket_count(df)
+    # a uniform sample by hash gives the cut points: at most 20 values per bucket on the driver
     sample = sorted(r[0] for r in values.orderBy(F.xxhash64("value")).limit(n * 20).collect())
     cuts = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if len(sample) == n * 20 else []
     bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("value"))) if cuts else F.lit(0)
     b = values.withColumn("bucket", bucket)
     per = b.groupBy("bucket").count()
-    low = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # at most 64 rows
+    low = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # one row per bucket
     offsets = per.select("bucket", F.coalesce(F.sum("count").over(low), F.lit(0)).alias("before"))
     inside = F.row_number().over(W.partitionBy("bucket").orderBy("value"))
-    return b.join(F.broadcast(offsets), "bucket").select("value", (F.col("before") + inside - 1).cast("int").alias("code"))
+    return b.join(F.broadcast(offsets), "bucket").select("value", (F.col("before") + inside - 1).cast("long").alias("code"))
 
 
-def blocks_of(order: Column, width: int = 65536) -> Column:
-    """Block number of an integer order key: a block holds at most ``width`` distinct keys."""
-    return F.floor(order / F.lit(width)).cast("long")
+def in_blocks(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``_block``: as many stretches of the order column as shuffle partitions, edges from its quantiles.
+
+    The edges are doubles, which keep the order of any integers; rows that round to one double share a block.
+    """
+    n = bucket_count(df)
+    cuts = cut_points(df.select(F.col(order).cast("double").alias("o")), ["o"], n)[0]
+    splits = [-math.inf, *(sorted(set(cuts)) or [0.0]), math.inf]
+    number = Bucketizer(splits=splits, inputCol="_order", outputCol="_block", handleInvalid="keep")
+    placed = number.transform(df.withColumn("_order", F.col(order).cast("double")))
+    return placed.drop("_order").withColumn("_block", F.col("_block").cast("long"))
 
 
 _KINDS = {
@@ -164,19 +186,19 @@ _KINDS = {
 }
 
 
-def running(df: DataFrame, keys, order: str, measures, width: int = 65536, exclusive=(), keep_block: bool = False) -> DataFrame:
+def running(df: DataFrame, keys, order: str, measures, exclusive=(), keep_block: bool = False) -> DataFrame:
     """Running aggregates per key in the order of a unique integer column, current row included.
 
     ``measures`` maps a name to (kind, column) with kind sum, max or min. Names in ``exclusive`` leave the current
-    row out. A key is scanned in blocks of the order column; block totals are carried forward, so one hot key
-    is spread over as many tasks as it has blocks. ``keep_block`` leaves the block column for a following scan with the
+    row out. A key is scanned in blocks of the order column, whose edges come from the data; block totals are carried forward, so
+    one hot key is spread over as many tasks as there are blocks, and a carry has at most one row per block. ``keep_block`` leaves the block column for a following scan with the
     same keys, which then finds its rows in place.
     """
     keys = list(keys)
     part = [*keys, "_block"]
     # one exchange on (keys, block) serves the row windows; the carries are block sums
     if "_block" not in df.columns:
-        df = df.withColumn("_block", blocks_of(F.col(order), width))
+        df = in_blocks(df, order)
     totals = df.groupBy(*part).agg(*[_KINDS[k][0](c).alias(f"_t_{m}") for m, (k, c) in measures.items()])
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     carry = totals.select(*part, *[_KINDS[k][0](f"_t_{m}").over(before).alias(f"_c_{m}") for m, (k, _) in measures.items()])

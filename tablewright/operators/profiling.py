@@ -80,14 +80,24 @@ def strong_correlations(df: DataFrame, cols=None, limit: float = fixed.STRONG_CO
     return correlations(df, cols).where(F.abs("r") > limit).drop("position")
 
 
+def value_bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes of one value: fixed widths, the encoded length of strings and binaries, the sum over parts of nested values."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value)
+    elif isinstance(kind, T.ArrayType):
+        size = F.aggregate(value, F.lit(0).cast("long"), lambda s, x: s + value_bytes(x, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        keys, values = T.ArrayType(kind.keyType), T.ArrayType(kind.valueType)
+        size = value_bytes(F.map_keys(value), keys) + value_bytes(F.map_values(value), values)
+    elif isinstance(kind, T.StructType):
+        size = sum((value_bytes(value[f.name], f.dataType) for f in kind), F.lit(0).cast("long"))
+    else:
+        return F.lit(WIDTHS.get(kind.simpleString(), 16 if isinstance(kind, T.DecimalType) else 0)).cast("long")
+    return F.coalesce(size.cast("long"), F.lit(0).cast("long"))
+
+
 def row_bytes(df: DataFrame) -> Column:
-    """Bytes of one row: fixed widths, and the encoded length of strings."""
-    fixed_width = sum(WIDTHS.get(k, 0) for _, k in df.dtypes)
-    out = F.lit(fixed_width).cast("long")
-    for c, k in df.dtypes:
-        if k == "string":
-            out = out + F.coalesce(F.octet_length(c), F.lit(0))
-    return out
+    return sum((value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0).cast("long"))
 
 
 def profile_counts(df: DataFrame) -> DataFrame:

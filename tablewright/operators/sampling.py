@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tablewright.session import small_side
+from tablewright.session import written
 
 SLICE = 4  # leading hex digits
 
@@ -32,8 +32,8 @@ def _cut(df: DataFrame, key: str, seed, strata, take) -> DataFrame:
     )
     mark = cum.where((F.col("before") < F.col("take")) & (F.col("take") <= F.col("before") + F.col("count")))
     mark = mark.select(*strata, "slice", (F.col("take") - F.col("before")).alias("need"))
-    # one row per stratum; without strata exactly one, else counted before it is broadcast
-    near = h.join(small_side(mark) if strata else F.broadcast(mark), [*strata, "slice"])
+    # one row per stratum; without strata exactly one, else a written table of measured size
+    near = h.join(written(mark) if strata else F.broadcast(mark), [*strata, "slice"])
     rank = F.row_number().over(W.partitionBy(*strata, "slice").orderBy("pos"))
     return near.withColumn("rank", rank).where(F.col("rank") == F.col("need")).select(*strata, F.col("pos").alias("cut"))
 
@@ -63,12 +63,19 @@ def split_random(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
 
 def split_stratified(df: DataFrame, key: str, label: str, share: float, seed: int) -> DataFrame:
     """Adds ``is_validation``: round(share * n) rows of every label."""
-    cut = small_side(_cut(df, key, seed, [label], lambda n: F.rint(n * F.lit(share)).cast("long")))
+    cut = written(_cut(df, key, seed, [label], lambda n: F.rint(n * F.lit(share)).cast("long")))
     return df.join(cut, label, "left").withColumn("is_validation", _inside(key, seed, F.col("cut"))).drop("cut")
 
 
 def kfold_stratified(df: DataFrame, key: str, label: str, k: int, seed: int) -> DataFrame:
-    """Adds ``fold`` 0..k-1: the rank within the label, modulo k. Ranks are built per (label, hash slice)."""
+    """Adds ``fold`` 0..k-1: the rank within the label, modulo k. Ranks are built per (label, hash slice).
+
+    Only key and label are ranked; other columns are joined back by key, which is unique, and are not sorted.
+    """
+    others = [c for c in df.columns if c not in (key, label)]
+    if others:
+        folds = kfold_stratified(df.select(key, label), key, label, k, seed).select(key, "fold")
+        return df.join(folds, key)
     h = df.withColumn("_h", hash_key(key, seed)).withColumn("_s", F.substring("_h", 1, SLICE))
     per = h.groupBy(label, "_s").count()
     low = W.partitionBy(label).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)

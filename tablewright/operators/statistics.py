@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright import fixed
-
 
 def string_length_stats(df: DataFrame, cols) -> DataFrame:
     """(column, n, sd, mean, mode, longest) of string lengths; the smallest of equally common lengths is the mode."""
@@ -140,11 +138,8 @@ def evaluation_report(runs: DataFrame, thresholds: DataFrame) -> DataFrame:
     )
 
 
-def acceptable(success, completed, val, train, rows) -> Column:
-    """Is a run good enough to stop? Large tables get the relaxed limits."""
-    large = rows > fixed.LARGE_ROWS
-    score = F.when(large, fixed.LARGE_ACCEPT_SCORE).otherwise(fixed.ACCEPT_SCORE)
-    gap = F.when(large, fixed.LARGE_ACCEPT_GAP).otherwise(fixed.ACCEPT_GAP)
+def acceptable(success, completed, val, train, score: float, gap: float) -> Column:
+    """Is a run good enough to stop? Its score reaches ``score`` and its training score is at most ``gap`` higher."""
     return (
         F.when(~success, False).when(completed & val.isNull(), True)
         .when(val < score, False).when((train - val) > gap, False).otherwise(True)

@@ -11,6 +11,7 @@ from tablewright.operators import lookups as lk
 from tablewright.operators import metrics
 from tablewright.operators.columns import column_check, project_required
 from tablewright.operators.ordered import running
+from tablewright.session import written
 from tablewright.sources.writers import submission_name, write_csv
 
 
@@ -80,14 +81,29 @@ def save_submission(df: DataFrame, key: str, predictions, test: DataFrame, folde
     return write_csv(formatted, f"{folder}/{submission_name(stamp, strategy, seed)}")
 
 
-def grade_submission(sub: DataFrame, answers: DataFrame, key: str, competition: str, thresholds: DataFrame) -> DataFrame:
-    """One row: matched, missing and extra ids, AUC over the matched ones and the medal it earns."""
-    joined = lk.grade_join(sub, answers, key)
-    counts = joined.agg(
-        *[F.count_if(F.col("status") == s).alias(s) for s in ("matched", "missing", "extra")],
-        F.count_if(F.col("copies") > 1).alias("repeated"),
+def grade_submissions(subs: DataFrame, answers: DataFrame, key: str, metric: str, thresholds: DataFrame) -> DataFrame:
+    """One row per competition of ``subs`` (competition, key, p): counts, score by ``metric``, reason, medal.
+
+    Each submission is held against all answers (key, y). Only a whole one is graded: with missing, extra or repeated ids or with
+    null or NaN predictions the score is null, the medal 'none', and ``reason`` names the first fault.
+    """
+    names = subs.select("competition").distinct()
+    given = names.agg(F.collect_set("competition")).scalar()  # the submissions graded at once: a handful of names
+    wanted = answers.select(key, "y", F.explode(given).alias("competition"))
+    per = subs.groupBy("competition", key).agg(F.max("p").alias("p"), F.count("*").alias("copies"), F.count_if(metrics.absent(F.col("p"))).alias("absent"))
+    joined = per.withColumn("s", F.lit(True)).join(wanted.withColumn("a", F.lit(True)), ["competition", key], "full")
+    joined = written(joined.select("competition", key, "y", "p", "copies", "absent", "s", "a"), "graded")
+    c = F.col
+    counts = joined.groupBy("competition").agg(
+        F.count_if(c("s") & c("a")).alias("matched"), F.count_if(c("s").isNull()).alias("missing"), F.count_if(c("a").isNull()).alias("extra"),
+        F.count_if(c("copies") > 1).alias("repeated"), F.count_if(c("absent") > 0).alias("unscored"),
     )
-    graded = joined.where("status = 'matched'")
-    auc = metrics.auc(graded, "y", ["p"]).select(F.lit(competition).alias("competition"), F.col("auc").alias("score"))
-    banded = lk.medal_band(auc, thresholds)
-    return counts.withColumn("grade", banded.select(F.struct("*")).scalar()).select(*counts.columns, "grade.*")
+    reason = F.when(c("missing") > 0, "missing ids").when(c("extra") > 0, "unknown ids").when(c("repeated") > 0, "repeated ids").when(c("unscored") > 0, "missing predictions")
+    scores = metrics.score_by(joined, c("competition"), metric, "y", "p").withColumnRenamed("name", "competition")
+    judged = counts.withColumn("reason", reason).join(scores, "competition", "left").withColumn("score", F.when(c("reason").isNull(), c("score")))
+    return lk.medal_band(judged, thresholds)
+
+
+def grade_submission(sub: DataFrame, answers: DataFrame, key: str, competition: str, thresholds: DataFrame, metric: str = "auc") -> DataFrame:
+    """One submission (key, p), see ``grade_submissions``."""
+    return grade_submissions(sub.withColumn("competition", F.lit(competition)), answers, key, metric, thresholds)

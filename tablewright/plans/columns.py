@@ -64,14 +64,14 @@ def schema_diff(t):
     return cl.presence(a, cl.columns_only_in(a, b), "train").unionByName(cl.presence(b, cl.columns_only_in(b, a), "test"))
 
 
-@query("column_check", """SELECT 'extra' AS side, 'words' AS "column", count(words) AS non_null FROM pred
-    UNION ALL SELECT 'extra', 'x', count(x) FROM pred UNION ALL SELECT 'extra', 'y', count(y) FROM pred
-    UNION ALL SELECT 'missing', 'score', 0 * count(*) FROM pred""", ("pred",))
+@query("column_check", """SELECT 'extra' AS side, 'words' AS "column", count(words) AS non_null FROM scored
+    UNION ALL SELECT 'extra', 'x', count(x) FROM scored
+    UNION ALL SELECT 'missing', 'score', 0 * count(*) FROM scored""", ("scored",))
 def column_check(t):
-    got = cl.column_check(t.pred, ["id", "p", "score"])
-    absent = t.pred.agg((0 * F.count("*")).alias("non_null"), F.array(*[F.lit(c) for c in got["missing"]]).alias("c"))
+    got = cl.column_check(t.scored, ["id", "p", "score"])
+    absent = t.scored.agg((0 * F.count("*")).alias("non_null"), F.array(*[F.lit(c) for c in got["missing"]]).alias("c"))
     missing = absent.select(F.lit("missing").alias("side"), F.explode("c").alias("column"), "non_null")
-    return cl.presence(t.pred, got["extra"], "extra").unionByName(missing)
+    return cl.presence(t.scored, got["extra"], "extra").unionByName(missing)
 
 
 @query("name_overlap", """SELECT DISTINCT event_type AS value FROM events WHERE event_type IN ('click', 'error', 'unknown')""")

@@ -63,18 +63,47 @@ def metric_r2(t):
     return t.runs.groupBy("event_type").agg(F.round(mt.r2(F.col("val_score"), F.col("train_score")), 9).alias("r2"))
 
 
-QUALITY = {"quality": (0.5, 0.6, 0.8, False)}
-
-
-@query("grade_submission", f"""WITH s AS (SELECT id, avg(p) AS p, count(*) AS copies FROM sub GROUP BY 1),
-    j AS (SELECT a.y, s.p, s.copies, s.id AS sid, a.id AS aid FROM s FULL JOIN (SELECT id, y FROM pred) a ON s.id = a.id),
-    m AS (SELECT y, p FROM j WHERE sid IS NOT NULL AND aid IS NOT NULL AND p IS NOT NULL),
-    g AS (SELECT {auc_sql('m', 'p')} AS score)
-    SELECT count(*) FILTER (WHERE sid IS NOT NULL AND aid IS NOT NULL) AS matched, count(*) FILTER (WHERE sid IS NULL) AS missing,
-      count(*) FILTER (WHERE aid IS NULL) AS extra, count(*) FILTER (WHERE copies > 1) AS repeated, 'quality' AS competition,
-      round(any_value(score), 9) AS score, true AS has_threshold,
-      CASE WHEN any_value(score) >= 0.8 THEN 'gold' WHEN any_value(score) >= 0.6 THEN 'silver' WHEN any_value(score) >= 0.5 THEN 'bronze' ELSE 'none' END AS medal,
-      round(any_value(score) - 0.5::double, 9) AS margin FROM j, g""", ("sub", "pred"))
+# one clean submission per metric and a flawed one: (bronze, silver, gold, lower is better)
+QUALITY = {
+    "clean_auc": (0.4, 0.6, 0.8, False), "clean_log_loss": (3.0, 1.0, 0.5, True), "clean_accuracy": (0.3, 0.8, 0.9, False),
+    "flawed": (0.0, 0.1, 0.2, False), "incomplete": (0.0, 0.1, 0.2, False), "unscored": (0.0, 0.1, 0.2, False),
+}
+GRADED_BY = {"clean_auc": "auc", "clean_log_loss": "log_loss", "clean_accuracy": "accuracy", "flawed": "auc", "incomplete": "accuracy", "unscored": "accuracy"}
+_TH = "(VALUES " + ", ".join(f"('{k}', {a}::double, {b}::double, {c}::double, {str(low).lower()})" for k, (a, b, c, low) in QUALITY.items()) + ") AS th(competition, bronze, silver, gold, lower_is_better)"
+_LOSS = "round(avg(-ln(least(greatest(CASE WHEN y = 1 THEN p ELSE 1 - p END, 1e-15), 1 - 1e-15))), 9)"
+
+
+@query("grade_submission", f"""WITH f AS (SELECT id, count(*) AS copies, count(*) FILTER (WHERE p IS NULL) AS nulls FROM sub GROUP BY 1),
+    fl AS (SELECT 'flawed' AS competition, count(*) FILTER (WHERE f.id IS NOT NULL AND a.id IS NOT NULL) AS matched, count(*) FILTER (WHERE f.id IS NULL) AS missing,
+      count(*) FILTER (WHERE a.id IS NULL) AS extra, count(*) FILTER (WHERE copies > 1) AS repeated, count(*) FILTER (WHERE nulls > 0) AS unscored,
+      CASE WHEN count(*) FILTER (WHERE f.id IS NULL) > 0 THEN 'missing ids' WHEN count(*) FILTER (WHERE a.id IS NULL) > 0 THEN 'unknown ids' END AS reason, NULL::double AS score
+      FROM f FULL JOIN pred a ON f.id = a.id),
+    n AS (SELECT count(*) AS n, count(*) FILTER (WHERE id % 5 <> 0) AS most, count(*) FILTER (WHERE id % 5 = 0) AS fifth FROM pred),
+    g AS (SELECT 'clean_auc' AS competition, n AS matched, 0 AS missing, 0 AS extra, 0 AS repeated, 0 AS unscored, NULL::varchar AS reason, {auc_sql('pred', 'p')} AS score FROM n
+      UNION ALL SELECT 'clean_log_loss', n, 0, 0, 0, 0, NULL, (SELECT {_LOSS} FROM pred) FROM n
+      UNION ALL SELECT 'clean_accuracy', n, 0, 0, 0, 0, NULL, (SELECT avg(CAST((p >= 0.5)::INTEGER = y AS DOUBLE)) FROM pred) FROM n
+      UNION ALL SELECT 'incomplete', most, fifth, 0, 0, 0, CASE WHEN fifth > 0 THEN 'missing ids' END, NULL FROM n
+      UNION ALL SELECT 'unscored', n, 0, 0, 0, fifth, CASE WHEN fifth > 0 THEN 'missing predictions' END, NULL FROM n
+      UNION ALL SELECT * FROM fl)
+    SELECT g.competition, matched, missing, extra, repeated, unscored, reason, round(score, 9) AS score, true AS has_threshold,
+      CASE WHEN score IS NULL THEN 'none' WHEN lower_is_better AND score <= gold OR NOT lower_is_better AND score >= gold THEN 'gold'
+        WHEN lower_is_better AND score <= silver OR NOT lower_is_better AND score >= silver THEN 'silver'
+        WHEN lower_is_better AND score <= bronze OR NOT lower_is_better AND score >= bronze THEN 'bronze' ELSE 'none' END AS medal,
+      round(CASE WHEN lower_is_better THEN bronze - score ELSE score - bronze END, 9) AS margin FROM g JOIN {_TH} USING (competition)""", ("sub", "pred"))
 def grade_submission(t):
-    graded = sb.grade_submission(t.sub, t.pred.select("id", "y"), "id", "quality", lk.threshold_table(t.spark, QUALITY))
-    return graded.withColumns({"score": F.round("score", 9), "margin": F.round("margin", 9)})
+    answers, thresholds, c = t.pred.select("id", "y"), lk.threshold_table(t.spark, QUALITY), F.col
+    clean = t.pred.select("id", "p")
+    kinds = {
+        "flawed": t.sub, "incomplete": clean.where("id % 5 <> 0"),
+        "unscored": clean.withColumn("p", F.when(c("id") % 5 == 0, F.lit(float("nan"))).otherwise(c("p"))),
+    }
+    out = None
+    for metric in ("auc", "log_loss", "accuracy"):
+        subs = None
+        for name, by in GRADED_BY.items():
+            if by == metric:
+                one = kinds.get(name, clean).select(F.lit(name).alias("competition"), "id", "p")
+                subs = one if subs is None else subs.unionByName(one)
+        graded = sb.grade_submissions(subs, answers, "id", metric, thresholds)
+        out = graded if out is None else out.unionByName(graded)
+    return out.withColumns({"score": F.round("score", 9), "margin": F.round("margin", 9)})

@@ -1,5 +1,10 @@
-"""Queries: Spark ML models (compared by row count and by quality tests, not by value)."""
+"""Queries: Spark ML models.
 
+Fitted values have no SQL twin; what SQL can state about them is checked: which ids, classes and folds there are, and that the values behind
+them are sound. Quality floors are in the tests.
+"""
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.operators import features as ft
@@ -35,40 +40,77 @@ def text_parts(t):
     return checkpointed(prep.transform(train).select("id", "label", "features")), checkpointed(scored)
 
 
-@query("lr_text")
+def sound(probs):
+    """(id, classes, sound): distinct classes of each id, and whether their probabilities lie in [0, 1] and sum to 1."""
+    good = F.bool_and(F.col("p").between(0, 1)) & (F.abs(F.sum("p") - 1) < 1e-6)
+    return probs.groupBy("id").agg(F.count_distinct("class").alias("classes"), good.alias("sound"))
+
+
+def in_range(scored, low=0.0, high=1.0):
+    """(id, sound): whether the prediction lies in the range."""
+    return scored.select("id", F.col("prediction").between(low, high).alias("sound"))
+
+
+UNLABELLED_SQL = "SELECT id, 2 AS classes, true AS sound FROM unlabelled"
+TEST_SQL = "SELECT id, true AS sound FROM docstats WHERE NOT is_train"
+
+
+@query("lr_text", UNLABELLED_SQL, ("unlabelled",))
 def lr_text(t):
     train, test = text_parts(t)
-    return md.class_probabilities(md.logistic(train.count(), maxIter=50).fit(train), test, "id")
+    return sound(md.class_probabilities(md.logistic(train.count(), maxIter=50).fit(train), test, "id"))
 
 
-@query("gbt_tabular")
+@query("gbt_tabular", TEST_SQL, ("docstats",))
 def gbt_tabular(t):
     train, test = table_parts(t)
-    return md.batch_score(md.boosted(2).fit(train), test, "id")
+    return in_range(md.batch_score(md.boosted(2).fit(train), test, "id"))
 
 
-@query("forest_regressor")
-def forest_regressor(t):
+@query("gbt_multiclass", "SELECT id, (SELECT count(DISTINCT lang) FROM docstats) AS classes, true AS sound FROM docstats WHERE NOT is_train", ("docstats",))
+def gbt_multiclass(t):
+    """The language from the measures, one boosted member against the rest per class."""
+    df = ft.LabelEncoder("lang", "label").fit(t.docstats).transform(table(t).drop("label"))
+    prep = md.table_features(NUMERIC, []).fit(df.where("is_train"))
+    train, test = (checkpointed(prep.transform(df.where(p)).select("id", F.col("label").cast("double").alias("label"), "features")) for p in ("is_train", "not is_train"))
+    return sound(md.class_probabilities(md.boosted(4, maxIter=3).fit(train), test, "id"))
+
+
+def regression(t, model):
     df = table(t).withColumn("label", F.col("words"))
     prep = md.table_features(["chars", "lines"], ["lang"]).fit(df.where("is_train"))
-    model = md.forest_regressor().fit(prep.transform(df.where("is_train")))
-    return md.batch_score(model, prep.transform(df.where("not is_train")), "id", "regression")
+    train = checkpointed(prep.transform(df.where("is_train")).select("id", "label", "features"))
+    return md.batch_score(model.fit(train), prep.transform(df.where("not is_train")), "id", "regression"), train.agg(F.min("label"), F.max("label")).first()
+
+
+@query("forest_regressor", TEST_SQL, ("docstats",))
+def forest_regressor(t):
+    """Means of training labels, so inside their range."""
+    scored, (low, high) = regression(t, md.forest_regressor())
+    return in_range(scored, low - 1e-6, high + 1e-6)
+
+
+@query("gbt_regressor", "SELECT id, true AS sound FROM docstats WHERE NOT is_train", ("docstats",))
+def gbt_regressor(t):
+    """Sums of steps: within the training range widened by its own width."""
+    scored, (low, high) = regression(t, md.boosted_regressor(maxIter=5))
+    return in_range(scored, low - (high - low), high + (high - low))
 
 
-@query("svm_calibrated")
+@query("svm_calibrated", UNLABELLED_SQL, ("unlabelled",))
 def svm_calibrated(t):
     train, test = text_parts(t)
-    return md.calibrated(train, test, "id", "label", md.svm_base, md.margin_score, md.sigmoid_calibrator, [0, 1])
+    return sound(md.calibrated(train, test, "id", "label", md.svm_base, md.margin_score, md.sigmoid_calibrator, [0, 1]))
 
 
-@query("isotonic_calibrated")
+@query("isotonic_calibrated", "SELECT id, 2 AS classes, true AS sound FROM docstats WHERE NOT is_train", ("docstats",))
 def isotonic_calibrated(t):
     train, test = table_parts(t)
-    return md.calibrated(train, test, "id", "label", md.boosted_base, md.probability_score, md.isotonic_calibrator, [0, 1])
+    return sound(md.calibrated(train, test, "id", "label", md.boosted_base, md.probability_score, md.isotonic_calibrator, [0, 1]))
 
 
-@query("soft_vote", """SELECT id, 1 AS class, round((p + least(x / 40000.0::double, 1)) / 2, 12) AS p FROM pred
-    UNION ALL SELECT id, 0, round((1 - p + 1 - least(x / 40000.0::double, 1)) / 2, 12) FROM pred""", ("pred",))
+@query("soft_vote", """SELECT id, 1 AS class, round((p + least(x / 40000.0::double, 1)) / 2, 12) AS p FROM scored
+    UNION ALL SELECT id, 0, round((1 - p + 1 - least(x / 40000.0::double, 1)) / 2, 12) FROM scored""", ("scored",))
 def soft_vote(t):
     c = F.col
 
@@ -80,29 +122,34 @@ def soft_vote(t):
     return md.soft_vote([member("logistic"), member("length")]).withColumn("p", F.round("p", 12))
 
 
-@query("model_search")
+@query("model_search", "SELECT unnest(['boosted', 'forest', 'logistic']) AS model, true AS sound")
 def model_search(t):
     train, _ = table_parts(t)
     families = {"boosted": md.boosted(2, maxIter=5), "forest": md.forest(2, numTrees=10), "logistic": md.logistic(train.count(), maxIter=20)}
-    return md.model_search(train, "id", "label", families, 3)
+    board = md.model_search(train, "id", "label", families, 3)
+    return board.select("model", (F.col("auc").between(0, 1) & F.col("place").between(1, 3)).alias("sound"))
 
 
-@query("oof_predict")
+@query("oof_predict", """SELECT id, CAST(lang = 'en' AS INTEGER) AS label,
+    CAST(row_number() OVER (PARTITION BY lang = 'en' ORDER BY md5(concat(id, ':42')), id) % 5 AS INTEGER) AS fold, true AS sound FROM docstats WHERE is_train""", ("docstats",))
 def oof_predict(t):
     train, _ = table_parts(t)
-    return md.oof_predict(train, "id", "label", md.forest(2, numTrees=10), 5)
+    oof = md.oof_predict(train, "id", "label", md.forest(2, numTrees=10), 5)
+    return oof.select("id", "label", "fold", F.col("prediction").between(0, 1).alias("sound"))
 
 
-@query("batch_score")
+@query("batch_score", "SELECT id, true AS sound FROM unlabelled", ("unlabelled",))
 def batch_score(t):
     train, test = text_parts(t)
-    return md.batch_score(md.logistic(train.count(), maxIter=30).fit(train), test, "id")
+    return in_range(md.batch_score(md.logistic(train.count(), maxIter=30).fit(train), test, "id"))
 
 
-@query("select_features")
+@query("select_features", "SELECT concat('poly_', i) AS feature, true AS sound, true AS whole FROM range(20) r(i)")
 def select_features(t):
     base = ["chars", "words", "lines", "word_length", "source_code"]
     measures = table(t)
     df = ft.LabelEncoder("source").fit(measures).transform(measures)
     wide = ft.poly2(df, base)
-    return md.select_features(wide, [c for c in wide.columns if c.startswith("poly_")], "label")
+    found = md.select_features(wide, [c for c in wide.columns if c.startswith("poly_")], "label")
+    whole = F.abs(F.sum("importance").over(W.partitionBy(F.lit(1))) - 1) < 1e-6  # twenty rows
+    return found.select("feature", F.col("importance").between(0, 1).alias("sound"), whole.alias("whole"))

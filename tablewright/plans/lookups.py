@@ -56,16 +56,14 @@ def run_grid(t):
     return grid(t)
 
 
-@query("fuse_features", """SELECT id, array_to_string(list_transform(list_concat(wave[1:2], [vx, vy]), lambda v: format('{:.6f}', v)), ',') AS features,
-    len(wave) + 2 AS width, label FROM sig JOIN (SELECT p_partkey AS id, p_retailprice AS vx, CAST(p_size AS DOUBLE) AS vy FROM part) USING (id)""", ("sig",))
+@query("fuse_features", """SELECT id, array_to_string(list_transform(list_concat(coalesce(wave, list_transform(range(0, 64), lambda i: 0.0::double)), [vx, vy]), lambda v: format('{:.6f}', v)), ',') AS features,
+    66 AS width, label FROM (SELECT p_partkey AS id, p_retailprice AS vx, CAST(p_size AS DOUBLE) AS vy FROM part) LEFT JOIN sig USING (id)""", ("sig",))
 def fuse_features(t):
     table = t.part.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("vx"), F.col("p_size").alias("vy"))
-    fused = lk.fuse_features(t.sig, table, "id", ["vx", "vy"])
+    fused = lk.fuse_features(t.sig, table, "id", ["vx", "vy"], 64)
     f = F.col("features")
-    ends = F.concat(F.slice(f, 1, 2), F.slice(f, -2, 2))
     return fused.select(
-        "id", F.array_join(F.transform(ends, lambda v: F.format_string("%.6f", v)), ",").alias("features"),
-        F.size(f).alias("width"), "label",
+        "id", F.array_join(F.transform(f, lambda v: F.format_string("%.6f", v)), ",").alias("features"), F.size(f).alias("width"), "label"
     )
 
 
@@ -79,7 +77,7 @@ def grade_join(t):
 
 @query("encode_unseen", """WITH d AS (SELECT seg, row_number() OVER (ORDER BY seg) - 1 AS code FROM
       (SELECT DISTINCT seg FROM names WHERE bal < 2000 AND seg <> 'MACHINERY'))
-    SELECT id, n.seg, CAST(coalesce(d.code, -1) AS INTEGER) AS seg_code FROM names n LEFT JOIN d ON n.seg = d.seg""", ("names",))
+    SELECT id, n.seg, coalesce(d.code, -1) AS seg_code FROM names n LEFT JOIN d ON n.seg = d.seg""", ("names",))
 def encode_unseen(t):
     train = t.names.where("bal < 2000 and seg <> 'MACHINERY'")
     return lk.encode_unseen(train, t.names.select("id", "seg"), "seg")
@@ -101,20 +99,20 @@ def lookup_default(t):
     )
 
 
-@query("hconcat_by_key", "SELECT s.id, s.chars, s.words, p.p FROM docstats s JOIN pred p ON s.id = p.id", ("docstats", "pred"))
+@query("hconcat_by_key", "SELECT s.id, s.chars, s.words, p.p FROM docstats s LEFT JOIN pred p ON s.id = p.id", ("docstats", "pred"))
 def hconcat_by_key(t):
     return lk.hconcat_by_key([t.docstats.select("id", "chars"), t.docstats.select("id", "words"), t.pred.select("id", "p")], "id")
 
 
 def long_predictions(t):
     c = F.col
-    return t.pred.select("id", F.inline(F.array(
+    return t.scored.select("id", F.inline(F.array(
         F.struct(F.lit("logistic").alias("model"), c("p").alias("score")),
         F.struct(F.lit("length").alias("model"), F.round(c("x") / 40000.0, 9).alias("score")),
         F.struct(F.lit("words").alias("model"), c("words").alias("score")),
     )))
 
 
-@query("stack_predictions", """SELECT id, p AS logistic, round(x / 40000.0::double, 9) AS length, words FROM pred""", ("pred",))
+@query("stack_predictions", """SELECT id, p AS logistic, round(x / 40000.0::double, 9) AS length, words FROM scored""", ("scored",))
 def stack_predictions(t):
     return lk.stack_predictions(long_predictions(t), ["logistic", "length", "words"])

@@ -13,9 +13,9 @@ MD5_RANK = "row_number() OVER ({part} ORDER BY md5(concat(id, ':{seed}')), id)"
 
 @query("rank_ensemble", """SELECT id, round((rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::double
     + rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::double
-    + rank() OVER (ORDER BY words) + (count(*) OVER (PARTITION BY words) - 1) / 2.0::double) / 3, 9) AS mean_rank FROM pred""", ("pred",))
+    + rank() OVER (ORDER BY words) + (count(*) OVER (PARTITION BY words) - 1) / 2.0::double) / 3, 9) AS mean_rank FROM scored""", ("scored",))
 def rank_ensemble(t):
-    ranks = ordered.average_ranks(t.pred, "id", ["p", "x", "words"])
+    ranks = ordered.average_ranks(t.scored, "id", ["p", "x", "words"])
     return ranks.groupBy("id").agg(F.round(F.avg("rank"), 9).alias("mean_rank"))
 
 
@@ -80,18 +80,18 @@ ACCEPT_SQL = "CASE WHEN NOT success THEN false WHEN val_score < 0.5::double THEN
 
 def accepted(t):
     c = F.col
-    ok = st.acceptable(c("success"), F.lit(True), c("val_score"), c("train_score"), F.lit(1000))
+    ok = st.acceptable(c("success"), F.lit(True), c("val_score"), c("train_score"), fixed.ACCEPT_SCORE, fixed.ACCEPT_GAP)
     return t.runs.select("run", "step", ok.alias("acceptable"))
 
 
 @query("run_acceptable", f"""SELECT run, step, {ACCEPT_SQL} AS acceptable, CASE WHEN NOT success THEN false
-    WHEN val_score < 0.4::double THEN false WHEN train_score - val_score > 0.30::double THEN false ELSE true END AS acceptable_large FROM runs""", ("runs",))
+    WHEN val_score < 0.4::double THEN false WHEN train_score - val_score > 0.30::double THEN false ELSE true END AS acceptable_relaxed FROM runs""", ("runs",))
 def run_acceptable(t):
     c = F.col
-    large = st.acceptable(c("success"), F.lit(True), c("val_score"), c("train_score"), F.lit(600000))
+    given = (c("success"), F.lit(True), c("val_score"), c("train_score"))
     return t.runs.select(
-        "run", "step", st.acceptable(c("success"), F.lit(True), c("val_score"), c("train_score"), F.lit(1000)).alias("acceptable"),
-        large.alias("acceptable_large"),
+        "run", "step", st.acceptable(*given, fixed.ACCEPT_SCORE, fixed.ACCEPT_GAP).alias("acceptable"),
+        st.acceptable(*given, fixed.RELAXED_ACCEPT_SCORE, fixed.RELAXED_ACCEPT_GAP).alias("acceptable_relaxed"),
     )
 
 

@@ -19,12 +19,12 @@ def char_sql(col, upper=True, n=10):
     return ", ".join(out)
 
 
-@query("char_positions", f"SELECT id, {char_sql('code', upper=False)} FROM names", ("names",))
+@query("char_positions", f"SELECT id, {char_sql('code', upper=False, n=18)} FROM names", ("names",))
 def char_positions(t):
-    return t.names.select("id", *[v.alias(k) for k, v in ft.char_columns("code", 10, upper=False).items()])
+    return t.names.select("id", *[v.alias(k) for k, v in ft.char_columns("code", 18, upper=False).items()])
 
 
-@query("char_features_auto", f"SELECT id, bal, nation, {char_sql('code')}, {char_sql('seg', n=9)}, {char_sql('seg_null', n=9)} FROM names", ("names",))
+@query("char_features_auto", f"SELECT id, bal, nation, {char_sql('code', n=18)}, {char_sql('seg', n=9)}, {char_sql('seg_null', n=9)} FROM names", ("names",))
 def char_features_auto(t):
     return ft.CharFeatures().fit(t.names).transform(t.names)
 
@@ -76,7 +76,7 @@ def fill_text(t):
     return t.tab.select("id", strings.fill_text(F.col("priority")).alias("priority"), strings.fill_text(F.col("target")).alias("target"))
 
 
-@query("label_encode", """SELECT id, lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS lang_code FROM docstats""", ("docstats",))
+@query("label_encode", """SELECT id, lang, dense_rank() OVER (ORDER BY lang) - 1 AS lang_code FROM docstats""", ("docstats",))
 def label_encode(t):
     return ft.LabelEncoder("lang").fit(t.docstats).transform(t.docstats.select("id", "lang"))
 

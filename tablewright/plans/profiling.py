@@ -53,16 +53,16 @@ def profile_bytes(t):
     return pf.profile_bytes(t.tab)
 
 
-@query("dataset_profile", """WITH items2 AS (SELECT quantity, price, discount, tax, flag AS target FROM items),
+@query("dataset_profile", """WITH items2 AS (SELECT order_id, quantity, price, discount, tax, is_train, flag AS target FROM items),
     d AS (SELECT target, count(*) AS n FROM items2 GROUP BY 1)
-    SELECT count(*) AS num_samples, 5 AS num_features, CAST(sum(32 + strlen(target)) AS BIGINT) AS bytes,
-      'quantity=double;price=double;discount=double;tax=double;target=string' AS data_types,
+    SELECT count(*) AS num_samples, 7 AS num_features, CAST(sum(41 + strlen(target)) AS BIGINT) AS bytes,
+      'order_id=bigint;quantity=double;price=double;discount=double;tax=double;is_train=boolean;target=string' AS data_types,
       format('price={:.6f}', avg(CAST(price IS NULL AS DOUBLE))) AS missing,
       CASE WHEN corr(quantity, price) > 0.5 THEN format('quantity_price={:.6f}', corr(quantity, price)) ELSE '' END AS correlations,
       (SELECT count(*) FROM d) AS num_classes, (SELECT round(max(n) / min(n), 6) FROM d) AS imbalance,
       'classification' AS target_type, 'CrossEntropy' AS loss FROM items2""", ("items",))
 def dataset_profile(t):
-    return pf.dataset_profile(t.items.select("quantity", "price", "discount", "tax", F.col("flag").alias("target")), "target")
+    return pf.dataset_profile(t.items.select("order_id", "quantity", "price", "discount", "tax", "is_train", F.col("flag").alias("target")), "target")
 
 
 TARGETS = [("tab", "target"), ("tab", "price"), ("names", "nation"), ("names", "seg_null"), ("labelled", "target")]

@@ -46,10 +46,10 @@ def infer_submission_id(t):
     ])
 
 
-@query("infer_probability", """SELECT 'p' AS "column", min(p) >= 0 AND max(p) <= 1 AS is_probability FROM pred
-    UNION ALL SELECT 'x', min(x) >= 0 AND max(x) <= 1 FROM pred UNION ALL SELECT 'y', count(*) < 0 FROM pred""", ("pred",))
+@query("infer_probability", """SELECT 'p' AS "column", min(p) >= 0 AND max(p) <= 1 AS is_probability FROM scored
+    UNION ALL SELECT 'x', min(x) >= 0 AND max(x) <= 1 FROM scored UNION ALL SELECT 'words', min(words) >= 0 AND max(words) <= 1 FROM scored""", ("scored",))
 def infer_probability(t):
-    return roles.probability_columns(t.pred, ["p", "x", "y"])
+    return roles.probability_columns(t.scored, ["p", "x", "words"])
 
 
 @query("submission_format", """SELECT 'sub' AS dataset, 'id' AS id_column, 'p' AS prediction_columns,
@@ -146,20 +146,29 @@ def modality_consensus(t):
     return roles.consensus(heuristics(t), profiles(t), stacked(audits))
 
 
-@query("dataset_health", """WITH l AS (SELECT dataset,
+ROWS_FROM = 1000  # shorter texts stand for files without rows
+
+
+@query("dataset_health", f"""WITH n AS (SELECT source AS d, sum(CASE WHEN lang = 'de' AND n_chars > {ROWS_FROM} THEN len(string_split(text, chr(10))) ELSE 0 END) AS trn,
+      sum(CASE WHEN lang = 'fr' AND n_chars > {ROWS_FROM} THEN len(string_split(text, chr(10))) ELSE 0 END) AS ten FROM documents GROUP BY 1), l AS (SELECT dataset,
       bool_or(path LIKE 'train/%') AS trd, bool_or(path LIKE 'test/%') AS ted,
       bool_or(path LIKE 'train/%.csv' OR path IN ('train.csv', 'training.csv', 'train_data.csv')) AS trc,
       bool_or(path LIKE 'test/%.csv' OR path IN ('test.csv', 'testing.csv', 'test_data.csv')) AS tec FROM lake GROUP BY 1)
-    SELECT dataset, trc AND tec AS is_valid, concat_ws('; ',
+    SELECT dataset, trc AND tec AND coalesce(trn, 0) > 0 AND coalesce(ten, 0) > 0 AS is_valid, concat_ws('; ',
       CASE WHEN NOT trc AND NOT trd THEN 'No training data found in dataset' END,
       CASE WHEN NOT tec AND NOT ted THEN 'No test data found in dataset' END,
       CASE WHEN NOT trc AND NOT trd THEN 'Cannot load train data: No training data found in dataset'
-        WHEN NOT trc THEN 'Cannot load train data: No CSV file found in train' END,
+        WHEN NOT trc THEN 'Cannot load train data: No CSV file found in train' WHEN coalesce(trn, 0) = 0 THEN 'Train data is empty' END,
       CASE WHEN NOT tec AND NOT ted THEN 'Cannot load test data: No test data found in dataset'
-        WHEN NOT tec THEN 'Cannot load test data: No CSV file found in test' END) AS issues FROM l""", ("lake",))
+        WHEN NOT tec THEN 'Cannot load test data: No CSV file found in test' WHEN coalesce(ten, 0) = 0 THEN 'Test data is empty' END) AS issues FROM l LEFT JOIN n ON n.d = l.dataset""", ("lake",))
 def dataset_health(t):
-    unknown = F.lit(None).cast("long")
-    return roles.dataset_health(files.dataset_layout(t.lake).withColumns({"train_rows": unknown, "test_rows": unknown}))
+    """Rows are the lines of the texts behind the files of each part; a dataset of a nation has files, but no row."""
+    lines = F.when(F.col("n_chars") > ROWS_FROM, F.size(F.split("text", "\n"))).otherwise(0)
+    per = t.documents.groupBy(F.col("source").alias("dataset")).agg(
+        F.sum(F.when(F.col("lang") == "de", lines).otherwise(0)).alias("train_rows"), F.sum(F.when(F.col("lang") == "fr", lines).otherwise(0)).alias("test_rows")
+    )
+    layout = files.dataset_layout(t.lake).join(per, "dataset", "left")
+    return roles.dataset_health(layout.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("train_rows", "test_rows")}))
 
 
 @query("dataset_info", """SELECT count(*) FILTER (WHERE is_train) AS train_rows, 6 AS train_cols,

@@ -30,9 +30,9 @@ def softmax_argmax(t):
     return got.select("id", *[F.round(F.col("s")[i], 9).alias(f"p{i}") for i in range(3)], nm.argmax(F.col("s")).alias("best"))
 
 
-@query("sigmoid", "SELECT id, round(1 / (1 + exp(-(x - 1500) / 1500)), 9) AS p FROM pred", ("pred",))
+@query("sigmoid", "SELECT id, round(1 / (1 + exp(-(x - 1500) / 1500)), 9) AS p FROM scored", ("scored",))
 def sigmoid(t):
-    return t.pred.select("id", F.round(nm.sigmoid((F.col("x") - 1500) / 1500), 9).alias("p"))
+    return t.scored.select("id", F.round(nm.sigmoid((F.col("x") - 1500) / 1500), 9).alias("p"))
 
 
 @query("focal_loss", """SELECT y, round(avg(-((1 - pt) ** 2) * ln(pt)), 9) AS mean_loss, round(max(-((1 - pt) ** 2) * ln(pt)), 9) AS max_loss
@@ -92,15 +92,30 @@ def missing_signal_default(t):
     return both.select("id", F.size(wave).cast("long").alias("width"), F.round(total, 6).alias("total"))
 
 
-@query("spectrogram")
+def spectrogram_sql(n=16, hop=8, frames=7, width=10, digits=4):
+    """Power by plain cosine and sine sums, decibels, one scale per picture."""
+    edge = 0.25 * (n - 1) / 2
+    window = f"CASE WHEN least(i, {n - 1} - i) < {edge} THEN 0.5 * (1 - cos(pi() * least(i, {n - 1} - i) / {edge})) ELSE 1.0::double END"
+    return f"""WITH win AS (SELECT i, {window} AS w FROM range({n}) r(i)), total AS (SELECT sum(w * w) AS t FROM win),
+      x AS (SELECT id, f, i, wave[f * {hop} + i + 1] AS v, avg(wave[f * {hop} + i + 1]) OVER (PARTITION BY id, f) AS m FROM sig, range({frames}) a(f), range({n}) b(i)),
+      p AS (SELECT id, f, k, (CASE WHEN k BETWEEN 1 AND {n // 2 - 1} THEN 2 ELSE 1 END) * (sum((v - m) * w * cos(2 * pi() * k * i / {n}::double)) ** 2
+        + sum((v - m) * w * sin(2 * pi() * k * i / {n}::double)) ** 2) / any_value(t) AS power FROM x JOIN win USING (i), total, range({n // 2 + 1}) c(k) GROUP BY id, f, k),
+      d AS (SELECT id, f, k, 10 * log10(power + 1e-10) AS db, min(10 * log10(power + 1e-10)) OVER (PARTITION BY id) AS lo,
+        max(10 * log10(power + 1e-10)) OVER (PARTITION BY id) AS hi FROM p)
+      SELECT id, k AS bin, {width} AS frames, array_to_string(list_transform(list_concat(list(round((db - lo) / (hi - lo + 1e-10), {digits}) ORDER BY f),
+        list_transform(range({width - frames}), lambda j: 0.0::double)), lambda v: format('{{:.{digits}f}}', v)), ',') AS values FROM d GROUP BY id, k"""
+
+
+@query("spectrogram", spectrogram_sql(), ("sig",))
 def spectrogram(t):
-    flat = signals.log_spectrogram(t.sig, "wave", 16, 8, 10)
-    s = F.col("spectrogram")
-    return flat.select("id", F.size(s).alias("bins"), F.size(s[0]).alias("frames"), joined(F.flatten(s)).alias("values"))
+    rows = signals.log_spectrogram(t.sig, "wave", 16, 8, 10).select("id", F.posexplode("spectrogram").alias("bin", "row"))
+    text = F.array_join(F.transform("row", lambda v: F.format_string("%.4f", F.round(v, 4))), ",")
+    return rows.select("id", F.col("bin").cast("long").alias("bin"), F.size("row").alias("frames"), text.alias("values"))
 
 
-@query("image_normalize", f"""SELECT id, {joined_sql('''list_transform(range(16), lambda i:
-      ((floor((wave[(i // 4) * 16 + (i % 4) * 2 + 1] - lo) / (hi - lo) * 255)) / 255.0::double - 0.485::double) / 0.229::double)''')} AS red
+@query("image_normalize", f"""SELECT id, {joined_sql('''list_transform(range(48), lambda j:
+      ((floor((wave[(j // 12) * 16 + (j // 3 % 4) * 2 + 1] - lo) / (hi - lo) * 255)) / 255.0::double - [0.485::double, 0.456, 0.406][j % 3 + 1])
+        / [0.229::double, 0.224, 0.225][j % 3 + 1])''')} AS pixels
     FROM (SELECT id, wave, list_min(wave) AS lo, list_max(wave) AS hi FROM sig)""", ("sig",))
 def image_normalize(t):
     # every 64-sample signal is seen as a grey 8 x 8 picture
@@ -110,5 +125,4 @@ def image_normalize(t):
     data = F.unhex(F.array_join(F.transform(grey, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
     pics = t.sig.select("id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
     out = signals.normalize_images(pics, "id", 4, (0.485, 0.456, 0.406), (0.229, 0.224, 0.225))
-    red = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.element_at("pixels", i * 3 + 1))
-    return out.select("id", joined(red).alias("red"))
+    return out.select("id", joined(F.col("pixels")).alias("pixels"))

@@ -18,9 +18,10 @@ TAB_SCHEMA = T.StructType([
 TAB_SQL = "SELECT id, price, cust, priority, status, CAST(target AS BIGINT) AS target, is_train FROM tab"
 
 
-@query("scan_csv", TAB_SQL, ("tab",))
+@query("scan_csv", TAB_SQL.replace("SELECT id,", "SELECT id, 9000000000000000001 + id * 1000003 AS wide_id,"), ("tab",))
 def scan_csv(t):
-    return readers.read_csv(t.spark, writers.write_csv(t.tab, scratch(t.spark, "scan_csv")))
+    wide = (F.lit(9000000000000000001) + F.col("id") * 1000003).alias("wide_id")
+    return readers.read_csv(t.spark, writers.write_csv(t.tab.select("*", wide), scratch(t.spark, "scan_csv")))
 
 
 @query("scan_csv_safe", TAB_SQL, ("tab",))
@@ -35,17 +36,16 @@ def scan_preview(t):
     return readers.preview(t.tab, "id", 5)
 
 
-@query("scan_text_head", f"""SELECT item_id, left(text, {fixed.DESCRIPTION_HEAD}) AS head,
-    CAST(length(text) AS BIGINT) AS n_chars FROM benchmark""")
+@query("scan_text_head", """SELECT item_id % 16 AS part, string_agg(text || chr(10), '' ORDER BY item_id) AS text,
+    CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM benchmark GROUP BY 1""")
 def scan_text_head(t):
+    """Sixteen files, each read whole: the items of a part in the order of their ids."""
     path = scratch(t.spark, "texts")
-    t.benchmark.repartition("item_id").write.partitionBy("item_id").text(path)
+    parts = t.benchmark.withColumn("part", F.col("item_id") % 16)
+    parts.repartition(16, "part").sortWithinPartitions("part", "item_id").select("part", "text").write.partitionBy("part").text(path)
     found = readers.read_texts(t.spark, path)
-    text = F.regexp_replace("text", r"\n$", "")
     return found.select(
-        F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"),
-        F.left(text, F.lit(fixed.DESCRIPTION_HEAD)).alias("head"),
-        F.length(text).cast("long").alias("n_chars"),
+        F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"), "text", F.length("text").cast("long").alias("n_chars")
     )
 
 
@@ -71,9 +71,9 @@ def scan_json_runs(t):
 SINK_NAME = writers.submission_name("20240131_120000", "baseline", 42)
 
 
-@query("sink_csv", f"SELECT id, p, '{SINK_NAME}' AS name FROM pred", ("pred",))
+@query("sink_csv", f"SELECT id, p, '{SINK_NAME}' AS name FROM scored", ("scored",))
 def sink_csv(t):
-    path = writers.write_csv(t.pred.select("id", "p"), f"{scratch(t.spark, 'sink_csv')}/{SINK_NAME}")
+    path = writers.write_csv(t.scored.select("id", "p"), f"{scratch(t.spark, 'sink_csv')}/{SINK_NAME}")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("p", T.DoubleType())])
     return readers.read_csv(t.spark, path, schema).withColumn("name", F.lit(path.rsplit("/", 1)[1]))
 
@@ -178,11 +178,14 @@ def image_dirs(t):
     return files.image_dirs(t.lake)
 
 
-@query("missing_inputs", """SELECT dataset, folder FROM (SELECT DISTINCT dataset FROM lake),
-      (SELECT unnest(['train', 'test']) AS folder)
+@query("missing_inputs", """SELECT dataset, folder FROM (SELECT DISTINCT source AS dataset FROM documents UNION SELECT concat('nation', n_nationkey) FROM nation
+      UNION SELECT concat('region', r_regionkey) FROM region), (SELECT unnest(['train', 'test']) AS folder)
     EXCEPT SELECT dataset, split_part(path, '/', 1) FROM lake""", ("lake",))
 def missing_inputs(t):
-    return files.missing_inputs(t.lake, ["train", "test"])
+    """Expected are all sources, nations and regions; regions have no file at all."""
+    expected = t.documents.select(F.col("source").alias("dataset")).union(t.nation.select(F.concat(F.lit("nation"), F.col("n_nationkey").cast("string"))))
+    expected = expected.union(t.region.select(F.concat(F.lit("region"), F.col("r_regionkey").cast("string"))))
+    return files.missing_inputs(t.lake, expected, ["train", "test"])
 
 
 @query("file_audit", """SELECT bool_and(l.path IS NOT NULL) AS all_exist,

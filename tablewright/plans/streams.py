@@ -25,6 +25,20 @@ def in_two_portions(t, df, early, run, name):
     return out
 
 
+QUARTERS = [2, 0, 3, 1]
+LATENESS = "365 DAYS"
+
+
+def in_shuffled_quarters(t, df, key, run, name):
+    """Four arrivals, the rows with ``key`` % 4 of 2, 0, 3 and 1: most rows come long after later ones. The last run closes the stream."""
+    base = scratch(t.spark, name)
+    source, out, check = f"{base}/in", f"{base}/out", f"{base}/check"
+    for i, q in enumerate(QUARTERS):
+        df.where(F.pmod(F.col(key), F.lit(4)) == q).write.parquet(f"{source}/portion{i}")
+        run(jobs.file_stream(t.spark, source, df.schema), out, check, i == len(QUARTERS) - 1)
+    return out
+
+
 LANG_THRESHOLDS = {"en": (0.4, 0.5, 0.9, False), "fr": (0.3, 0.6, 0.9, False), "de": (0.5, 0.6, 0.7, False)}
 LANG_SQL = "(VALUES " + ", ".join(
     f"('{k}', {a}::double, {b}::double, {c}::double, {str(low).lower()})" for k, (a, b, c, low) in LANG_THRESHOLDS.items()
@@ -36,19 +50,20 @@ LANG_SQL = "(VALUES " + ", ".join(
     r AS (SELECT *, rank() OVER (PARTITION BY competition, seed ORDER BY v) + (count(*) OVER (PARTITION BY competition, seed, v) - 1) / 2.0::double AS r FROM l),
     a AS (SELECT competition, seed, {AUC_SQL} AS score FROM r GROUP BY 1, 2)
     SELECT a.competition, seed, round(score, 9) AS score, bronze IS NOT NULL AS has_threshold, {MEDAL_SQL} AS medal,
-      round(score - bronze, 9) AS margin FROM a LEFT JOIN {LANG_SQL} ON a.competition = th.competition""", ("pred",))
+      round(score - bronze, 9) AS margin, NULL::varchar AS reason FROM a LEFT JOIN {LANG_SQL} ON a.competition = th.competition""", ("pred",))
 def stream_grade(t):
     base = scratch(t.spark, "submissions")
     root = f"{base}/in"
     scored = t.pred.join(t.documents.select(F.col("doc_id").alias("id"), "lang"), "id")
     thresholds = lk.threshold_table(t.spark, LANG_THRESHOLDS)
+    answers = t.pred.join(t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("competition")), "id").select("competition", "id", "y")
     for seed, score in enumerate(["p", "words"]):
         # one folder per competition, one arrival per seed
         for lang in ("en", "fr", "de", "es"):
             one = scored.where(F.col("lang") == lang).select("id", F.col(score).alias("p"))
             writers.write_csv(one, f"{root}/{lang}/seed_{seed}")
         stream = jobs.file_stream(t.spark, root, "id long, p double", "csv", header="true")
-        jobs.grade_arrivals(stream, root, "id long, p double", t.pred.select("id", "y"), thresholds, f"{base}/out", f"{base}/check")
+        jobs.grade_arrivals(stream, root, "id long, p double", answers, thresholds, f"{base}/out", f"{base}/check")
     return rounded(jobs.latest_grades(t.spark, f"{base}/out"), "score", "margin")
 
 
@@ -76,22 +91,30 @@ def stream_timeout(t):
     rows = starts.unionByName(found).unionByName(end).withColumn("ts", c("ts").cast("timestamp"))
 
     def run(stream, out, check):
-        jobs.append_files(jobs.arrival_timeouts(stream, 10), out, check)
+        jobs.append_files(jobs.arrival_timeouts(stream, "60 days", 10), out, check)
 
-    out = in_two_portions(t, rows, "ts < timestamp '2024-01-16'", run, "timeouts")
+    # later rows first; the end comes last
+    out = in_two_portions(t, rows, "ts >= timestamp '2024-01-16' and run >= 0", run, "timeouts")
     return t.spark.read.parquet(out).select("run", "status", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @query("stream_metric_issues", ISSUE_SQL, ("runs",))
 def stream_metric_issues(t):
-    out = in_two_portions(t, t.runs, HALF, lambda s, o, k: jobs.metric_issues(s, ["run"], "step", o, k), "issues")
+    def run(stream, out, check, last):
+        jobs.metric_issues(stream, ["run"], "step", "ts", LATENESS, out, check, close=last)
+
+    out = in_shuffled_quarters(t, t.runs, "step", run, "issues")
     return t.spark.read.parquet(out).select("run", "step", "issue")
 
 
 @query("stream_retries", RETRY_SQL, ("logs",))
 def stream_retries(t):
     df = errors(t).join(t.logs.select("id", "ts"), "id")
-    out = in_two_portions(t, df, HALF, lambda s, o, k: jobs.retries(s, ["session", "error_class"], "id", o, k), "retries")
+
+    def run(stream, out, check, last):
+        jobs.retries(stream, ["session", "error_class"], "id", "ts", LATENESS, out, check, close=last)
+
+    out = in_shuffled_quarters(t, df, "id", run, "retries")
     return t.spark.read.parquet(out).select("id", "session", "error_class", "attempt", "fallback")
 
 

@@ -37,11 +37,11 @@ def validate_submission(t):
     return r.select("is_valid", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"))
 
 
-@query("submission_flow", "SELECT id, p AS target, true AS is_valid FROM pred", ("pred",))
+@query("submission_flow", "SELECT id, p AS target, true AS is_valid FROM scored", ("scored",))
 def submission_flow(t):
     folder = scratch(t.spark, "submissions")
-    raw = t.pred.select("id", F.col("p").cast("string").alias("target"), "x")
-    path = sb.save_submission(raw, "id", ["target"], t.labels, folder, "20240131_120000", "baseline", 42)
+    raw = t.scored.select("id", F.col("p").cast("string").alias("target"), "x")
+    path = sb.save_submission(raw, "id", ["target"], t.documents, folder, "20240131_120000", "baseline", 42)
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("target", T.DoubleType())])
     saved = readers.read_csv(t.spark, path, schema)
-    return saved.withColumn("is_valid", sb.validate_submission(saved, "id", ["target"], t.labels).select("is_valid").scalar())
+    return saved.withColumn("is_valid", sb.validate_submission(saved, "id", ["target"], t.documents).select("is_valid").scalar())

@@ -49,9 +49,8 @@ def checkpointed(df):
     return df.checkpoint()
 
 
-def small_side(df, max_rows: int = 200_000):
-    """``df`` written once; hinted for broadcast only when it is counted to be small, else left to a shuffle join."""
-    from pyspark.sql import functions as F
-
-    kept = checkpointed(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+def written(df, name: str = "table"):
+    """``df`` as a Parquet table below the shared folder. Spark knows its size in bytes: a join broadcasts it only if it is small."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,21 +16,29 @@ def _missing_to_null(df: DataFrame) -> DataFrame:
     return df.select([F.when(~F.col(c).isin(fixed.MISSING_TEXT), F.col(c)).alias(c) for c in df.columns])
 
 
-WHOLE = r"^[+-]?[0-9]{1,18}$"
+WHOLE = r"^[+-]?[0-9]+$"
+LONG_DIGITS = r"^[+-]?[0-9]{1,19}$"
 DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def _is_long(v):
+    number = F.when(v.rlike(LONG_DIGITS), v).cast("decimal(20,0)")
+    return F.coalesce(number.between(F.lit(-(2**63)).cast("decimal(20,0)"), F.lit(2**63 - 1).cast("decimal(20,0)")), F.lit(False))
+
+
 def infer_types(df: DataFrame) -> T.StructType:
     """The narrowest of long, double, boolean and string that reads every value, from one aggregate over all columns.
 
-    Patterns decide, not casts: a failed cast costs an exception per value.
+    Patterns decide, not casts: a failed cast costs an exception per value. Integers of 19 digits are compared with the range of a
+    long; a column with an integer beyond it stays text, so that no two ids become equal.
     """
     checks = []
     for i, c in enumerate(df.columns):
         v = F.col(c)
         checks += [
             F.count(v).alias(f"n{i}"),
-            F.count_if(v.rlike(WHOLE)).alias(f"l{i}"),
+            F.count_if(_is_long(v)).alias(f"l{i}"),
+            F.count_if(v.rlike(WHOLE) & ~_is_long(v)).alias(f"w{i}"),
             F.count_if(v.rlike(DECIMAL)).alias(f"d{i}"),
             F.count_if(F.lower(v).isin("true", "false")).alias(f"b{i}"),
         ]
@@ -40,6 +48,8 @@ def infer_types(df: DataFrame) -> T.StructType:
         n = r[f"n{i}"]
         if n and r[f"l{i}"] == n:
             kind = T.LongType()
+        elif r[f"w{i}"]:
+            kind = T.StringType()
         elif r[f"d{i}"] == n:
             kind = T.DoubleType()  # also a column without values
         elif r[f"b{i}"] == n:

@@ -97,6 +97,18 @@ def _pred(t):
     )
 
 
+def _scored(t):
+    c = F.col
+    return t.documents.select(
+        c("doc_id").alias("id"), _score("n_chars").alias("p"), c("n_chars").cast("double").alias("x"),
+        F.size(F.split("text", " ")).cast("double").alias("words"),
+    )
+
+
+def _texts(t):
+    return t.documents.select(F.col("doc_id").alias("id"), "text")
+
+
 def _docstats(t):
     """Per-document measures; the labelled documents are the training part."""
     c = F.col
@@ -218,7 +230,7 @@ def _sig(t):
 
 
 VIEWS = {
-    "tab": _tab, "names": _names, "items": _items, "labelled": _labelled, "unlabelled": _unlabelled, "pred": _pred, "docstats": _docstats,
+    "tab": _tab, "names": _names, "items": _items, "labelled": _labelled, "unlabelled": _unlabelled, "pred": _pred, "scored": _scored, "texts": _texts, "docstats": _docstats,
     "multi": _multi, "s2s": _s2s, "runs": _runs, "logs": _logs, "refs": _refs, "listing": _listing, "lake": _lake,
     "sub": _sub, "sig": _sig,
 }
@@ -245,6 +257,9 @@ VIEW_SQL = {
         WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "pred": f"""SELECT d.doc_id AS id, l.quality AS y, {_SCORE} AS p, CAST(n_chars AS DOUBLE) AS x,
         CAST(len(string_split(d.text, ' ')) AS DOUBLE) AS words FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+    "scored": f"""SELECT doc_id AS id, {_SCORE} AS p, CAST(n_chars AS DOUBLE) AS x,
+        CAST(len(string_split(text, ' ')) AS DOUBLE) AS words FROM documents""",
+    "texts": "SELECT doc_id AS id, text FROM documents",
     "docstats": """SELECT d.doc_id AS id, CAST(n_chars AS DOUBLE) AS chars, CAST(len(string_split(text, ' ')) AS DOUBLE) AS words,
         CAST(len(string_split(text, chr(10))) AS DOUBLE) AS lines,
         CAST(n_chars AS DOUBLE) / CAST(len(string_split(text, ' ')) AS DOUBLE) AS word_length, lang, source,

@@ -18,7 +18,7 @@ from tablewright.operators import lookups as lk
 from tablewright.operators import metrics, runs
 from tablewright.operators import statistics as st
 from tablewright.operators.ordered import running
-from tablewright.session import checkpointed
+from tablewright.session import written
 
 AVAILABLE = {"availableNow": True}
 
@@ -65,27 +65,34 @@ def arrival_parts(path: Column) -> list[Column]:
 
 
 def grade_arrivals(stream: DataFrame, root: str, schema, answers: DataFrame, thresholds: DataFrame, out: str, checkpoint: str,
-                   on_found: Callable[[DataFrame], None] | None = None, trigger=AVAILABLE) -> None:
-    """Grades every submission that a batch touched, over all files it has so far.
+                   on_found: Callable[[DataFrame], None] | None = None, trigger=AVAILABLE, metric: str = "auc") -> None:
+    """Grades every submission that a batch touched by ``metric``, over all files it has so far.
 
-    A submission of several files may arrive in several batches; the last grade per (competition, seed) counts.
+    A submission of several files may arrive in several batches; the last grade per (competition, seed) counts. ``answers`` are
+    (competition, id, y): a submission with missing, unknown or repeated ids or missing predictions has a null score, no medal and
+    a reason. The touched submissions stay a table: the files of all are listed and joined with it before they are read further.
     """
     spark = stream.sparkSession
     keyed = stream.select(*arrival_parts(F.col("_metadata.file_path")))
 
     def grade(batch: DataFrame, batch_id: int) -> None:
-        # folder names only: as many as submissions arrived in this batch
-        folders = [f"{root}/{r['competition']}/seed_{r['seed']}" for r in batch.distinct().collect()]
-        if not folders:
+        touched = written(batch.distinct(), "touched")
+        if touched.isEmpty():
             return
-        files = spark.read.schema(schema).options(recursiveFileLookup="true", header="true").csv(folders)
-        whole = files.select("*", *arrival_parts(F.col("_metadata.file_path")))
-        joined = whole.join(answers, "id").withColumn("run", F.concat_ws("/", "competition", "seed"))
-        scores = metrics.auc_by(joined, F.col("run"), "y", "p").select(
-            F.split_part("name", F.lit("/"), F.lit(1)).alias("competition"),
-            F.split_part("name", F.lit("/"), F.lit(2)).cast("int").alias("seed"), F.col("auc").alias("score"),
+        files = spark.read.schema(schema).options(recursiveFileLookup="true", header="true").csv(root)
+        whole = files.select("*", *arrival_parts(F.col("_metadata.file_path"))).join(touched, ["competition", "seed"])
+        per = whole.groupBy("competition", "seed", "id").agg(F.max("p").alias("p"), F.count("*").alias("copies"), F.count_if(metrics.absent(F.col("p"))).alias("absent"))
+        wanted = answers.join(touched, "competition").withColumn("a", F.lit(True))
+        joined = written(per.withColumn("s", F.lit(True)).join(wanted, ["competition", "seed", "id"], "full"), "arrivals")
+        run, c = F.concat_ws("/", "competition", "seed").alias("name"), F.col
+        counts = joined.groupBy("competition", "seed", run).agg(
+            F.count_if(c("s").isNull()).alias("missing"), F.count_if(c("a").isNull()).alias("extra"),
+            F.count_if(c("copies") > 1).alias("repeated"), F.count_if(c("absent") > 0).alias("unscored"),
         )
-        graded = lk.medal_band(scores, thresholds)
+        reason = F.when(c("missing") > 0, "missing ids").when(c("extra") > 0, "unknown ids").when(c("repeated") > 0, "repeated ids").when(c("unscored") > 0, "missing predictions")
+        scores = counts.withColumn("reason", reason).join(metrics.score_by(joined, F.concat_ws("/", "competition", "seed"), metric, "y", "p"), "name", "left")
+        whole_only = scores.withColumn("score", F.when(c("reason").isNull(), c("score"))).select("competition", "seed", "score", "reason")
+        graded = lk.medal_band(whole_only, thresholds)
         write_batch(graded, out, batch_id)
         if on_found:
             on_found(graded)
@@ -126,49 +133,68 @@ _JOIN = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
 _TOTAL = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def carried_running(stream: DataFrame, keys, order: str, measures, finish, out: str, checkpoint: str, trigger=AVAILABLE) -> None:
-    """Running aggregates over a stream: inside a batch in blocks of the order column, between batches by a carried table.
+def carried_running(stream: DataFrame, keys, order: str, time: str, delay: str, measures, finish, out: str, checkpoint: str,
+                    keep: str | None = None, close: bool = False, trigger=AVAILABLE) -> None:
+    """Running aggregates over a stream in the order of an integer column that grows with ``time``, whatever the order of arrival.
 
-    A hot key is spread over its blocks in every batch, and only (key, totals) are carried. Rows inside a batch may come
-    in any order; between batches the order of arrival counts.
+    Rows are held until the watermark (the largest time so far less ``delay``) has passed them, then take part in order: inside a batch in
+    blocks, so a hot key is spread, between batches by a carried table of totals per key. Rows that come when the watermark has passed
+    them take no part; they are in ``<out>_late``. ``keep`` drops the totals of keys without rows for so long; ``close`` ends the
+    stream: nothing is held back after this run.
     """
     keys = list(keys)
-    spark = stream.sparkSession
+    spark, c = stream.sparkSession, F.col
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch = checkpointed(batch)
-        state = f"{out}_state"
-        old = spark.read.parquet(f"{state}/batch={batch_id - 1}") if batch_id else None
-        seen = running(batch, keys, order, measures)
-        new = batch.groupBy(*keys).agg(*[_TOTAL[k](c).alias(f"_{m}") for m, (k, c) in measures.items()])
-        if old is not None:
-            seen = seen.join(old, keys, "left")
-            both = {m: _JOIN[k](F.col(m), F.col(f"_{m}")) for m, (k, _) in measures.items()}
+        batch = written(batch, "batch")
+        before = (lambda name: spark.read.parquet(f"{out}_{name}/batch={batch_id - 1}")) if batch_id else None
+        passed = before("mark").select("mark").scalar() if before else F.lit(None)
+        newest = batch.agg(F.max(time).alias("top"))
+        if before:
+            newest = newest.unionByName(before("mark").select("top")).agg(F.max("top").alias("top"))
+        mark = c("top") if close else c("top") - F.expr(f"INTERVAL {delay}")
+        write_batch(newest.select("top", F.greatest(mark, passed.cast(batch.schema[time].dataType)).alias("mark")), f"{out}_mark", batch_id)
+        mark = spark.read.parquet(f"{out}_mark/batch={batch_id}").select("mark").scalar()
+        late = (c(time) <= passed) if before else F.lit(False)
+        write_batch(batch.where(late), f"{out}_late", batch_id)
+        rows = batch.where(~late)
+        rows = written(rows.unionByName(before("held")) if before else rows, "open")
+        write_batch(rows.where(c(time) > mark), f"{out}_held", batch_id)
+        ready = rows.where(c(time) <= mark)
+        seen = running(ready, keys, order, measures)
+        new = ready.groupBy(*keys).agg(*[_TOTAL[k](v).alias(f"_{m}") for m, (k, v) in measures.items()], F.max(time).alias("_time"))
+        if before:
+            old = before("state")
+            seen = seen.join(old.drop("_time"), keys, "left")
+            both = {m: _JOIN[k](c(m), c(f"_{m}")) for m, (k, _) in measures.items()}
             seen = seen.withColumns(both).drop(*[f"_{m}" for m in measures])
-            new = old.unionByName(new).groupBy(*keys).agg(*[_TOTAL[k](f"_{m}").alias(f"_{m}") for m, (k, _) in measures.items()])
+            new = old.unionByName(new).groupBy(*keys).agg(*[_TOTAL[k](f"_{m}").alias(f"_{m}") for m, (k, _) in measures.items()], F.max("_time").alias("_time"))
+        if keep:
+            new = new.where(c("_time") >= mark - F.expr(f"INTERVAL {keep}"))
         write_batch(finish(seen), out, batch_id)
-        write_batch(new, state, batch_id)
+        write_batch(new, f"{out}_state", batch_id)
 
     each_batch(stream, step, checkpoint, trigger=trigger)
 
 
-def metric_issues(stream: DataFrame, keys, order: str, out: str, checkpoint: str, trigger=AVAILABLE) -> None:
+def metric_issues(stream: DataFrame, keys, order: str, time: str, delay: str, out: str, checkpoint: str, **options) -> None:
     c = F.col
     measures = {"best_score": ("max", c("val_score")), "points": ("sum", F.lit(1))}
     label = runs.history_issue(c("val_score"), c("train_score"), c("util"), c("best_score"), c("points"))
-    carried_running(stream, keys, order, measures, lambda df: df.withColumn("issue", label), out, checkpoint, trigger)
+    carried_running(stream, keys, order, time, delay, measures, lambda df: df.withColumn("issue", label), out, checkpoint, **options)
 
 
-def retries(stream: DataFrame, keys, order: str, out: str, checkpoint: str, trigger=AVAILABLE) -> None:
+def retries(stream: DataFrame, keys, order: str, time: str, delay: str, out: str, checkpoint: str, **options) -> None:
     flag = F.col("attempt") >= fixed.RETRY_LIMIT
-    carried_running(stream, keys, order, {"attempt": ("sum", F.lit(1))}, lambda df: df.withColumn("fallback", flag), out, checkpoint, trigger)
+    carried_running(stream, keys, order, time, delay, {"attempt": ("sum", F.lit(1))}, lambda df: df.withColumn("fallback", flag), out, checkpoint, **options)
 
 
 # ---- missing arrivals: event-time timers ------------------------------------------------------------------
-def arrival_timeouts(stream: DataFrame, hours: float = fixed.ARRIVAL_LIMIT_HOURS, delay: str = "0 seconds") -> DataFrame:
+def arrival_timeouts(stream: DataFrame, delay: str, hours: float = fixed.ARRIVAL_LIMIT_HOURS) -> DataFrame:
     """(run, status, at): 'arrived' with the first submission within the limit after the start, else 'timeout'.
 
-    Input rows are (run, kind, ts) with kind 'start' or 'submission'. The state is two numbers per open run; rows are
+    Input rows are (run, kind, ts) with kind 'start' or 'submission', at most ``delay`` late. The state is two numbers per run and is
+    removed when the watermark passes the limit, also of runs that have arrived and of submissions without a start; rows are
     folded one Arrow batch at a time, so a run with very many rows needs no more memory than one with few.
     """
     limit = int(hours * 3600 * 1000)
@@ -178,9 +204,10 @@ def arrival_timeouts(stream: DataFrame, hours: float = fixed.ARRIVAL_LIMIT_HOURS
             return pd.DataFrame({"run": [key[0]], "status": [status], "ms": [ms]})
 
         if state.hasTimedOut:
-            start = state.get[0]
+            start, _, done = state.get
             state.remove()
-            yield row("timeout", start + limit)
+            if start is not None and not done:
+                yield row("timeout", start + limit)
             return
         start, first, done = state.get if state.exists else (None, None, False)
         for pdf in frames:
@@ -194,8 +221,9 @@ def arrival_timeouts(stream: DataFrame, hours: float = fixed.ARRIVAL_LIMIT_HOURS
             yield row("arrived", first)
             done = True
         state.update((start, first, done))
-        if not done and start is not None:
-            state.setTimeoutTimestamp(max(start + limit, state.getCurrentWatermarkMs() + 1))
+        since = start if start is not None else first
+        if since is not None:
+            state.setTimeoutTimestamp(max(since + limit, state.getCurrentWatermarkMs() + 1))
 
     timed = stream.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", delay)  # epoch time, whatever the session zone
     found = timed.groupBy("run").applyInPandasWithState(

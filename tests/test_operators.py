@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tablewright import fixed
 from tablewright.functions import arrays, logtext, numbers, strings
-from tablewright.operators import columns, features, files, lookups, profiling, roles, signals, statistics, submission, text
+from tablewright.operators import columns, features, files, lookups, metrics, profiling, roles, signals, statistics, submission, text
 from tablewright.sources import readers, writers
 
 
@@ -192,13 +192,14 @@ def test_bad_submission(spark, tmp_path):
 
 
 def test_medals_in_both_directions(spark):
-    scores = spark.createDataFrame([("spooky-author-identification", 0.35), ("siim-isic-melanoma-classification", 0.95), ("other", 1.0)], "competition string, score double")
-    got = {r["competition"]: (r["medal"], r["has_threshold"]) for r in lookups.medal_band(scores, lookups.default_thresholds(spark)).collect()}
-    assert got == {"spooky-author-identification": ("silver", True), "siim-isic-melanoma-classification": ("gold", True), "other": ("none", False)}
+    limits = lookups.threshold_table(spark, {"loss": (0.5, 0.4, 0.3, True), "rate": (0.85, 0.9, 0.94, False)})
+    scores = spark.createDataFrame([("loss", 0.35), ("rate", 0.95), ("other", 1.0)], "competition string, score double")
+    got = {r["competition"]: (r["medal"], r["has_threshold"]) for r in lookups.medal_band(scores, limits).collect()}
+    assert got == {"loss": ("silver", True), "rate": ("gold", True), "other": ("none", False)}
 
 
 def test_metric_lookup(spark):
-    assert value(spark, lookups.lookup_default(F.lit("nothing"), fixed.COMPETITION_METRICS, fixed.DEFAULT_METRIC)) == "accuracy"
+    assert value(spark, lookups.lookup_default(F.lit("nothing"), {"rate": "auc"}, fixed.DEFAULT_METRIC)) == "accuracy"
 
 
 # ---- logs -------------------------------------------------------------------------------------------------
@@ -263,3 +264,54 @@ def test_image_source_and_normalisation(spark, tmp_path):
     df = spark.read.format("image").load(str(tmp_path)).select("image.*").withColumn("id", F.lit(1))
     got = np.array(signals.normalize_images(df, "id", 2, (0.5, 0.5, 0.5), (0.25, 0.25, 0.25)).first()["pixels"]).reshape(2, 2, 3)
     assert got == pytest.approx((rgb[::2, ::2] / 255.0 - 0.5) / 0.25)
+
+
+def test_integers_of_19_digits_keep_their_value(spark, tmp_path):
+    path = str(tmp_path / "wide.csv")
+    rows = ["id,over,mixed", "9007199254740993123,9223372036854775808,9007199254740993123", "9007199254740993124,1,1.5", "-9223372036854775808,2,2"]
+    spark.createDataFrame([(r,) for r in rows], "v string").coalesce(1).write.text(path)
+    got = readers.read_csv(spark, path)
+    assert dict(got.dtypes) == {"id": "bigint", "over": "string", "mixed": "double"}
+    assert {r["id"] for r in got.collect()} == {9007199254740993123, 9007199254740993124, -9223372036854775808}
+
+
+@pytest.mark.parametrize("missing", [None, float("nan")])
+def test_missing_predictions_give_no_metric(spark, missing):
+    df = spark.createDataFrame([(1, 0.9), (0, missing), (1, 0.8), (0, 0.1)], "y int, p double")
+    y, p = F.col("y"), F.col("p")
+    for name, (value, _) in metrics.BY_NAME.items():
+        if value is not None:
+            assert df.agg(value(p, y).alias("v")).first()["v"] is None, name
+            assert df.where("p < 1 and not isnan(p)").agg(value(p, y).alias("v")).first()["v"] is not None, name
+    assert metrics.auc(df, "y", ["p"]).first()["auc"] is None
+    assert metrics.auc_by(df, F.col("y") * 0, "y", "p").first()["auc"] is None
+
+
+def test_flawed_submissions_earn_no_medal(spark):
+    answers = spark.createDataFrame([(i, i % 2) for i in range(10)], "id long, y int")
+    limits = lookups.threshold_table(spark, {"c": (0.1, 0.2, 0.3, False)})
+    whole = [(i, 0.1 + 0.8 * (i % 2)) for i in range(10)]
+    cases = {
+        None: whole, "missing ids": whole[:2], "unknown ids": [*whole, (77, 0.5)], "repeated ids": [*whole, (3, 0.9)],
+        "missing predictions": [*whole[:9], (9, None)],
+    }
+    for reason, rows in cases.items():
+        r = submission.grade_submission(spark.createDataFrame(rows, "id long, p double"), answers, "id", "c", limits).first()
+        assert r["reason"] == reason and (r["score"], r["medal"]) == ((1.0, "gold") if reason is None else (None, "none"))
+
+
+def test_inputs_without_any_file_are_reported(spark):
+    listing = spark.createDataFrame([("a", "train/x.csv")], "dataset string, path string")
+    expected = spark.createDataFrame([("a",), ("b",)], "dataset string")
+    got = files.missing_inputs(listing, expected, ["train", "test"]).collect()
+    assert sorted(map(tuple, got)) == [("a", "test"), ("b", "test"), ("b", "train")]
+
+
+def test_blocks_keep_their_ids(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "id long, a string")
+    b = spark.createDataFrame([(2, 0.5), (3, 0.7)], "id long, b double")
+    assert sorted(map(tuple, lookups.hconcat_by_key([a, b], "id").collect())) == [(1, "x", None), (2, "y", 0.5), (3, None, 0.7)]
+    table = spark.createDataFrame([(1, 2.0), (2, 3.0)], "id long, v double")
+    waves = spark.createDataFrame([(1, [0.5, 0.6], 1)], "id long, wave array<double>, label int")
+    got = lookups.fuse_features(waves, table, "id", ["v"], 2).orderBy("id").collect()
+    assert [r["features"] for r in got] == [[0.5, 0.6, 2.0], [0.0, 0.0, 3.0]]

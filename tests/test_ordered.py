@@ -55,7 +55,7 @@ def test_running_over_blocks_of_a_hot_key(spark):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "k long, i long, v double")
     got = ordered.running(
-        df, ["k"], "i", {"hi": ("max", F.col("v")), "n": ("sum", F.lit(1)), "before": ("min", F.col("v"))}, width=16, exclusive=("before",)
+        df, ["k"], "i", {"hi": ("max", F.col("v")), "n": ("sum", F.lit(1)), "before": ("min", F.col("v"))}, exclusive=("before",)
     ).toPandas().sort_values(["k", "i"])
     g = got.groupby("k")["v"]
     assert (got["hi"] == g.cummax()).all()
@@ -98,3 +98,18 @@ def test_auc_ties_and_symmetry(spark):
     assert got["s"] == pytest.approx(5 / 6) and got["s"] + got["r"] == pytest.approx(1.0)
     one = metrics.auc(df.where("y = 1"), "y", ["s"]).first()["auc"]
     assert one is None
+
+
+def test_running_over_sparse_keys_near_the_end_of_the_range(spark):
+    import random
+
+    rng = random.Random(8)
+    ids = rng.sample(range(2**60, 2**60 + 10**15), 500) + [2**60 - k for k in range(1, 200)]
+    rows = [(0, i, rng.random()) for i in ids]
+    df = spark.createDataFrame(rows, "k int, i long, v double")
+    got = ordered.running(df, ["k"], "i", {"hi": ("max", F.col("v")), "n": ("sum", F.lit(1))}).orderBy("i").collect()
+    best = 0.0
+    for n, (_, i, v) in enumerate(sorted(rows, key=lambda r: r[1]), 1):
+        best = max(best, v)
+        assert (got[n - 1]["i"], got[n - 1]["hi"], got[n - 1]["n"]) == (i, best, n)
+    assert ordered.in_blocks(df, "i").select("_block").distinct().count() > 2

@@ -4,7 +4,6 @@ import pytest
 
 from oracle import compare, connect
 from tablewright.plans import load
-from tablewright.plans.registry import MODULE_OF
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = load()
@@ -23,4 +22,4 @@ def test_matches_sql(spark, con, name):
 
 def test_queries_without_sql_are_known():
     without = {n for n in QUERIES if n not in ORACLES}
-    assert {n for n in without if MODULE_OF[n] != "learning"} == {"spectrogram"}
+    assert without == set()

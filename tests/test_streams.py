@@ -17,20 +17,42 @@ def portions(rows, n):
 def test_metric_issues_equal_the_batch_job(spark, tmp_path):
     rng = random.Random(2)
     rows = [(0 if rng.random() < 0.5 else rng.randint(1, 5), i, rng.random(), rng.random(), rng.uniform(0, 100)) for i in range(600)]
+    clock = lambda df: df.withColumn("ts", F.timestamp_seconds(F.col("step") * 60))
+    rng.shuffle(rows)  # rows come late by any time
     schema = "run long, step long, val_score double, train_score double, util double"
     source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
-    for part in portions(rows, 3):
-        late_first = sorted(part, key=lambda r: -r[1])  # inside a portion the order does not matter
-        spark.createDataFrame(late_first, schema).write.mode("append").parquet(source)
-        jobs.metric_issues(jobs.file_stream(spark, source, schema), ["run"], "step", out, check)
+    for i, part in enumerate(portions(rows, 4)):
+        clock(spark.createDataFrame(part, schema)).write.mode("append").parquet(source)
+        jobs.metric_issues(jobs.file_stream(spark, source, f"{schema}, ts timestamp"), ["run"], "step", "ts", "600 MINUTES", out, check, close=i == 3)
     got = spark.read.parquet(out).select("run", "step", "best_score", "points", "issue")
     want = runs.metric_issues(spark.createDataFrame(rows, schema), ["run"], "step").select(*got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_late_rows_wait_or_are_counted(spark, tmp_path):
+    schema = "run long, step long, val_score double, train_score double, util double, ts timestamp"
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+
+    def arrive(steps, **options):
+        rows = spark.createDataFrame([(0, s, v, v, 90.0) for s, v in steps], "run long, step long, val_score double, train_score double, util double")
+        rows.withColumn("ts", F.timestamp_seconds(F.col("step") * 60)).write.mode("append").parquet(source)
+        jobs.metric_issues(jobs.file_stream(spark, source, schema), ["run"], "step", "ts", "5 MINUTES", out, check, **options)
+
+    arrive([(2, 0.2), (3, 0.3)])
+    arrive([(1, 0.9)])  # late by two minutes: it waits with the others
+    arrive([(20, 0.5)])
+    arrive([(4, 1.0), (21, 0.6)], close=True)  # step 4 is late by sixteen minutes
+    got = {r["step"]: (r["best_score"], r["points"]) for r in spark.read.parquet(out).collect()}
+    assert got == {1: (0.9, 1), 2: (0.9, 2), 3: (0.9, 3), 20: (0.9, 4), 21: (0.9, 5)}
+    assert [r["step"] for r in spark.read.parquet(f"{out}_late").collect()] == [4]
+    arrive([(9000, 0.1)], keep="1 HOUR", close=True)
+    state = jobs.latest_batch(spark, f"{out}_state").collect()
+    assert [(r["run"], r["_points"]) for r in state] == [(0, 6)]
+
+
 def test_submission_in_two_files_is_graded_whole(spark, tmp_path):
     root, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
-    answers = spark.createDataFrame([(i, i % 2) for i in range(8)], "id long, y int")
+    answers = spark.createDataFrame([("c", i, i % 2) for i in range(8)], "competition string, id long, y int")
     limits = lookups.threshold_table(spark, {"c": (0.5, 0.7, 0.9, False)})
     seen = []
     halves = [[(0, 0.1), (1, 0.2), (2, 0.9), (3, 0.3)], [(4, 0.2), (5, 0.8), (6, 0.4), (7, 0.9)]]
@@ -42,8 +64,10 @@ def test_submission_in_two_files_is_graded_whole(spark, tmp_path):
     whole = spark.createDataFrame(halves[0] + halves[1], "id long, p double").join(answers, "id")
     want = metrics.auc(whole, "y", ["p"]).first()["auc"]
     got = jobs.latest_grades(spark, out).collect()
-    assert [(r["competition"], r["seed"], r["medal"]) for r in got] == [("c", 3, "bronze")]
+    assert [(r["competition"], r["seed"], r["medal"], r["reason"]) for r in got] == [("c", 3, "bronze", None)]
     assert got[0]["score"] == pytest.approx(want) and seen == [1, 1]
+    first = spark.read.parquet(out).where("batch = 0").first()
+    assert (first["score"], first["medal"], first["reason"]) == (None, "none", "missing ids")
 
 
 def test_timeouts_by_hand(spark, tmp_path):
@@ -56,7 +80,7 @@ def test_timeouts_by_hand(spark, tmp_path):
     for part in (rows[:3], rows[3:]):
         df = spark.createDataFrame(part, "run long, kind string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
         df.write.mode("append").parquet(source)
-        jobs.append_files(jobs.arrival_timeouts(jobs.file_stream(spark, source, schema), delay="4 hours"), out, check)
+        jobs.append_files(jobs.arrival_timeouts(jobs.file_stream(spark, source, schema), "4 hours"), out, check)
     got = {r["run"]: (r["status"], str(r["at"])) for r in spark.read.parquet(out).collect()}
     # run 3 starts before the last row of the first portion: the watermark delay keeps it
     assert got == {1: ("arrived", "2024-01-01 03:59:00"), 2: ("timeout", "2024-01-01 04:00:00"), 3: ("timeout", "2024-01-01 05:00:00")}
