@@ -138,6 +138,17 @@ def evaluation_report(runs: DataFrame, thresholds: DataFrame) -> DataFrame:
     )
 
 
+def nested_report(runs: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """``evaluation_report`` with ``results``: per seed the successful runs, their mean score and its standard error.
+
+    The list is as long as there are seeds; the runs of a seed are aggregated before they meet.
+    """
+    ok = F.when(F.col("success"), F.col("score"))
+    seeds = runs.groupBy("competition", "seed").agg(F.count_if("success").alias("runs"), mean_or_zero(ok).alias("mean"), sem(ok).alias("std_error"))
+    results = seeds.groupBy("competition").agg(F.array_sort(F.collect_list(F.struct("seed", "runs", "mean", "std_error"))).alias("results"))
+    return evaluation_report(runs, thresholds).join(results, "competition")
+
+
 def acceptable(success, completed, val, train, score: float, gap: float) -> Column:
     """Is a run good enough to stop? Its score reaches ``score`` and its training score is at most ``gap`` higher."""
     return (

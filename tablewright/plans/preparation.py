@@ -1,5 +1,6 @@
 """Queries: fitted feature preparation."""
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from tablewright.functions import strings
@@ -87,6 +88,13 @@ def poly2(t):
     return ft.poly2(t.multi, ["a", "b", "c"]).drop("a", "b", "c", "y")
 
 
+@query("user_step", "SELECT id, price / (1 + cust) AS ratio FROM tab", ("tab",))
+def user_step(t):
+    """A user's feature function as a pipeline stage."""
+    step = ft.Step(lambda df: df.withColumn("ratio", F.col("price") / (1 + F.col("cust"))))
+    return Pipeline(stages=[step]).fit(t.tab).transform(t.tab).select("id", "ratio")
+
+
 @query("scale_standard", """SELECT order_id, round((quantity - (SELECT avg(quantity) FROM items WHERE is_train)) / (SELECT stddev_pop(quantity) FROM items WHERE is_train), 6) AS quantity,
     round((tax - (SELECT avg(tax) FROM items WHERE is_train)) / (SELECT stddev_pop(tax) FROM items WHERE is_train), 6) AS tax FROM items""", ("items",))
 def scale_standard(t):

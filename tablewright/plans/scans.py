@@ -68,6 +68,16 @@ def scan_json_runs(t):
     return readers.read_json_rows(t.spark, path, "run long, step long, val_score double, success boolean")
 
 
+@query("scan_json_array", "SELECT run, step, val_score, success FROM runs", ("runs",))
+def scan_json_array(t):
+    """Result lists: JSON arrays of the runs of a thousand steps each, one array per line."""
+    entry = F.struct("run", "step", "val_score", "success")
+    lists = t.runs.groupBy("run", F.floor(F.col("step") / 1000).alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    path = scratch(t.spark, "run_lists")
+    lists.select("value").write.text(path)
+    return readers.read_json_rows(t.spark, path, "run long, step long, val_score double, success boolean")
+
+
 SINK_NAME = writers.submission_name("20240131_120000", "baseline", 42)
 
 
@@ -102,18 +112,25 @@ def sink_json(t):
 
 
 @query("trace_log", """SELECT 'action' AS type, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, id, 'execution' AS phase,
-      CAST(exit_code AS BIGINT) AS exit_code, CAST(NULL AS VARCHAR) AS selected FROM logs
+      CAST(exit_code AS BIGINT) AS exit_code, CAST(NULL AS VARCHAR) AS selected, session FROM logs
     UNION ALL SELECT 'decision', strftime(ts, '%Y-%m-%dT%H:%M:%S'), id, NULL, NULL,
-      CASE WHEN exit_code <> 0 THEN 'retry' ELSE 'accept' END FROM logs""", ("logs",))
+      CASE WHEN exit_code <> 0 THEN 'retry' ELSE 'accept' END, session FROM logs
+    UNION ALL SELECT 'improvement', strftime(ts, '%Y-%m-%dT%H:%M:%S'), id, NULL, NULL, 'keep', session FROM logs WHERE exit_code = 0
+    UNION ALL SELECT 'session', strftime(min(ts), '%Y-%m-%dT%H:%M:%S'), NULL, NULL, NULL, NULL, session FROM logs GROUP BY session""", ("logs",))
 def trace_log(t):
+    """A header per session, then its actions, decisions and improvements."""
     path, c = scratch(t.spark, "trace"), F.col
-    action = writers.trace_entries(t.logs, "action", c("ts"), phase=F.lit("execution"), id=c("id"), exit_code=c("exit_code"))
+    header = t.logs.groupBy("session").agg(F.min("ts").alias("ts"))
+    writers.append_trace(writers.trace_entries(header, "session", c("ts"), session=c("session")), path)
+    better = t.logs.where("exit_code = 0")
+    writers.append_trace(writers.trace_entries(better, "improvement", c("ts"), id=c("id"), selected=F.lit("keep"), session=c("session")), path)
+    action = writers.trace_entries(t.logs, "action", c("ts"), phase=F.lit("execution"), id=c("id"), exit_code=c("exit_code"), session=c("session"))
     choice = F.when(c("exit_code") != 0, "retry").otherwise("accept")
-    decision = writers.trace_entries(t.logs, "decision", c("ts"), id=c("id"), selected=choice)
+    decision = writers.trace_entries(t.logs, "decision", c("ts"), id=c("id"), selected=choice, session=c("session"))
     writers.append_trace(action, path)
     writers.append_trace(decision, path)
     got = readers.read_json_rows(t.spark, path, "type string, timestamp string, payload string")
-    body = F.from_json("payload", "phase string, id long, exit_code long, selected string")
+    body = F.from_json("payload", "phase string, id long, exit_code long, selected string, session long")
     return got.select("type", "timestamp", body.alias("b")).select("type", "timestamp", "b.*")
 
 

@@ -138,6 +138,14 @@ def evaluation_report(t):
     return rounded(df, "mean_score", "std_error", "avg_runtime_seconds", "margin", digits=6)
 
 
+@query("nested_report", f"""WITH {SEED_SQL} SELECT competition, seed, count(*) FILTER (WHERE success) AS runs, round(coalesce(avg(score) FILTER (WHERE success), 0), 6) AS mean,
+    round(coalesce(stddev_samp(score) FILTER (WHERE success) / sqrt(count(*) FILTER (WHERE success)), 0), 6) AS std_error,
+    CAST(sum(count(*)) OVER (PARTITION BY competition) AS BIGINT) AS num_seeds FROM seeds GROUP BY 1, 2""", ("runs",))
+def nested_report(t):
+    report = st.nested_report(seed_runs(t), lk.threshold_table(t.spark, EVENT_THRESHOLDS))
+    return rounded(report.select("competition", "num_seeds", F.inline("results")), "mean", "std_error", digits=6)
+
+
 @query("duplicate_ids", "SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM sub GROUP BY id)", ("sub",))
 def duplicate_ids(t):
     return st.duplicate_ids(t.sub, "id")

@@ -45,13 +45,16 @@ LANG_SQL = "(VALUES " + ", ".join(
 ) + ") AS th(competition, bronze, silver, gold, lower_is_better)"
 
 
-@query("stream_grade", f"""WITH s AS (SELECT d.doc_id AS id, d.lang AS competition, y, p AS s0, words AS s1 FROM pred JOIN documents d ON d.doc_id = pred.id),
+GRADE_SQL = f"""WITH s AS (SELECT d.doc_id AS id, d.lang AS competition, y, p AS s0, words AS s1 FROM pred JOIN documents d ON d.doc_id = pred.id),
     l AS (SELECT competition, 0 AS seed, y, s0 AS v FROM s UNION ALL SELECT competition, 1, y, s1 FROM s),
     r AS (SELECT *, rank() OVER (PARTITION BY competition, seed ORDER BY v) + (count(*) OVER (PARTITION BY competition, seed, v) - 1) / 2.0::double AS r FROM l),
     a AS (SELECT competition, seed, {AUC_SQL} AS score FROM r GROUP BY 1, 2)
     SELECT a.competition, seed, round(score, 9) AS score, bronze IS NOT NULL AS has_threshold, {MEDAL_SQL} AS medal,
-      round(score - bronze, 9) AS margin, NULL::varchar AS reason FROM a LEFT JOIN {LANG_SQL} ON a.competition = th.competition""", ("pred",))
-def stream_grade(t):
+      round(score - bronze, 9) AS margin, NULL::varchar AS reason FROM a LEFT JOIN {LANG_SQL} ON a.competition = th.competition"""
+
+
+def graded_arrivals(t):
+    """Runs the job once per seed; gives the folder that holds its output and what the callback has written."""
     base = scratch(t.spark, "submissions")
     root = f"{base}/in"
     scored = t.pred.join(t.documents.select(F.col("doc_id").alias("id"), "lang"), "id")
@@ -63,8 +66,20 @@ def stream_grade(t):
             one = scored.where(F.col("lang") == lang).select("id", F.col(score).alias("p"))
             writers.write_csv(one, f"{root}/{lang}/seed_{seed}")
         stream = jobs.file_stream(t.spark, root, "id long, p double", "csv", header="true")
-        jobs.grade_arrivals(stream, root, "id long, p double", answers, thresholds, f"{base}/out", f"{base}/check")
-    return rounded(jobs.latest_grades(t.spark, f"{base}/out"), "score", "margin")
+        jobs.grade_arrivals(stream, root, "id long, p double", answers, thresholds, f"{base}/out", f"{base}/check",
+                            on_found=lambda found: found.write.mode("append").parquet(f"{base}/found"))
+    return base
+
+
+@query("stream_grade", GRADE_SQL, ("pred",))
+def stream_grade(t):
+    return rounded(jobs.latest_grades(t.spark, f"{graded_arrivals(t)}/out"), "score", "margin")
+
+
+@query("stream_callback", GRADE_SQL, ("pred",))
+def stream_callback(t):
+    """What the user's function was given, batch by batch."""
+    return rounded(t.spark.read.parquet(f"{graded_arrivals(t)}/found"), "score", "margin")
 
 
 @query("stream_medal_report", f"""WITH {SEED_SQL}, {REPORT_SQL} SELECT competition, total_runs, submissions, gold, silver, bronze,
