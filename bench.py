@@ -17,7 +17,7 @@ HEADLINE = [
     "tfidf_word", "tfidf_char", "log_metrics", "error_action", "array_resample", "validate_submission", "metric_auc",
     "grade_submission", "stream_metric_issues", "stream_medal_report",
 ]
-ROWS_PER_SECOND = {"dataset_profile": "lineitem", "tfidf_word": "labels", "metric_auc": "labels", "validate_submission": "documents"}
+ROWS_PER_SECOND = {"dataset_profile": "lineitem", "tfidf_word": "documents", "metric_auc": "labels", "validate_submission": "documents"}
 
 
 def main():
