@@ -34,24 +34,29 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = set("article main body html table ul ol dl section div td blockquote".split())
 #: Elements, and words of class, id or role, that are not the article's own text.
-ASIDE = set("nav header footer aside form script style noscript template button select textarea iframe svg head title menu dialog".split())
+ASIDE = set("nav footer aside form script style noscript template button select textarea iframe svg head title menu dialog".split())
 ASIDE_WORDS = set(
-    "ad ads advert advertisement adverts sponsor sponsored promo banner cookie cookies consent notice notices alert menu nav navbar navigation breadcrumb breadcrumbs sidebar "
-    "footer header contentinfo complementary comment comments reply replies disqus share sharing social related recommended newsletter subscribe signup login search popup modal "
+    "ad ads advert advertisement adverts sponsor sponsored promo cookie cookies consent notice notices menu nav navbar navigation breadcrumb breadcrumbs sidebar "
+    "footer contentinfo complementary comment comments reply replies disqus share sharing social related recommended newsletter subscribe signup login search popup modal "
     "widget copyright pagination pager toolbar".split()
 )
+#: These are the page's outside an article, and the article's inside it.
+OUTSIDE = {"header", "banner", "alert"}
 CORE = {"article", "main"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?=[/A-Za-z])[^>]*(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 
 
+ALWAYS, NOT_INSIDE = 2, 1
+
+
 class Node:
     """An element, or a text (sign ``#``) whose ``text`` is None once it is a slot. ``many`` is one of 1 ? + *."""
 
     __slots__ = ("tag", "sign", "aside", "kids", "text", "many", "chars", "linked", "seen")
 
-    def __init__(self, tag: str, sign: str, aside: bool = False, text: str | None = None):
+    def __init__(self, tag: str, sign: str, aside: int = 0, text: str | None = None):
         self.tag, self.sign, self.aside, self.text = tag, sign, aside, text
         self.kids: list[Node] = []
         self.many, self.chars, self.linked, self.seen = "1", len(text or ""), 0, 1
@@ -65,7 +70,10 @@ def _element(tag: str, attributes: str) -> Node:
             words += [w.lower() for w in found]
             core |= name.lower() == "itemprop" and "articleBody" in found or name.lower() == "role" and "main" in found
     sign = ".".join([tag, *sorted(set(words))])
-    return Node("main" if core else tag, sign, tag in ASIDE or not ASIDE_WORDS.isdisjoint(words) and tag not in ("body", "html", "article", "main"))
+    named = tag not in ("body", "html", "article", "main")
+    aside = tag in ASIDE or named and not ASIDE_WORDS.isdisjoint(words)
+    outside = tag in OUTSIDE or named and not OUTSIDE.isdisjoint(words)
+    return Node("main" if core else tag, sign, ALWAYS if aside else NOT_INSIDE if outside else 0)
 
 
 def parse(html: str) -> Node:
@@ -191,7 +199,7 @@ def judged(wrapper: Node, pages: int) -> dict[str, int]:
 
     def visit(node: Node, path: str, aside: bool, core: bool) -> None:
         core = core or node.tag in CORE and not aside
-        aside = aside or node.aside and not (node.tag == "header" and core)
+        aside = aside or node.aside == ALWAYS or node.aside == NOT_INSIDE and not core
         for k in node.kids:
             if k.sign != "#":
                 visit(k, f"{path}>{k.sign}", aside, core)
