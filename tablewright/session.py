@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+_MADE: list[str] = []
+
 
 def build_session(app: str = "tablewright", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with the settings the jobs rely on. On a cluster leave ``master`` and ``partitions`` unset."""
@@ -37,8 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder; ``scratch_scope`` deletes it."""
+    _MADE.append(os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}"))
+    return _MADE[-1]
 
 
 def checkpointed(df):
@@ -54,3 +58,17 @@ def written(df, name: str = "table"):
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes, at its end, the scratch folders made inside it; results that read them must be written elsewhere by then."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for made in _MADE[before:]:
+            path = paths(made)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        del _MADE[before:]

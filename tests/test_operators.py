@@ -315,3 +315,14 @@ def test_blocks_keep_their_ids(spark):
     waves = spark.createDataFrame([(1, [0.5, 0.6], 1)], "id long, wave array<double>, label int")
     got = lookups.fuse_features(waves, table, "id", ["v"], 2).orderBy("id").collect()
     assert [r["features"] for r in got] == [[0.5, 0.6, 2.0], [0.0, 0.0, 3.0]]
+
+
+def test_scratch_folders_go_with_their_scope(spark):
+    import os
+
+    from tablewright.session import scratch_scope, written
+
+    outside = written(spark.range(3), "kept")
+    with scratch_scope(spark):
+        path = written(spark.range(5), "gone").inputFiles()[0]
+    assert not os.path.exists(path.removeprefix("file://")) and outside.count() == 3
