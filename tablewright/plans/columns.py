@@ -47,8 +47,8 @@ def bad_prob_rows(t):
     return probs.where(bad_probability_sum(["a", "b", "c"], fixed.SUM_TOLERANCE)).select("id")
 
 
-@query("guarded_drop", """SELECT 'tight' AS part, id, false AS dropped FROM tab
-    UNION ALL SELECT 'loose', id, true FROM tab WHERE price IS NOT NULL""", ("tab",))
+@query("guarded_drop", f"""SELECT part, id, share < edge AS dropped FROM tab, (SELECT avg(CAST(price IS NULL AS DOUBLE)) AS share FROM tab) s,
+      (VALUES ('tight', {fixed.DROP_SHARE}), ('loose', 0.10)) l(part, edge) WHERE price IS NOT NULL OR share >= edge""", ("tab",))
 def guarded_drop(t):
     # 6.6 % of the prices are missing: above the usual limit of 5 %, below a limit of 10 %
     bad = F.col("price").isNull()

@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from tablewright import fixed
 from tablewright.operators import files, roles
 from tablewright.plans.registry import query
 
@@ -61,9 +62,12 @@ def submission_format(t):
     return stacked([roles.submission_format(getattr(t, v), v) for v in ("sub", "multi", "refs")])
 
 
-@query("text_norm_detect", """SELECT 's2s' AS dataset, true AS is_text_normalisation, bool_or(upper('plain') IN ('PLAIN')) AS known_classes,
+TAGS = ", ".join(f"'{x}'" for x in fixed.NORMALISATION_CLASSES)
+
+
+@query("text_norm_detect", f"""SELECT 's2s' AS dataset, true AS is_text_normalisation, bool_or(CASE WHEN length(before) > 0 THEN upper('plain') END IN ({TAGS})) AS known_classes,
       count(*) AS rows FROM s2s
-    UNION ALL SELECT 'roles', true, false, count(*) FROM conversations
+    UNION ALL SELECT 'roles', true, bool_or(upper(role) IN ({TAGS})), count(*) FROM conversations
     UNION ALL SELECT 'names', false, false, count(*) FROM names""", ("s2s", "names"))
 def text_norm_detect(t):
     tagged = t.s2s.withColumn("class", F.when(F.length("before") > 0, "plain"))
