@@ -37,11 +37,12 @@ def either_case(word: str) -> str:
 
 
 _NAMES = "|".join([*map(either_case, ("password", "passwd", "secret", "token")), either_case("api") + "_?" + either_case("key")])
-#: The base rules, in their order.
+#: The base rules, in their order. ``AKIA[A-Z0-9]+`` of 16 characters and ``[0-9a-f]+`` of 32 are written with their lengths: a run is
+#: matched whole or not at all, so the matches are the same, and short runs, of which texts are full, make no rows.
 BASE = [
     Rule("assign", f"({_NAMES})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
-    Rule("access", "AKIA[A-Z0-9]+", 0, 16),
-    Rule("hex", "[0-9a-f]+", 0, 32),
+    Rule("access", "AKIA[A-Z0-9]{12,}", 0, 16),
+    Rule("hex", "[0-9a-f]{32,}", 0, 32),
 ]
 #: Rules that the method adds: public formats of keys and tokens.
 ADDED = [
