@@ -24,6 +24,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_slices(batches, rows: int = 500):
+    """The batches in slices, so that a task turns only so many texts at once into Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def whole_text(column="text"):
     """The text with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

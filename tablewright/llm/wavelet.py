@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm import vocabulary
-from tablewright.llm.common import id_type, partitions, table, whole_text, written
+from tablewright.llm.common import id_type, in_slices, partitions, table, whole_text, written
 from tablewright.llm.pretokens import chunks, gather, split_batch
 from tablewright.llm.registry import query
 
@@ -29,7 +29,7 @@ HEAD = struct.Struct("<4sBQ")  # magic, planes, ids
 PLANE = struct.Struct("<QQ")  # zeros, compressed bytes
 #: A shard is closed once it holds so many ids; a longer document is a shard of its own.
 SHARD_IDS = 2_000_000
-KEPT = 200_000
+KEPT = 500_000
 
 
 class WaveletMatrix:
@@ -48,11 +48,11 @@ class WaveletMatrix:
         press = zstandard.ZstdCompressor(level=1)
         out = [HEAD.pack(MAGIC, planes, len(ids))]
         for k in range(planes - 1, -1, -1):
-            bit = (now >> k & 1).astype(bool)
+            bit = (now >> now.dtype.type(k) & now.dtype.type(1)).astype(np.uint8).view(bool)
             packed = press.compress(np.packbits(bit, bitorder="little").tobytes())
-            ones = now[bit]
+            ones = np.compress(bit, now)  # faster than a mask
             out += [PLANE.pack(len(now) - len(ones), len(packed)), packed]
-            now = np.concatenate([now[~bit], ones])
+            now = np.concatenate([np.compress(~bit, now), ones])
         return b"".join(out)
 
     @classmethod
@@ -144,8 +144,8 @@ class WaveletMatrix:
         for k in range(planes - 1, -1, -1):
             bit = np.unpackbits(self.words[k].view(np.uint8), count=self.n, bitorder="little").view(bool)
             before = np.empty_like(now)
-            before[~bit] = now[: self.zeros[k]]
-            before[bit] = now[self.zeros[k] :] | now.dtype.type(1 << planes - 1 - k)
+            before[np.flatnonzero(~bit)] = now[: self.zeros[k]]
+            before[np.flatnonzero(bit)] = now[self.zeros[k] :] | now.dtype.type(1 << planes - 1 - k)
             now = before
         return now
 
@@ -158,19 +158,36 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path or vocabulary.default_path())
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
+        self.line = self.library.encode("\n", add_special_tokens=False).ids
+
+    def learn(self, words: list[str]) -> None:
+        """Keep the ids of new pre-tokens. Those without white space at their end go to the library as lines of one text: a line break is a
+        pre-token of its own, so every line is split off as it stands; the rest go one by one."""
+        lines = [w for w in words if w.strip() and w[-1:].strip() and w not in self.special and "\n" not in w]
+        flat: list[int] = []
+        for k in range(0, len(lines), 100):
+            flat += self.library.encode_batch_fast(["\n".join(lines[k : k + 100])], add_special_tokens=False)[0].ids
+            flat += self.line
+        ids = np.array(flat, np.int32)
+        cut = np.flatnonzero(ids == self.line[0])
+        if len(self.line) == 1 and len(cut) == len(lines):
+            raw, ends = ids.tobytes(), cut.tolist()
+            for w, x, y in zip(lines, [-1, *ends], ends, strict=False):
+                self.known[w] = raw[4 * x + 4 : 4 * y]
+        rest = [w for w in words if w not in self.known]
+        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, ids of each text."""
         batch = split_batch(texts, self.special)
         if len(self.known) > KEPT:
             self.known.clear()
-        new = [w for w in batch.words if w not in self.known]
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.int32)
+        self.learn([w for w in batch.words if w not in self.known])
         pieces = [self.known[w] for w in batch.words]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int64)
-        out, size = gather(np.concatenate([np.zeros(0, np.int32), *pieces]), offsets, batch.codes)
+        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in pieces])]).astype(np.int64)
+        out, size = gather(np.frombuffer(b"".join(pieces), np.int32), offsets, batch.codes)
         run = np.concatenate([[0], np.cumsum(size)])
         return out, np.diff(run[batch.bounds])
 
@@ -212,7 +229,7 @@ def write_shards(df: DataFrame, path: str | None = None, end_id: int = 2, shard_
             return pa.RecordBatch.from_arrays(row, ["part", "shard", "first", "n_ids", "doc_ids", "sizes", "blob"])
 
         pa_id = pa.int64()
-        for b in batches:
+        for b in in_slices(batches):
             pa_id = b.schema.field("doc_id").type
             names, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             for lo, hi in chunks(texts):
