@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +28,23 @@ def partitions(spark: SparkSession) -> int:
 
 
 def in_slices(batches, rows: int = 500):
-    """The batches in slices, so that a task turns only so many texts at once into Python objects."""
+    """The batches in slices, so that a task turns only so many texts at once into Python objects.
+
+    What a batch has used goes back to the system after it: Python workers live on through later stages.
+    """
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+        del b
+        give_back()
+
+
+def give_back() -> None:
+    """Hand free memory of Arrow and of the C library back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def whole_text(column="text"):

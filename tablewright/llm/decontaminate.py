@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import id_type, table, whole_text, written
+from tablewright.llm.common import id_type, in_slices, table, whole_text, written
 from tablewright.llm.registry import query
 
 GRAM = 3
@@ -110,7 +110,7 @@ def passages(docs: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
     bits = bit_table(seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             row, first, texts, held = [], [], [], []
             for r, text in enumerate(b.column("text").to_pylist()):
                 words = words_of(text)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.cells import dealt, each_cell
-from tablewright.llm.common import id_type, table, whole_text, written
+from tablewright.llm.common import id_type, in_slices, table, whole_text, written
 from tablewright.llm.components import Forest, components
 from tablewright.llm.registry import query
 
@@ -32,7 +32,6 @@ MATCHES = 24  # P(binomial(48, 0.8) < 24) is 8e-7
 LIST_BLOCK = 400  # classes of a posting list in one block
 FAMILY_BLOCK = 500  # classes of a family in one block, or as many as hold
 FAMILY_SHINGLES = 1_000_000  # this many shingles
-PAIRS = 200_000  # pairs that are compared at once
 
 _rng = np.random.default_rng(20240229)
 _TIMES = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,7 +69,7 @@ def signed(df: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, mark, sig) of each row; mark names the set; an empty set has no mark and no signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             texts = b.column("text").to_pylist()
             at = 0
             while at < len(texts):

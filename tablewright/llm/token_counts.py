@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm import vocabulary
-from tablewright.llm.common import id_type, table, whole_text
+from tablewright.llm.common import id_type, in_slices, table, whole_text
 from tablewright.llm.pretokens import chunks, split_batch
 from tablewright.llm.registry import query
 
@@ -91,7 +91,7 @@ def token_counts(df: DataFrame, limit: int = 1024, path: str | None = None) -> D
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             n = counts_of(b.column("text").to_pylist(), path)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 

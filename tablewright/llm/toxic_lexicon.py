@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import id_type, table, whole_text, written
+from tablewright.llm.common import id_type, in_slices, table, whole_text, written
 from tablewright.llm.registry import query
 
 #: Look-alikes of Latin letters (Cyrillic, Greek and others), digits and signs used for letters. i, l, 1 and | fold alike.
@@ -140,10 +140,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, entries: int = 5
             clean.clear()
             return out
 
-        for b in batches:
+        for b in in_slices(batches):
             for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 (toxic if label else clean).update(_entries(folded(text)))
-                if len(toxic) + len(clean) > 300_000:
+                if len(toxic) + len(clean) > 100_000:
                     yield flush()
         yield flush()
 
@@ -188,7 +188,7 @@ def scored(df: DataFrame, lexicon: Lexicon, keep: str) -> DataFrame:
     """(keep, strength, score) of each row's whole text; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             x = np.array([lexicon.strength(t) for t in b.column("text").to_pylist()], float)
             s = 1 / (1 + np.exp(-np.clip(lexicon.bias + lexicon.slope * x, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(x), pa.array(s)], [keep, "strength", "score"])

@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm import vocabulary
-from tablewright.llm.common import id_type, table, whole_text
+from tablewright.llm.common import id_type, in_slices, table, whole_text
 from tablewright.llm.pretokens import chunks, gather, split_batch
 from tablewright.llm.registry import query
 
 #: What a Python worker keeps between batches: ids of pre-tokens, and pairs found stable or not. More is worked out again.
-KEPT_WORDS = 150_000
-KEPT_PAIRS = 300_000
+KEPT_WORDS = 100_000
+KEPT_PAIRS = 200_000
 
 
 class Transducer:
@@ -221,7 +221,7 @@ def encode(df: DataFrame, path: str | None = None, column: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
-        for b in batches:
+        for b in in_slices(batches):
             texts = b.column("text").to_pylist()
             for lo, hi in chunks(texts, 2_000_000):
                 ids, at = t.encode(texts[lo:hi])
@@ -232,6 +232,25 @@ def encode(df: DataFrame, path: str | None = None, column: str = "text") -> Data
     return df.select("doc_id", whole_text(column).alias("text")).mapInArrow(run, f"doc_id {id_type(df)}, ids array<int>")
 
 
+def round_trip(df: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
+    """(doc_id, ids, text) of each row: its text encoded, and the ids decoded again, as ``decode(encode(df))`` gives them.
+
+    One Python worker does both for a task, so an executor holds the tables of one worker per core.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = transducer(path)
+        for b in in_slices(batches):
+            texts = b.column("text").to_pylist()
+            for lo, hi in chunks(texts, 2_000_000):
+                ids, at = t.encode(texts[lo:hi])
+                again = ["".join(decoded(ids[x:y], path)) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), lists, pa.array(again, pa.string())], ["doc_id", "ids", "text"])
+
+    return df.select("doc_id", whole_text(column).alias("text")).mapInArrow(run, f"doc_id {id_type(df)}, ids array<int>, text string")
+
+
 def decode(df: DataFrame, path: str | None = None) -> DataFrame:
     """The rows (doc_id, ids) with ``text`` decoded from ids; null or empty ids give the empty text."""
 
@@ -258,4 +277,4 @@ def digests(decoded_rows: DataFrame) -> DataFrame:
 
 @query("op8_bpe_transducer")
 def op8(spark, sf_dir):
-    return digests(decode(encode(table(spark, sf_dir, "documents"))))
+    return digests(round_trip(table(spark, sf_dir, "documents")))
