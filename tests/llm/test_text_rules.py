@@ -227,6 +227,55 @@ def test_decontamination(spark, documents):
     assert decontaminate.contaminated(documents(rows), benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_edited_copies(spark, documents):
+    """Items whose only copy is edited, against full Smith-Waterman: every k-th word replaced, random edits of 10 to 30 %, words put in between."""
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    items, rows = [], []
+    for k, n in enumerate([3, 5, 7, 15, 20, 38, 59] * 9):
+        item = [word() for _ in range(n)]
+        if k < 7:
+            copy = [word() if j % 5 == 2 else w for j, w in enumerate(item)]
+        elif k < 14:
+            copy = [word() if j % 3 == 2 else w for j, w in enumerate(item)]
+        elif k < 21:
+            copy = [x for w in item for x in (w, word())][:-1]
+        else:
+            copy = [x for w in item for x in ([w], [word()], [], [w, word()])[rng.choices(range(4), [10 - k // 21, k // 21, k // 42, k // 42])[0]]]
+        items.append((k, " ".join(item)))
+        rows.append((k, " ".join([*(word() for _ in range(90)), *copy, *(word() for _ in range(rng.randint(0, 90)))])))
+    rows += [(k + 100, f"{rows[k][1]} {rows[k + 30][1]} {items[k][1].upper()}") for k in range(20)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.score, 9) for r in decontaminate.contaminated(documents(rows), benchmark).collect()}
+    want = {}
+    for i, t in rows:
+        for k, u in items:
+            a, b = decontaminate.words_of(u), decontaminate.words_of(t)
+            if set(a) & set(b):
+                score = local_score(a, b) / (decontaminate.MATCH * len(a))
+                if score >= 0.5:
+                    want[i, k] = round(score, 9)
+    assert got == want and all((k, k) in want for k in range(7, 21))
+
+
+def test_every_copy_shares_the_needed_seeds():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        item = rng.choices([b"a", b"b", b"c", b"d", b"e"], k=rng.randint(3, 24))
+        text = rng.choices([b"a", b"b", b"c", b"d", b"e"], k=rng.randint(0, 30))
+        threshold = rng.choice([0.2, 0.5, 0.7, 0.9, 1.0])
+        score, lo, hi = decontaminate.alignment(item, text)
+        if score / (decontaminate.MATCH * len(item)) >= threshold:
+            size, need = decontaminate.needed(len(item), threshold)
+            held = set(decontaminate.grams_of(text[lo:hi], size)[0].tolist())
+            assert len({p for g, p in zip(*map(list, decontaminate.grams_of(item, size)), strict=True) if int(g) in held}) >= need
+            assert hi - lo <= decontaminate.widest_copy(len(item), threshold)
+
+
 @pytest.fixture(scope="module")
 def pipeline():
     import corpus_pipeline
