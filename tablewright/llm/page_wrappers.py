@@ -9,12 +9,14 @@ dropped by their place in the wrapper. A place that the host's wrapper does not
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from difflib import SequenceMatcher
 from html import unescape
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,8 +27,6 @@ from tablewright.llm.url_rules import url_parts
 
 #: Pages of a host that its wrapper is inferred from.
 PAGES = 16
-#: Elements nested deeper than this stay in the element at this depth, with all their texts.
-DEPTH = 100
 #: Fixed values of HTML: elements without content, with raw content, inside lines, and what a start tag closes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noframes template".split())
@@ -80,7 +80,13 @@ def parse(html: str) -> Node:
     """The tree of a page; end tags that are missing are supplied, stray ones ignored, comments left out."""
     root = Node("html", "page")
     stack = [root]
+    opened: Counter = Counter()
     pos = 0
+
+    def close(k: int) -> None:
+        opened.subtract(x.sign.split(".")[0] for x in stack[k:])
+        del stack[k:]
+
     while True:
         m = TOKEN.search(html, pos)
         text = html[pos : m.start() if m else len(html)]
@@ -93,17 +99,17 @@ def parse(html: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1 if opened[tag] > 0 else 0, 0, -1):
                 if stack[k].sign.split(".")[0] == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag in INLINE and stack[k].tag in SCOPE:
                     break
             continue
         closing = CLOSES.get(tag) or (set() if tag in INLINE or tag in VOID else {"p"})
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1 if any(opened[x] > 0 for x in closing) else 0, 0, -1):
             if stack[k].tag in closing:
-                del stack[k:]
+                close(k)
                 break
             if stack[k].tag in SCOPE and not (tag == "tr" and stack[k].tag == "td"):
                 break
@@ -114,11 +120,25 @@ def parse(html: str) -> Node:
             if not end:
                 return root
             pos = end.end()
-        elif tag not in VOID and not m[3].endswith("/") and len(stack) < DEPTH:
+        elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            opened[tag] += 1
+
 
+def finished(steps: Generator):
+    """The result of steps that yield the steps they wait for: a stack of its own, so that pages nest as deep as they like."""
+    stack, value = [steps], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+    return value
 
-def fold(kids: list[Node]) -> list[Node]:
+
+def fold(kids: list[Node]) -> Generator:
     """Neighbouring groups of one to three equal signs become one repeated group."""
     out = [k for k in kids if k.sign != "#" or k.text is None or k.text.strip()]
     for size in (1, 2, 3):
@@ -126,29 +146,34 @@ def fold(kids: list[Node]) -> list[Node]:
         while i + 2 * size <= len(out):
             a, b = out[i : i + size], out[i + size : i + 2 * size]
             if [k.sign for k in a] == [k.sign for k in b] and (size > 1 or a[0].sign != "#"):
-                out[i : i + 2 * size] = [join(x, y, repeat=True) for x, y in zip(a, b, strict=True)]
+                group = []
+                for x, y in zip(a, b, strict=True):
+                    group.append((yield join(x, y, repeat=True)))
+                out[i : i + 2 * size] = group
             else:
                 i += 1
     return out
 
 
-def join(a: Node, b: Node, repeat: bool = False) -> Node:
+def join(a: Node, b: Node, repeat: bool = False) -> Generator:
     """One node that stands for both: ``repeat`` for two neighbours of a page, else the same place of two pages."""
     out = Node(a.tag, a.sign, a.aside)
     out.text = a.text if a.text is not None and b.text is not None and a.text.strip() == b.text.strip() else None
     out.chars, out.linked, out.seen = a.chars + b.chars, a.linked + b.linked, max(a.seen, b.seen) if repeat else a.seen + b.seen
     more, less = repeat or "+" in (a.many, b.many) or "*" in (a.many, b.many), a.many in "?*" or b.many in "?*"
     out.many = "*" if more and less else "+" if more else "?" if less else "1"
-    out.kids = fold(align(a.kids, b.kids))
+    if a.kids or b.kids:
+        out.kids = yield fold((yield align(a.kids, b.kids)))
     return out
 
 
-def align(a: list[Node], b: list[Node]) -> list[Node]:
+def align(a: list[Node], b: list[Node]) -> Generator:
     """Equal signs in the same order are joined, the rest becomes optional."""
     out: list[Node] = []
     for what, i, j, k, m in SequenceMatcher(None, [x.sign for x in a], [x.sign for x in b], False).get_opcodes():
         if what == "equal":
-            out += [join(x, y) for x, y in zip(a[i:j], b[k:m], strict=True)]
+            for x, y in zip(a[i:j], b[k:m], strict=True):
+                out.append((yield join(x, y)))
             continue
         for node in a[i:j] + b[k:m]:
             node.many = "*" if node.many in "+*" else "?"
@@ -156,17 +181,22 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
     return out
 
 
-def folded_page(node: Node, link: bool = False) -> Node:
+def folded_page(page: Node) -> Node:
     """A page as a wrapper: repeats folded from the leaves up, lengths of texts and of link texts noted."""
-    link = link or node.tag == "a"
-    for k in node.kids:
-        if k.sign == "#":
-            k.chars = len(k.text.strip())
-            k.linked = k.chars if link else 0
-        else:
-            folded_page(k, link)
-    node.kids = fold(node.kids)
-    return node
+    order, todo = [], [(page, False)]
+    while todo:
+        node, link = todo.pop()
+        link = link or node.tag == "a"
+        order.append(node)
+        for k in node.kids:
+            if k.sign == "#":
+                k.chars = len(k.text.strip())
+                k.linked = k.chars if link else 0
+            else:
+                todo.append((k, link))
+    for node in reversed(order):
+        node.kids = finished(fold(node.kids))
+    return page
 
 
 def infer(pages: list[str]) -> Node:
@@ -174,54 +204,74 @@ def infer(pages: list[str]) -> Node:
     wrapper = None
     for html in pages:
         page = folded_page(parse(html))
-        wrapper = page if wrapper is None else join(wrapper, page)
+        wrapper = page if wrapper is None else finished(join(wrapper, page))
     return wrapper
 
 
-def expression(node: Node) -> str:
+def expression(wrapper: Node) -> str:
     """The wrapper as a regular expression: constants quoted, slots as #."""
-    if node.sign == "#":
-        return "#" if node.text is None else repr(node.text.strip())
-    body = " ".join(expression(k) for k in node.kids)
-    return f"<{node.sign}>({body}){node.many if node.many != '1' else ''}"
+    out: list[str] = []
+    todo: list[Node | str] = [wrapper]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append(node)
+        elif node.sign == "#":
+            out.append("#" if node.text is None else repr(node.text.strip()))
+        else:
+            out.append(f"<{node.sign}>(")
+            todo.append(f"){node.many if node.many != '1' else ''}")
+            for n, k in enumerate(reversed(node.kids)):
+                todo += [" ", k] if n else [k]
+    return "".join(out)
+
+
+def inside(path: int, sign: str) -> int:
+    """The place of an element: a hash of the place around it and its sign."""
+    return int.from_bytes(xxhash.xxh3_64_digest(f"{path}>{sign}".encode("utf-8", "surrogatepass")), "big", signed=True)
 
 
 CORE_TEXT, OTHER_TEXT = 1, 2
 
 
-def judged(wrapper: Node, pages: int) -> dict[str, int]:
+def judged(wrapper: Node, pages: int) -> dict[int, int]:
     """What the texts at each place of a wrapper are: CORE_TEXT inside an article or main element, OTHER_TEXT, or 0 for asides.
 
     Other text is what stands outside asides, is links in less than half of its length and is no constant of several pages; it
     is the article of pages without an article or main element.
     """
-    out: dict[str, int] = {}
-
-    def visit(node: Node, path: str, aside: bool, core: bool) -> None:
-        core = core or node.tag in CORE and not aside
-        aside = aside or node.aside == ALWAYS or node.aside == NOT_INSIDE and not core
-        for k in node.kids:
-            if k.sign != "#":
-                visit(k, f"{path}>{k.sign}", aside, core)
-            elif not aside:
-                other = k.linked * 2 <= k.chars and not (pages > 2 and k.seen == pages and k.text is not None)
-                out[path] = out.get(path, 0) or (CORE_TEXT if core else OTHER_TEXT if other else 0)
-            else:
-                out.setdefault(path, 0)
-
-    visit(wrapper, wrapper.sign, False, False)
+    out: dict[int, int] = {}
+    todo: list[tuple[Node, int, bool, bool]] = [(wrapper, inside(0, wrapper.sign), False, False)]
+    while todo:
+        node, path, aside, core = todo.pop()
+        if node.sign != "#":
+            core = core or node.tag in CORE and not aside
+            aside = aside or node.aside == ALWAYS or node.aside == NOT_INSIDE and not core
+            todo += [(k, path if k.sign == "#" else inside(path, k.sign), aside, core) for k in reversed(node.kids)]
+        elif not aside:
+            other = node.linked * 2 <= node.chars and not (pages > 2 and node.seen == pages and node.text is not None)
+            out[path] = out.get(path, 0) or (CORE_TEXT if core else OTHER_TEXT if other else 0)
+        else:
+            out.setdefault(path, 0)
     return out
 
 
-def _has_core(node: Node) -> bool:
-    return any(k.sign != "#" and not k.aside and (k.tag in CORE or _has_core(k)) for k in node.kids)
+def _has_core(page: Node) -> bool:
+    todo = [page]
+    while todo:
+        for k in todo.pop().kids:
+            if k.sign != "#" and not k.aside:
+                if k.tag in CORE:
+                    return True
+                todo.append(k)
+    return False
 
 
-def main_text(html: str, places: dict[str, int]) -> str:
+def main_text(html: str, places: dict[int, int]) -> str:
     """Texts of the places that belong to the article, blocks joined by one blank."""
     page = parse(html)
     wanted = CORE_TEXT if _has_core(page) else OTHER_TEXT
-    own: dict[str, int] | None = None
+    own: dict[int, int] | None = None
     blocks: list[str] = []
     line: list[str] = []
 
@@ -231,7 +281,7 @@ def main_text(html: str, places: dict[str, int]) -> str:
             blocks.append(block)
         line.clear()
 
-    todo: list[tuple[Node, str, bool]] = [(page, page.sign, False)]
+    todo: list[tuple[Node, int, bool]] = [(page, inside(0, page.sign), False)]
     while todo:
         node, path, ended = todo.pop()
         if node.sign == "#":
@@ -247,7 +297,7 @@ def main_text(html: str, places: dict[str, int]) -> str:
             close()
         if not ended:
             todo.append((node, path, True))
-            todo += [(k, path if k.sign == "#" else f"{path}>{k.sign}", False) for k in reversed(node.kids)]
+            todo += [(k, path if k.sign == "#" else inside(path, k.sign), False) for k in reversed(node.kids)]
     close()
     return " ".join(blocks)
 
@@ -270,7 +320,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         places = judged(wrapper, len(rows))
         return pd.DataFrame({"host": [key[0]], "places": [list(places.items())], "wrapper": [expression(wrapper)]})
 
-    out = sample.groupBy("host").applyInPandas(one, "host string, places array<struct<path:string,keep:int>>, wrapper string")
+    out = sample.groupBy("host").applyInPandas(one, "host string, places array<struct<path:long,keep:int>>, wrapper string")
     return written(out, "wrappers")
 
 
@@ -288,7 +338,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", whole_text("html").alias("html"), host.alias("host")).join(known, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places_of: dict[str, dict[str, int]] = {}
+        places_of: dict[str, dict[int, int]] = {}
         for b in batches:
             texts = []
             hosts, places = b.column("host").to_pylist(), b.column("places")

@@ -137,6 +137,16 @@ def test_long_pages_end():
     assert page_wrappers.main_text(html, {}).startswith("word x word x")
 
 
+def test_deep_pages():
+    deep = 5000
+    html = "<div><article>" + "<div>" * deep + "x" + "</div>" * deep + "<p>tail</p></article></div>"
+    assert page_wrappers.main_text(html, {}) == "x tail"
+    assert page_wrappers.main_text(html, page_wrappers.judged(page_wrappers.infer([html, html.replace("x", "y")]), 2)) == "x tail"
+    html = "<article>" + "<div>" * 150 + "a<nav>b</nav><form><div>c</div></form><div class=comments>d</div>e" + "</div>" * 150 + "</article>"
+    assert page_wrappers.main_text(html, {}) == "a e"
+    assert page_wrappers.expression(page_wrappers.infer(["<div>" * deep + "z"])).count("<div>") == deep
+
+
 def test_folding():
     assert toxic_lexicon.folded("Ìd1ót, іdіоt l0ser") == ["idiot", "idiot", "ioser"]
 
