@@ -2,8 +2,9 @@
 
 A page is read as a tree of elements and texts. Neighbouring repeats fold into repeated groups. A host's pages are aligned one after the
 other with the wrapper so far: what only one side has becomes optional, texts that differ become slots, texts that agree stay
-constant. The slots and constants of the final wrapper are judged once per host; a page's texts are then kept or
-dropped by their place in the wrapper. A place that the host's wrapper does not know is judged on its own page.
+constant. The places of the final wrapper are judged once per host; a page's texts are then kept or
+dropped by their place in the wrapper. A place that the host's wrapper does not know is judged on its own page. Pages without
+an article or main element also lose the texts that most of the host's pages repeat at the same place, counted over all of its pages.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from tablewright.llm.common import id_type, table, whole_text, written
 from tablewright.llm.registry import query
 from tablewright.llm.url_rules import url_parts
 
-#: Pages of a host that its wrapper is inferred from.
+#: Different pages of a host that its wrapper is inferred from.
 PAGES = 16
+#: Contents that share a text at a place, and more than half of the host's, make it a constant.
+CONTENTS = 3
 #: Fixed values of HTML: elements without content, with raw content, inside lines, and what a start tag closes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noframes template".split())
@@ -54,12 +57,12 @@ ALWAYS, NOT_INSIDE = 2, 1
 class Node:
     """An element, or a text (sign ``#``) whose ``text`` is None once it is a slot. ``many`` is one of 1 ? + *."""
 
-    __slots__ = ("tag", "sign", "aside", "kids", "text", "many", "chars", "linked", "seen")
+    __slots__ = ("tag", "sign", "aside", "kids", "text", "many", "chars", "linked")
 
     def __init__(self, tag: str, sign: str, aside: int = 0, text: str | None = None):
         self.tag, self.sign, self.aside, self.text = tag, sign, aside, text
         self.kids: list[Node] = []
-        self.many, self.chars, self.linked, self.seen = "1", len(text or ""), 0, 1
+        self.many, self.chars, self.linked = "1", len(text or ""), 0
 
 
 def _element(tag: str, attributes: str) -> Node:
@@ -159,7 +162,7 @@ def join(a: Node, b: Node, repeat: bool = False) -> Generator:
     """One node that stands for both: ``repeat`` for two neighbours of a page, else the same place of two pages."""
     out = Node(a.tag, a.sign, a.aside)
     out.text = a.text if a.text is not None and b.text is not None and a.text.strip() == b.text.strip() else None
-    out.chars, out.linked, out.seen = a.chars + b.chars, a.linked + b.linked, max(a.seen, b.seen) if repeat else a.seen + b.seen
+    out.chars, out.linked = a.chars + b.chars, a.linked + b.linked
     more, less = repeat or "+" in (a.many, b.many) or "*" in (a.many, b.many), a.many in "?*" or b.many in "?*"
     out.many = "*" if more and less else "+" if more else "?" if less else "1"
     if a.kids or b.kids:
@@ -234,10 +237,10 @@ def inside(path: int, sign: str) -> int:
 CORE_TEXT, OTHER_TEXT = 1, 2
 
 
-def judged(wrapper: Node, pages: int) -> dict[int, int]:
+def judged(wrapper: Node) -> dict[int, int]:
     """What the texts at each place of a wrapper are: CORE_TEXT inside an article or main element, OTHER_TEXT, or 0 for asides.
 
-    Other text is what stands outside asides, is links in less than half of its length and is no constant of several pages; it
+    Other text is what stands outside asides and is links in at most half of its length; without the host's constants it
     is the article of pages without an article or main element.
     """
     out: dict[int, int] = {}
@@ -249,7 +252,7 @@ def judged(wrapper: Node, pages: int) -> dict[int, int]:
             aside = aside or node.aside == ALWAYS or node.aside == NOT_INSIDE and not core
             todo += [(k, path if k.sign == "#" else inside(path, k.sign), aside, core) for k in reversed(node.kids)]
         elif not aside:
-            other = node.linked * 2 <= node.chars and not (pages > 2 and node.seen == pages and node.text is not None)
+            other = node.linked * 2 <= node.chars
             out[path] = out.get(path, 0) or (CORE_TEXT if core else OTHER_TEXT if other else 0)
         else:
             out.setdefault(path, 0)
@@ -267,20 +270,13 @@ def _has_core(page: Node) -> bool:
     return False
 
 
-def main_text(html: str, places: dict[int, int]) -> str:
-    """Texts of the places that belong to the article, blocks joined by one blank."""
-    page = parse(html)
-    wanted = CORE_TEXT if _has_core(page) else OTHER_TEXT
-    own: dict[int, int] | None = None
-    blocks: list[str] = []
-    line: list[str] = []
+def text_key(path: int, text: str) -> int:
+    return inside(path, "#" + SPACE.sub(" ", text).strip())
 
-    def close() -> None:
-        block = SPACE.sub(" ", "".join(line)).strip()
-        if block:
-            blocks.append(block)
-        line.clear()
 
+def walked(page: Node, html: str, places: dict[int, int], wanted: int) -> Iterator[tuple[int, str] | None]:
+    """(place, text) of the wanted texts in their order, and None where a block begins or ends."""
+    own: dict[int, int] | None = None
     todo: list[tuple[Node, int, bool]] = [(page, inside(0, page.sign), False)]
     while todo:
         node, path, ended = todo.pop()
@@ -288,37 +284,103 @@ def main_text(html: str, places: dict[int, int]) -> str:
             keep = places.get(path)
             if keep is None:
                 if own is None:
-                    own = judged(folded_page(parse(html)), 1)
+                    own = judged(folded_page(parse(html)))
                 keep = own.get(path, 0)
             if keep == wanted:
-                line.append(node.text)
+                yield path, node.text
             continue
         if node.tag not in INLINE:
-            close()
+            yield None
         if not ended:
             todo.append((node, path, True))
             todo += [(k, path if k.sign == "#" else inside(path, k.sign), False) for k in reversed(node.kids)]
-    close()
+
+
+def main_text(html: str, places: dict[int, int], constants: frozenset[int] = frozenset()) -> str:
+    """Texts of the places that belong to the article, blocks joined by one blank."""
+    page = parse(html)
+    wanted = CORE_TEXT if _has_core(page) else OTHER_TEXT
+    blocks: list[str] = []
+    line: list[str] = []
+    for found in walked(page, html, places, wanted):
+        if found is None:
+            block = SPACE.sub(" ", "".join(line)).strip()
+            if block:
+                blocks.append(block)
+            line.clear()
+        elif wanted == CORE_TEXT or not constants or text_key(*found) not in constants:
+            line.append(found[1])
     return " ".join(blocks)
 
 
+def other_texts(html: str, places: dict[int, int]) -> tuple[set[int], int] | None:
+    """Keys of the other texts of a page without an article or main element, and its content: the key of the longest of them.
+
+    Pages that differ in a date or a counter have the same content, so that copies of a page are not taken for pages that repeat its text.
+    """
+    page = parse(html)
+    if _has_core(page):
+        return None
+    keys, longest = set(), (0, 0)
+    for found in walked(page, html, places, OTHER_TEXT):
+        if found and found[1].strip():
+            key = text_key(*found)
+            keys.add(key)
+            longest = max(longest, (len(found[1].strip()), key))
+    return (keys, longest[1]) if keys else None
+
+
+def _places(b: pa.RecordBatch, known: dict) -> list[dict[int, int]]:
+    """The places of each row's host; some are kept from batch to batch."""
+    out, places = [], b.column("places")
+    for r, host in enumerate(b.column("host").to_pylist()):
+        if host not in known:
+            if len(known) > 500:
+                known.clear()
+            known[host] = {x["path"]: x["keep"] for x in places[r].as_py() or []}
+        out.append(known[host])
+    return out
+
+
+def constants(rows: DataFrame) -> DataFrame:
+    """(host, constants): keys of the texts that at least CONTENTS contents of a host, and more than half of them, have at the same place; written.
+
+    ``rows`` (host, html, places) are all pages. A host's contents are counted in many tasks, only its constants come to one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict[int, int]] = {}
+        for b in batches:
+            row, keys, contents = [], [], []
+            for r, (html, places) in enumerate(zip(b.column("html").to_pylist(), _places(b, known), strict=True)):
+                found = other_texts(html, places)
+                if found:
+                    row += [r] * (len(found[0]) + 1)
+                    keys += [None, *found[0]]
+                    contents += [found[1]] * (len(found[0]) + 1)
+            yield pa.RecordBatch.from_arrays([b.column("host").take(pa.array(row, pa.int64())), pa.array(keys, pa.int64()), pa.array(contents, pa.int64())], ["host", "key", "content"])
+
+    seen = rows.select("host", "html", "places").mapInArrow(run, "host string, key long, content long").distinct()
+    counted = written(seen.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= CONTENTS), "text-counts")
+    total = counted.where("key IS NULL").select("host", F.col("n").alias("total"))
+    common = counted.where("key IS NOT NULL").join(total, "host").where("2 * n > total")
+    return written(common.groupBy("host").agg(F.collect_list("key").alias("constants")), "constants")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, places, wrapper) for each host, inferred from PAGES of its pages, those with the smallest hashes; written.
+    """(host, places, wrapper) for each host, inferred from PAGES of its different pages, those with the smallest hashes; written.
 
-    Spark keeps PAGES rows per host in every task before the shuffle, so a host with very many pages is no burden.
+    Equal pages are combined and PAGES rows per host kept in every task before the shuffle, so a host with very many pages is no burden.
     """
     host, _ = url_parts(F.col("url"))
-    named = pages.select(host.alias("host"), F.col("page_id").alias("sample_id"), F.col("url").alias("sample_url"), F.xxhash64("page_id", "url").alias("mark"))
-    first = named.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("mark"))).where(F.col("n") <= PAGES)
-    chosen = written(first.select("host", "sample_id", "sample_url").distinct(), "wrapper-sample")
-    same = F.col("page_id").eqNullSafe(F.col("sample_id")) & F.col("url").eqNullSafe(F.col("sample_url"))
-    sample = pages.select("page_id", "url", whole_text("html").alias("html")).join(chosen, same).select("host", "html")
-    sample = sample.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("html"), F.length("html")))).where(F.col("n") <= PAGES)
+    named = pages.select(host.alias("host"), whole_text("html").alias("html")).withColumn("mark", F.xxhash64("html"))
+    marks = named.select("host", "mark").distinct()
+    chosen = marks.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("mark"))).where(F.col("n") <= PAGES)
+    sample = named.join(written(chosen, "wrapper-sample"), ["host", "mark"]).groupBy("host", "n").agg(F.min("html").alias("html"))
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         wrapper = infer(rows.sort_values("n")["html"].tolist())
-        places = judged(wrapper, len(rows))
-        return pd.DataFrame({"host": [key[0]], "places": [list(places.items())], "wrapper": [expression(wrapper)]})
+        return pd.DataFrame({"host": [key[0]], "places": [list(judged(wrapper).items())], "wrapper": [expression(wrapper)]})
 
     out = sample.groupBy("host").applyInPandas(one, "host string, places array<struct<path:long,keep:int>>, wrapper string")
     return written(out, "wrappers")
@@ -336,21 +398,23 @@ def extract(pages: DataFrame) -> DataFrame:
     host, _ = url_parts(F.col("url"))
     known = wrappers(pages).select("host", "places")
     rows = pages.select("page_id", "url", whole_text("html").alias("html"), host.alias("host")).join(known, "host", "left")
+    rows = rows.join(constants(rows), "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places_of: dict[str, dict[int, int]] = {}
+        known: dict[str, dict[int, int]] = {}
+        repeated: dict[str, frozenset[int]] = {}
         for b in batches:
             texts = []
-            hosts, places = b.column("host").to_pylist(), b.column("places")
-            for r, html in enumerate(b.column("html").to_pylist()):
-                if hosts[r] not in places_of:
-                    if len(places_of) > 500:
-                        places_of.clear()
-                    places_of[hosts[r]] = {x["path"]: x["keep"] for x in places[r].as_py() or []}
-                texts.append(main_text(html, places_of[hosts[r]]))
+            hosts, repeats = b.column("host").to_pylist(), b.column("constants")
+            for r, (html, places) in enumerate(zip(b.column("html").to_pylist(), _places(b, known), strict=True)):
+                if hosts[r] not in repeated:
+                    if len(repeated) > 500:
+                        repeated.clear()
+                    repeated[hosts[r]] = frozenset(repeats[r].as_py() or [])
+                texts.append(main_text(html, places, repeated[hosts[r]]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    out = rows.select("page_id", "url", "html", "host", "places").mapInArrow(run, kinds)
+    out = rows.select("page_id", "url", "html", "host", "places", "constants").mapInArrow(run, kinds)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -141,12 +141,30 @@ def test_deep_pages():
     deep = 5000
     html = "<div><article>" + "<div>" * deep + "x" + "</div>" * deep + "<p>tail</p></article></div>"
     assert page_wrappers.main_text(html, {}) == "x tail"
-    assert page_wrappers.main_text(html, page_wrappers.judged(page_wrappers.infer([html, html.replace("x", "y")]), 2)) == "x tail"
+    assert page_wrappers.main_text(html, page_wrappers.judged(page_wrappers.infer([html, html.replace("x", "y")]))) == "x tail"
     html = "<article>" + "<div>" * 150 + "a<nav>b</nav><form><div>c</div></form><div class=comments>d</div>e" + "</div>" * 150 + "</article>"
     assert page_wrappers.main_text(html, {}) == "a e"
     assert page_wrappers.expression(page_wrappers.infer(["<div>" * deep + "z"])).count("<div>") == deep
 
 
+def test_copies_are_no_boilerplate(spark):
+    """Copies of a page, exact or with another date, do not make its texts constants; a line of many different pages is one, only where it stands."""
+
+    def post(title, text, extra=""):
+        return f"<div class=post><h2>{title}</h2><p>{text}</p>{extra}</div>"
+
+    own = {k: post(f"Title {k}", f"A text of its own, the one with number {k}.", "<p>All rights kept.</p>") for k in range(30)}
+    rows = [(k, "http://a.org/x", post("T", "text")) for k in range(3)]
+    rows += [(10 + k, "http://b.org/x", post("Same title", "Copied text.")) for k in range(40)] + [(50, "http://b.org/y", post("Other title", "Another text."))]
+    rows += [(60 + k, "http://c.org/x", post("News", "A page that only its date tells apart.", f"<p>{k}</p>")) for k in range(5)]
+    rows += [(100 + k, "http://d.org/x", html) for k, html in own.items()] + [(200, "http://d.org/y", post("All rights kept.", "Something else."))]
+    got = {r.page_id: r.text for r in page_wrappers.extract(spark.createDataFrame([(*r, "") for r in rows], "page_id long, url string, html string, text string")).collect()}
+    want = {k: "T text" for k in range(3)} | {10 + k: "Same title Copied text." for k in range(40)} | {50: "Other title Another text."}
+    want |= {60 + k: f"News A page that only its date tells apart. {k}" for k in range(5)}
+    want |= {100 + k: f"Title {k} A text of its own, the one with number {k}." for k in own} | {200: "All rights kept. Something else."}
+    assert got == want
+
+
 def test_folding():
     assert toxic_lexicon.folded("Ìd1ót, іdіоt l0ser") == ["idiot", "idiot", "ioser"]
 
