@@ -36,7 +36,6 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "pond scum"
 WORD = re.compile(r"[^\W_]+")
 BEGINNINGS = (4, 5, 6)
 SUPPORT = 3  # documents of an entry
-LIKELIER = 4.0  # log of how much likelier toxic documents must have an entry
 
 
 class _Folding(dict):
@@ -102,6 +101,18 @@ class Lexicon:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.slope * self.strength(text), -30, 30))))
 
 
+def uncovered(words: list[str], phrases: list[list[str]]) -> list[str]:
+    """The words that no exception phrase covers."""
+    covered = set()
+    for phrase in phrases:
+        at = -1
+        for _ in range(words.count(phrase[0])):
+            at = words.index(phrase[0], at + 1)
+            if words[at : at + len(phrase)] == phrase:
+                covered.update(range(at, at + len(phrase)))
+    return [w for k, w in enumerate(words) if k not in covered] if covered else words
+
+
 def _entries(words: list[str]) -> set[str]:
     out = {f" {w} " for w in words if len(w) >= 3}
     for k in BEGINNINGS:
@@ -123,12 +134,13 @@ def held_out(column: str):
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, entries: int = 5_000, chance: float = 1.0) -> Lexicon:
     """Learn a lexicon from at most ``rows`` labelled rows; rows held out (``held_out``) are never looked at.
 
-    For each word and word beginning the toxic and clean documents that have it are counted. An entry needs a log-likelihood ratio that
-    ``chance`` words of the sample would reach by chance; the ``entries`` strongest stay. Its
+    For each word and word beginning the toxic and clean documents that have it outside exception phrases are counted. An entry is likelier in toxic
+    documents, with a log-likelihood ratio that ``chance`` words of the sample would reach by chance; the ``entries`` strongest stay. Its
     weight is the log ratio of its shares, shrunk the more the nearer it is to chance. The curve is fitted to the sample's strengths by Newton steps. Only
     entries and the sample's (strength, label) pairs come to the driver: both are bounded by the parameters.
     """
     sample = labelled(docs, labels, rows)
+    phrases = [folded(p) for p in EXCEPTIONS]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -142,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, entries: int = 5
 
         for b in in_slices(batches):
             for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                (toxic if label else clean).update(_entries(folded(text)))
+                (toxic if label else clean).update(_entries(uncovered(folded(text), phrases)))
                 if len(toxic) + len(clean) > 100_000:
                     yield flush()
         yield flush()
@@ -162,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, entries: int = 5
     ratio = 2 * (part(a, (a + b) * t / (t + c)) + part(b, (a + b) * c / (t + c)) + part(t - a, (t + c - a - b) * t / (t + c)) + part(c - b, (t + c - a - b) * c / (t + c)))
     weight = F.log((a + 0.5) / (t + 1)) - F.log((b + 0.5) / (c + 1))
     cut = 2 * float(np.log(tested / chance))
-    strong = counted.withColumn("g", ratio).where((weight > LIKELIER) & (F.col("g") > cut)).withColumn("w", weight * (1 - cut / F.col("g")))
+    strong = counted.withColumn("g", ratio).where((weight > 0) & (F.col("g") > cut)).withColumn("w", weight * (1 - cut / F.col("g")))
     kept = strong.orderBy(F.desc("g"), "entry").limit(entries).collect()
     lexicon = Lexicon({r["entry"]: float(r["w"]) for r in kept})
     pairs = scored(sample, lexicon, "toxic").collect()

@@ -191,6 +191,16 @@ def test_toxicity(spark, documents):
     assert toxic_lexicon.toxicity(documents([]), labels).count() == 0
 
 
+def test_entries_that_clean_rows_hold_too(spark, documents):
+    """A word in some clean rows keeps a graded weight; words inside exception phrases are not counted as clean use."""
+    rows = [(i, f"plain words n{i}" + (" grumpf" if i % 2 == 0 and i % 4 == 0 or i % 40 == 1 else "") + (" zorgen" * (i % 2 == 0)) + (" trash talk" if i % 2 == 0 else " a trash can")) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    weights = toxic_lexicon.fit(documents(rows), labels).weights
+    assert weights[" zorgen "] > weights[" grumpf "] > 0 and weights[" trash "] == weights[" zorgen "]
+    assert " can " not in weights and " plain " not in weights
+    assert toxic_lexicon.uncovered("a trash can trash the trash can".split(), [["trash", "can"]]) == ["a", "trash", "the"]
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
