@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before has kept; all but the last return the columns of
 ``documents``. ``run`` writes each stage's rows as Parquet and rereads them as the next one's docs. Rows with a null text count as
-empty texts; rows with a null doc_id cannot be near-duplicates or leaks and stay; repeated rows are treated alike.
+empty texts; rows with a null doc_id cannot be near-duplicates or leaks and stay; of rows that repeat a doc_id and text the near-duplicates stage keeps one.
 """
 
 from __future__ import annotations
@@ -30,8 +30,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest doc_id."""
-    return without(docs, signature_join.near_duplicates(docs, size=5, percent=80).where("NOT kept"))
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest doc_id, one of its repeated rows."""
+    kept = without(docs, signature_join.near_duplicates(docs, size=5, percent=80).where("NOT kept"))
+    several = written(kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    same = kept.join(several, "doc_id", "left_semi").groupBy("doc_id", whole_text().alias("whole")).agg(F.max(F.struct(*docs.columns)).alias("row"))
+    return kept.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(same.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

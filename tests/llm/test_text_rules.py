@@ -354,3 +354,13 @@ def test_pipeline(spark, pipeline, tmp_path):
             assert set(after) == set(before)
             assert all(r.decoded_sha256 == hashlib.sha256((before[i].text or "").encode()).hexdigest() for i, r in after.items())
     assert pipeline.run(spark, d).count() == len(after)
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark, pipeline, documents):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (1, text), (2, text), (3, "something else that stands alone in all of this"), (3, "something else that stands alone in all of this"), (4, None), (4, ""), (None, text), (None, text)]
+    docs = documents(rows)
+    out = pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, text), (3, rows[3][1]), (4, ""), (None, text), (None, text)], key=str)
