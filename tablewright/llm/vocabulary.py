@@ -31,10 +31,26 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _refuse_unknown(d: dict) -> None:
+    """These operators follow plain byte-level BPE; a file that asks for more would silently give other ids."""
+    model, before = d["model"], d.get("pre_tokenizer") or {}
+    asked = {
+        "normalizer": d.get("normalizer"),
+        "pre_tokenizer": before.get("type") != "ByteLevel" or before.get("add_prefix_space") or before.get("use_regex") is False,
+        "special tokens that strip or match words": [x["content"] for x in d["added_tokens"] if x.get("lstrip") or x.get("rstrip") or x.get("single_word")],
+        **{k: model.get(k) for k in ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")},
+    }
+    unknown = [k for k, v in asked.items() if v]
+    if model.get("type", "BPE") != "BPE" or unknown:
+        raise ValueError(f"not a plain byte-level BPE file: {', '.join(unknown) or model['type']}")
+
+
 @lru_cache(2)
 def load(path: str | None = None) -> Vocabulary:
+    """The vocabulary of a byte-level BPE file without normalizer, prefixes, suffixes or stripping tokens; others raise ValueError."""
     with open(path or default_path(), encoding="utf-8") as f:
         d = json.load(f)
+    _refuse_unknown(d)
     alphabet, vocab = byte_alphabet(), d["model"]["vocab"]
     merges = {}
     for rank, m in enumerate(d["model"]["merges"]):
