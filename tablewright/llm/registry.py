@@ -8,7 +8,7 @@ from importlib import import_module
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["embedding_caps", "secret_index", "url_rules", "page_wrappers", "signature_join", "toxic_lexicon", "wavelet", "transducer", "decontaminate", "token_counts"]
+MODULES = ["embedding_caps", "secret_index", "url_rules", "page_wrappers", "signature_join", "toxic_lexicon", "wavelet", "transducer", "decontaminate", "token_counts", "conversations", "divergence", "packing"]
 
 
 def query(name: str, sql: str | None = None):
