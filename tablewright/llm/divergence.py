@@ -9,7 +9,7 @@ counted, nor sent anywhere, as whole terms.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +24,33 @@ from tablewright.llm.registry import query
 SCALE = 1_000_000_000
 TOP_TERMS = 200
 #: Bytes of the first level's prefixes.
-FIRST_WIDTH = 4
+FIRST_WIDTH = 8
 #: Rows that a task sums up before it gives them out.
-HELD_ROWS = 500_000
+HELD_ROWS = 2_000_000
 
 #: Every byte that separates terms becomes a blank, A-Z become small letters.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
+def summed(rows: np.ndarray) -> np.ndarray:
+    """Columns (key, source, n) with equal (key, source) added up, in their order."""
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    first = np.flatnonzero((np.diff(rows[0], prepend=-1) != 0) | (np.diff(rows[1], prepend=-1) != 0))
+    return np.stack([rows[0][first], rows[1][first], np.add.reduceat(rows[2], first)]) if len(first) else rows
+
+
+def some(rows: np.ndarray, most: int) -> np.ndarray:
+    """Columns (key, document) with at most ``most`` documents of a key, in order of the keys."""
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    first = np.flatnonzero(np.diff(rows[0], prepend=-1))
+    nth = np.arange(rows.shape[1]) - np.repeat(first, np.diff(np.append(first, rows.shape[1])))
+    return rows[:, nth < most]
+
+
 def mentions(df: DataFrame, min_docs: int) -> DataFrame:
-    """(lang, source, term, n, docs): how often a task's documents of a group hold a term, and up to ``min_docs`` of those documents.
+    """(lang, term, docs, sources): up to ``min_docs`` documents of a task that hold a term, and how often each source of the task does.
 
-    A document is a row. A task gives one row per group and term for about every HELD_ROWS of them.
+    A document is a row. A task gives one row per language and term for about every HELD_ROWS of what it has summed up.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,66 +58,52 @@ def mentions(df: DataFrame, min_docs: int) -> DataFrame:
 
         document = TaskContext.get().partitionId() << 40
         codes: dict[bytes, int] = {}
-        groups: dict[tuple[str, str], int] = {}
-        next_code, next_group = count(), count()
-        held: list[np.ndarray] = []
-        size = 0
-
-        def reduced(parts: list[np.ndarray]) -> np.ndarray:
-            """Columns (group << 32 | term, document, n): counts of a group's term add up in its first row; rows beyond ``min_docs`` go."""
-            rows = np.concatenate(parts, axis=1)
-            rows = rows[:, np.lexsort((rows[1], rows[0]))]
-            first = np.flatnonzero(np.diff(rows[0], prepend=-1))
-            rows[2][first], rest = np.add.reduceat(rows[2], first), np.ones(rows.shape[1], bool)
-            rest[first] = False
-            rows[2][rest] = 0
-            nth = np.arange(rows.shape[1]) - np.repeat(first, np.diff(np.append(first, rows.shape[1])))
-            return rows[:, nth < min_docs]
+        langs: dict[str, int] = {}
+        sources: dict[str, int] = {}
+        docs, counts = [], []
+
+        def number(names: dict[str, int], name: str) -> int:
+            return names.setdefault(name, len(names))
 
         def out() -> pa.RecordBatch:
-            rows = reduced(held)
-            first = np.flatnonzero(np.diff(rows[0], prepend=-1))
-            names, terms = list(groups), list(codes)
-            group, term = (rows[0][first] >> 32), (rows[0][first] & 0xFFFFFFFF)
-            offsets = np.append(first, rows.shape[1])
+            d, c = some(np.concatenate(docs, 1), min_docs), summed(np.concatenate(counts, 1))
+            at = np.flatnonzero(np.diff(d[0], prepend=-1))
+            key, other = d[0][at], np.flatnonzero(np.diff(c[0], prepend=-1))
+            found = pa.StructArray.from_arrays([pa.array(list(sources), pa.string()).take(pa.array(c[1])), pa.array(c[2])], ["source", "n"])
             columns = [
-                pa.array([n[0] for n in names], pa.string()).take(pa.array(group)),
-                pa.array([n[1] for n in names], pa.string()).take(pa.array(group)),
-                pa.array(terms, pa.binary()).take(pa.array(term)),
-                pa.array(rows[2][first]),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rows[1])),
+                pa.array(list(langs), pa.string()).take(pa.array(key >> 32)),
+                pa.array(list(codes), pa.binary()).take(pa.array(key & 0xFFFFFFFF)),
+                pa.ListArray.from_arrays(pa.array(np.append(at, d.shape[1]), pa.int32()), pa.array(d[1])),
+                pa.ListArray.from_arrays(pa.array(np.append(other, c.shape[1]), pa.int32()), found),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+            return pa.RecordBatch.from_arrays(columns, ["lang", "term", "docs", "sources"])
 
         for b in in_slices(batches):
-            keys, docs = [], []
-            for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text").to_pylist(), strict=True):
-                group = groups.get((lang, source))
-                if group is None:
-                    group = groups[lang, source] = next(next_group)
-                words = text.translate(FOLD).split()
-                for w in set(words).difference(codes):
-                    codes[w] = next(next_code)
-                found, n = np.unique(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)), return_counts=True)
-                keys.append(np.stack([group << 32 | found, np.full(len(found), document), n]))
-                document += 1
-            if sum(k.shape[1] for k in keys):
-                held.append(reduced(keys))
-                size += held[-1].shape[1]
-            if size > HELD_ROWS:
-                held = [reduced(held)]
-                size = held[0].shape[1]
-                if size > HELD_ROWS / 2:
+            words = [t.translate(FOLD).split() for t in b.column("text").to_pylist()]
+            for w in set().union(*words).difference(codes):
+                codes[w] = len(codes)
+            lang = np.array([number(langs, x) for x in b.column("lang").to_pylist()], np.int64)
+            source = np.array([number(sources, x) for x in b.column("source").to_pylist()], np.int64)
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            code = np.fromiter(map(codes.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+            held, n = np.unique(np.repeat(np.arange(len(words)), sizes) << 32 | code, return_counts=True)
+            doc, key = held >> 32, lang[held >> 32] << 32 | held & 0xFFFFFFFF
+            if len(key):
+                docs.append(some(np.stack([key, doc + document]), min_docs))
+                counts.append(summed(np.stack([key, source[doc], n])))
+            document += len(words)
+            if sum(c.shape[1] for c in counts) > HELD_ROWS:
+                docs, counts = [some(np.concatenate(docs, 1), min_docs)], [summed(np.concatenate(counts, 1))]
+                if counts[0].shape[1] > HELD_ROWS / 2:
                     yield out()
-                    held, size = [], 0
-                    codes.clear()
-                    groups.clear()
-                    next_code, next_group = count(), count()
-        if held:
+                    docs, counts = [], []
+                    for names in (codes, langs, sources):
+                        names.clear()
+        if docs:
             yield out()
 
     rows = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], whole_text().cast("binary").alias("text"))
-    return rows.mapInArrow(run, "lang string, source string, term binary, n long, docs array<long>")
+    return rows.mapInArrow(run, "lang string, term binary, docs array<long>, sources array<struct<source string, n long>>")
 
 
 def head(width: int) -> Column:
@@ -113,41 +114,62 @@ def head(width: int) -> Column:
 def prefixes(rows: DataFrame, width: int, min_docs: int) -> DataFrame:
     """(lang, head) of the prefixes that at least ``min_docs`` documents hold. A task sends at most ``min_docs`` documents of a prefix."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: dict[tuple[str, bytes], set[int]] = {}
-
-        def out() -> pa.RecordBatch:
-            names = list(met)
-            lists = pa.array([sorted(d)[:min_docs] for d in met.values()], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array([n[0] for n in names], pa.string()), pa.array([n[1] for n in names], pa.binary()), lists], ["lang", "head", "docs"])
-
-        for b in batches:
-            for lang, prefix, docs in zip(b.column("lang").to_pylist(), b.column("head").to_pylist(), b.column("docs").to_pylist(), strict=True):
-                known = met.setdefault((lang, prefix), set())
-                if len(known) < min_docs:
-                    known.update(docs)
-            if len(met) > HELD_ROWS:
+    def few(final: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            langs: dict[str, int] = {}
+            heads: dict[bytes, int] = {}
+            held: list[np.ndarray] = []
+
+            def coded(column: pa.Array, names: dict) -> np.ndarray:
+                found = column.dictionary_encode()
+                return np.array([names.setdefault(x, len(names)) for x in found.dictionary.to_pylist()], np.int64)[found.indices.to_numpy()]
+
+            def out() -> pa.RecordBatch:
+                rows = some(np.concatenate(held, 1), min_docs)
+                at = np.flatnonzero(np.diff(rows[0], prepend=-1))
+                to = np.append(at, rows.shape[1])
+                if final:
+                    at = at[np.diff(to) >= min_docs]
+                key = rows[0][at]
+                columns = [pa.array(list(langs), pa.string()).take(pa.array(key >> 32)), pa.array(list(heads), pa.binary()).take(pa.array(key & 0xFFFFFFFF))]
+                if not final:
+                    columns.append(pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(rows[1])))
+                return pa.RecordBatch.from_arrays(columns, ["lang", "head", "docs"][: len(columns)])
+
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                key = coded(b.column("lang"), langs) << 32 | coded(b.column("head"), heads)
+                docs = b.column("docs")
+                held.append(some(np.stack([np.repeat(key, np.diff(docs.offsets.to_numpy())), docs.flatten().to_numpy()]), min_docs))
+                if len(held) >= 64 and sum(h.shape[1] for h in held[1:]) > held[0].shape[1]:
+                    held = [some(np.concatenate(held, 1), min_docs)]
+                    if not final and held[0].shape[1] > HELD_ROWS:
+                        yield out()
+                        held = []
+                        langs.clear()
+                        heads.clear()
+            if held:
                 yield out()
-                met.clear()
-        if met:
-            yield out()
 
-    heads = rows.select("lang", head(width).alias("head"), "docs").mapInArrow(run, "lang string, head binary, docs array<long>")
-    return heads.select("lang", "head", F.explode("docs").alias("doc")).groupBy("lang", "head").agg(F.collect_set("doc").alias("docs")).where(F.size("docs") >= min_docs).select("lang", "head")
+        return run
 
+    told = rows.select("lang", head(width).alias("head"), "docs").mapInArrow(few(False), "lang string, head binary, docs array<long>")
+    return told.repartition("lang", "head").mapInArrow(few(True), "lang string, head binary")
 
-def kept_mentions(df: DataFrame, min_docs: int) -> DataFrame:
-    """The rows of ``mentions`` whose term at least ``min_docs`` documents of its language hold, level by level."""
-    open_rows = written(mentions(df, min_docs), "mentions")
-    width, done = FIRST_WIDTH, None
+
+def kept_terms(told: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, term) of the terms that at least ``min_docs`` documents of ``told`` (lang, term, docs) hold, level by level."""
+    width, kept = FIRST_WIDTH, None
+    ends = F.substring("head", -1, 1) == F.lit(b"\0")  # the prefix is a whole term and its end
     while True:
-        alive = written(prefixes(open_rows, width, min_docs), "prefixes")
-        level = written(open_rows.withColumn("head", head(width)).join(alive, ["lang", "head"], "left_semi").select(*open_rows.columns), "level")
-        complete = level.where(F.octet_length("term") < width)  # the prefix held its end
-        done = complete if done is None else done.unionByName(complete)
-        open_rows = level.where(F.octet_length("term") >= width)
-        if open_rows.isEmpty():
-            return done
+        alive = written(prefixes(told, width, min_docs), "prefixes")
+        whole = alive.where(ends).select("lang", F.expr("substring(head, 1, octet_length(head) - 1)").alias("term"))
+        kept = whole if kept is None else kept.unionByName(whole)
+        more = alive.where(~ends)
+        if more.isEmpty():
+            return kept
+        told = written(told.withColumn("head", head(width)).join(more, ["lang", "head"], "left_semi").select("lang", "term", "docs"), "level")
         width *= 2
 
 
@@ -161,6 +183,86 @@ def drift(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def whole_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows so that all rows of a (lang, term) come together; batches hold as many such groups as they can."""
+    rest: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = pa.Table.from_batches([b])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        n = rows.num_rows
+        last, cut = (rows["lang"][n - 1], rows["term"][n - 1]), n - 1
+        while cut and (rows["lang"][cut - 1], rows["term"][cut - 1]) == last:
+            cut -= 1
+        if cut:
+            yield rows.slice(0, cut).combine_chunks().to_batches()[0]
+        rest = rows.slice(cut)
+    if rest is not None:
+        yield rest.combine_chunks().to_batches()[0]
+
+
+def put_right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of terms that several sources hold, summed per pair of sources: drift(p, q) - drift(p, q0) - drift(p0, q), and how many terms they share.
+
+    A task adds up in a table of pairs, which it gives out whenever that holds HELD_ROWS.
+    """
+    held: dict[str, dict[str, int]] = {}
+    sums: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def out(lang: str) -> pa.RecordBatch:
+        pair, more, shared = sums.pop(lang)
+        names = pa.array(list(held[lang]), pa.string())
+        i, j = pair >> 32, pair & 0xFFFFFFFF
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(pair), pa.string()), names.take(pa.array(i)), names.take(pa.array(j)), pa.array(more), pa.array(shared)], ["lang", "source", "item", "more", "shared"])
+
+    for b in whole_terms(batches):
+        every = b.column("lang").to_numpy(zero_copy_only=False)
+        source = b.column("source").dictionary_encode()
+        source_names, source_of = source.dictionary.to_pylist(), source.indices.to_numpy()
+        term, p, p0 = b.column("term").dictionary_encode().indices.to_numpy().astype(np.int64), b.column("p").to_numpy(), b.column("p0").to_numpy()
+        for lang in dict.fromkeys(every.tolist()):
+            names = held.setdefault(lang, {})
+            at = np.flatnonzero(every == lang)
+            name = np.array([names.setdefault(x, len(names)) for x in source_names], np.int64)[source_of[at]]
+            first = np.flatnonzero(np.diff(term[at], prepend=-1))
+            size = np.diff(np.append(first, len(at)))
+            a, a0, k, lead = p[at], p0[at], np.repeat(size, size), np.repeat(first, size)  # an entry meets the k entries of its term
+            step = max(1, 1_000_000 // int(k.max()))
+            for x in range(0, len(at), step):
+                n = k[x : x + step]
+                i = np.repeat(np.arange(x, min(x + step, len(at))), n)
+                j = np.arange(int(n.sum())) + np.repeat(lead[x : x + step] - (np.cumsum(n) - n), n)
+                other = i != j
+                i, j = i[other], j[other]
+                u, v, u0, v0 = a[i], a[j], a0[i], a0[j]
+                more = (u - v) * (u - v) // v - (u - v0) * (u - v0) // v0 - (u0 - v) * (u0 - v) // v
+                place = name[i] * len(names) + name[j]
+                if len(names) ** 2 <= HELD_ROWS:
+                    count = np.bincount(place, minlength=len(names) ** 2)
+                    total = np.zeros(len(count), np.int64)
+                    np.add.at(total, place, more)
+                    pair = np.flatnonzero(count)
+                    total, count = total[pair], count[pair]
+                else:
+                    pair, inverse, count = np.unique(place, return_inverse=True, return_counts=True)
+                    total = np.zeros(len(pair), np.int64)
+                    np.add.at(total, inverse.ravel(), more)
+                pair = pair // len(names) << 32 | pair % len(names)
+                if lang in sums:
+                    pair, total, count = (np.concatenate(v) for v in zip(sums[lang], (pair, total, count), strict=True))
+                    pair, inverse = np.unique(pair, return_inverse=True)
+                    both = np.zeros((2, len(pair)), np.int64)
+                    np.add.at(both[0], inverse.ravel(), total)
+                    np.add.at(both[1], inverse.ravel(), count)
+                    total, count = both
+                sums[lang] = pair, total, count
+                if len(pair) > HELD_ROWS:
+                    yield out(lang)
+    for lang in list(sums):
+        yield out(lang)
+
+
 def audit(df: DataFrame, min_docs: int = 3, top: int | None = TOP_TERMS) -> DataFrame:
     """Drift of the sources of ``df`` (lang, source, text) from each other and of their terms from the language.
 
@@ -176,27 +278,28 @@ def audit(df: DataFrame, min_docs: int = 3, top: int | None = TOP_TERMS) -> Data
     the pairs are asked for at most.
     """
     groups = written(df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct(), "groups")
-    counts = written(kept_mentions(df, min_docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "counts")
-    per_lang = written(counts.groupBy("lang", "term").agg(F.sum("n").alias("n")), "language-counts")
-    size = per_lang.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("n_lang"))
+    told = written(mentions(df, min_docs), "mentions")
+    kept = written(kept_terms(told.select("lang", "term", "docs"), min_docs), "kept-terms")
+    of_kept = told.select("lang", "term", "sources").join(kept, ["lang", "term"], "left_semi").repartition("lang", "term")  # the one exchange of whole terms
+    counts = of_kept.select("lang", "term", F.inline("sources")).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    of_term = Window.partitionBy("lang", "term")
+    counts = written(counts.withColumn("n_term", F.sum("n").over(of_term)), "counts")
+    size = kept.groupBy("lang").agg(F.count("*").alias("v"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own"))
     zero = F.lit(0).cast("long")
-    known = groups.join(totals, ["lang", "source"], "left").join(size, "lang", "left").na.fill(0, ["total", "own", "v", "n_lang"])
+    known = groups.join(totals, ["lang", "source"], "left").join(size, "lang", "left").na.fill(0, ["total", "own", "v"])
+    known = known.withColumn("n_lang", F.sum("total").over(Window.partitionBy("lang")))
     known = written(known.withColumn("p0", F.when(F.col("v") > 0, share(zero, F.col("total"), F.col("v"))).otherwise(0)), "group-shares")
-    shares = written(counts.join(known, ["lang", "source"]).select("lang", "source", "term", "v", "n_lang", "p0", share(F.col("n"), F.col("total"), F.col("v")).alias("p")), "shares")
-
-    used = shares.select("lang", "source", "term", "p", "v", "n_lang").join(per_lang, ["lang", "term"])
-    used = used.withColumn("q", share(F.col("n"), F.col("n_lang"), F.col("v"))).where("p > q")
+    p, q = share(F.col("n"), F.col("total"), F.col("v")), share(F.col("n_term"), F.col("n_lang"), F.col("v"))
+    shares = written(counts.join(known, ["lang", "source"]).select("lang", "source", "term", "p0", p.alias("p"), q.alias("q")), "shares")
+    used = shares.where("p > q")
     term = used.select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), drift(F.col("p"), F.col("q")).alias("value"))
 
     # a pair's sum over all kept terms: those of one source alone against the other's share of no mention, by how often a share occurs;
     # those of both put right for what that took them for; those of none
-    common = shares.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "p0")).alias("all")).where(F.size("all") > 1)
-    two = common.select("lang", F.explode("all").alias("a"), "all").select("lang", "a", F.explode("all").alias("b")).where("a.source <> b.source")
-    p, q, p0, q0 = F.col("a.p"), F.col("b.p"), F.col("a.p0"), F.col("b.p0")
-    both = two.groupBy("lang", F.col("a.source").alias("source"), F.col("b.source").alias("item")).agg(
-        F.sum(drift(p, q) - drift(p, q0) - drift(p0, q)).alias("more"), F.count("*").alias("shared")
-    )
+    sorted_ = shares.select("lang", "term", "source", "p", "p0").repartition("lang", "term").sortWithinPartitions("lang", "term")
+    both = sorted_.mapInArrow(put_right, "lang string, source string, item string, more long, shared long")
+    both = both.groupBy("lang", "source", "item").agg(F.sum("more").alias("more"), F.sum("shared").alias("shared"))
     often = shares.groupBy("lang", "source", "p").agg(F.count("*").alias("times"))
     left = known.select("lang", "source", "v", "own", "p0")
     right = known.select("lang", F.col("source").alias("item"), F.col("own").alias("own_item"), F.col("p0").alias("q0"))

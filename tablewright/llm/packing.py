@@ -28,7 +28,7 @@ from tablewright.llm.registry import query
 
 WINDOW = 4096
 #: What a Python worker keeps between slices: ids of words, in two generations of so many. More is asked of the library again.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 600_000
 #: Between a Latin letter that normalising leaves one letter and a mark that ends a word or sentence: no pre-token or special string reaches across.
 MARK = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?=[,.;:!?])")
 #: Characters of a text that are looked at together; a text is cut only at a blank or a line break.

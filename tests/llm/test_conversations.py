@@ -145,7 +145,7 @@ def test_query_damages_and_keeps_every_conversation(spark, tmp_path):
     assert got == {c: judged(r) if r else empty for c, r in after.items()}
 
 
-@pytest.mark.parametrize("codes, audit", [([1], b"KI"), ([2], b"D"), ([0], b"D"), ([1, 2], b"KK"), ([0, 1, 2], b"KKK"), ([2, 1, 2], b"DKK"), ([1, 1], b"KR"), ([], b"")])
+@pytest.mark.parametrize("codes, audit", [([1], b"KI"), ([2], b"IK"), ([0], b"D"), ([0, 1], b"KKI"), ([1, 2], b"KK"), ([0, 1, 2], b"KKK"), ([2, 1, 2], b"IKKK"), ([1, 1], b"KR"), ([], b"")])
 def test_small_audits(codes, audit):
     s = C.Solver([np.array(codes, int)], C.AT_END[None], np.array([0]))
     s.rank()
