@@ -81,8 +81,8 @@ def item_grams(items: DataFrame, threshold: float) -> DataFrame:
             words = [words_of(t) for t in b.column("text").to_pylist()]
             rows, found, kinds = [], [], []
             for r, w in enumerate(words):
-                if len(w) >= GRAM:
-                    size, need = needed(len(w), threshold)
+                if w:
+                    size, need = needed(len(w), threshold) if len(w) >= GRAM else (len(w), 1)
                     found.append(grams_of(w, size))
                     rows.append(np.full(len(found[-1][0]), r))
                     kinds.append(np.tile([size, need, len(w)], (len(rows[-1]), 1)))
@@ -201,8 +201,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> D
     """One row per (document, test item) whose best local alignment has at least ``threshold`` of the item's own score.
 
     Columns: doc_id, item_id, score (0 to 1), first_word, last_word (exclusive) of the copy, counted in words of the whole text. Documents
-    without a copy have no row. Null or empty texts, and items of fewer than GRAM words, match nothing; rows with a null id are
-    left out, since a pair needs both. Of repeated rows the best alignment is returned once. Other columns are ignored.
+    without a copy have no row. Null or empty texts match nothing; items of fewer than GRAM words are found as exact runs of words
+    only (one word of two is no copy). Rows with a null id are left out, since a pair needs both. Of repeated rows the best alignment is returned once. Other columns are ignored.
     Whole texts are read; neither the seeds' frequency nor the number of copies is capped, and every pair that reaches the threshold is found. A row
     per pair and seed is joined, an item that very many documents hold is a skewed key that adaptive execution splits.
     """
@@ -227,7 +227,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> D
                 words = words_of(item)
                 s, x, y = alignment(words, passage.encode().split())
                 s /= MATCH * len(words)
-                if s >= threshold:
+                if s >= (threshold if len(words) >= GRAM else 1.0):
                     keep.append(r)
                     score.append(s)
                     lo.append(first + x)

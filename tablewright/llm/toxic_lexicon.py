@@ -131,11 +131,11 @@ def held_out(column: str):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, entries: int = 5_000, chance: float = 1.0) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, entries: int | None = None, chance: float = 1.0) -> Lexicon:
     """Learn a lexicon from at most ``rows`` labelled rows; rows held out (``held_out``) are never looked at.
 
     For each word and word beginning the toxic and clean documents that have it outside exception phrases are counted. An entry is likelier in toxic
-    documents, with a log-likelihood ratio that ``chance`` words of the sample would reach by chance; the ``entries`` strongest stay. Its
+    documents, with a log-likelihood ratio that ``chance`` words of the sample would reach by chance; all of them stay, or the ``entries`` strongest. Its
     weight is the log ratio of its shares, shrunk the more the nearer it is to chance. The curve is fitted to the sample's strengths by Newton steps. Only
     entries and the sample's (strength, label) pairs come to the driver: both are bounded by the parameters.
     """
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, entries: int = 5
     weight = F.log((a + 0.5) / (t + 1)) - F.log((b + 0.5) / (c + 1))
     cut = 2 * float(np.log(tested / chance))
     strong = counted.withColumn("g", ratio).where((weight > 0) & (F.col("g") > cut)).withColumn("w", weight * (1 - cut / F.col("g")))
-    kept = strong.orderBy(F.desc("g"), "entry").limit(entries).collect()
+    kept = (strong if entries is None else strong.orderBy(F.desc("g"), "entry").limit(entries)).collect()
     lexicon = Lexicon({r["entry"]: float(r["w"]) for r in kept})
     pairs = scored(sample, lexicon, "toxic").collect()
     x, y = np.array([r["strength"] for r in pairs]), np.array([float(r["toxic"] > 0) for r in pairs])
