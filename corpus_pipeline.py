@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before has kept; all but the last return the columns of
 ``documents``. ``run`` writes each stage's rows as Parquet and rereads them as the next one's docs. Rows with a null text count as
-empty texts; rows with a null doc_id cannot be near-duplicates or leaks and stay; of rows that repeat a doc_id and text the near-duplicates stage keeps one.
+empty texts; rows with a null doc_id cannot be near-duplicates and stay there, other stages judge them like all; of rows that repeat a doc_id and text the
+near-duplicates stage keeps one.
 """
 
 from __future__ import annotations
@@ -33,13 +34,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest doc_id, one of its repeated rows."""
     kept = without(docs, signature_join.near_duplicates(docs, size=5, percent=80).where("NOT kept"))
     several = written(kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    same = kept.join(several, "doc_id", "left_semi").groupBy("doc_id", whole_text().alias("whole")).agg(F.max(F.struct(*docs.columns)).alias("row"))
+    same = kept.join(several, "doc_id", "left_semi").groupBy("doc_id", whole_text().alias("whole")).agg(F.first(F.struct(*docs.columns)).alias("row"))
     return kept.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(same.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no copy of a benchmark item, exact or edited."""
-    return without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    """Rows that hold no copy of a benchmark item, exact or edited; rows without a doc_id get numbers of their own to be judged by."""
+    items = table(spark, sf_dir, "benchmark")
+    kept = without(docs, decontaminate.contaminated(docs, items))
+    unnamed = docs.where("doc_id IS NULL")
+    if unnamed.isEmpty():
+        return kept
+    numbered = written(unnamed.select(F.monotonically_increasing_id().alias("number"), F.struct(*docs.columns).alias("row")), "unnamed")
+    leaks = decontaminate.contaminated(numbered.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), items)
+    clean = numbered.join(written(leaks.select(F.col("doc_id").alias("number")).distinct(), "rejected"), "number", "left_anti")
+    return kept.where("doc_id IS NOT NULL").unionByName(clean.select("row.*"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
