@@ -175,9 +175,9 @@ class WordEncoder:
         """Ids of each text, four bytes each."""
         words = [self.words(t) for t in texts]
         new = set().union(*words).difference(self.young)
-        again = new.intersection(self.old)
-        self.young |= {w: self.old[w] for w in again}
-        self.young |= self.learn(list(new - again))
+        again = {w: self.old[w] for w in new if w in self.old}
+        self.young |= again
+        self.young |= self.learn(list(new.difference(again)))
         out = [b"".join(map(self.young.__getitem__, w)) for w in words]
         if len(self.young) > KEPT_WORDS:
             self.old, self.young = self.young, {}
