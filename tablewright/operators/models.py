@@ -6,12 +6,12 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ def stacked(frames):
 
 
 def text_features(text: str, terms: int = fixed.WORD_TERMS) -> Pipeline:
-    """Word 1-3-grams -> counts -> idf -> unit length, all on the JVM side."""
+    """Word 1-3-grams -> counts -> idf -> unit length, all on the JVM side. ``vectors.TextVectors`` has the weights of TfIdf, any blocks and no limit."""
     grams = ft.Step(lambda df: df.withColumn("_grams", word_grams(word_tokens(F.coalesce(F.col(text), F.lit(""))))))
     count = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=terms, minDF=fixed.MIN_DF, maxDF=fixed.MAX_DF)
     return Pipeline(stages=[
@@ -83,15 +83,35 @@ def batch_score(model, df: DataFrame, key: str, task: str = "binary") -> DataFra
     return out.select(key, F.col("prediction").cast("int" if task == "multiclass" else "double").alias("prediction"))
 
 
+def shares(values):
+    """An array scaled to sum 1; equal shares if all are zero."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    part = lambda s: F.transform(s["v"], lambda v: F.when(s["t"] > 0, v / s["t"]).otherwise(1.0 / F.size(s["v"])))
+    return let(lambda o: let(part, v=o["v"], t=total(o["v"])), v=values)
+
+
+def probability_array(out: DataFrame):
+    """Class probabilities of a transformed frame. One-against-rest members give margins: their probabilities are scaled to sum 1."""
+    if "probability" in out.columns:
+        return vector_to_array("probability")
+    return shares(F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m))))
+
+
 def class_probabilities(model, df: DataFrame, key: str) -> DataFrame:
-    """(key, class, p) in long form. One-against-rest members give margins: their probabilities are scaled to sum 1."""
+    """(key, class, p) in long form; the class is its place in the model's probabilities."""
     out = model.transform(df)
-    if "probability" in out.columns:
-        p = vector_to_array("probability")
-    else:
-        each = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
-        p = let(lambda s: F.transform(s["e"], lambda v: v / F.aggregate(s["e"], F.lit(0.0), lambda a, b: a + b)), e=each)
-    return out.select(key, F.posexplode(p).alias("class", "p"))
+    return out.select(key, F.posexplode(probability_array(out)).alias("class", "p"))
+
+
+def alongside(model, df: DataFrame, found, name: str) -> DataFrame:
+    """``df`` and one column ``name``, read by ``found`` from the model's transformed frame; the model's own columns leave."""
+    out = model.transform(df)
+    return out.withColumn(name, found(out)).select(*[df[c] if c not in out.columns else F.col(c) for c in df.columns], name)
+
+
+def largest(p):
+    """Place of the largest value of an array, the first on ties."""
+    return F.array_position(p, F.array_max(p)) - 1
 
 
 def soft_vote(parts) -> DataFrame:
@@ -105,68 +125,163 @@ def in_threads(spark, fn, items, threads: int = 4) -> list:
         return pool.map(inheritable_thread_target(spark)(fn), list(items))
 
 
-def oof_predict(df: DataFrame, key: str, label: str, estimator, k: int = 5, seed: int = 42) -> DataFrame:
-    """(key, label, fold, prediction): every row scored by the model of the other folds."""
-    folds = checkpointed(kfold_stratified(df, key, label, k, seed))
+class SoftVote(Estimator):
+    """Average of the class probabilities of members that are fitted side by side on one feature table.
+
+    Members are estimators whose models give ``probability``, or ``rawPrediction`` as one-against-rest does, over the same classes 0, 1, ...;
+    ``weights`` default to equal ones.
+    """
+
+    def __init__(self, members, weights=None, threads: int = 4):
+        super().__init__()
+        self.members, self.threads = list(members), threads
+        self.weights = [1.0] * len(self.members) if weights is None else list(weights)
+
+    def _fit(self, df):
+        return SoftVoteModel(in_threads(df.sparkSession, lambda e: e.copy().fit(df), self.members, self.threads), self.weights)
+
+
+class SoftVoteModel(Model):
+    """Adds ``probability`` (vector) and ``prediction`` (class)."""
+
+    def __init__(self, models, weights):
+        super().__init__()
+        self.models, self.weights = models, weights
+
+    def _transform(self, df):
+        out, names = df, [f"_vote{i}" for i in range(len(self.models))]
+        for model, name in zip(self.models, names):
+            out = alongside(model, out, probability_array, name)
+        whole = sum(self.weights)
+        votes = [F.transform(F.col(n), lambda v, w=w: v * (w / whole)) for n, w in zip(names, self.weights)]
+        p = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), votes)
+        out = out.withColumn("_p", p).drop(*names)
+        return out.withColumns({"probability": array_to_vector("_p"), "prediction": largest(F.col("_p")).cast("double")}).drop("_p")
+
+
+#: task: (metric of the leaderboard, larger is better)
+SEARCH_METRIC = {"binary": ("auc", True), "multiclass": ("log_loss", False), "regression": ("r2", True)}
+
+
+def task_scores(model, df: DataFrame, task: str) -> DataFrame:
+    """``df`` with ``prediction``: probability of class 1, array of class probabilities or predicted value."""
+    found = {
+        "binary": lambda out: probability_array(out)[1],
+        "multiclass": probability_array,
+        "regression": lambda out: F.col("prediction").cast("double"),
+    }[task]
+    return alongside(model, df, found, "_found").withColumnRenamed("_found", "prediction")
+
+
+def oof_predict(df: DataFrame, key: str, label: str, estimator, k: int = 5, seed: int = 42, task: str = "binary") -> DataFrame:
+    """(key, label, fold, prediction): every row scored by the model of the other folds, as ``task_scores`` says.
+
+    Folds are even within each class; for regression within all rows.
+    """
+    if task == "regression":
+        folds = kfold_stratified(df.withColumn("_all", F.lit(0)), key, "_all", k, seed).drop("_all")
+    else:
+        folds = kfold_stratified(df, key, label, k, seed)
+    folds = checkpointed(folds)
 
     def one(i):
         model = estimator.copy().fit(folds.where(F.col("fold") != i))
-        scored = model.transform(folds.where(F.col("fold") == i))
-        return scored.select(key, label, "fold", vector_to_array("probability")[1].alias("prediction"))
+        return task_scores(model, folds.where(F.col("fold") == i), task).select(key, label, "fold", "prediction")
 
     return stacked(in_threads(df.sparkSession, one, range(k)))
 
 
-def model_search(df: DataFrame, key: str, label: str, families: dict, k: int = 5) -> DataFrame:
-    """Leaderboard (model, auc, place) of several families by exact AUC over out-of-fold scores."""
-    parts = []
-    for name, est in families.items():
-        oof = oof_predict(df, key, label, est, k)
-        parts.append(metrics.auc(oof, label, ["prediction"]).select(F.lit(name).alias("model"), "auc"))
+def task_metric(scored: DataFrame, label: str, task: str) -> DataFrame:
+    """One row with the metric of SEARCH_METRIC; null if a row lacks its prediction or label."""
+    if task == "binary":
+        return metrics.auc(scored, label, ["prediction"]).select("auc")
+    if task == "multiclass":
+        return scored.agg(metrics.multi_log_loss(F.col("prediction"), F.col(label)).alias("log_loss"))
+    return scored.agg(metrics.r2(F.col(label), F.col("prediction")).alias("r2"))
+
+
+def model_search(df: DataFrame, key: str, label: str, families: dict, k: int = 5, task: str = "binary") -> DataFrame:
+    """Leaderboard (model, metric, place) of several families by the task's exact metric over out-of-fold scores."""
+    name, larger = SEARCH_METRIC[task]
+    parts = [
+        task_metric(oof_predict(df, key, label, est, k, task=task), label, task).select(F.lit(family).alias("model"), name)
+        for family, est in families.items()
+    ]
     board = stacked(parts)  # one row per family
-    return board.withColumn("place", F.rank().over(W.orderBy(F.desc("auc"))))
+    return board.withColumn("place", F.rank().over(W.orderBy(F.desc_nulls_last(name) if larger else F.asc_nulls_last(name))))
 
 
-def _binary(df: DataFrame, label: str, cls: int) -> DataFrame:
-    return df.withColumn("_y", (F.col(label) == cls).cast("double"))
+class Calibrated(Estimator):
+    """Probabilities of ``classes`` from members that give scores only, calibrated by cross-validation.
 
+    Per class and fold, ``base()`` learns from the other folds whether a row (column ``_y``) is of the class, and ``calibrator`` maps its
+    ``score`` on the fold to a probability. With two classes only the larger one is learned. ``df`` needs key, label and features.
+    """
 
-def calibrated(train: DataFrame, test: DataFrame, key: str, label: str, base, score, calibrator, classes, k: int = 3) -> DataFrame:
-    """(key, class, p): per class and fold a model of the other folds is calibrated on the fold; averages, rows sum to 1.
+    def __init__(self, key, label, classes, base, score, calibrator, k: int = 3, seed: int = 42, threads: int = 4):
+        super().__init__()
+        self.key, self.label, self.classes, self.base, self.score = key, label, sorted(classes), base, score
+        self.calibrator, self.k, self.seed, self.threads = calibrator, k, seed, threads
 
-    ``score`` turns a transformed frame into a score column; ``calibrator`` fits (score, y) and gives a function to p.
+    def _fit(self, df):
+        folds = checkpointed(kfold_stratified(df.select(self.key, self.label, "features"), self.key, self.label, self.k, self.seed))
+        wanted = self.classes if len(self.classes) > 2 else self.classes[1:]
+
+        def one(job):
+            cls, i = job
+            data = folds.withColumn("_y", (F.col(self.label) == cls).cast("double"))
+            model = self.base().fit(data.where(F.col("fold") != i))
+            held = self.score(model.transform(data.where(F.col("fold") == i))).select(F.col("_y").alias("y"), "score")
+            return model, self.calibrator(held)
+
+        jobs = [(cls, i) for cls in wanted for i in range(self.k)]
+        fitted = in_threads(df.sparkSession, one, jobs, self.threads)
+        members = [[m for (c, _), m in zip(jobs, fitted) if c == cls] for cls in wanted]
+        return CalibratedModel(self.classes, members, self.score)
+
+
+class CalibratedModel(Model):
+    """Adds ``probability`` (vector, in order of ``classes``) and ``prediction`` (the likeliest class) to any table with features.
+
+    ``members`` holds, per learned class, (model, calibrator) of each fold. A class's probability is the folds' mean, scaled to sum 1.
     """
-    folds = checkpointed(kfold_stratified(train, key, label, k, 42))
-    wanted = classes if len(classes) > 2 else [max(classes)]
-
-    def one(job):
-        cls, i = job
-        data = _binary(folds, label, cls)
-        model = base().fit(data.where(F.col("fold") != i))
-        held = score(model.transform(data.where(F.col("fold") == i))).select(F.col("_y").alias("y"), "score")
-        to_p = calibrator(held)
-        return to_p(score(model.transform(test)).select(key, "score")).select(key, F.lit(cls).alias("class"), "p")
-
-    members = in_threads(train.sparkSession, one, [(cls, i) for cls in wanted for i in range(k)])
-    mean = stacked(members).groupBy(key, "class").agg(F.avg("p").alias("p"))
-    if len(classes) == 2:
-        other = min(classes)
-        both = F.array(F.struct("class", "p"), F.struct(F.lit(other).alias("class"), (1 - F.col("p")).alias("p")))
-        return mean.select(key, F.inline(both))
-    total = mean.groupBy(key).agg(F.sum("p").alias("total"))
-    return mean.join(total, key).select(key, "class", F.try_divide("p", "total").alias("p"))
+
+    def __init__(self, classes, members, score):
+        super().__init__()
+        self.classes, self.members, self.score = classes, members, score
+
+    def _transform(self, df):
+        out, per = df, []
+        for c, folds in enumerate(self.members):
+            names = [f"_p{c}_{i}" for i in range(len(folds))]
+            for (model, to_p), name in zip(folds, names):
+                out = to_p(alongside(model, out, lambda o: self.score(o)["score"], "score")).withColumnRenamed("p", name).drop("score")
+            per.append(reduce(lambda a, b: a + b, map(F.col, names)) / len(names))
+        p = shares(F.array(*per)) if len(self.classes) > 2 else let(lambda s: F.array(1 - s["p"], s["p"]), p=per[0])
+        out = out.withColumn("_p", p).select(*[F.col(c) for c in df.columns], "_p")
+        place = F.array(*[F.lit(float(c)) for c in self.classes])
+        likeliest = F.element_at(place, (largest(F.col("_p")) + 1).cast("int"))
+        return out.withColumns({"probability": array_to_vector("_p"), "prediction": likeliest}).drop("_p")
+
+
+def calibrated(train: DataFrame, test: DataFrame, key: str, label: str, base, score, calibrator, classes, k: int = 3) -> DataFrame:
+    """(key, class, p) of ``test`` by a ``Calibrated`` model of ``train``."""
+    model = Calibrated(key, label, classes, base, score, calibrator, k).fit(train)
+    names = F.array(*[F.lit(c) for c in model.classes])
+    return class_probabilities(model, test, key).select(key, names[F.col("class")].alias("class"), "p")
 
 
 def sigmoid_calibrator(held: DataFrame):
     """Platt scaling: logistic regression on the score alone."""
     vec = VectorAssembler(inputCols=["score"], outputCol="features")
     model = LogisticRegression(labelCol="y").fit(vec.transform(held))
-    return lambda df: model.transform(vec.transform(df)).withColumn("p", vector_to_array("probability")[1])
+    slope, at = float(model.coefficients[0]), float(model.intercept)
+    return lambda df: df.withColumn("p", 1 / (1 + F.exp(-(F.col("score") * slope + at))))
 
 
 def isotonic_calibrator(held: DataFrame):
-    model = IsotonicRegression(featuresCol="score", labelCol="y").fit(held)
-    return lambda df: model.transform(df).withColumn("p", F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0)))
+    model = IsotonicRegression(featuresCol="score", labelCol="y", predictionCol="p").fit(held)
+    return lambda df: model.transform(df).withColumn("p", F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)))
 
 
 def svm_base():

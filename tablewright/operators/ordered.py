@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tablewright.session import written
+
 
 def bucket_count(df: DataFrame) -> int:
     """As many order buckets as the session has shuffle partitions."""
@@ -150,20 +152,22 @@ def average_ranks(df: DataFrame, key: str, cols) -> DataFrame:
     return long.join(ranks, ["name", "value"]).select(key, "name", "rank")
 
 
+def numbered(df: DataFrame, order: str, output: str) -> DataFrame:
+    """``df`` with ``output``: 0-based numbers in ascending order of a column without repeated values.
+
+    Rows are sorted in ranges and written once, so that their places hold; then the ranges' counts are carried on.
+    """
+    placed = written(df.orderBy(order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    low = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row per range, as many as shuffle partitions
+    offsets = placed.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(low), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    return placed.join(F.broadcast(offsets), "_range").withColumn(output, number.cast("long")).drop("_at", "_range", "_before")
+
+
 def dense_codes(df: DataFrame, col: str) -> DataFrame:
     """(value, code): distinct non-null values in ascending order, numbered from 0."""
-    values = df.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
-    n = bucket_count(df)
-    # a uniform sample by hash gives the cut points: at most 20 values per bucket on the driver
-    sample = sorted(r[0] for r in values.orderBy(F.xxhash64("value")).limit(n * 20).collect())
-    cuts = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if len(sample) == n * 20 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("value"))) if cuts else F.lit(0)
-    b = values.withColumn("bucket", bucket)
-    per = b.groupBy("bucket").count()
-    low = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # one row per bucket
-    offsets = per.select("bucket", F.coalesce(F.sum("count").over(low), F.lit(0)).alias("before"))
-    inside = F.row_number().over(W.partitionBy("bucket").orderBy("value"))
-    return b.join(F.broadcast(offsets), "bucket").select("value", (F.col("before") + inside - 1).cast("long").alias("code"))
+    return numbered(df.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct(), "value", "code")
 
 
 def in_blocks(df: DataFrame, order: str) -> DataFrame:
