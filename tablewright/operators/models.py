@@ -106,7 +106,7 @@ def class_probabilities(model, df: DataFrame, key: str) -> DataFrame:
 def alongside(model, df: DataFrame, found, name: str) -> DataFrame:
     """``df`` and one column ``name``, read by ``found`` from the model's transformed frame; the model's own columns leave."""
     out = model.transform(df)
-    return out.withColumn(name, found(out)).select(*[df[c] if c not in out.columns else F.col(c) for c in df.columns], name)
+    return out.select(*map(F.col, df.columns), found(out).alias(name))
 
 
 def largest(p):
@@ -153,7 +153,11 @@ class SoftVoteModel(Model):
         for model, name in zip(self.models, names):
             out = alongside(model, out, probability_array, name)
         whole = sum(self.weights)
-        votes = [F.transform(F.col(n), lambda v, w=w: v * (w / whole)) for n, w in zip(names, self.weights)]
+
+        def weighted(name, share):
+            return F.transform(F.col(name), lambda v: v * share)
+
+        votes = [weighted(n, w / whole) for n, w in zip(names, self.weights)]
         p = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), votes)
         out = out.withColumn("_p", p).drop(*names)
         return out.withColumns({"probability": array_to_vector("_p"), "prediction": largest(F.col("_p")).cast("double")}).drop("_p")
@@ -255,7 +259,8 @@ class CalibratedModel(Model):
         for c, folds in enumerate(self.members):
             names = [f"_p{c}_{i}" for i in range(len(folds))]
             for (model, to_p), name in zip(folds, names):
-                out = to_p(alongside(model, out, lambda o: self.score(o)["score"], "score")).withColumnRenamed("p", name).drop("score")
+                scored = self.score(model.transform(out)).select(*out.columns, "score")
+                out = to_p(scored).withColumnRenamed("p", name).drop("score")
             per.append(reduce(lambda a, b: a + b, map(F.col, names)) / len(names))
         p = shares(F.array(*per)) if len(self.classes) > 2 else let(lambda s: F.array(1 - s["p"], s["p"]), p=per[0])
         out = out.withColumn("_p", p).select(*[F.col(c) for c in df.columns], "_p")

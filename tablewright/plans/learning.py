@@ -7,9 +7,11 @@ them are sound. Quality floors are in the tests.
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablewright import fixed
 from tablewright.operators import features as ft
 from tablewright.operators import models as md
 from tablewright.plans.lookups import long_predictions
+from tablewright.operators.vectors import TextVectors
 from tablewright.plans.registry import query
 from tablewright.session import checkpointed
 
@@ -33,13 +35,25 @@ def table_parts(t):
 
 
 def text_parts(t):
-    """TF-IDF vectors of labelled and unlabelled documents; the label is the quality flag."""
-    train = t.labelled.withColumn("label", F.col("target"))
-    prep = md.text_features("text").fit(train)
-    scored = prep.transform(t.unlabelled).select("id", "features")
+    """Word and character TF-IDF vectors of labelled and unlabelled documents; the label is the quality flag."""
+    train = t.labelled.select("id", "text", F.col("target").alias("label"))
+    prep = TextVectors("id", "text").fit(train)
+    scored = prep.transform(t.unlabelled.select("id", "text")).select("id", "features")
     return checkpointed(prep.transform(train).select("id", "label", "features")), checkpointed(scored)
 
 
+LANGS = "(SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS label FROM (SELECT DISTINCT lang FROM labelled))"
+
+
+def language_parts(t):
+    """(id, label, features) of labelled and unlabelled documents: word vectors, the label is the language's place in order."""
+    train, test = (df.select("id", "lang", "text") for df in (t.labelled, t.unlabelled))
+    codes = ft.LabelEncoder("lang", "label").fit(train)
+    prep = TextVectors("id", "text", blocks={"word": fixed.WORD_TERMS}).fit(train)
+    keep = ["id", F.col("label").cast("double").alias("label"), "features"]
+    return tuple(checkpointed(prep.transform(codes.transform(df)).select(keep)) for df in (train, test))
+
+
 def sound(probs):
     """(id, classes, sound): distinct classes of each id, and whether their probabilities lie in [0, 1] and sum to 1."""
     good = F.bool_and(F.col("p").between(0, 1)) & (F.abs(F.sum("p") - 1) < 1e-6)
@@ -153,3 +167,84 @@ def select_features(t):
     found = md.select_features(wide, [c for c in wide.columns if c.startswith("poly_")], "label")
     whole = F.abs(F.sum("importance").over(W.partitionBy(F.lit(1))) - 1) < 1e-6  # twenty rows
     return found.select("feature", F.col("importance").between(0, 1).alias("sound"), whole.alias("whole"))
+
+
+NAMED_SQL = f"SELECT u.lang, count(*) AS n, true AS known FROM unlabelled u JOIN {LANGS} k USING (lang) GROUP BY 1"
+
+
+def named(scored, truth):
+    """(lang, n, known): whether more than half of a language's documents are named right, which a constant model does for one at most."""
+    right = F.avg((F.col("prediction") == F.col("label")).cast("double")) > 0.5
+    return scored.join(truth, "id").groupBy("lang").agg(F.count("*").alias("n"), right.alias("known"))
+
+
+def truth(t, test):
+    return t.unlabelled.select("id", "lang").join(test.select("id", "label"), "id")
+
+
+@query("batch_score_multiclass", NAMED_SQL, ("labelled", "unlabelled"))
+def batch_score_multiclass(t):
+    """The language of every unlabelled document by a model of the labelled ones' words; a constant model names one language."""
+    train, test = language_parts(t)
+    return named(md.batch_score(md.logistic(train.count(), maxIter=30).fit(train), test, "id", "multiclass"), truth(t, test))
+
+
+@query("vote_fitted", NAMED_SQL, ("labelled", "unlabelled"))
+def vote_fitted(t):
+    """Three members fitted on one feature table vote on the language: logistic regression, a forest and calibrated margins."""
+    train, test = language_parts(t)
+    classes = [r[0] for r in train.select("label").distinct().collect()]  # the languages
+    margins = md.Calibrated("id", "label", classes, md.svm_base, md.margin_score, md.sigmoid_calibrator)
+    vote = md.SoftVote([md.logistic(train.count(), maxIter=30), md.forest(len(classes)), margins])
+    return named(md.batch_score(vote.fit(train), test, "id", "multiclass"), truth(t, test))
+
+
+@query("calibrated_classes", f"""SELECT part, k.lang, count(*) AS n, true AS sound, true AS likely FROM
+      (SELECT 'labelled' AS part, lang FROM labelled UNION ALL SELECT 'unlabelled', lang FROM unlabelled) d JOIN {LANGS} k USING (lang) GROUP BY 1, 2""", ("labelled", "unlabelled"))
+def calibrated_classes(t):
+    """One fitted model scores two tables: per table and language, whether probabilities are sound, and whether the true language has
+    on average more than half of them."""
+    train, test = language_parts(t)
+    classes = sorted(r[0] for r in train.select("label").distinct().collect())  # the languages
+    model = md.Calibrated("id", "label", classes, md.svm_base, md.margin_score, md.isotonic_calibrator).fit(train)
+    names = t.labelled.select("lang").distinct()
+    codes = ft.LabelEncoder("lang", "label").fit(names).transform(names).select("lang", F.col("label").cast("double").alias("label"))
+
+    def rows(part, df):
+        scored = model.transform(df).join(codes, "label")
+        scored = scored.withColumn("p", md.probability_array(scored))
+        sum_one = F.abs(F.aggregate("p", F.lit(0.0), lambda a, b: a + b) - 1) < 1e-9
+        good = F.bool_and(sum_one & (F.array_min("p") >= 0) & (F.size("p") == len(classes)))
+        own = F.avg(F.element_at("p", (F.col("label") + 1).cast("int"))) > 0.5
+        return scored.groupBy("lang").agg(F.count("*").alias("n"), good.alias("sound"), own.alias("likely")).withColumn("part", F.lit(part))
+
+    return md.stacked([rows("labelled", train), rows("unlabelled", test)])
+
+
+@query("lr_text_quality", "SELECT target AS label, count(*) AS n, true AS above FROM labelled GROUP BY 1", ("labelled",))
+def lr_text_quality(t):
+    """Per label, whether the out-of-fold scores of the stacked vectors rank it better than a constant score would (AUC 0.5)."""
+    train, _ = text_parts(t)
+    oof = checkpointed(md.oof_predict(train, "id", "label", md.logistic(train.count(), maxIter=30), 3))
+    auc = md.task_metric(oof, "label", "binary").first()["auc"]
+    return oof.groupBy("label").agg(F.count("*").alias("n")).withColumn("above", F.lit(auc > 0.55))
+
+
+@query("search_multiclass", "SELECT unnest(['forest', 'logistic']) AS model, true AS informed")
+def search_multiclass(t):
+    """Out-of-fold log loss of the language against that of the classes' shares."""
+    train, _ = language_parts(t)
+    families = {"forest": md.forest(train.select("label").distinct().count(), numTrees=10), "logistic": md.logistic(train.count(), maxIter=20)}
+    board = md.model_search(train, "id", "label", families, 3, "multiclass")
+    share = train.groupBy("label").count().withColumn("p", F.col("count") / F.sum("count").over(W.partitionBy(F.lit(1))))  # a row per class
+    blind = share.agg(F.sum(-F.col("p") * F.log("p"))).first()[0]
+    return board.select("model", (F.col("log_loss") < blind).alias("informed"))
+
+
+@query("search_regression", "SELECT unnest(['boosted', 'forest']) AS model, true AS informed")
+def search_regression(t):
+    """Out-of-fold r2 of the number of words."""
+    df = table(t).where("is_train").withColumn("label", F.col("words"))
+    train = checkpointed(md.table_features(["chars", "lines"], ["lang"]).fit(df).transform(df).select("id", "label", "features"))
+    board = md.model_search(train, "id", "label", {"boosted": md.boosted_regressor(maxIter=5), "forest": md.forest_regressor(numTrees=10)}, 3, "regression")
+    return board.select("model", (F.col("r2") > 0.5).alias("informed"))

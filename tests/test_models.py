@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import metrics
 from tablewright.operators import models as md
+from tablewright.operators import vectors
 
 NUMERIC = ["a", "b"]
 
@@ -33,3 +34,73 @@ def test_text_pipeline(spark):
     data = md.text_features("text").fit(df).transform(df)
     scores = md.batch_score(md.logistic(40, maxIter=20).fit(data), data, "id").join(df, "id")
     assert metrics.auc(scores, "label", ["prediction"]).first()["auc"] == 1.0
+
+
+def three(spark, n=300):
+    """Three classes along the first of two features."""
+    df = toy(spark, n).withColumn("label", F.floor(F.col("a") * 3).cast("double"))
+    prep = md.table_features(NUMERIC, []).fit(df)
+    return prep.transform(df).select("id", "label", "features")
+
+
+def test_calibrated_model_scores_later_tables(spark):
+    data = three(spark).cache()
+    for base, score, to_p in ((md.svm_base, md.margin_score, md.sigmoid_calibrator), (md.boosted_base, md.probability_score, md.isotonic_calibrator)):
+        model = md.Calibrated("id", "label", [2.0, 0.0, 1.0], base, score, to_p, k=2).fit(data.where("id % 3 > 0"))
+        for part in (data.where("id % 3 > 0"), data.where("id % 3 = 0"), data.where("id < 0")):
+            out = model.transform(part)
+            assert out.columns == ["id", "label", "features", "probability", "prediction"] and out.count() == part.count()
+            p = out.select(md.vector_to_array("probability").alias("p"), "label", "prediction").collect()
+            assert all(abs(sum(r.p) - 1) < 1e-9 and min(r.p) >= 0 and r.prediction == float(r.p.index(max(r.p))) for r in p)
+        scored = model.transform(data.where("id % 3 = 0"))
+        # outer classes are separable by one against the rest, a line cannot cut out the middle one
+        hits = scored.where("label <> 1").agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+        assert hits > 0.9
+    assert set(md.calibrated(data, data, "id", "label", md.boosted_base, md.probability_score, md.isotonic_calibrator, [0, 1, 2], 2).select("class").distinct().toPandas()["class"]) == {0, 1, 2}
+
+
+def test_vote_is_the_members_mean(spark):
+    data = three(spark).cache()
+    members = [md.forest(3, numTrees=4), md.logistic(300, maxIter=10), md.boosted(3, maxIter=2)]
+    vote = md.SoftVote(members, weights=[1, 2, 1]).fit(data)
+    got = {r["id"]: list(r["probability"]) for r in vote.transform(data).collect()}
+    want = {i: [0.0] * 3 for i in got}
+    for model, w in zip(vote.models, (1, 2, 1)):
+        for r in md.class_probabilities(model, data, "id").collect():
+            want[r["id"]][r["class"]] += r["p"] * w / 4
+    assert all(abs(a - b) < 1e-12 for i in got for a, b in zip(got[i], want[i]))
+    # three ways to average must not lose rows, nor keep the members' columns
+    assert vote.transform(data).columns == ["id", "label", "features", "probability", "prediction"] and len(got) == 300
+
+
+def test_search_takes_the_metric_of_the_task(spark):
+    data = three(spark).cache()
+    constant = md.logistic(300, c=1e-12, maxIter=5)
+    board = md.model_search(data, "id", "label", {"none": constant, "forest": md.forest(3, numTrees=5)}, 3, "multiclass").collect()
+    assert {r["model"]: r["place"] for r in board} == {"forest": 1, "none": 2}
+    assert abs({r["model"]: r["log_loss"] for r in board}["none"] - 1.0986) < 0.01
+    values = data.withColumn("label", F.col("id").cast("double") * 37 % 101)
+    board = md.model_search(values, "id", "label", {"forest": md.forest_regressor(), "stump": md.forest_regressor(numTrees=1, maxDepth=1)}, 3, "regression").collect()
+    r2 = {r["model"]: r["r2"] for r in board}
+    assert r2["forest"] > 0.95 > r2["stump"]
+    oof = md.oof_predict(values, "id", "label", md.forest_regressor(numTrees=2), 3, task="regression")
+    assert sorted(r["count"] for r in oof.groupBy("fold").count().collect()) == [100, 100, 100]
+
+
+def test_vectors_hold_the_rows(spark):
+    rows = [(1, "good fine nice word", "a"), (2, "bad poor ugly word", "b"), (3, None, "c"), (4, "", "d"), (5, "zzz", "e"), (6, "word good bad", "f")]
+    df = spark.createDataFrame(rows, "id long, text string, features_of string")
+    model = vectors.TextVectors("id", "text", max_df=1.0).fit(df)
+    got = {r["id"]: r["features"] for r in model.transform(df).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6} and got[3].numNonzeros() == got[4].numNonzeros() == got[5].numNonzeros() == 0
+    want = {}
+    for m, at in zip(model.models, model.offsets):
+        codes = {r["term"]: r["code"] for r in m.vocabulary.collect()}
+        assert sorted(codes.values()) == list(range(len(codes))) and [t for t, _ in sorted(codes.items(), key=lambda p: p[1])] == sorted(codes)
+        for r in m.transform(df).collect():
+            want[r["id"], codes[r["term"]] + at] = r["weight"]
+    assert {(i, int(j)): float(v.values[n]) for i, v in got.items() for n, j in enumerate(v.indices)} == want
+    assert all(v.size == model.size for v in got.values())
+    # words that the fit has not met are opened by transform, and an empty table gives no rows
+    new = spark.createDataFrame([(9, "wordy goodness")], "id long, text string")
+    assert model.transform(new).first()["features"].numNonzeros() > 0 and model.transform(new.where("id < 0")).count() == 0
