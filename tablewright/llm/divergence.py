@@ -9,7 +9,6 @@ counted, nor sent anywhere, as whole terms.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,29 @@ FIRST_WIDTH = 8
 HELD_ROWS = 2_000_000
 
 #: Every byte that separates terms becomes a blank, A-Z become small letters.
-FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)], np.uint8)
+
+
+def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The terms of binary texts, as one array, and how many each text has.
+
+    Separators leave the bytes of all texts at once, so that the terms lie next to each other as an Arrow array wants them.
+    """
+    wide = pa.types.is_large_binary(texts.type)
+    number = np.int64 if wide else np.int32
+    _, at, data = texts.buffers()
+    ends = np.frombuffer(at, number)[texts.offset : texts.offset + len(texts) + 1] if at else np.zeros(1, number)
+    found = FOLD[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]] if data else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    letter = found != 0x20
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    begins = ends[:-1][ends[:-1] < len(found)]
+    first[begins] = letter[begins]  # a text's first letter begins a term, whatever ends the text before
+    start, letters = np.flatnonzero(first), np.cumsum(letter, dtype=number)
+    offsets = np.append(letters[start] - 1, letters[-1] if len(letters) else 0).astype(number)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(found[letter])]
+    return pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(start), buffers), np.diff(np.searchsorted(start, ends))
 
 
 def summed(rows: np.ndarray) -> np.ndarray:
@@ -40,8 +61,9 @@ def summed(rows: np.ndarray) -> np.ndarray:
 
 
 def some(rows: np.ndarray, most: int) -> np.ndarray:
-    """Columns (key, document) with at most ``most`` documents of a key, in order of the keys."""
+    """Columns (key, document) with at most ``most`` distinct documents of a key, in order of the keys."""
     rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    rows = rows[:, (np.diff(rows[0], prepend=-1) != 0) | (np.diff(rows[1], prepend=-1) != 0)]
     first = np.flatnonzero(np.diff(rows[0], prepend=-1))
     nth = np.arange(rows.shape[1]) - np.repeat(first, np.diff(np.append(first, rows.shape[1])))
     return rows[:, nth < most]
@@ -62,7 +84,7 @@ def mentions(df: DataFrame, min_docs: int) -> DataFrame:
         sources: dict[str, int] = {}
         docs, counts = [], []
 
-        def number(names: dict[str, int], name: str) -> int:
+        def number(names: dict, name: str | bytes) -> int:
             return names.setdefault(name, len(names))
 
         def out() -> pa.RecordBatch:
@@ -79,19 +101,18 @@ def mentions(df: DataFrame, min_docs: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, ["lang", "term", "docs", "sources"])
 
         for b in in_slices(batches):
-            words = [t.translate(FOLD).split() for t in b.column("text").to_pylist()]
-            for w in set().union(*words).difference(codes):
-                codes[w] = len(codes)
+            found, sizes = terms_of(b.column("text"))
+            found = found.dictionary_encode()
+            place = np.array([number(codes, w) for w in found.dictionary.to_pylist()], np.int64)
             lang = np.array([number(langs, x) for x in b.column("lang").to_pylist()], np.int64)
             source = np.array([number(sources, x) for x in b.column("source").to_pylist()], np.int64)
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            code = np.fromiter(map(codes.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
-            held, n = np.unique(np.repeat(np.arange(len(words)), sizes) << 32 | code, return_counts=True)
+            code = place[found.indices.to_numpy()]
+            held, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) << 32 | code, return_counts=True)
             doc, key = held >> 32, lang[held >> 32] << 32 | held & 0xFFFFFFFF
             if len(key):
                 docs.append(some(np.stack([key, doc + document]), min_docs))
                 counts.append(summed(np.stack([key, source[doc], n])))
-            document += len(words)
+            document += len(sizes)
             if sum(c.shape[1] for c in counts) > HELD_ROWS:
                 docs, counts = [some(np.concatenate(docs, 1), min_docs)], [summed(np.concatenate(counts, 1))]
                 if counts[0].shape[1] > HELD_ROWS / 2:
@@ -174,9 +195,13 @@ def kept_terms(told: DataFrame, min_docs: int) -> DataFrame:
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(SCALE * (n + 1) / (total + terms)), exactly."""
-    whole = lambda c: c.cast("decimal(19,0)")
-    return F.call_function("div", F.lit(SCALE).cast("decimal(19,0)") * (whole(n) + 1), whole(total) + whole(terms)) + 1
+    """1 + floor(SCALE * (n + 1) / (total + terms)), exactly: a long division by thousands, for up to 9e15 counts in a language."""
+    whole = total + terms
+    value, rest = F.lit(0).cast("long"), n + 1
+    for _ in range(3):  # SCALE is 1000 ** 3
+        value = value * 1000 + F.call_function("div", rest * 1000, whole)
+        rest = rest * 1000 % whole
+    return value + 1
 
 
 def drift(p: Column, q: Column) -> Column:
