@@ -4,7 +4,7 @@ A page is read as a tree of elements and texts. Neighbouring repeats fold into r
 other with the wrapper so far: what only one side has becomes optional, texts that differ become slots, texts that agree stay
 constant. The places of the final wrapper are judged once per host; a page's texts are then kept or
 dropped by their place in the wrapper. A place that the host's wrapper does not know is judged on its own page. Pages without
-an article or main element also lose the texts that most of the host's pages repeat at the same place, counted over all of its pages.
+an article or main element also lose the texts that the host's pages repeat at the same place, counted over all of its pages.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from tablewright.llm.url_rules import url_parts
 
 #: Different pages of a host that its wrapper is inferred from.
 PAGES = 16
-#: Contents that share a text at a place, and more than half of the host's, make it a constant.
+#: Contents that share a text at a place make it a constant if they are more than half of the host's, or if the place has so many contents to a text.
 CONTENTS = 3
+#: Share of a page's text that names its content: pages that differ in less are copies.
+COPY = 0.8
 #: Fixed values of HTML: elements without content, with raw content, inside lines, and what a start tag closes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noframes template".split())
@@ -43,12 +45,21 @@ ASIDE_WORDS = set(
     "footer contentinfo complementary comment comments reply replies disqus share sharing social related recommended newsletter subscribe signup login search popup modal "
     "widget copyright pagination pager toolbar".split()
 )
+#: Words that class names add to those without naming anything else: ``related-posts`` is an aside, ``related-work`` is not.
+PART_WORDS = set(
+    "active area bar block body bottom box button buttons card col column container content fixed footer form global group header icon inline inner item items label large left "
+    "link links list main message mobile module nested outer overlay page panel post posts right row section site slot small sticky text title top unit wrap wrapper zone".split()
+)
+#: Articles and mains with such names are reader comments.
+COMMENT_WORDS = set("comment comments reply replies disqus".split())
 #: These are the page's outside an article, and the article's inside it.
 OUTSIDE = {"header", "banner", "alert"}
 CORE = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?=[/A-Za-z])[^>]*(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 ALWAYS, NOT_INSIDE = 2, 1
@@ -65,17 +76,27 @@ class Node:
         self.many, self.chars, self.linked = "1", len(text or ""), 0
 
 
+def names(name: str, words: set[str]) -> bool:
+    """Does a whole class name say one of the words, alone or with words for parts of a page?"""
+    if name.lower() in words:
+        return True
+    parts = {p.lower() for p in PARTS.findall(name) if len(p) > 1}
+    return not words.isdisjoint(parts) and parts <= words | PART_WORDS
+
+
 def _element(tag: str, attributes: str) -> Node:
-    words, core = [], False
+    words, tokens, core = [], [], False
     if attributes:
         for name, a, b, c in NAMES.findall(attributes):
             found = re.findall(r"[A-Za-z]+", a or b or c)
             words += [w.lower() for w in found]
+            if name.lower() != "id" or tag not in HEADINGS:  # there it is a link's target, made of the heading's words
+                tokens += (a or b or c).split()
             core |= name.lower() == "itemprop" and "articleBody" in found or name.lower() == "role" and "main" in found
     sign = ".".join([tag, *sorted(set(words))])
-    named = tag not in ("body", "html", "article", "main")
-    aside = tag in ASIDE or named and not ASIDE_WORDS.isdisjoint(words)
-    outside = tag in OUTSIDE or named and not OUTSIDE.isdisjoint(words)
+    meant = COMMENT_WORDS if tag in CORE else set() if tag in ("body", "html") else ASIDE_WORDS
+    aside = tag in ASIDE or any(names(t, meant) for t in tokens)
+    outside = tag in OUTSIDE or tag not in ("body", "html", *CORE) and any(names(t, OUTSIDE) for t in tokens)
     return Node("main" if core else tag, sign, ALWAYS if aside else NOT_INSIDE if outside else 0)
 
 
@@ -313,21 +334,28 @@ def main_text(html: str, places: dict[int, int], constants: frozenset[int] = fro
     return " ".join(blocks)
 
 
-def other_texts(html: str, places: dict[int, int]) -> tuple[set[int], int] | None:
-    """Keys of the other texts of a page without an article or main element, and its content: the key of the longest of them.
+def other_texts(html: str, places: dict[int, int]) -> tuple[set[tuple[int, int]], int] | None:
+    """(place, key) of the other texts of a page without an article or main element, and its content.
 
-    Pages that differ in a date or a counter have the same content, so that copies of a page are not taken for pages that repeat its text.
+    The content is a hash of the longest texts that make up COPY of the page. Pages that differ in a date or a counter have the same content, so that copies of a
+    page are not taken for pages that repeat its text; pages that share a text longer than their own have contents of their own.
     """
     page = parse(html)
     if _has_core(page):
         return None
-    keys, longest = set(), (0, 0)
-    for found in walked(page, html, places, OTHER_TEXT):
-        if found and found[1].strip():
-            key = text_key(*found)
-            keys.add(key)
-            longest = max(longest, (len(found[1].strip()), key))
-    return (keys, longest[1]) if keys else None
+    found: dict[tuple[int, int], int] = {}
+    for place in walked(page, html, places, OTHER_TEXT):
+        if place and place[1].strip():
+            found[place[0], text_key(*place)] = len(place[1].strip())
+    if not found:
+        return None
+    left, content = COPY * sum(found.values()), 0
+    for size, key in sorted(((n, key) for (_, key), n in found.items()), reverse=True):
+        if left <= 0:
+            break
+        left -= size
+        content = inside(content, str(key))
+    return set(found), content
 
 
 def _places(b: pa.RecordBatch, known: dict) -> list[dict[int, int]]:
@@ -343,27 +371,34 @@ def _places(b: pa.RecordBatch, known: dict) -> list[dict[int, int]]:
 
 
 def constants(rows: DataFrame) -> DataFrame:
-    """(host, constants): keys of the texts that at least CONTENTS contents of a host, and more than half of them, have at the same place; written.
+    """(host, constants): keys of the texts that at least CONTENTS contents of a host have at the same place; written.
 
-    ``rows`` (host, html, places) are all pages. A host's contents are counted in many tasks, only its constants come to one.
+    Either more than half of the host's contents have the text, or the place holds CONTENTS contents or more to each of its texts, as the banners of several
+    templates do. ``rows`` (host, html, places) are all pages. A host's contents are counted in many tasks, only its constants come to one. One or two contents
+    of a host show no repeats; their texts are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict[int, int]] = {}
         for b in batches:
-            row, keys, contents = [], [], []
+            row, paths, keys, contents = [], [], [], []
             for r, (html, places) in enumerate(zip(b.column("html").to_pylist(), _places(b, known), strict=True)):
-                found = other_texts(html, places)
-                if found:
-                    row += [r] * (len(found[0]) + 1)
-                    keys += [None, *found[0]]
-                    contents += [found[1]] * (len(found[0]) + 1)
-            yield pa.RecordBatch.from_arrays([b.column("host").take(pa.array(row, pa.int64())), pa.array(keys, pa.int64()), pa.array(contents, pa.int64())], ["host", "key", "content"])
-
-    seen = rows.select("host", "html", "places").mapInArrow(run, "host string, key long, content long").distinct()
-    counted = written(seen.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= CONTENTS), "text-counts")
-    total = counted.where("key IS NULL").select("host", F.col("n").alias("total"))
-    common = counted.where("key IS NOT NULL").join(total, "host").where("2 * n > total")
+                for path, key in (found := other_texts(html, places) or ((), 0))[0]:
+                    row.append(r)
+                    paths.append(path)
+                    keys.append(key)
+                    contents.append(found[1])
+            columns = [pa.array(x, pa.int64()) for x in (paths, keys, contents)]
+            yield pa.RecordBatch.from_arrays([b.column("host").take(pa.array(row, pa.int64())), *columns], ["host", "path", "key", "content"])
+
+    found = rows.select("host", "html", "places").mapInArrow(run, "host string, path long, key long, content long")
+    seen = written(found.distinct(), "place-texts")
+    counted = seen.groupBy("host", "path", "key").agg(F.count("*").alias("n"))
+    texts = counted.groupBy("host", "path").agg(F.count("*").alias("texts"))
+    held = seen.select("host", "path", "content").distinct().groupBy("host", "path").agg(F.count("*").alias("held"))
+    total = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    repeated = counted.where(F.col("n") >= CONTENTS).join(texts, ["host", "path"]).join(held, ["host", "path"]).join(total, "host")
+    common = repeated.where((2 * F.col("n") > F.col("total")) | (CONTENTS * F.col("texts") <= F.col("held")))
     return written(common.groupBy("host").agg(F.collect_list("key").alias("constants")), "constants")
 
 

@@ -126,6 +126,27 @@ def test_asides_inside_and_outside_an_article():
     assert page_wrappers.main_text(html, {}) == "T a d e"
 
 
+def test_class_names_are_read_whole():
+    """Names that merely contain a word of the list are the article's; comments in article elements are not the page's article."""
+    kept = "<section class=related-work>a</section><p class=reply-to-critics>b</p><div id=social-science>c</div><h2 id=menu>d</h2><div class=has-sidebar>e</div>"
+    gone = "<div class=related-posts>1</div><div class=relatedPosts>2</div><div class='x sidebar__item--active'>3</div><div id=ad-1>4</div><p class=notice>5</p>"
+    assert page_wrappers.main_text(f"<article>{kept}{gone}end</article>", {}) == "a b c d e end"
+    assert page_wrappers.main_text(f"<div>{kept}{gone}end</div>", {}) == "a b c d e end"
+    assert page_wrappers.main_text("<div class=post><p>real text</p></div><article class=comment>nice one</article>", {}) == "real text"
+    assert page_wrappers.main_text("<article class=post>real<article class=comment-body>nice one</article></article>", {}) == "real"
+
+
+def test_banners_of_templates_and_long_shared_texts(spark):
+    """A shared text longer than the pages' own, and the banners of two templates, are constants; pages that differ in little are copies."""
+    legal = "This long legal text stands on every page of the host and is longer than any article on it."
+    rows = [(k, "http://a.org/x", f"<div><h2>Title {k}</h2><p>Own words, number {k}.</p><div class=l>{legal}</div></div>") for k in range(12)]
+    rows += [(20 + k, "http://b.org/x", f"<div><div class=t>Banner of template {k % 2}</div><p>Story {k} with words of its own.</p></div>") for k in range(20)]
+    rows += [(50 + k, "http://c.org/x", f"<div><div class=t>Only banner</div><p>Story {k}.</p></div>") for k in range(2)]
+    got = {r.page_id: r.text for r in page_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {k: f"Title {k} Own words, number {k}." for k in range(12)} | {20 + k: f"Story {k} with words of its own." for k in range(20)}
+    assert got == want | {50 + k: f"Only banner Story {k}." for k in range(2)}
+
+
 def test_wrapper_is_a_union_free_expression():
     a = "<ul><li>x</li><li>y</li></ul><p>same</p><h2>t</h2><h3>u</h3><h2>v</h2><h3>w</h3>"
     b = "<ul><li>z</li></ul><hr><p>same</p><h2>t</h2><h3>u</h3>"
