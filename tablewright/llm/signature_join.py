@@ -179,7 +179,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     Sets of ``size``-word shingles (with fewer words the whole sequence) are linked when 100 * common >= percent * united, for
     ``percent`` of 80 or more. component_id is the smallest doc_id that links reach; kept marks its row. Null or empty texts have no shingles and
     are linked with nothing; rows with a null doc_id are linked with nothing, have a null component_id and are kept. Rows that share a doc_id
-    count as linked. Other columns are ignored. Every group is handled whole: nothing is capped, sampled or left out.
+    are each judged by their own text; they count as linked where that id is the smallest of both texts' copies. Other columns are ignored. Every group is handled whole: nothing is capped, sampled or left out.
     """
     if percent < 80:
         raise ValueError("the number of matches is set for similarities of 0.8 and more")

@@ -50,6 +50,23 @@ def near(rows, size, percent=80):
     return sorted((i, len(sets[i]), up[i], up[i] == i) for i in ids)
 
 
+def test_cosines_at_the_threshold_follow_the_formula(spark):
+    """[1, 0] and [0.9, sqrt(0.19)] have the cosine 0.9 as dot / (norm * norm), less when both are scaled first."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 8))
+    z = rng.standard_normal((40, 8))
+    z -= (z * x).sum(1, keepdims=True) / (x * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * z * (np.linalg.norm(x, axis=1) / np.linalg.norm(z, axis=1))[:, None]
+    pairs = [([1.0, 0.0], [0.9, 0.19**0.5]), ([1e-200, 0.0], [1e200, 0.0]), *zip(x.tolist(), y.tolist(), strict=True)]
+    for a, b in pairs:
+        raw = np.array([a, b])
+        dot, norms = sum(p * q for p, q in zip(a, b, strict=True)), [sum(p * p for p in v) ** 0.5 for v in (a, b)]
+        want = dot / (norms[0] * norms[1]) >= 0.9 if 0 < norms[0] and norms[1] < float("inf") else True
+        assert embedding_caps.at_least(raw, embedding_caps._scaled(raw), 0.9)[0, 1] == want
+    df = spark.createDataFrame([(1, pairs[0][0]), (2, pairs[0][1])], "vec_id long, embedding array<double>")
+    assert [(r.n_links, r.component_id) for r in embedding_caps.near_duplicates(df).orderBy("vec_id").collect()] == [(1, 1), (1, 1)]
+
+
 def test_signature_join(documents, monkeypatch):
     monkeypatch.setattr(signature_join, "LIST_BLOCK", 16)
     monkeypatch.setattr(signature_join, "FAMILY_BLOCK", 16)
