@@ -31,10 +31,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest doc_id, one of its repeated rows."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest doc_id, of its repeated rows the largest."""
     kept = without(docs, signature_join.near_duplicates(docs, size=5, percent=80).where("NOT kept"))
     several = written(kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    same = kept.join(several, "doc_id", "left_semi").groupBy("doc_id", whole_text().alias("whole")).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    order = [F.to_json(c) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]  # maps have no order of their own
+    same = kept.join(several, "doc_id", "left_semi").groupBy("doc_id", whole_text().alias("whole")).agg(F.max_by(F.struct(*docs.columns), F.struct(*order)).alias("row"))
     return kept.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(same.select("row.*"))
 
 
