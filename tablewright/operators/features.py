@@ -1,14 +1,15 @@
 """Fitted feature preparation as pyspark.ml estimators and models.
 
 ``fit`` runs one aggregate (or one dictionary build); ``transform`` is a projection or a lookup join. Fitted numbers
-are plain values, at most a few per column, so training statistics never change with the table they are applied to.
+are plain values, at most a few per column, so training statistics never change with the table they are applied to. Models, and pipelines of
+them, are saved and loaded like Spark's own.
 """
 
 from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml import Estimator, Transformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,30 +19,19 @@ from tablewright.operators import ordered
 from tablewright.operators import profiling as pf
 from tablewright.operators import statistics as st
 from tablewright.operators.roles import numeric_columns, string_columns
+from tablewright.operators.saved import Fitted, Saved
 from tablewright.session import written
 
 
-class Fitted(Model):
-    """A model made of a function DataFrame -> DataFrame and the statistics it was built from."""
+class Step(Saved, Transformer):
+    """A user-supplied feature function (DataFrame, **options) -> DataFrame as a stage. Functions of a module can be saved, with plain options."""
 
-    def __init__(self, apply, stats):
+    def __init__(self, fn, **options):
         super().__init__()
-        self.apply = apply
-        self.stats = stats
+        self.keep(options, functions={"fn": fn})
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return self.apply(dataset)
-
-
-class Step(Transformer):
-    """A user-supplied feature function DataFrame -> DataFrame as a stage."""
-
-    def __init__(self, fn):
-        super().__init__()
-        self.fn = fn
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.transform(self.fn)
+        return self.functions["fn"](dataset, **self.stats)
 
 
 class MedianImputer(Estimator):
@@ -54,13 +44,14 @@ class MedianImputer(Estimator):
     def _fit(self, df):
         cols = self.cols or numeric_columns(df)
         row = ordered.quantile_row(df, cols, [0.5]).first()
-        medians = {c: row[f"{c}_q0"] for c in cols}
+        return MedianModel({c: row[f"{c}_q0"] for c in cols})
+
 
-        def apply(x):
-            fills = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(m)) for c, m in medians.items()}
-            return x.withColumns(fills)
+class MedianModel(Fitted):
+    """``stats``: the median of each column."""
 
-        return Fitted(apply, medians)
+    def _transform(self, x):
+        return x.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(m)) for c, m in self.stats.items()})
 
 
 class ModeImputer(Estimator):
@@ -73,7 +64,14 @@ class ModeImputer(Estimator):
     def _fit(self, df):
         cols = self.cols or string_columns(df)
         modes = {r["column"]: r["value"] for r in st.most_frequent(df, cols).collect()}  # one row per column
-        return Fitted(lambda x: x.withColumns({c: F.coalesce(F.col(c), F.lit(modes.get(c))) for c in cols}), modes)
+        return ModeModel({c: modes.get(c) for c in cols})
+
+
+class ModeModel(Fitted):
+    """``stats``: the mode of each column, None where all values were null."""
+
+    def _transform(self, x):
+        return x.withColumns({c: F.coalesce(F.col(c), F.lit(mode)) for c, mode in self.stats.items()})
 
 
 class LabelEncoder(Estimator):
@@ -87,11 +85,15 @@ class LabelEncoder(Estimator):
         codes = written(ordered.dense_codes(df, self.col)).select(
             F.col("value").alias(self.col), F.col("code").alias(self.output)
         )
+        return LookupModel({"col": self.col, "output": self.output, "unseen": -1}, {"values": codes})
+
 
-        def apply(x):
-            return x.join(codes, self.col, "left").withColumn(self.output, F.coalesce(self.output, F.lit(-1)))
+class LookupModel(Fitted):
+    """The table ``values`` (col, output) as a lookup; ``unseen`` for null and what it does not hold."""
 
-        return Fitted(apply, codes)
+    def _transform(self, x):
+        col, output, unseen = (self.stats[k] for k in ("col", "output", "unseen"))
+        return x.join(self.tables["values"], col, "left").withColumn(output, F.coalesce(output, F.lit(unseen)))
 
 
 class StandardScaler(Estimator):
@@ -104,7 +106,14 @@ class StandardScaler(Estimator):
     def _fit(self, df):
         row = df.agg(*[f(c).alias(f"{n}_{c}") for c in self.cols for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         stats = {c: (row[f"m_{c}"], row[f"s_{c}"] or 1.0) for c in self.cols}
-        return Fitted(lambda x: x.withColumns({c: (F.col(c) - m) / s for c, (m, s) in stats.items()}), stats)
+        return ScaleModel(stats)
+
+
+class ScaleModel(Fitted):
+    """``stats``: per column what is subtracted and what divides."""
+
+    def _transform(self, x):
+        return x.withColumns({c: (F.col(c) - m) / s for c, (m, s) in self.stats.items()})
 
 
 class RobustScaler(Estimator):
@@ -117,7 +126,7 @@ class RobustScaler(Estimator):
     def _fit(self, df):
         row = ordered.quantile_row(df, self.cols, [0.25, 0.5, 0.75]).first()
         stats = {c: (row[f"{c}_q1"], (row[f"{c}_q2"] - row[f"{c}_q0"]) or 1.0) for c in self.cols}
-        return Fitted(lambda x: x.withColumns({c: (F.col(c) - m) / s for c, (m, s) in stats.items()}), stats)
+        return ScaleModel(stats)
 
 
 class Interactions(Estimator):
@@ -140,16 +149,20 @@ class Interactions(Estimator):
         if pairs:
             sums = df.select([(F.col(a) + F.col(b)).alias(f"{n}_sum") for (a, b), n in names.items()])
             limits = ordered.quantile_row(sums, sums.columns, [fixed.LOWER_QUANTILE, fixed.UPPER_QUANTILE]).first().asDict()
+        return InteractionModel({"pairs": [[a, b, n] for (a, b), n in names.items()], "limits": limits})
+
 
-        def apply(x):
-            for (a, b), n in names.items():
-                total = F.col(a) + F.col(b)
-                above = F.coalesce((total > limits[f"{n}_sum_q1"]).cast("int"), F.lit(0))
-                below = F.coalesce((total < limits[f"{n}_sum_q0"]).cast("int"), F.lit(0))
-                x = x.withColumns({f"{n}_sum": total, f"{n}_thresh": above - below})
-            return x
+class InteractionModel(Fitted):
+    """``stats``: the pairs with their names, and the quantiles of their sums."""
 
-        return Fitted(apply, {"pairs": pairs, "limits": limits})
+    def _transform(self, x):
+        limits = self.stats["limits"]
+        for a, b, n in self.stats["pairs"]:
+            total = F.col(a) + F.col(b)
+            above = F.coalesce((total > limits[f"{n}_sum_q1"]).cast("int"), F.lit(0))
+            below = F.coalesce((total < limits[f"{n}_sum_q0"]).cast("int"), F.lit(0))
+            x = x.withColumns({f"{n}_sum": total, f"{n}_thresh": above - below})
+        return x
 
 
 def char_columns(col: str, length: int, upper: bool = True) -> dict:
@@ -177,14 +190,16 @@ class CharFeatures(Estimator):
             for r in st.string_length_stats(df, cols).collect():  # one row per column
                 if r["sd"] is not None and r["sd"] < fixed.FIXED_LENGTH_SD and r["mean"] >= fixed.FIXED_LENGTH_MEAN:
                     lengths[r["column"]] = r["mode"]
+        return CharModel({c: min(lengths[c], self.positions or lengths[c]) for c in cols if c in lengths})
 
-        def apply(x):
-            for c in cols:
-                if c in lengths:
-                    x = x.withColumns(char_columns(c, min(lengths[c], self.positions or lengths[c]))).drop(c)
-            return x
 
-        return Fitted(apply, lengths)
+class CharModel(Fitted):
+    """``stats``: per column the number of its positions."""
+
+    def _transform(self, x):
+        for c, positions in self.stats.items():
+            x = x.withColumns(char_columns(c, positions)).drop(c)
+        return x
 
 
 class TargetEncoder(Estimator):
@@ -198,7 +213,7 @@ class TargetEncoder(Estimator):
         out = f"{self.col}_mean"
         overall = df.agg(F.avg(self.target)).first()[0]
         means = written(df.where(F.col(self.col).isNotNull()).groupBy(self.col).agg(F.avg(self.target).alias(out)))
-        return Fitted(lambda x: x.join(means, self.col, "left").withColumn(out, F.coalesce(out, F.lit(overall))), means)
+        return LookupModel({"col": self.col, "output": out, "unseen": overall}, {"values": means})
 
 
 def poly2(df: DataFrame, cols) -> DataFrame:
@@ -215,12 +230,15 @@ class SequenceNormalizer(Estimator):
         pairs = df.select(strings.fill_text(F.col("before")).alias("before"), strings.fill_text(F.col("after")).alias("after"))
         counts = pairs.groupBy("before", "after").agg(F.count("*").alias("n"))
         best = counts.groupBy("before").agg(F.min_by("after", F.struct(-F.col("n"), F.col("after"))).alias("best"))
+        return NormalizerModel(tables={"best": best})
+
 
-        def apply(x):
-            x = x.withColumn("before", strings.fill_text(F.col("before")))
-            return x.join(best, "before", "left").withColumn("after", F.coalesce("best", "before")).drop("best")
+class NormalizerModel(Fitted):
+    """The table ``best`` (before, best)."""
 
-        return Fitted(apply, best)
+    def _transform(self, x):
+        x = x.withColumn("before", strings.fill_text(F.col("before")))
+        return x.join(self.tables["best"], "before", "left").withColumn("after", F.coalesce("best", "before")).drop("best")
 
 
 def seq_prepare(df: DataFrame, col: str, length: int) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
@@ -22,6 +22,7 @@ from tablewright.functions.arrays import let
 from tablewright.operators import features as ft
 from tablewright.operators import metrics
 from tablewright.operators.sampling import kfold_stratified
+from tablewright.operators.saved import Fitted
 from tablewright.operators.text import word_grams, word_tokens
 from tablewright.session import checkpointed
 
@@ -30,13 +31,21 @@ def stacked(frames):
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def with_grams(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("_grams", word_grams(word_tokens(F.coalesce(F.col(text), F.lit("")))))
+
+
+def without(df: DataFrame, columns) -> DataFrame:
+    return df.drop(*columns)
+
+
 def text_features(text: str, terms: int = fixed.WORD_TERMS) -> Pipeline:
     """Word 1-3-grams -> counts -> idf -> unit length, all on the JVM side. ``vectors.TextVectors`` has the weights of TfIdf, any blocks and no limit."""
-    grams = ft.Step(lambda df: df.withColumn("_grams", word_grams(word_tokens(F.coalesce(F.col(text), F.lit(""))))))
+    grams = ft.Step(with_grams, text=text)
     count = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=terms, minDF=fixed.MIN_DF, maxDF=fixed.MAX_DF)
     return Pipeline(stages=[
         grams, count, IDF(inputCol="_tf", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="features"),
-        ft.Step(lambda df: df.drop("_grams", "_tf", "_tfidf")),
+        ft.Step(without, columns=["_grams", "_tf", "_tfidf"]),
     ])
 
 
@@ -49,7 +58,7 @@ def table_features(numeric, categorical) -> Pipeline:
     if categorical:
         stages.append(ft.ModeImputer(categorical))
     stages += [ft.LabelEncoder(c) for c in categorical]
-    stages += [ft.Step(lambda df: ft.poly2(df, base)), ft.RobustScaler(poly), VectorAssembler(inputCols=poly, outputCol="features")]
+    stages += [ft.Step(ft.poly2, cols=base), ft.RobustScaler(poly), VectorAssembler(inputCols=poly, outputCol="features")]
     return Pipeline(stages=stages)
 
 
@@ -138,15 +147,16 @@ class SoftVote(Estimator):
         self.weights = [1.0] * len(self.members) if weights is None else list(weights)
 
     def _fit(self, df):
-        return SoftVoteModel(in_threads(df.sparkSession, lambda e: e.copy().fit(df), self.members, self.threads), self.weights)
+        models = in_threads(df.sparkSession, lambda e: e.copy().fit(df), self.members, self.threads)
+        return SoftVoteModel({"weights": self.weights}, stages={f"member{i}": m for i, m in enumerate(models)})
 
 
-class SoftVoteModel(Model):
+class SoftVoteModel(Fitted):
     """Adds ``probability`` (vector) and ``prediction`` (class)."""
 
-    def __init__(self, models, weights):
-        super().__init__()
-        self.models, self.weights = models, weights
+    def keep(self, *parts, **more):
+        super().keep(*parts, **more)
+        self.models, self.weights = list(self.stages.values()), self.stats["weights"]
 
     def _transform(self, df):
         out, names = df, [f"_vote{i}" for i in range(len(self.models))]
@@ -240,19 +250,22 @@ class Calibrated(Estimator):
 
         jobs = [(cls, i) for cls in wanted for i in range(self.k)]
         fitted = in_threads(df.sparkSession, one, jobs, self.threads)
-        members = [[m for (c, _), m in zip(jobs, fitted) if c == cls] for cls in wanted]
-        return CalibratedModel(self.classes, members, self.score)
+        stages = {}
+        for (cls, i), (model, to_p) in zip(jobs, fitted):
+            stages |= {f"model{wanted.index(cls)}_{i}": model, f"calibrator{wanted.index(cls)}_{i}": to_p}
+        return CalibratedModel({"classes": self.classes, "learned": len(wanted), "folds": self.k}, stages=stages, functions={"score": self.score})
 
 
-class CalibratedModel(Model):
+class CalibratedModel(Fitted):
     """Adds ``probability`` (vector, in order of ``classes``) and ``prediction`` (the likeliest class) to any table with features.
 
     ``members`` holds, per learned class, (model, calibrator) of each fold. A class's probability is the folds' mean, scaled to sum 1.
     """
 
-    def __init__(self, classes, members, score):
-        super().__init__()
-        self.classes, self.members, self.score = classes, members, score
+    def keep(self, *parts, **more):
+        super().keep(*parts, **more)
+        self.classes, self.score, learned, folds = self.stats["classes"], self.functions["score"], self.stats["learned"], self.stats["folds"]
+        self.members = [[(self.stages[f"model{c}_{i}"], self.stages[f"calibrator{c}_{i}"]) for i in range(folds)] for c in range(learned)]
 
     def _transform(self, df):
         out, per = df, []
@@ -260,7 +273,7 @@ class CalibratedModel(Model):
             names = [f"_p{c}_{i}" for i in range(len(folds))]
             for (model, to_p), name in zip(folds, names):
                 scored = self.score(model.transform(out)).select(*out.columns, "score")
-                out = to_p(scored).withColumnRenamed("p", name).drop("score")
+                out = to_p.transform(scored).withColumnRenamed("p", name).drop("score")
             per.append(reduce(lambda a, b: a + b, map(F.col, names)) / len(names))
         p = shares(F.array(*per)) if len(self.classes) > 2 else let(lambda s: F.array(1 - s["p"], s["p"]), p=per[0])
         out = out.withColumn("_p", p).select(*[F.col(c) for c in df.columns], "_p")
@@ -277,16 +290,24 @@ def calibrated(train: DataFrame, test: DataFrame, key: str, label: str, base, sc
 
 
 def sigmoid_calibrator(held: DataFrame):
-    """Platt scaling: logistic regression on the score alone."""
+    """Platt scaling: logistic regression on the score alone; a calibrator is a model that adds ``p``."""
     vec = VectorAssembler(inputCols=["score"], outputCol="features")
     model = LogisticRegression(labelCol="y").fit(vec.transform(held))
-    slope, at = float(model.coefficients[0]), float(model.intercept)
-    return lambda df: df.withColumn("p", 1 / (1 + F.exp(-(F.col("score") * slope + at))))
+    return SigmoidModel({"slope": float(model.coefficients[0]), "at": float(model.intercept)})
+
+
+class SigmoidModel(Fitted):
+    def _transform(self, df):
+        return df.withColumn("p", 1 / (1 + F.exp(-(F.col("score") * self.stats["slope"] + self.stats["at"]))))
 
 
 def isotonic_calibrator(held: DataFrame):
-    model = IsotonicRegression(featuresCol="score", labelCol="y", predictionCol="p").fit(held)
-    return lambda df: model.transform(df).withColumn("p", F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)))
+    return IsotonicModel(stages={"steps": IsotonicRegression(featuresCol="score", labelCol="y", predictionCol="p").fit(held)})
+
+
+class IsotonicModel(Fitted):
+    def _transform(self, df):
+        return self.stages["steps"].transform(df).withColumn("p", F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)))
 
 
 def svm_base():

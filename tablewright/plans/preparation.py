@@ -1,13 +1,13 @@
 """Queries: fitted feature preparation."""
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from tablewright.functions import strings
 from tablewright.operators import features as ft
 from tablewright.plans.registry import query
 from tablewright.plans.statistics import rounded
-from tablewright.session import checkpointed
+from tablewright.session import checkpointed, scratch
 
 
 def char_sql(col, upper=True, n=10):
@@ -136,3 +136,22 @@ def seq_normalize(t):
 def seq_prepare(t):
     out = ft.seq_prepare(t.s2s, "before", 128)
     return out.select("id", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").alias("n"))
+
+
+def with_ratio(df, of, to):
+    return df.withColumn("ratio", F.col(of) / (1 + F.col(to)))
+
+
+@query("saved_pipeline", """WITH f AS (SELECT *, coalesce(priority, (SELECT priority FROM tab WHERE is_train AND priority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS filled,
+      coalesce(price, (SELECT median(price) FROM tab WHERE is_train)) AS cost FROM tab),
+    c AS (SELECT filled AS k, dense_rank() OVER (ORDER BY filled) - 1 AS code FROM (SELECT DISTINCT filled FROM f WHERE is_train)),
+    q AS (SELECT quantile_cont(cost, 0.25) AS a, median(cost) AS m, quantile_cont(cost, 0.75) AS b FROM f WHERE is_train)
+    SELECT id, filled AS priority, CAST(coalesce(code, -1) AS BIGINT) AS priority_code, round((cost - m) / coalesce(nullif(b - a, 0), 1), 6) AS price,
+      round((cost - m) / coalesce(nullif(b - a, 0), 1) / (1 + cust), 6) AS ratio FROM f CROSS JOIN q LEFT JOIN c ON k = filled""", ("tab",))
+def saved_pipeline(t):
+    """A pipeline of fitted preparation, saved and loaded again before it is used."""
+    steps = [ft.ModeImputer(["priority"]), ft.LabelEncoder("priority"), ft.MedianImputer(["price"]), ft.RobustScaler(["price"]), ft.Step(with_ratio, of="price", to="cust")]
+    path = scratch(t.spark, "pipeline")
+    Pipeline(stages=steps).fit(t.tab.where("is_train")).write().save(path)
+    out = PipelineModel.load(path).transform(t.tab).select("id", "priority", F.col("priority_code").cast("long").alias("priority_code"), "price", "ratio")
+    return rounded(out, "price", "ratio", digits=6)
