@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.operators.lookups import medal_band
+
 
 def string_length_stats(df: DataFrame, cols) -> DataFrame:
     """(column, n, sd, mean, mode, longest) of string lengths; the smallest of equally common lengths is the mode."""
@@ -149,6 +151,30 @@ def nested_report(runs: DataFrame, thresholds: DataFrame) -> DataFrame:
     return evaluation_report(runs, thresholds).join(results, "competition")
 
 
+def full_report(runs: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """One row per competition: medal counts and, nested, ``metrics`` (metric, n, mean, std_error), ``results`` (seed, has_submission, score, medal)
+    and ``runs`` (seed, success, score, runtime_seconds).
+
+    ``runs`` has competition, seed, step, success, score, runtime_seconds, has_submission and the map ``metrics``. A seed's run is its first by step, so the lists are
+    as long as there are seeds or names of metrics; metrics are those of all successful runs. Lists are sorted, and empty where there is nothing.
+    """
+    parts = ["success", "score", "runtime_seconds", "has_submission"]
+    first = runs.groupBy("competition", "seed").agg(F.min_by(F.struct(*parts), "step").alias("run")).select("competition", "seed", "run.*")
+    banded = medal_band(first, thresholds).withColumn("medal", F.when(F.col("has_submission"), F.col("medal")).otherwise("none"))
+
+    def listed(*names):
+        return F.array_sort(F.collect_list(F.struct(*names)))
+
+    report = banded.groupBy("competition").agg(
+        *medal_counts(), listed("seed", "has_submission", "score", "medal").alias("results"), listed("seed", "success", "score", "runtime_seconds").alias("runs"),
+    )
+    values = runs.where("success").select("competition", F.explode("metrics").alias("metric", "v")).where("v IS NOT NULL")
+    stats = mean_sem(values, ["competition", "metric"], "v").withColumnRenamed("sem", "std_error")
+    metrics = stats.groupBy("competition").agg(listed("metric", "n", "mean", "std_error").alias("metrics"))
+    joined = report.join(metrics, "competition", "left")
+    return joined.withColumn("metrics", F.coalesce("metrics", F.array().cast(metrics.schema["metrics"].dataType)))
+
+
 def acceptable(success, completed, val, train, score: float, gap: float) -> Column:
     """Is a run good enough to stop? Its score reaches ``score`` and its training score is at most ``gap`` higher."""
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from tablewright.operators import lookups as lk
 from tablewright.operators import metrics
 from tablewright.operators.columns import column_check, project_required
 from tablewright.operators.ordered import running
-from tablewright.session import written
+from tablewright.session import file_system, written
+from tablewright.sources.readers import read_csv
 from tablewright.sources.writers import submission_name, write_csv
 
 
@@ -81,6 +84,30 @@ def save_submission(df: DataFrame, key: str, predictions, test: DataFrame, folde
     return write_csv(formatted, f"{folder}/{submission_name(stamp, strategy, seed)}")
 
 
+def publish_submission(df: DataFrame, key: str, predictions, test: DataFrame, folder: str, stamp: str, strategy=None, seed=None) -> str:
+    """Write aside, validate what was written, rename into place: readers of ``folder`` see a whole valid submission or none.
+
+    The table is written below ``folder`` in a folder whose name Spark's readers skip, read back from there as text and validated; one with errors is
+    deleted and raises, as does a name that is already published. ``df`` is computed once. Returns the published path.
+    """
+    spark, name = df.sparkSession, submission_name(stamp, strategy, seed)
+    place, outer = f"{folder}/{name}", f"{folder}/_aside-{uuid.uuid4().hex}"
+    fs, path = file_system(spark, folder)
+    if fs.exists(path(place)):
+        raise FileExistsError(place)
+    formatted = project_required(df, [key, *predictions], predictions)
+    try:
+        aside = write_csv(formatted, f"{outer}/{name}")
+        report = validate_submission(read_csv(spark, aside, formatted.schema), key, predictions, test).first()
+        if not report["is_valid"]:
+            raise ValueError("invalid submission: " + "; ".join(report["errors"]))
+        if not fs.rename(path(aside), path(place)):
+            raise OSError(f"cannot rename {aside} to {place}")
+    finally:
+        fs.delete(path(outer), True)
+    return place
+
+
 def grade_submissions(subs: DataFrame, answers: DataFrame, key: str, metric: str, thresholds: DataFrame) -> DataFrame:
     """One row per competition of ``subs`` (competition, key, p): counts, score by ``metric``, reason, medal.
 

@@ -79,10 +79,10 @@ def name_overlap(t):
     return cl.value_overlap(t.events, "event_type", ["click", "error", "unknown"])
 
 
-def ragged_metrics(t):
-    """Runs whose metrics map holds ``train_score`` only for click events and ``util`` only for views."""
+def ragged():
+    """A run's metrics as a map that holds ``train_score`` only for click events and ``util`` only for views."""
     c = F.col
-    metrics = F.map_filter(
+    return F.map_filter(
         F.create_map(
             F.lit("val_score"), c("val_score"),
             F.lit("train_score"), F.when(c("event_type") == "click", c("train_score")),
@@ -90,7 +90,10 @@ def ragged_metrics(t):
         ),
         lambda k, v: v.isNotNull(),
     )
-    return t.runs.select("run", "step", "event_type", "success", metrics.alias("metrics"))
+
+
+def ragged_metrics(t):
+    return t.runs.select("run", "step", "event_type", "success", ragged().alias("metrics"))
 
 
 @query("metric_names", """SELECT 'val_score' AS metric FROM runs WHERE val_score IS NOT NULL

@@ -6,7 +6,7 @@ from tablewright.operators import lookups as lk
 from tablewright.operators import ordered
 from tablewright.operators import profiling as pf
 from tablewright.operators import statistics as st
-from tablewright.plans.columns import ragged_metrics
+from tablewright.plans.columns import ragged, ragged_metrics
 from tablewright.plans.lookups import EVENT_THRESHOLDS, GRID_SQL, MARGIN_SQL, MEDAL_SQL, SEED_SQL, THRESHOLD_SQL, grid, seed_runs
 from tablewright.plans.registry import query
 
@@ -146,6 +146,43 @@ def nested_report(t):
     return rounded(report.select("competition", "num_seeds", F.inline("results")), "mean", "std_error", digits=6)
 
 
+@query("full_report", f"""WITH {SEED_SQL}, f AS (SELECT competition, seed, arg_min(score, step) AS score, arg_min(success, step) AS success,
+      arg_min(runtime_seconds, step) AS runtime, arg_min(has_submission, step) AS has_submission FROM seeds GROUP BY 1, 2),
+    b AS (SELECT f.*, CASE WHEN has_submission THEN {MEDAL_SQL} ELSE 'none' END AS medal FROM f LEFT JOIN {THRESHOLD_SQL} ON f.competition = th.competition),
+    k AS (SELECT competition, count(*) AS total_runs, count(*) FILTER (WHERE medal <> 'none') AS total_medals FROM b GROUP BY 1),
+    m AS (SELECT event_type AS competition, 'val_score' AS metric, val_score AS v FROM runs WHERE success
+      UNION ALL SELECT event_type, 'train_score', train_score FROM runs WHERE success AND event_type = 'click'
+      UNION ALL SELECT event_type, 'util', util FROM runs WHERE success AND event_type = 'view'),
+    u AS (SELECT competition, 'metric' AS part, metric AS name, count(v) AS n, avg(v) AS value, coalesce(stddev_samp(v) / sqrt(count(v)), 0) AS other, NULL AS medal
+        FROM m WHERE v IS NOT NULL GROUP BY competition, metric
+      UNION ALL SELECT competition, 'result', CAST(seed AS VARCHAR), CAST(has_submission AS BIGINT), score, NULL, medal FROM b
+      UNION ALL SELECT competition, 'run', CAST(seed AS VARCHAR), CAST(success AS BIGINT), score, runtime, NULL FROM b)
+    SELECT competition, total_runs, total_medals, part, name, n, round(value, 6) AS value, round(other, 6) AS other, medal FROM k JOIN u USING (competition)""", ("runs",))
+def full_report(t):
+    """The three nested lists of every competition's report, opened."""
+    c = F.col
+    runs = t.runs.select(
+        c("event_type").alias("competition"), (c("run") % 3).alias("seed"), "step", c("val_score").alias("score"), "success",
+        (c("util") * 60.0).alias("runtime_seconds"), (c("val_score") > 0.02).alias("has_submission"), ragged().alias("metrics"),
+    )
+    report = st.full_report(runs, lk.threshold_table(t.spark, EVENT_THRESHOLDS))
+
+    def opened(items, part, name, n, value, other, medal):
+        def one(x):
+            cells = [F.lit(part).alias("part"), x[name].cast("string").alias("name"), x[n].cast("long").alias("n"), x[value].alias("value")]
+            rest = [(x[other] if other else F.lit(None).cast("double")).alias("other"), (x[medal] if medal else F.lit(None).cast("string")).alias("medal")]
+            return F.struct(*cells, *rest)
+
+        return F.transform(items, one)
+
+    lists = F.concat(
+        opened("metrics", "metric", "metric", "n", "mean", "std_error", None),
+        opened("results", "result", "seed", "has_submission", "score", None, "medal"),
+        opened("runs", "run", "seed", "success", "score", "runtime_seconds", None),
+    )
+    return rounded(report.select("competition", "total_runs", "total_medals", F.inline(lists)), "value", "other", digits=6)
+
+
 @query("duplicate_ids", "SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM sub GROUP BY id)", ("sub",))
 def duplicate_ids(t):
     return st.duplicate_ids(t.sub, "id")

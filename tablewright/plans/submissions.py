@@ -5,8 +5,11 @@ from pyspark.sql import types as T
 
 from tablewright.functions import numbers as nm
 from tablewright.operators import submission as sb
+from tablewright.operators import metrics
+from tablewright.operators import models as md
+from tablewright.plans.learning import table_parts
 from tablewright.plans.registry import query
-from tablewright.session import scratch
+from tablewright.session import checkpointed, file_system, scratch
 from tablewright.sources import readers
 
 
@@ -45,3 +48,24 @@ def submission_flow(t):
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("target", T.DoubleType())])
     saved = readers.read_csv(t.spark, path, schema)
     return saved.withColumn("is_valid", sb.validate_submission(saved, "id", ["target"], t.documents).select("is_valid").scalar())
+
+
+@query("published_scores", "SELECT id, true AS same, true AS informed, 1 AS published FROM docstats WHERE NOT is_train", ("docstats",))
+def published_scores(t):
+    """Scores of a fitted model as a published submission: per id whether the file holds its score; whether the scores rank the labels better than chance, and
+    how many submissions are visible after one good and one broken attempt."""
+    train, test = table_parts(t)
+    scores = checkpointed(md.batch_score(md.forest(2, numTrees=10).fit(train), test, "id"))
+    folder = scratch(t.spark, "published")
+    path = sb.publish_submission(scores, "id", ["prediction"], test, folder, "20240131_120000", "forest", 42)
+    broken = scores.withColumn("prediction", F.when(F.col("id") % 2 == 0, F.col("prediction")))
+    try:
+        sb.publish_submission(broken, "id", ["prediction"], test, folder, "20240131_130000")
+    except ValueError:
+        pass
+    fs, to_path = file_system(t.spark, folder)
+    visible = len(fs.listStatus(to_path(folder)))
+    saved = readers.read_csv(t.spark, path, scores.schema)
+    auc = metrics.auc(saved.join(test.select("id", "label"), "id"), "label", ["prediction"]).first()["auc"]
+    both = saved.withColumnRenamed("prediction", "p").join(scores, "id", "full")
+    return both.select("id", (F.col("p") == F.col("prediction")).alias("same"), F.lit(auc > 0.55).alias("informed"), F.lit(visible).alias("published"))

@@ -60,6 +60,12 @@ def written(df, name: str = "table"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and a function that makes its paths."""
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return paths(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), paths
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession):
     """Deletes, at its end, the scratch folders made inside it; results that read them must be written elsewhere by then."""

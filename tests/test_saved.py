@@ -9,6 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from tablewright.operators import features as ft
+from tablewright.operators import lookups, statistics, submission
 from tablewright.operators import models as md
 from tablewright.operators.text import TfIdf, TfIdfModel
 from tablewright.operators.vectors import TextVectors, TextVectorsModel
@@ -86,3 +87,36 @@ def test_functions_without_a_name_cannot_be_saved(spark, tmp_path):
     assert model.transform(toy(spark)).where("x = 1").count() == 120
     with pytest.raises(ValueError, match="cannot be saved"):
         model.write().save(str(tmp_path / "step"))
+
+
+def test_publishing_shows_all_or_nothing(spark, tmp_path):
+    folder, test = str(tmp_path / "out"), spark.range(6)
+    good = test.select("id", (F.col("id") / 7.0).alias("p"), F.lit("x").alias("note"))
+    place = submission.publish_submission(good, "id", ["p"], test, folder, "1", "a", 2)
+    assert place.endswith("submission_a_seed2_1") and os.listdir(folder) == ["submission_a_seed2_1"]
+    assert {(r.id, float(r.p)) for r in spark.read.csv(folder, header=True, schema="id long, p string").collect()} == {(i, i / 7.0) for i in range(6)}
+    bad = [good.where("id < 5"), good.union(good), good.withColumn("p", F.when(F.col("id") != 3, F.col("p")))]
+    for df in bad:
+        with pytest.raises(ValueError, match="invalid submission"):
+            submission.publish_submission(df, "id", ["p"], test, folder, "2")
+    with pytest.raises(FileExistsError):
+        submission.publish_submission(good, "id", ["p"], test, folder, "1", "a", 2)
+    assert os.listdir(folder) == ["submission_a_seed2_1"]
+    empty = submission.publish_submission(good.limit(0), "id", ["p"], test.limit(0), folder, "3")
+    assert spark.read.csv(empty, header=True, schema="id long, p double").count() == 0
+
+
+def test_full_report(spark):
+    """First runs by step, metrics of successful runs only, empty lists, seeds without a submission."""
+    rows = [
+        ("a", 1, 2, True, 0.9, 5.0, True, {"f": 0.5}), ("a", 1, 1, False, 0.2, 4.0, True, {"f": 9.0}), ("a", 2, 1, True, 0.95, 1.0, False, {"f": 1.5, "g": 2.0}),
+        ("b", 7, 1, False, None, 2.0, False, None),
+    ]
+    runs = spark.createDataFrame(rows, "competition string, seed long, step long, success boolean, score double, runtime_seconds double, has_submission boolean, metrics map<string,double>")
+    thresholds = lookups.threshold_table(spark, {"a": (0.1, 0.5, 0.8, False)})
+    got = {r.competition: r for r in statistics.full_report(runs, thresholds).collect()}
+    assert [tuple(x) for x in got["a"].results] == [(1, True, 0.2, "bronze"), (2, False, 0.95, "none")]
+    assert [tuple(x) for x in got["a"].runs] == [(1, False, 0.2, 4.0), (2, True, 0.95, 1.0)]
+    assert [(x.metric, x.n, x.mean, round(x.std_error, 9)) for x in got["a"].metrics] == [("f", 2, 1.0, 0.5), ("g", 1, 2.0, 0.0)]
+    assert got["b"].metrics == [] and (got["a"].total_runs, got["a"].total_medals, got["b"].submissions) == (2, 1, 0)
+    assert statistics.full_report(runs.limit(0), thresholds).count() == 0
