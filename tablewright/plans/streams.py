@@ -25,17 +25,22 @@ def in_two_portions(t, df, early, run, name):
     return out
 
 
-QUARTERS = [2, 0, 3, 1]
-LATENESS = "365 DAYS"
+CUTS = ["2024-01-09", "2024-01-17", "2024-01-25"]
+LATENESS = "4 DAYS"
 
 
-def in_shuffled_quarters(t, df, key, run, name):
-    """Four arrivals, the rows with ``key`` % 4 of 2, 0, 3 and 1: most rows come long after later ones. The last run closes the stream."""
+def arrival(ts, key):
+    """SQL: the portion of a row that arrives 0 to 3 days after its time, by its key."""
+    return " + ".join(f"CAST({ts} + {key} % 4 * INTERVAL '1' DAY >= timestamp_ntz '{cut}' AS INT)" for cut in CUTS)
+
+
+def in_late_portions(t, df, key, run, name):
+    """Four arrivals whose rows come up to three days late, after younger ones. The last run closes the stream."""
     base = scratch(t.spark, name)
     source, out, check = f"{base}/in", f"{base}/out", f"{base}/check"
-    for i, q in enumerate(QUARTERS):
-        df.where(F.pmod(F.col(key), F.lit(4)) == q).write.parquet(f"{source}/portion{i}")
-        run(jobs.file_stream(t.spark, source, df.schema), out, check, i == len(QUARTERS) - 1)
+    for i in range(len(CUTS) + 1):
+        df.where(f"{arrival('ts', key)} = {i}").write.parquet(f"{source}/portion{i}")
+        run(jobs.file_stream(t.spark, source, df.schema), out, check, i == len(CUTS))
     return out
 
 
@@ -118,7 +123,7 @@ def stream_metric_issues(t):
     def run(stream, out, check, last):
         jobs.metric_issues(stream, ["run"], "step", "ts", LATENESS, out, check, close=last)
 
-    out = in_shuffled_quarters(t, t.runs, "step", run, "issues")
+    out = in_late_portions(t, t.runs, "step", run, "issues")
     return t.spark.read.parquet(out).select("run", "step", "issue")
 
 
@@ -129,10 +134,28 @@ def stream_retries(t):
     def run(stream, out, check, last):
         jobs.retries(stream, ["session", "error_class"], "id", "ts", LATENESS, out, check, close=last)
 
-    out = in_shuffled_quarters(t, df, "id", run, "retries")
+    out = in_late_portions(t, df, "id", run, "retries")
     return t.spark.read.parquet(out).select("id", "session", "error_class", "attempt", "fallback")
 
 
+LATE_SQL = f"""WITH a AS (SELECT run, step, ts, {arrival('ts', 'step').replace('timestamp_ntz', 'TIMESTAMP')} AS portion FROM runs),
+    m AS (SELECT portion, max(max(ts)) OVER (ORDER BY portion ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS mark FROM a GROUP BY 1),
+    l AS (SELECT run, step, coalesce(ts <= mark, false) AS late FROM a JOIN m USING (portion))
+    SELECT run, step, late, CASE WHEN NOT late THEN count(*) FILTER (WHERE NOT late) OVER (PARTITION BY run ORDER BY step) END AS points FROM l"""
+
+
+@query("stream_late_rows", LATE_SQL, ("runs",))
+def stream_late_rows(t):
+    """A delay of one day over rows that come up to three days late: those the watermark has passed are kept apart, the others counted on from batch to batch."""
+
+    def run(stream, out, check, last):
+        jobs.metric_issues(stream, ["run"], "step", "ts", "1 DAY", out, check, close=last)
+
+    out = in_late_portions(t, t.runs, "step", run, "late")
+    seen = t.spark.read.parquet(out).select("run", "step", F.lit(False).alias("late"), "points")
+    return seen.unionByName(t.spark.read.parquet(f"{out}_late").select("run", "step", F.lit(True).alias("late"), F.lit(None).cast("long").alias("points")))
+
+
 @query("stream_alerts", """SELECT run, step, CASE WHEN util / 100 >= 0.90::double THEN 'GPU_OOM_PREVENTION'
     WHEN val_score >= 0.90::double THEN 'RAM_CLEANUP' WHEN train_score >= 0.80::double THEN 'TIMEOUT_APPROACHING' END AS alert FROM runs""", ("runs",))
 def stream_alerts(t):
@@ -165,3 +188,21 @@ def stream_profile(t):
 def stream_class_counts(t):
     out = in_two_portions(t, t.tab, "is_train", lambda s, o, k: jobs.class_counts(s, "priority", o, k), "classes")
     return jobs.latest_batch(t.spark, out)
+
+
+@query("stream_window_profile", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS rows, count(*) - count(score) AS null_score
+    FROM (SELECT ts, CASE WHEN event_id % 5 > 0 THEN value END AS score FROM events) GROUP BY 1""")
+def stream_window_profile(t):
+    """Rows and nulls per hour of rows that come up to three days late; an hour is written once, when the watermark has passed it."""
+    c = F.col
+    rows = t.events.select("event_id", "ts", F.when(c("event_id") % 5 > 0, c("value")).alias("score"))
+    # a row far behind the last event moves the watermark past every hour; its own hour stays open
+    end = rows.agg(F.lit(None).cast("long").alias("event_id"), (F.max("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"), F.lit(None).cast("double").alias("score"))
+    every = rows.unionByName(end.withColumn("event_id", F.lit(0).cast("long")))
+
+    def run(stream, out, check, last):
+        timed = stream.withColumn("ts", c("ts").cast("timestamp"))
+        jobs.profile(timed, ["score"], out, check, window="1 hour", time="ts", delay="4 days")
+
+    out = in_late_portions(t, every, "event_id", run, "hours")
+    return t.spark.read.parquet(out).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "rows", "null_score")

@@ -18,7 +18,7 @@ from tablewright.operators import lookups as lk
 from tablewright.operators import metrics, runs
 from tablewright.operators import statistics as st
 from tablewright.operators.ordered import running
-from tablewright.session import written
+from tablewright.session import file_system, written
 
 AVAILABLE = {"availableNow": True}
 
@@ -133,17 +133,45 @@ _JOIN = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
 _TOTAL = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def state_versions(spark: SparkSession, state: str, batch_id: int) -> dict[int, list[int]]:
+    """bucket: its versions older than the batch, the newest first. There are at most two of each but for a moment."""
+    fs, path = file_system(spark, state)
+    out: dict[int, list[int]] = {}
+    for found in fs.globStatus(path(f"{state}/batch=*/bucket=*")) or []:
+        folder = found.getPath()
+        batch, bucket = (int(p.getName().split("=")[1]) for p in (folder.getParent(), folder))
+        if batch < batch_id:
+            out.setdefault(bucket, []).append(batch)
+    return {b: sorted(v, reverse=True) for b, v in out.items()}
+
+
+def remove_before(spark: SparkSession, out: str, batch_id: int, versions: dict[int, list[int]]) -> None:
+    """Deletes what neither this batch, should it be repeated, nor the next one reads."""
+    fs, path = file_system(spark, out)
+    old = [f"{out}_state/batch={v}/bucket={b}" for b, found in versions.items() for v in found[1:]]
+    for name in ("held", "mark"):
+        for found in fs.globStatus(path(f"{out}_{name}/batch=*")) or []:
+            if int(found.getPath().getName().split("=")[1]) < batch_id - 1:
+                old.append(found.getPath().toString())
+    for folder in old:
+        fs.delete(path(folder), True)
+
+
 def carried_running(stream: DataFrame, keys, order: str, time: str, delay: str, measures, finish, out: str, checkpoint: str,
-                    keep: str | None = None, close: bool = False, trigger=AVAILABLE) -> None:
+                    keep: str | None = None, close: bool = False, trigger=AVAILABLE, buckets: int = 64) -> None:
     """Running aggregates over a stream in the order of an integer column that grows with ``time``, whatever the order of arrival.
 
     Rows are held until the watermark (the largest time so far less ``delay``) has passed them, then take part in order: inside a batch in
     blocks, so a hot key is spread, between batches by a carried table of totals per key. Rows that come when the watermark has passed
     them take no part; they are in ``<out>_late``. ``keep`` drops the totals of keys without rows for so long; ``close`` ends the
     stream: nothing is held back after this run.
+
+    The totals lie in ``buckets`` parts by the hash of the key, a number that stays for the life of the stream: a batch reads and writes anew only those its rows fall
+    into. Held rows and parts that no batch reads again are deleted.
     """
     keys = list(keys)
     spark, c = stream.sparkSession, F.col
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch = written(batch, "batch")
@@ -162,9 +190,14 @@ def carried_running(stream: DataFrame, keys, order: str, time: str, delay: str,
         write_batch(rows.where(c(time) > mark), f"{out}_held", batch_id)
         ready = rows.where(c(time) <= mark)
         seen = running(ready, keys, order, measures)
+        touched = {r[0] for r in ready.select(bucket).distinct().collect()}  # at most ``buckets`` numbers
+        versions = state_versions(spark, f"{out}_state", batch_id)
+        parts = [f"{out}_state/batch={found[0]}/bucket={b}" for b, found in versions.items() if b in touched]
         new = ready.groupBy(*keys).agg(*[_TOTAL[k](v).alias(f"_{m}") for m, (k, v) in measures.items()], F.max(time).alias("_time"))
-        if before:
-            old = before("state")
+        if parts:
+            old = spark.read.parquet(*parts)
+            if keep:
+                old = old.where(c("_time") >= passed - F.expr(f"INTERVAL {keep}"))
             seen = seen.join(old.drop("_time"), keys, "left")
             both = {m: _JOIN[k](c(m), c(f"_{m}")) for m, (k, _) in measures.items()}
             seen = seen.withColumns(both).drop(*[f"_{m}" for m in measures])
@@ -172,7 +205,8 @@ def carried_running(stream: DataFrame, keys, order: str, time: str, delay: str,
         if keep:
             new = new.where(c("_time") >= mark - F.expr(f"INTERVAL {keep}"))
         write_batch(finish(seen), out, batch_id)
-        write_batch(new, f"{out}_state", batch_id)
+        new.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{out}_state/batch={batch_id}")
+        remove_before(spark, out, batch_id, versions)
 
     each_batch(stream, step, checkpoint, trigger=trigger)
 

@@ -94,7 +94,7 @@ def test_publishing_shows_all_or_nothing(spark, tmp_path):
     good = test.select("id", (F.col("id") / 7.0).alias("p"), F.lit("x").alias("note"))
     place = submission.publish_submission(good, "id", ["p"], test, folder, "1", "a", 2)
     assert place.endswith("submission_a_seed2_1") and os.listdir(folder) == ["submission_a_seed2_1"]
-    assert {(r.id, float(r.p)) for r in spark.read.csv(folder, header=True, schema="id long, p string").collect()} == {(i, i / 7.0) for i in range(6)}
+    assert {(r.id, float(r.p)) for r in spark.read.csv(place, header=True, schema="id long, p string").collect()} == {(i, i / 7.0) for i in range(6)}
     bad = [good.where("id < 5"), good.union(good), good.withColumn("p", F.when(F.col("id") != 3, F.col("p")))]
     for df in bad:
         with pytest.raises(ValueError, match="invalid submission"):

@@ -105,3 +105,25 @@ def test_running_report_and_trace(spark, tmp_path):
         jobs.medal_report(jobs.file_stream(spark, source, schema), out, check)
     got = {r["competition"]: (r["total_runs"], r["submissions"], r["total_medals"]) for r in jobs.latest_batch(spark, out).collect()}
     assert got == {"a": (3, 2, 2), "b": (1, 1, 0)}
+
+
+def test_only_touched_totals_are_rewritten(spark, tmp_path):
+    """A batch with one key rewrites that key's part alone; what no batch reads again is gone; totals go on over parts of several ages."""
+    schema = "run long, step long, val_score double, train_score double, util double, ts timestamp"
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+
+    def arrive(runs_, at):
+        rows = spark.createDataFrame([(r, at + i, 0.5, 0.5, 90.0) for i, r in enumerate(runs_)], "run long, step long, val_score double, train_score double, util double")
+        rows.withColumn("ts", F.timestamp_seconds(F.col("step") * 60)).write.mode("append").parquet(source)
+        jobs.metric_issues(jobs.file_stream(spark, source, schema), ["run"], "step", "ts", "0 MINUTES", out, check)
+
+    arrive(list(range(40)), 0)
+    arrive([3], 100)
+    arrive([3, 9], 200)
+    arrive([9], 300)
+    versions = jobs.state_versions(spark, f"{out}_state", 99)
+    assert sorted(found for found in versions.values() if found != [0]) == [[2], [3, 2]]  # run 3's part, and run 9's with the one a repeated batch would read
+    got = {(r.run, r.step): r.points for r in spark.read.parquet(out).where("step >= 100").collect()}
+    assert got == {(3, 100): 2, (3, 200): 3, (9, 201): 2, (9, 300): 3}
+    for name in ("held", "mark"):
+        assert sorted(p.name for p in tmp_path.glob(f"out_{name}/batch=*")) == ["batch=2", "batch=3"]
