@@ -3,15 +3,18 @@
 import math
 import struct
 import zlib
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright import fixed
 from tablewright.functions import arrays, logtext, numbers, strings
-from tablewright.operators import columns, features, files, lookups, metrics, profiling, roles, signals, statistics, submission, text
+from tablewright.operators import columns, features, files, lookups, metrics, profiling, roles, signals, statistics, submission, termcodes, text
 from tablewright.sources import readers, writers
 
 
@@ -177,6 +180,41 @@ def test_tfidf_by_hand(spark):
     assert got == pytest.approx({(1, "b"): 1.0, (2, "b"): 2**-0.5, (2, "c"): 2**-0.5, (3, "c"): 1.0})
 
 
+@pytest.mark.parametrize("kind", ["word", "char"])
+def test_bounded_tfidf_counts_inside_tasks(spark, kind):
+    """A bounded vocabulary gives what an unbounded one gives, also with repeated and null keys; n-grams are not opened and shuffled."""
+    rows = [(i % 40 if i % 7 else None, " ".join(f"w{'abcdefghij'[(i * j) % 10]} {'xyz'[j % 3]}é Q7 the" for j in range(i % 13))) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (99, None), (98, "")], "id long, text string")
+    whole, some = (text.TfIdf("id", "text", kind, limit, 2, 0.9).fit(docs) for limit in (None, 5000))
+    vocabulary = lambda m: {(r["term"], r["df"], r["code"]) for r in m.vocabulary.collect()}
+    weights = lambda df: {(r["id"], r["term"]): r["weight"] for r in df.collect()}
+    assert vocabulary(some) == vocabulary(whole) and len(vocabulary(some)) > 10
+    out = some.transform(docs)
+    assert weights(out) == pytest.approx(weights(whole.transform(docs)), abs=1e-12)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and plan.count("Repartition") == 1
+    best = whole.vocabulary.collect()
+    few = text.TfIdf("id", "text", kind, 7, 2, 0.9).fit(docs).vocabulary.collect()
+    assert len(few) == 7 and {r["term"] for r in few} <= {r["term"] for r in best}
+
+
+def test_runs_of_a_key_that_goes_on_count_once(monkeypatch):
+    """Sums leave a task in parts; a text that lies in several of them is one text."""
+    monkeypatch.setattr(termcodes, "GRAMS", 3)
+    monkeypatch.setattr(termcodes, "ROWS", 1)
+    lists = pa.array([["a", "b", "a"], ["a", "b"], ["c", "a", "b"], ["a", "z", "b"], ["a", "b"]], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, None, None, 2]), lists], ["id", "t"])
+    known = SimpleNamespace(value=["a", "b", "c"])
+    total, df = Counter(), Counter()
+    for part in termcodes.run_counts(known, 2, None, "id")([batch]):
+        for r in part.to_pylist():
+            total[r["run"]] += r["total"]
+            df[r["run"]] += r["df"]
+    assert total == {1: 4, 3: 1, 6: 1} and df == {1: 3, 3: 1, 6: 1}
+    three = termcodes.run_counts(known, 3, SimpleNamespace(value=np.array([1, 3])), "id")([batch])
+    assert [r for part in three for r in part.to_pylist()] == [{"run": 3, "total": 1, "df": 1}]
+
+
 # ---- submissions ------------------------------------------------------------------------------------------
 def test_bad_submission(spark, tmp_path):
     sub = spark.createDataFrame([(1, 0.5, 0.52, "x"), (1, None, 1.0, "y"), (2, 0.3, 0.7, "z")], "id long, a double, b double, note string")
