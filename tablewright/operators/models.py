@@ -21,6 +21,7 @@ from tablewright import fixed
 from tablewright.functions.arrays import let
 from tablewright.operators import features as ft
 from tablewright.operators import metrics
+from tablewright.operators.ordered import bucket_count
 from tablewright.operators.sampling import kfold_stratified
 from tablewright.operators.saved import Fitted
 from tablewright.operators.text import word_grams, word_tokens
@@ -72,8 +73,25 @@ def boosted(classes: int, **kw):
     return base if classes == 2 else OneVsRest(classifier=base)
 
 
+TREE_BYTES = 128 << 20
+
+
+def dealt_for_trees(df: DataFrame, features: str) -> DataFrame:
+    """``df`` in as many partitions as hold ``TREE_BYTES`` each: a forest keeps every row as one integer per feature, however sparse it is."""
+    first = df.select(features).first()
+    parts = 0 if first is None else -(-df.count() * first[0].size * 4 // TREE_BYTES)
+    return df.repartition(max(parts, bucket_count(df))) if parts > 1 else df
+
+
+class Forest(RandomForestClassifier):
+    """A forest whose tasks read bounded parts of its table."""
+
+    def _fit(self, dataset):
+        return super()._fit(dealt_for_trees(dataset, self.getFeaturesCol()))
+
+
 def forest(classes: int, **kw) -> RandomForestClassifier:
-    return RandomForestClassifier(numTrees=kw.pop("numTrees", 20), seed=42, **kw)
+    return Forest(numTrees=kw.pop("numTrees", 20), seed=42, **kw)
 
 
 def boosted_regressor(**kw) -> GBTRegressor:

@@ -1,5 +1,6 @@
 """Quality floors and shapes of the model queries."""
 
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tablewright.operators import metrics
@@ -104,3 +105,28 @@ def test_vectors_hold_the_rows(spark):
     # words that the fit has not met are opened by transform, and an empty table gives no rows
     new = spark.createDataFrame([(9, "wordy goodness")], "id long, text string")
     assert model.transform(new).first()["features"].numNonzeros() > 0 and model.transform(new.where("id < 0")).count() == 0
+
+
+def test_a_forest_reads_bounded_parts(spark, monkeypatch):
+    """A forest keeps a sparse row as one integer per feature: parts follow from rows and width, not from the files."""
+    monkeypatch.setattr(md, "TREE_BYTES", 4000)
+    rows = [(i, float(i % 2), Vectors.sparse(100, {i % 2: 1.0, 50 + i % 50: 1.0})) for i in range(200)]
+    df = spark.createDataFrame(rows, ["id", "label", "features"]).coalesce(1)
+    dealt = md.dealt_for_trees(df, "features")
+    sizes = dealt.rdd.glom().map(len).collect()
+    assert len(sizes) == 20 and max(sizes) <= 20
+    seen = []
+    monkeypatch.setattr(md.RandomForestClassifier, "_fit", lambda self, data, fit=md.RandomForestClassifier._fit: seen.append(data.rdd.getNumPartitions()) or fit(self, data))
+    model = md.forest(2, numTrees=3).copy().fit(df)
+    assert seen == [20] and model.transform(df).where("prediction = label").count() == 200
+    assert md.dealt_for_trees(df.where("id < 0"), "features").count() == 0
+
+
+def test_vectors_come_without_a_join(spark):
+    """Wide vectors are written beside their rows: repeated keys share theirs, null keys have none, texts leave if wanted."""
+    df = spark.createDataFrame([(1, "one two", 5), (1, "two three", 6), (2, None, 7), (None, "one two", 8)], "id long, text string, x int")
+    model = vectors.TextVectors("id", "text", blocks={"word": 10}, min_df=1, max_df=1.0, drop_text=True).fit(df)
+    out = model.transform(df)
+    assert out.columns == ["id", "x", "features"] and "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["x"]: r["features"] for r in out.collect()}
+    assert set(got) == {5, 6, 7} and got[5] == got[6] and got[5].numNonzeros() == 5 and got[7].numNonzeros() == 0
