@@ -85,13 +85,49 @@ def starts_of(cp: np.ndarray, kind: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return start
 
 
+@dataclass
+class Marked:
+    """The pre-tokens of joined texts by a 64-bit mark each: distinct pre-token k is text[lead[k]:lead[k] + span[k]], ``cp`` are its characters.
+
+    ``alike`` tells whether equal marks are equal pre-tokens here; ``start`` and ``end`` are the places of all pre-tokens, ``codes`` and ``bounds``
+    as in ``Batch``.
+    """
+
+    text: str
+    cp: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    codes: np.ndarray
+    bounds: np.ndarray
+    marks: np.ndarray
+    lead: np.ndarray
+    span: np.ndarray
+    alike: bool
+
+    def words(self, at: np.ndarray | slice = slice(None)) -> list[str]:
+        return [self.text[a : a + k] for a, k in zip(self.lead[at].tolist(), self.span[at].tolist(), strict=True)]
+
+
 def split_batch(texts: list[str], special: Iterable[str] = ()) -> Batch:
+    return named(split_marked(texts, special))
+
+
+def named(m: Marked) -> Batch:
+    if m.alike:
+        return Batch(m.words(), m.codes, m.bounds)
+    words = [m.text[a:b] for a, b in zip(m.start, m.end, strict=True)]  # two pre-tokens share a mark
+    codes, distinct = pd.factorize(np.array(words, object))
+    return Batch(list(distinct), codes, m.bounds)
+
+
+def split_marked(texts: list[str], special: Iterable[str] = ()) -> Marked:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     text_at = np.concatenate([[0], np.cumsum(sizes)])
     text = "".join(texts)
     n = len(text)
     if n == 0:
-        return Batch([], np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64))
+        none = np.zeros(0, np.int64)
+        return Marked("", none.astype(np.uint32), none, none, none, np.zeros(len(texts) + 1, np.int64), none.astype(np.uint64), none, none, True)
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = classes()[cp]
     cut = np.zeros(n + 1, bool)
@@ -115,13 +151,8 @@ def split_batch(texts: list[str], special: Iterable[str] = ()) -> Batch:
     lead[codes[::-1]] = start[::-1]
     span = np.zeros(len(uniques), np.int64)
     span[codes] = size
-    if (span[codes] != size).any() or (cp[np.arange(n) + np.repeat(lead[codes] - start, size)] != cp).any():
-        words = [text[a:b] for a, b in zip(start, end, strict=True)]  # two pre-tokens share a mark
-        codes, named = pd.factorize(np.array(words, object))
-        named = list(named)
-    else:
-        named = [text[a : a + k] for a, k in zip(lead.tolist(), span.tolist(), strict=True)]
-    return Batch(named, codes, np.searchsorted(start, text_at))
+    alike = not ((span[codes] != size).any() or (cp[np.arange(n) + np.repeat(lead[codes] - start, size)] != cp).any())
+    return Marked(text, cp, start, end, codes, np.searchsorted(start, text_at), uniques, lead, span, alike)
 
 
 def chunks(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
@@ -136,8 +167,8 @@ def chunks(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, in
         yield a, len(texts)
 
 
-def gather(flat: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces flat[offsets[c]:offsets[c + 1]] for all c in ``codes`` on end, and the sizes of the pieces."""
-    size = np.diff(offsets)[codes]
+def gather(flat: np.ndarray, offsets: np.ndarray, codes: np.ndarray, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces flat[offsets[c]:offsets[c + 1]] for all c in ``codes`` on end, and the sizes of the pieces; with ``size`` they are so long."""
+    size = offsets[codes + 1] - offsets[codes] if size is None else size
     to = np.cumsum(size)
     return flat[np.arange(int(to[-1]) if len(to) else 0) + np.repeat(offsets[codes] - (to - size), size)], size

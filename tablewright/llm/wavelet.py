@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import vocabulary
 from tablewright.llm.common import id_type, in_slices, partitions, table, whole_text, written
-from tablewright.llm.pretokens import chunks, gather, split_batch
+from tablewright.llm.pretokens import Marked, chunks, gather, named, split_marked
 from tablewright.llm.registry import query
 
 MAGIC = b"WVM1"
@@ -29,7 +29,8 @@ HEAD = struct.Struct("<4sBQ")  # magic, planes, ids
 PLANE = struct.Struct("<QQ")  # zeros, compressed bytes
 #: A shard is closed once it holds so many ids; a longer document is a shard of its own.
 SHARD_IDS = 2_000_000
-KEPT = 500_000
+KEPT = 1_000_000  # distinct pre-tokens, about 120 bytes each
+TOGETHER = 1_000_000  # characters that are split together
 
 
 class WaveletMatrix:
@@ -156,40 +157,126 @@ class LibraryEncoder:
     def __init__(self, path: str | None):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path or vocabulary.default_path())
+        path = path or vocabulary.default_path()
+        self.library = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.known: dict[str, bytes] = {}
         self.line = self.library.encode("\n", add_special_tokens=False).ids
+        tokens = vocabulary.load(path).tokens
+        self.width = np.zeros(max(tokens) + 1, np.int64)  # bytes of each id
+        self.width[list(tokens)] = list(map(len, tokens.values()))
+        self.forget()
+
+    def forget(self) -> None:
+        """Pre-token k has the characters chars[char_at[k]:char_at[k + 1]] and the ids ids[at[k]:at[k + 1]]; ``place`` says which has each sorted mark."""
+        self.n = 0
+        self.marks, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.chars, self.char_at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.ids, self.at = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+
+    def _find(self, m: Marked) -> np.ndarray:
+        """Which kept pre-token each distinct one is, -1 for new ones."""
+        out = np.full(len(m.marks), -1, np.int64)
+        order = np.argsort(m.marks)
+        at = np.searchsorted(self.marks, m.marks[order])
+        hit = at < len(self.marks)
+        hit[hit] = self.marks[at[hit]] == m.marks[order[hit]]
+        k, p = order[hit], self.place[at[hit]]
+        same = self.char_at[p + 1] - self.char_at[p] == m.span[k]
+        k, p = k[same], p[same]
+        if len(k):
+            mine, theirs = gather(m.cp, m.lead, k, m.span[k])[0], gather(self.chars, self.char_at, p)[0]
+            same = np.logical_and.reduceat(mine == theirs, np.cumsum(m.span[k]) - m.span[k])  # another pre-token may have the mark
+            out[k[same]] = p[same]
+        return out
 
-    def learn(self, words: list[str]) -> None:
-        """Keep the ids of new pre-tokens. Those without white space at their end go to the library as lines of one text: a line break is a
-        pre-token of its own, so every line is split off as it stands; the rest go one by one."""
-        lines = [w for w in words if w.strip() and w[-1:].strip() and w not in self.special and "\n" not in w]
+    def _keep(self, m: Marked, new: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The next places for the pre-tokens ``new`` of ``m``, whose ids stand on end."""
+        n, to = self.n, self.n + len(new)
+        chars = gather(m.cp, m.lead, new, m.span[new])[0]
+        for name, ends, flat, size in (("chars", "char_at", chars, m.span[new]), ("ids", "at", ids, sizes)):
+            first = int(getattr(self, ends)[n])
+            for grown, room in ((name, first + len(flat)), (ends, to + 1)):
+                old = getattr(self, grown)
+                if room > len(old):
+                    setattr(self, grown, np.concatenate([old, np.zeros(max(room - len(old), len(old)), old.dtype)]))
+            getattr(self, name)[first : first + len(flat)] = flat
+            getattr(self, ends)[n + 1 : to + 1] = first + np.cumsum(size)
+        order = np.argsort(m.marks[new])
+        marks = m.marks[new][order]
+        at = np.searchsorted(self.marks, marks)
+        self.marks, self.place, self.n = np.insert(self.marks, at, marks), np.insert(self.place, at, n + order), to
+
+    def _texts(self, words: list[str], between: str, size: int) -> np.ndarray:
+        """Ids of the words with ``between`` after each, so many words to a text."""
         flat: list[int] = []
-        for k in range(0, len(lines), 100):
-            flat += self.library.encode_batch_fast(["\n".join(lines[k : k + 100])], add_special_tokens=False)[0].ids
-            flat += self.line
-        ids = np.array(flat, np.int32)
-        cut = np.flatnonzero(ids == self.line[0])
-        if len(self.line) == 1 and len(cut) == len(lines):
-            raw, ends = ids.tobytes(), cut.tolist()
-            for w, x, y in zip(lines, [-1, *ends], ends, strict=False):
-                self.known[w] = raw[4 * x + 4 : 4 * y]
-        rest = [w for w in words if w not in self.known]
-        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.int32).tobytes()
+        for k in range(0, len(words), size):
+            flat += self.library.encode_batch_fast([between.join([*words[k : k + size], ""])], add_special_tokens=False)[0].ids
+        return np.array(flat, np.int32)
+
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, ids, sizes): the ids of pre-tokens on end, words[order[0]] first, and how many each has.
+
+        Those of a blank and visible characters go to the library on end: a blank between visible characters begins a pre-token, so each is split off
+        as it stands, and the bytes of the ids tell where it ends. Others without white space at their end go as lines of one text: a line break is a
+        pre-token of its own. The rest go one by one.
+        """
+        led, lines, rest = [], [], []
+        for k, w in enumerate(words):
+            if w in self.special or w[-1].isspace():
+                rest.append(k)
+            elif w[0] == " ":
+                led.append(k)
+            else:
+                lines.append(k)
+        order, flat, counts = [], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+
+        def found(places: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+            order.extend(places)
+            flat.append(ids)
+            counts.append(sizes)
+
+        if led:
+            own = [words[k] for k in led]
+            ids = self._texts(own, "", 1000)
+            ends = np.cumsum(self.width[ids])
+            want = np.cumsum(np.fromiter([len(w) if w.isascii() else len(w.encode("utf-8", "surrogatepass")) for w in own], np.int64, len(own)))
+            to = np.searchsorted(ends, want)
+            if len(ids) and ends[-1] == want[-1] and (ends[to] == want).all():
+                found(led, ids, np.diff(to, prepend=-1))
+            else:
+                lines = led + lines
+        if lines:
+            ids = self._texts([words[k] for k in lines], "\n", 100)
+            cut = np.flatnonzero(ids == self.line[0])
+            if len(self.line) == 1 and len(cut) == len(lines):
+                found(lines, np.delete(ids, cut), np.diff(cut, prepend=-1) - 1)
+            else:
+                rest = lines + rest
+        if rest:
+            each = [e.ids for e in self.library.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)]
+            found(rest, np.array([i for ids in each for i in ids], np.int32), np.fromiter(map(len, each), np.int64, len(each)))
+        return np.array(order, np.int64), np.concatenate(flat), np.concatenate(counts)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, ids of each text."""
-        batch = split_batch(texts, self.special)
-        if len(self.known) > KEPT:
-            self.known.clear()
-        self.learn([w for w in batch.words if w not in self.known])
-        pieces = [self.known[w] for w in batch.words]
-        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in pieces])]).astype(np.int64)
-        out, size = gather(np.frombuffer(b"".join(pieces), np.int32), offsets, batch.codes)
+        m = split_marked(texts, self.special)
+        if m.alike:
+            if self.n > KEPT:
+                self.forget()
+            place = self._find(m)
+            new = np.flatnonzero(place < 0)
+            if len(new):
+                order, ids, sizes = self.learn(m.words(new))
+                place[new[order]] = np.arange(self.n, self.n + len(new))
+                self._keep(m, new[order], ids, sizes)
+            out, size = gather(self.ids, self.at, place[m.codes])
+        else:  # marks tell nothing here
+            batch = named(m)
+            order, ids, sizes = self.learn(batch.words)
+            place = np.argsort(order)
+            out, size = gather(ids, np.concatenate([[0], np.cumsum(sizes)]), place[batch.codes])
         run = np.concatenate([[0], np.cumsum(size)])
-        return out, np.diff(run[batch.bounds])
+        return out, np.diff(run[m.bounds])
 
 
 @lru_cache(2)
@@ -232,7 +319,7 @@ def write_shards(df: DataFrame, path: str | None = None, end_id: int = 2, shard_
         for b in in_slices(batches):
             pa_id = b.schema.field("doc_id").type
             names, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, TOGETHER):
                 ids, n = encoder.encode(texts[lo:hi])
                 at = np.cumsum(n)
                 ids, n = np.insert(ids, at, end_id), n + 1
