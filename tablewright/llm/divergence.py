@@ -79,22 +79,31 @@ def mentions(df: DataFrame, min_docs: int) -> DataFrame:
         from pyspark import TaskContext
 
         document = TaskContext.get().partitionId() << 40
-        codes: dict[bytes, int] = {}
+        terms: list[pa.Array] = []  # distinct terms of each slice; a term's code is its place in all of them on end
         langs: dict[str, int] = {}
         sources: dict[str, int] = {}
-        docs, counts = [], []
+        docs, counts, n_terms = [], [], 0
 
-        def number(names: dict, name: str | bytes) -> int:
+        def number(names: dict, name: str) -> int:
             return names.setdefault(name, len(names))
 
-        def out() -> pa.RecordBatch:
-            d, c = some(np.concatenate(docs, 1), min_docs), summed(np.concatenate(counts, 1))
+        def united() -> tuple[np.ndarray, np.ndarray]:
+            """What ``docs`` and ``counts`` hold, summed up under one code for each term."""
+            nonlocal terms, n_terms
+            found = pa.concat_arrays(terms).dictionary_encode()
+            code = found.indices.to_numpy().astype(np.int64)
+            terms, n_terms = [found.dictionary], len(found.dictionary)
+            for rows in (*docs, *counts):
+                rows[0] = rows[0] >> 32 << 32 | code[rows[0] & 0xFFFFFFFF]
+            return some(np.concatenate(docs, 1), min_docs), summed(np.concatenate(counts, 1))
+
+        def out(d: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
             at = np.flatnonzero(np.diff(d[0], prepend=-1))
             key, other = d[0][at], np.flatnonzero(np.diff(c[0], prepend=-1))
             found = pa.StructArray.from_arrays([pa.array(list(sources), pa.string()).take(pa.array(c[1])), pa.array(c[2])], ["source", "n"])
             columns = [
                 pa.array(list(langs), pa.string()).take(pa.array(key >> 32)),
-                pa.array(list(codes), pa.binary()).take(pa.array(key & 0xFFFFFFFF)),
+                terms[0].take(pa.array(key & 0xFFFFFFFF)).cast(pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.append(at, d.shape[1]), pa.int32()), pa.array(d[1])),
                 pa.ListArray.from_arrays(pa.array(np.append(other, c.shape[1]), pa.int32()), found),
             ]
@@ -103,25 +112,27 @@ def mentions(df: DataFrame, min_docs: int) -> DataFrame:
         for b in in_slices(batches):
             found, sizes = terms_of(b.column("text"))
             found = found.dictionary_encode()
-            place = np.array([number(codes, w) for w in found.dictionary.to_pylist()], np.int64)
             lang = np.array([number(langs, x) for x in b.column("lang").to_pylist()], np.int64)
             source = np.array([number(sources, x) for x in b.column("source").to_pylist()], np.int64)
-            code = place[found.indices.to_numpy()]
+            code = found.indices.to_numpy().astype(np.int64) + n_terms
             held, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) << 32 | code, return_counts=True)
             doc, key = held >> 32, lang[held >> 32] << 32 | held & 0xFFFFFFFF
             if len(key):
+                terms.append(found.dictionary.cast(pa.large_binary()))
+                n_terms += len(terms[-1])
                 docs.append(some(np.stack([key, doc + document]), min_docs))
                 counts.append(summed(np.stack([key, source[doc], n])))
             document += len(sizes)
             if sum(c.shape[1] for c in counts) > HELD_ROWS:
-                docs, counts = [some(np.concatenate(docs, 1), min_docs)], [summed(np.concatenate(counts, 1))]
-                if counts[0].shape[1] > HELD_ROWS / 2:
-                    yield out()
-                    docs, counts = [], []
-                    for names in (codes, langs, sources):
+                d, c = united()
+                docs, counts = [d], [c]
+                if c.shape[1] > HELD_ROWS / 2:
+                    yield out(d, c)
+                    docs, counts, terms, n_terms = [], [], [], 0
+                    for names in (langs, sources):
                         names.clear()
         if docs:
-            yield out()
+            yield out(*united())
 
     rows = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], whole_text().cast("binary").alias("text"))
     return rows.mapInArrow(run, "lang string, term binary, docs array<long>, sources array<struct<source string, n long>>")

@@ -1,13 +1,32 @@
 """What workers hand to libraries, hold and send: results are compared elsewhere, these tests keep the work from growing again."""
 
+import sys
+
 import numpy as np
+import pyarrow as pa
+import pyspark
 import pytest
 
-from tablewright.llm import pretokens, wavelet
+from tablewright.llm import divergence, pretokens, wavelet
 
 TEXTS = ["One two  three\n\nfour it's 12 we'll", "", " ", "\tone two one two\r\n", "naïve 漢字 a b　c", "<|endoftext|> x <|endoftext|>", "x" * 300, " 'tis é é"]
 
 
+class Taken:
+    """Stands for a table: keeps the function of its mapInArrow and the columns asked for."""
+
+    def __init__(self, schema=None):
+        self.schema, self.asked = schema, []
+
+    def select(self, *columns):
+        self.asked.append(columns)
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
 def wanted(encoder, texts):
     return [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -52,3 +71,21 @@ def test_pre_tokens_that_share_a_mark_stay_apart(monkeypatch, inverse):
     for texts in (TEXTS, ["abc"], ["xyz"], ["abc"], ["abc", "abc"], ["one two"]):
         texts = texts[::-1] if inverse else texts
         assert as_lists(*encoder.encode(texts)) == wanted(encoder, texts)
+
+
+def test_terms_of_a_task_are_no_python_objects(spark, monkeypatch):
+    class Context:
+        get = classmethod(lambda cls: cls)
+        partitionId = classmethod(lambda cls: 0)
+
+    monkeypatch.setattr(pyspark, "TaskContext", Context)
+    table, n = Taken(), 20_000
+    divergence.mentions(table, 3)
+    text = " ".join(chr(97 + i % 26) * 2 + chr(97 + i // 26 % 26) + chr(97 + i // 676 % 26) + chr(97 + i // 17576) for i in range(n)).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"]), pa.array(["a", "b"]), pa.array([text, b"aaaaa aaaaa"], pa.binary())], ["lang", "source", "text"])
+    before = sys.getallocatedblocks()
+    rows = table.run(iter([batch]))
+    out = next(rows)
+    assert sys.getallocatedblocks() - before < n / 2
+    found = {(r["lang"], r["term"]): r for r in out.to_pylist()}
+    assert len(found) == n + 1 and found["de", b"aaaaa"]["sources"] == [{"source": "b", "n": 2}] and found["en", b"aaaaa"]["docs"] == [0]
