@@ -26,7 +26,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a toxicity below 0.7; the lexicon is learned from the labelled ones that are not held out."""
     lexicon = toxic_lexicon.fit(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), whole_text().alias("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
     return toxic_lexicon.scored(rows, lexicon, "row").where("score < 0.7").select("row.*")
 
 
@@ -65,7 +65,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    return transducer.digests(transducer.round_trip(docs))
+    return transducer.round_trip_digests(docs)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("bpe", bpe)]

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablewright.llm.common import id_type, in_slices, table, whole_text, written
 from tablewright.llm.registry import query
@@ -197,15 +198,18 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, fl
 
 
 def scored(df: DataFrame, lexicon: Lexicon, keep: str) -> DataFrame:
-    """(keep, strength, score) of each row's whole text; a null text is empty."""
+    """(keep, strength, score) of each row's whole text; a null text is empty. If ``keep`` is a struct, its field ``text`` is read, so that texts travel once."""
+    inside = isinstance(df.schema[keep].dataType, StructType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches):
-            x = np.array([lexicon.strength(t) for t in b.column("text").to_pylist()], float)
+            texts = b.column(keep).field("text") if inside else b.column("text")
+            x = np.array([lexicon.strength(t or "") for t in texts.to_pylist()], float)
             s = 1 / (1 + np.exp(-np.clip(lexicon.bias + lexicon.slope * x, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(x), pa.array(s)], [keep, "strength", "score"])
 
-    return df.select(keep, whole_text().alias("text")).mapInArrow(run, f"{keep} {id_type(df, keep)}, strength double, score double")
+    rows = df.select(keep) if inside else df.select(keep, whole_text().alias("text"))
+    return rows.mapInArrow(run, f"{keep} {id_type(df, keep)}, strength double, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = 12_000) -> DataFrame:

@@ -7,7 +7,8 @@ import pyarrow as pa
 import pyspark
 import pytest
 
-from tablewright.llm import divergence, pretokens, wavelet
+import corpus_pipeline
+from tablewright.llm import divergence, pretokens, toxic_lexicon, wavelet
 
 TEXTS = ["One two  three\n\nfour it's 12 we'll", "", " ", "\tone two one two\r\n", "naïve 漢字 a b　c", "<|endoftext|> x <|endoftext|>", "x" * 300, " 'tis é é"]
 
@@ -89,3 +90,18 @@ def test_terms_of_a_task_are_no_python_objects(spark, monkeypatch):
     assert sys.getallocatedblocks() - before < n / 2
     found = {(r["lang"], r["term"]): r for r in out.to_pylist()}
     assert len(found) == n + 1 and found["de", b"aaaaa"]["sources"] == [{"source": "b", "n": 2}] and found["en", b"aaaaa"]["docs"] == [0]
+
+
+def test_texts_reach_the_toxicity_stage_once(spark):
+    docs = spark.createDataFrame([(1, "Trash"), (2, None), (3, "")], "doc_id long, text string").selectExpr("struct(*) AS row")
+    table = Taken(docs.schema)
+    toxic_lexicon.scored(table, toxic_lexicon.Lexicon({}), "row")
+    assert table.asked == [("row",)]
+    lexicon = toxic_lexicon.Lexicon({" trash ": 3.0}, -1.0, 2.0)
+    got = {r["row"]["doc_id"]: r["score"] for r in toxic_lexicon.scored(docs, lexicon, "row").collect()}
+    assert got == {1: lexicon.score("Trash"), 2: lexicon.score(""), 3: lexicon.score("")}
+
+
+def test_only_digests_leave_the_worker_of_bpe(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert "ids#" not in corpus_pipeline.bpe(spark, docs, "")._jdf.queryExecution().toString()
