@@ -172,6 +172,26 @@ def test_word_tokens_need_whole_ascii_words(spark):
     assert value(spark, text.word_tokens(F.lit("Éa The cat_1 über on. x2 Ω"))) == ["the", "on"]
 
 
+def test_word_tokens_at_every_character(spark):
+    """Runs of letters, digits and underscores, kept if they are a to z: whatever the character beside, between or alone."""
+    points = spark.range(0x11000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    texts = points.select(F.concat(F.lit("ab"), "c", F.lit("cd "), "c", F.lit(" x"), "c", F.lit(" "), "c", F.lit("y 1"), "c", F.lit("z"), "c", "c").alias("t"))
+    runs = F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    differ = texts.where(text.word_tokens(F.col("t")) != F.filter(runs, lambda w: w.rlike("^[a-z]+$")))
+    assert differ.count() == 0 and texts.where(F.size(text.word_tokens(F.col("t"))) > 3).count() > 10_000
+
+
+def test_a_bounded_fit_cuts_words_once(spark, monkeypatch):
+    """Words are cut out of the texts once, also for the n-grams, and counted without a row for each."""
+    cut, word_tokens, plans, written = [], text.word_tokens, [], text.written
+    monkeypatch.setattr(text, "word_tokens", lambda t: cut.append(t) or word_tokens(t))
+    monkeypatch.setattr(text, "written", lambda df, name="table": plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df, name))
+    rows = [(1, "A b a b"), (1, "a B"), (2, "a, b Éc q7"), (None, "a b"), (None, "b"), (3, None), (4, "")]
+    model = text.TfIdf("id", "text", "word", 50, 1, 1.0).fit(spark.createDataFrame(rows, "id long, text string"))
+    assert len(cut) == 1 and not any("Generate explode" in p for p in plans)
+    assert {r["term"]: r["df"] for r in model.vocabulary.collect()} == {"a": 3, "b": 3, "a b": 3, "b a": 1, "a b a": 1, "b a b": 1}
+
+
 def test_tfidf_by_hand(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "c c d")], "id long, text string")
     model = text.TfIdf("id", "text", "word").fit(docs)
@@ -215,6 +235,31 @@ def test_runs_of_a_key_that_goes_on_count_once(monkeypatch):
     assert [r for part in three for r in part.to_pylist()] == [{"run": 3, "total": 1, "df": 1}]
 
 
+def test_words_of_a_key_that_goes_on_count_once(monkeypatch):
+    monkeypatch.setattr(termcodes, "GRAMS", 3)
+    monkeypatch.setattr(termcodes, "ROWS", 1)
+    words = pa.array(["a b a", "a b", "", "b c", "c", "a b c c"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 1, 1, None, 2]), words], ["id", "t"])
+    total, df = Counter(), Counter()
+    parts = list(termcodes.word_counts("id")([batch]))
+    for r in (r for part in parts for r in part.to_pylist()):
+        total[r["term"]] += r["total"]
+        df[r["term"]] += r["df"]
+    assert len(parts) > 2 and total == {"a": 4, "b": 4, "c": 4} and df == {"a": 2, "b": 2, "c": 3}
+
+
+def test_many_words_are_numbered_as_few(monkeypatch):
+    """A table of words beyond ``FEW`` is built once, not for every slice."""
+    terms = ["a", "a b", "b", "b c a", "c"]
+    lists, joined = pa.array([["a", "b", "c", "a"], [], ["z", "a", "b", "b"]], pa.list_(pa.string())), pa.array(["a b c a", "", "z a b b"])
+    found = []
+    for few in (0, 50_000):
+        monkeypatch.setattr(termcodes, "FEW", few)
+        found += [[(c.tolist(), n.tolist()) for c, n in termcodes.WordTerms(terms).counts(texts)] for texts in (lists, joined)]
+    assert found == [[([0, 1, 2, 3, 4], [2, 1, 1, 1, 1]), ([], []), ([0, 1, 2], [1, 1, 2])]] * 4
+    assert [(c.tolist(), n.tolist()) for c, n in termcodes.WordTerms([]).counts(joined)] == [([], [])] * 3
+
+
 # ---- submissions ------------------------------------------------------------------------------------------
 def test_bad_submission(spark, tmp_path):
     sub = spark.createDataFrame([(1, 0.5, 0.52, "x"), (1, None, 1.0, "y"), (2, 0.3, 0.7, "z")], "id long, a double, b double, note string")
