@@ -24,13 +24,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import id_type, in_slices, table, whole_text, written
+from tablewright.llm.pretokens import gather
 from tablewright.llm.registry import query
 
 WINDOW = 4096
 #: What a Python worker keeps between slices: ids of words, in two generations of so many. More is asked of the library again.
 KEPT_WORDS = 600_000
-#: Between a Latin letter that normalising leaves one letter and a mark that ends a word or sentence: no pre-token or special string reaches across.
-MARK = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?=[,.;:!?])")
+#: Between a Latin letter (A-Z, a-z, U+00C0 to U+00FF) and one of these no pre-token reaches across, if the file splits there; normalising joins none of them to a letter.
+MARKS = "!\"#$%&'()*+,-./:;?@[\\]^_`{|}~"
 #: Characters of a text that are looked at together; a text is cut only at a blank or a line break.
 BLOCK_CHARS = 1_500_000
 
@@ -122,13 +123,15 @@ def places(rows: np.ndarray, length: np.ndarray, number: np.ndarray) -> Iterator
 
 class WordEncoder:
     """Ids as the tokenizers library gives them, for a file whose pre-tokens never hold white space; a text is given to it by its
-    words between blanks and line breaks, each distinct one once while it is kept."""
+    words between blanks and line breaks, each distinct one once while it is kept. Texts of a block are cut by the bytes of all, and only its
+    distinct words become Python objects."""
 
     def __init__(self, path: str | None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path or default_path())
         self.library.no_truncation()
@@ -142,46 +145,106 @@ class WordEncoder:
             raise ValueError("white space has ids of its own in this file; words cannot be encoded apart")
         self.mark = added[plain[0]].content, plain[0]
         self.risky = re.compile("[" + re.escape("".join({s[0] + s[-1] for s in self.special})) + "]")  # a special string may begin or end there
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.opening = {s[0] for s in self.special}
+        self.marks = np.zeros(256, bool)
+        self.marks[[ord(m) for m in MARKS if self.library.pre_tokenizer and self._splits(m) and not any(m in s for s in self.special)]] = True
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        end = getattr(self.library.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max([*vocab.values(), *added]) + 1, bool)  # ids that end a pre-token; none if not every pre-token has one
+        if end and all(c + end in vocab for c in ByteLevel.alphabet()):
+            self.ends[[i for t, i in vocab.items() if t.endswith(end)]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _splits(self, mark: str) -> bool:
+        return any(end == 1 for _, (_, end) in self.library.pre_tokenizer.pre_tokenize_str(f"a{mark}a"))
 
     def ids(self, texts: list[str]) -> list[int]:
         return [i for e in self.library.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids]
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words; those that no special string can begin or end in go to the library together, a special string between them."""
-        out = {}
-        apart = [w for w in words if self.risky.search(w)]
-        joined = list(set(words).difference(apart))
-        text, mark = self.mark
-        for k in range(0, len(joined), 200):
-            some = joined[k : k + 200]
-            found = np.array(self.ids([text.join(some)]), "<u4")
-            cut = np.flatnonzero(found == mark)
-            raw = found.tobytes()
-            for w, x, y in zip(some, [0, *(cut + 1).tolist()], [*cut.tolist(), len(found)], strict=True):
-                out[w] = raw[4 * x : 4 * y]
-        for w in apart:
-            out[w] = np.array(self.ids([w]), "<u4").tobytes()
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words. Words of letters go to the library together, a blank between them, if the ids tell where each ends; others that no special
+        string can begin or end in go with a special string between them, the rest one by one."""
+        text = [w.decode("utf-8", "surrogatepass") for w in words]
+        out = [b""] * len(words)
+        letters, joined = [], []
+        for k, w in enumerate(text):
+            if self.risky.search(w):
+                out[k] = np.array(self.ids([w]), "<u4").tobytes()
+            else:
+                (letters if w.isalpha() else joined).append(k)
+
+        def found(some: list[int], ids: np.ndarray, start: list[int], end: list[int]) -> None:
+            raw = ids.tobytes()
+            for k, x, y in zip(some, start, end, strict=True):
+                out[k] = raw[4 * x : 4 * y]
+
+        for a in range(0, len(letters), 200):
+            some = letters[a : a + 200]
+            ids = np.array(self.ids([" ".join([text[k] for k in some])]), "<u4")
+            end = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(end) == len(some) and end[-1] == len(ids):  # each is one pre-token
+                found(some, ids, [0, *end[:-1]], end)
+            else:
+                joined += some
+        between, mark = self.mark
+        for a in range(0, len(joined), 200):
+            some = joined[a : a + 200]
+            ids = np.array(self.ids([between.join([text[k] for k in some])]), "<u4")
+            cut = np.flatnonzero(ids == mark)
+            found(some, ids, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)])
         return out
 
-    def words(self, text: str) -> list[str]:
-        """Parts of a text whose ids stand on end: between blanks and line breaks, and between a letter and a mark behind it."""
-        if "<" not in text:  # small letters all the same to the library, but special strings are found before that
-            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        return MARK.sub(" ", text.replace("\n", " ")).split(" ")
+    def words(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(distinct words, codes, bounds): codes[bounds[d]:bounds[d + 1]] are the words of text d, whose ids stand on end: its parts between blanks and line
+        breaks, and between a letter and a mark behind it.
+
+        Latin letters are made small where the library does the same: not in front of a combining sign, as it composes both before that, and not
+        in a text with a special string, as it looks for those before that.
+        """
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        at = np.cumsum([0, *[len(r) + 1 for r in raw]])
+        a = np.frombuffer(bytearray(b"\n".join([*raw, b""])), np.uint8)
+        del raw
+        second = np.zeros(len(a), bool)  # second byte of U+00C0 to U+00FF
+        second[1:] = a[:-1] == 0xC3
+        large = (a - np.uint8(65) < 26) | second & (a <= 0x9E) & (a != 0x97)
+        large[:-1] &= (a[1:] < 0x80) | (a[1:] == 0xC3)
+        for d, t in enumerate(texts):
+            if any(c in t for c in self.opening):
+                large[at[d] : at[d + 1]] = False
+        a += large.view(np.uint8) << np.uint8(5)
+        letter = ((a | np.uint8(32)) - np.uint8(97) < 26) | second & ((a | np.uint8(32)) != 0xB7)  # U+00D7 and U+00F7 are signs
+        blank = (a == 32) | (a == 10)
+        start = self.marks[a]
+        start[1:] &= letter[:-1]
+        start[1:] |= blank[:-1]
+        start[:1] = True
+        seen = ~blank
+        bounds = np.searchsorted(np.flatnonzero(start & seen), at)
+        chars = np.compress(seen, a)
+        first = np.flatnonzero(np.compress(seen, start))
+        ends = pa.py_buffer(np.append(first, len(chars)).astype(np.int32))
+        found = pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(chars)]).dictionary_encode()
+        return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), bounds
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, four bytes each."""
-        words = [self.words(t) for t in texts]
-        new = set().union(*words).difference(self.young)
-        again = {w: self.old[w] for w in new if w in self.old}
+        words, codes, bounds = self.words(texts)
+        each = list(map(self.young.get, words))
+        new = [k for k, x in enumerate(each) if x is None]
+        again = {words[k]: self.old[words[k]] for k in new if words[k] in self.old}
+        fresh = [words[k] for k in new if words[k] not in again]
+        again.update(zip(fresh, self.learn(fresh), strict=True))
         self.young |= again
-        self.young |= self.learn(list(new.difference(again)))
-        out = [b"".join(map(self.young.__getitem__, w)) for w in words]
+        for k in new:
+            each[k] = again[words[k]]
+        ends = np.cumsum([0, *map(len, each)]) // 4
+        ids, size = gather(np.frombuffer(b"".join(each), "<u4"), ends, codes)
+        at = np.append(0, np.cumsum(size))[bounds].tolist()
         if len(self.young) > KEPT_WORDS:
             self.old, self.young = self.young, {}
-        return out
+        return [ids[x:y].tobytes() for x, y in zip(at, at[1:])]
 
 
 def default_path() -> str:

@@ -91,3 +91,51 @@ def test_long_texts_in_blocks(monkeypatch):
     texts = ["".join(RNG.choices([*"abΣ  \n\t01.,!<|>", "<|startoftext|>", "'s"], k=300)) for _ in range(100)]
     got = [np.frombuffer(x, "<u4").tolist() for x in packing.encoded(t, texts)]
     assert got == [t.library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def ids_of(raw):
+    return [np.frombuffer(x, "<u4").tolist() for x in raw]
+
+
+def given_to(encoder):
+    """The texts that the encoder's library is given from now on."""
+    given, library = [], encoder.library
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **kw)
+
+    encoder.library = Counted()
+    return given
+
+
+def test_words_of_letters_reach_the_library_once_with_a_blank_between():
+    encoder = packing.WordEncoder(None)
+    library, given = encoder.library, given_to(encoder)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}é" for i in range(150)]
+    texts = [" ".join(words), "\n".join(w.upper() for w in words), " ".join(w + "***" for w in words), " ".join(w + '", ' for w in words)]
+    assert ids_of(encoder.encode(texts)) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(map(len, given)) < sum(len(w) + 1 for w in words) + 50
+
+
+@pytest.mark.parametrize("kept", [600_000, 3])
+def test_ids_are_the_librarys_whatever_is_kept(monkeypatch, kept):
+    monkeypatch.setattr(packing, "KEPT_WORDS", kept)
+    encoder = packing.WordEncoder(None)
+    combining = ["̈", "̖", "̊", "̌", "̱", "ְ", "́"]  # the library composes t and U+0308, but not T and U+0308
+    signs = [*"aThHJWyÀÉßÞ×÷ÿΣ'.,#*_-`^~<|>=9 \n\t", " ", " the", "<|endoftext|>", "T<|ENDOFTEXT|>", "'S", "　", "漢", "İ", "ǅ", "K", *combining]
+    for _ in range(30):
+        texts = ["", "T̈ H̖̱", *("".join(RNG.choices(signs, k=RNG.randint(0, 40))) for _ in range(20))]
+        assert ids_of(encoder.encode(texts)) == [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_file_that_keeps_marks_with_words(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers, trainers
+
+    texts = ["one, two, one. two! (one) é, one", "one,two one two"]
+    t = Tokenizer(models.BPE())
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    t.train_from_iterator(texts * 5, trainers.BpeTrainer(vocab_size=200, special_tokens=["<s>"]))
+    t.save(str(tmp_path / "words.json"))
+    assert ids_of(packing.WordEncoder(str(tmp_path / "words.json")).encode(texts)) == [t.encode(x, add_special_tokens=False).ids for x in texts]
