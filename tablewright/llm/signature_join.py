@@ -92,14 +92,18 @@ def signed(df: DataFrame, size: int) -> DataFrame:
 
 
 def posted(classes: DataFrame) -> DataFrame:
-    """The posting lists: (value, df, rep, n_shingles, sig), each class under its rarest values."""
+    """The posting lists: (value, df, rep, n_shingles, sig), each class under its rarest values.
+
+    Spark takes an array for one element and opened rows for as large as the array, so it would hand out tables many times as large as it
+    believes: these joins say that both sides are dealt by their key.
+    """
     spread = classes.select("rep", F.posexplode("sig").alias("k", "x")).select("rep", (F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("x").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("value"))
     shared = spread.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    mine = spread.join(shared, "value").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values")).where(F.size("values") >= MATCHES)
+    mine = spread.join(shared.hint("merge"), "value").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values")).where(F.size("values") >= MATCHES)
     kept = mine.select("rep", F.explode(F.slice("values", F.lit(1), F.size("values") - (MATCHES - 1))).alias("x")).select("rep", "x.value")
     kept = written(kept, "postings")
     size = kept.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    return kept.join(size, "value").join(classes.select("rep", "n_shingles", "sig"), "rep")
+    return kept.join(size.hint("merge"), "value").join(classes.select("rep", "n_shingles", "sig").hint("merge"), "rep")
 
 
 def family_links(lists: DataFrame) -> DataFrame:

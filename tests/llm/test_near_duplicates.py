@@ -159,3 +159,20 @@ def test_embeddings_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_caps.near_duplicates(none).count() == 0
     assert embedding_caps.near_duplicates(spark.range(1).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"))).count() == 1
+
+
+def test_opened_signatures_are_never_handed_out_whole(spark, monkeypatch):
+    """Spark takes a signature of 48 numbers for one, so a size that it estimates says nothing about the opened rows."""
+    plans, write = [], signature_join.written
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(signature_join, "written", kept)
+    rows = [(b"%d" % i, i, 90, [j if j < 30 else i * 100 + j for j in range(48)]) for i in range(6)]
+    lists = signature_join.posted(write(spark.createDataFrame(rows, "mark binary, rep long, n_shingles long, sig array<int>"), "classes"))
+    plans.append(lists._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2
+    assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+    assert {(r.rep, r.df) for r in lists.collect()} == {(i, 6) for i in range(6)}
