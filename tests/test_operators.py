@@ -261,6 +261,56 @@ def test_many_words_are_numbered_as_few(monkeypatch):
 
 
 # ---- submissions ------------------------------------------------------------------------------------------
+def plain_chars(words):
+    padded = [f" {w} " for w in words if w]
+    return Counter(w[i : i + k] for w in padded for k in range(2, 7) for i in range(len(w) - k + 1))
+
+
+@pytest.mark.parametrize("states, characters", [(10**6, 250_000), (0, 250_000), (10**6, 7)])
+def test_known_characters_are_found_by_states(monkeypatch, states, characters):
+    """Beginnings of terms as states, in a table or searched, in one piece or in many, give what single look-ups give."""
+    monkeypatch.setattr(termcodes, "STATES", states)
+    monkeypatch.setattr(termcodes, "CHARACTERS", characters)
+    texts = [["anna", "nan", "", "ann"], [], ["中文字", "𝒳anna", "q"], ["", "x" * 40], ["nanana"] * 3]
+    terms = sorted([*plain_chars(["anna", "中文"]), "xxxxxx", "nanan", " q", "zz"])
+    want = [sorted((terms.index(t), n) for t, n in plain_chars(words).items() if t in terms) for words in texts]
+    lists, joined = pa.array(texts, pa.list_(pa.string())), pa.array([" ".join(t) for t in texts])
+    look = termcodes.CharTerms(terms)
+    assert not hasattr(look, "met")  # no word is opened for itself
+    for given in (lists, joined):
+        assert [list(zip(c.tolist(), n.tolist())) for c, n in look.counts(given)] == want
+    assert [len(c) for c, _ in termcodes.CharTerms([]).counts(joined)] == [0] * 5
+
+
+@pytest.mark.parametrize("letters", ["abé中𝒳", "".join(chr(0x4E00 + i) for i in range(1500))])
+def test_totals_of_characters(monkeypatch, letters):
+    """Keys of six characters outgrow an integer in large alphabets."""
+    monkeypatch.setattr(termcodes, "WORDS", 50)
+    words = ["".join(letters[(i * 7 + j * j * 31) % len(letters)] for j in range(i % 11 + 1)) for i in range(200)] + [letters]
+    got, want = Counter(), Counter()
+    for part in termcodes.gram_totals()([pa.RecordBatch.from_arrays([pa.array(words), pa.array([i % 3 + 1 for i in range(201)])], ["word", "c"])]):
+        for r in part.to_pylist():
+            got[r["term"]] += r["total"]
+    for i, w in enumerate(words):
+        for t, n in plain_chars([w]).items():
+            want[t] += n * (i % 3 + 1)
+    assert got == want
+
+
+def test_rows_of_terms_leave_tasks_as_they_are(spark):
+    """Lists of terms are not opened and their names not joined in Spark."""
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "c c d")], "id long, text string")
+    out = text.TfIdf("id", "text", "char", 5, 1, 1.0).fit(docs).transform(docs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and out.count() > 5
+
+
+def test_rounding_is_that_of_decimals(spark):
+    values = [0.1234567885, 0.1234567895, 1.0000000005, 0.5, 1e-10, 4.9999999999e-10, 5e-10, 0.0, -0.1234567885, -3e-9, 1e20, float("nan"), None, *[i / 7919 + i * 1e-9 for i in range(300)]]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", 9).alias("a"), numbers.rounded(F.col("x"), 9).alias("b"))
+    assert [r for r in df.collect() if not (r.a == r.b or r.a != r.a and r.b != r.b)] == []
+
+
 def test_bad_submission(spark, tmp_path):
     sub = spark.createDataFrame([(1, 0.5, 0.52, "x"), (1, None, 1.0, "y"), (2, 0.3, 0.7, "z")], "id long, a double, b double, note string")
     test = spark.range(4)
