@@ -1,11 +1,15 @@
 """Quality floors and shapes of the model queries."""
 
+import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from tablewright import session
 from tablewright.operators import metrics
 from tablewright.operators import models as md
 from tablewright.operators import vectors
+from tablewright.plans import learning
+from tablewright.sources.views import Tables
 
 NUMERIC = ["a", "b"]
 
@@ -130,3 +134,52 @@ def test_vectors_come_without_a_join(spark):
     assert out.columns == ["id", "x", "features"] and "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = {r["x"]: r["features"] for r in out.collect()}
     assert set(got) == {5, 6, 7} and got[5] == got[6] and got[5].numNonzeros() == 5 and got[7].numNonzeros() == 0
+
+
+TEXTS = [(i % 50 if i < 52 else None, " ".join(f"{w}{'abcdefgh'[(i * j) % 8]}" for j, w in enumerate(["mill", "öre", "shore"] * (i % 9)))) for i in range(54)]
+
+
+def test_squeezed_terms_are_the_vectors(spark, monkeypatch):
+    """Vectors that are written, made on the way, and made again of squeezed terms are the same to the last bit, also with repeated and null keys."""
+    df = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate([*TEXTS, (90, None), (91, "mill " * 300)])], "id long, text string, n int")
+    model = vectors.TextVectors("id", "text", blocks={"word": 30, "char": 50}, min_df=1, max_df=1.0, drop_text=True).fit(df)
+    want = {r["n"]: r["features"] for r in model.transform(df).collect()}
+    monkeypatch.setattr(vectors, "read_vectors", None)
+    squeezed = model.squeezed(df)
+    again = model.vectors(squeezed.withColumn("more", F.col("n") + 1))
+    assert again.columns == ["id", "n", "more", "features"] and len(want) == 54
+    for out in (model.streamed(df), again):
+        assert {r["n"]: r["features"] for r in out.collect()} == want
+    assert {r["n"] for r in again.where("more > n").collect()} == set(want)
+
+
+@pytest.fixture(scope="module")
+def labelled_texts(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("texts"))
+    rows = [(i, f"{'fine good calm' if i % 2 else 'poor bad loud'} {TEXTS[i % 50][1]}", "en", "s", 20) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["lr_text", "batch_score", "svm_calibrated", "lr_text_quality"])
+def test_text_models_write_no_vectors(spark, labelled_texts, monkeypatch, name):
+    """Vectors are many times as large as texts: none is written, and texts and counts go when the vocabularies are there."""
+    asked, scratch = [], session.scratch
+    monkeypatch.setattr(session, "scratch", lambda s, kind: asked.append(kind) or scratch(s, kind))
+    monkeypatch.setattr(vectors, "read_vectors", None)
+    before = len(session._MADE)
+    rows = getattr(learning, name)(Tables(spark, labelled_texts)).collect()
+    left = {m.rpartition("/")[2].rpartition("-")[0] for m in session._MADE[before:]}
+    assert "texts" in asked and not left & {"texts", "labelled", "words", "runs", "totals", "candidates"} and {"squeezed", "vocabulary"} <= left
+    if name == "lr_text_quality":
+        assert {(r["label"], r["n"], r["above"]) for r in rows} == {(0, 30, True), (1, 30, True)}
+    else:
+        assert {r["id"] for r in rows} == set(range(60, 90)) and all(r["sound"] for r in rows)
+
+
+@pytest.mark.parametrize("size, threads", [(100, 4), (3000, 1)])
+def test_large_fits_wait_for_each_other(spark, tmp_path, monkeypatch, size, threads):
+    monkeypatch.setattr(md, "FIT_BYTES", 20_000)
+    spark.range(size).coalesce(1).write.option("compression", "none").parquet(str(tmp_path / "t"))
+    assert md.side_by_side(spark.read.parquet(str(tmp_path / "t")), 4) == threads
